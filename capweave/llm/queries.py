@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from .decontamination import OP6_SQL, op6_decontamination
+from .jaccard import OP1_SQL, op1_ngram_jaccard
 from .mixing import op3_mixing
 from .sharding import op10_sharding
 
 QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op3_mixing": op3_mixing,
     "op6_decontamination": op6_decontamination,
     "op10_sharding": op10_sharding,
 }
 #: The other operators draw hashes or fit models that DuckDB lacks; tests/llm holds them against brute force.
-ORACLE_SQL = {"op6_decontamination": OP6_SQL}
+ORACLE_SQL = {"op1_ngram_jaccard": OP1_SQL, "op6_decontamination": OP6_SQL}
