@@ -50,6 +50,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     a, b = edges.columns
     edges = edges.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("root")).where("v > root").mapInArrow(_forests, EDGE)
+    # Once more with all edges of a vertex together: a dense group then has about an edge a vertex.
+    edges = edges.repartition("v").mapInArrow(_forests, EDGE)
     now, mark = written(edges), None
     while True:
         both = now.unionByName(now.select(F.col("root").alias("v"), F.col("v").alias("root")))

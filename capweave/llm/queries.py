@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import OP5_SQL, op5_chat_format
 from .decontamination import OP6_SQL, op6_decontamination
 from .jaccard import OP1_SQL, op1_ngram_jaccard
 from .licenses import op9_license_scan
@@ -10,16 +11,19 @@ from .neighbours import OP4_SQL, op4_embedding_dedup
 from .recompression import OP8_SQL, op8_substring_dedup
 from .secrets import op2_secret_scan
 from .sharding import op10_sharding
+from .toxicity import op7_toxicity
 
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_secret_scan": op2_secret_scan,
     "op3_mixing": op3_mixing,
     "op4_embedding_dedup": op4_embedding_dedup,
+    "op5_chat_format": op5_chat_format,
     "op6_decontamination": op6_decontamination,
+    "op7_toxicity": op7_toxicity,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_sharding": op10_sharding,
 }
 #: The other operators draw hashes or fit models that DuckDB lacks; tests/llm holds them against brute force.
-ORACLE_SQL = {"op1_ngram_jaccard": OP1_SQL, "op4_embedding_dedup": OP4_SQL, "op6_decontamination": OP6_SQL, "op8_substring_dedup": OP8_SQL}
+ORACLE_SQL = {"op1_ngram_jaccard": OP1_SQL, "op4_embedding_dedup": OP4_SQL, "op5_chat_format": OP5_SQL, "op6_decontamination": OP6_SQL, "op8_substring_dedup": OP8_SQL}

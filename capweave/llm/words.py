@@ -30,6 +30,13 @@ def spaces() -> np.ndarray:
     return word
 
 
+def plain() -> np.ndarray:
+    """The same for the words of PLAIN_WORD in lower-cased text."""
+    word = np.zeros(256, bool)
+    word[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+    return word
+
+
 def lowered() -> np.ndarray:
     low = np.arange(256)
     low[0x41:0x5B] += 32
@@ -56,8 +63,8 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """hash, start and end (byte positions) of every word; first: of every row, its first word's index (n + 1)."""
 
-    def __init__(self, raw: np.ndarray, offs: np.ndarray, lower: bool):
-        word, value = spaces(), _BYTE[lowered()] if lower else _BYTE
+    def __init__(self, raw: np.ndarray, offs: np.ndarray, lower: bool, word: np.ndarray | None = None):
+        word, value = spaces() if word is None else word, _BYTE[lowered()] if lower else _BYTE
         parts, begins = [], offs[:-1]
         at = 0
         while at < len(raw):
