@@ -24,11 +24,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table, written
 from .words import U, Words, mix, plain, row_groups
 
-SAMPLE, WORDS, MIN_DF, FOLDS, RIDGE = 20_000, 600, 5, 5, 1.0
+SAMPLE, WORDS, MIN_DF, FOLDS, RIDGE = 20_000, 1_500, 4, 5, 0.3
 #: The chain over the label table: poor quality first, then toxic.
 CHAIN = (("low_quality", "1 - quality"), ("toxic", "toxic"))
 _SEED = 71
@@ -143,7 +144,7 @@ def fit_chain(names, known, doc_ids, row, h, y) -> Chain:
         links.append(_fit_link(name, known[k], row, h, n, odds[:, :k], np.nan_to_num(y[:, k]), there))
         if k == len(names) - 1 and links[-1].fitted:
             p, truth = 1 / (1 + np.exp(-odds[there, k])), y[there, k] > 0
-            cuts = np.linspace(0.2, 0.8, 61)
+            cuts = np.linspace(0.1, 0.9, 81)
             score = [2 * (truth & (p >= c)).sum() / max(1, truth.sum() + (p >= c).sum()) for c in cuts]
             threshold = float(np.median(cuts[np.array(score) >= max(score) - 1e-9]))
     return Chain(links, threshold)
@@ -174,7 +175,9 @@ def train(docs: DataFrame, labels: DataFrame, chain=CHAIN, sample: int = SAMPLE)
     return fit_chain(names, known, ids, row, h, ys)
 
 
-def _scorer(model: Chain):
+def _scorer(model: Chain, names: list[str]):
+    """Batches whose last column is the text: it gives way to the probabilities and the verdict."""
+
     def run(batches):
         known = model.known()
         for b in batches:
@@ -187,18 +190,24 @@ def _scorer(model: Chain):
                 else:
                     row, h = row[:0], h[:0]
                 p[at:end] = model.score(row, h, end - at)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(p[:, k]) for k in range(p.shape[1])], pa.array(p[:, -1] >= model.threshold)], [*b.schema.names[:-1], *[f"p_{x.name}" for x in model.links], "rejected"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(p[:, k]) for k in range(p.shape[1])], pa.array(p[:, -1] >= model.threshold)], names)
 
     return run
 
 
-def classify(docs: DataFrame, model: Chain) -> DataFrame:
-    """doc_id, key (hash of the text), p_<category>..., rejected by row of docs."""
-    kinds = "".join(f"p_{x.name} double, " for x in model.links)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text").mapInArrow(_scorer(model), f"doc_id long, key long, {kinds}rejected boolean")
+def classify(docs: DataFrame, model: Chain, prefix: str = "") -> DataFrame:
+    """docs with <prefix>p_<category>... and <prefix>rejected."""
+    found = [T.StructField(f"{prefix}p_{x.name}", T.DoubleType()) for x in model.links] + [T.StructField(f"{prefix}rejected", T.BooleanType())]
+    schema = T.StructType([*docs.schema.fields, *found])
+    return docs.select("*", F.col("text").alias("__text")).mapInArrow(_scorer(model, schema.names), schema)
+
+
+def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that a chain trained on labels doesn't reject."""
+    return classify(docs, train(docs, labels), "__").where("NOT __rejected").select(*docs.columns)
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = classify(docs, train(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", "p_low_quality", "p_toxic", F.col("rejected").alias("toxic"))
