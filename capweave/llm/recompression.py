@@ -39,17 +39,17 @@ MARK = np.dtype([("doc", "<i8"), ("start", "<u4"), ("count", "<u4")])
 SEGMENT = np.dtype([("doc", "<i8"), ("name", "u1", 6), ("start", "<u4"), ("count", "<u4")])
 
 
-def compress_runs(name, row, left, right):
+def compress_runs(name, row, left, right, edges):
     """Names every maximal run. left and right: the context of each symbol, as positions of words."""
     new = np.ones(len(name), bool)
     new[1:] = (name[1:] != name[:-1]) | (row[1:] != row[:-1])
     at = np.flatnonzero(new)
     length = np.diff(np.append(at, len(name)))
     out = np.where(length > 1, mix(name[at] * U(0xD6E8FEB86659FD93) + length.astype(U)), name[at])
-    return out, row[at], *_with_neighbours(row[at], left[at], right[at + length - 1])
+    return out, row[at], *_contexts(at, at + length - 1, row, left, right, edges)
 
 
-def compress_pairs(name, row, left, right, turn: int):
+def compress_pairs(name, row, left, right, edges, turn: int):
     """Names every pair of a left symbol and a right symbol that follows it."""
     is_left = (mix(name + U(turn)) & U(1)).astype(bool)
     pair = np.zeros(len(name), bool)  # the symbol is the first of a pair
@@ -58,16 +58,16 @@ def compress_pairs(name, row, left, right, turn: int):
     keep[1:] = ~pair[:-1]
     both = np.where(pair[:-1], mix(name[:-1] * U(0x9FB21C651E98DF25) + mix(name[1:])), name[:-1])
     out = np.append(both, name[-1:])[keep]
-    last = np.where(pair, np.append(right[1:], right[-1:]), right)
-    return out, row[keep], *_with_neighbours(row[keep], left[keep], last[keep])
+    at = np.flatnonzero(keep)
+    return out, row[keep], *_contexts(at, at + pair[at], row, left, right, edges)
 
 
-def _with_neighbours(row, left, right):
-    """Contexts that take in the neighbours'; at a row's edge, the place before or after it."""
-    first = np.ones(len(row), bool)
-    first[1:] = row[1:] != row[:-1]
-    last = np.append(first[1:], True)
-    return np.where(first, left - 1, np.append(left[:1], left[:-1])), np.where(last, right + 1, np.append(right[1:], right[-1:]))
+def _contexts(first, last, row, left, right, edges):
+    """Contexts of symbols made from those at first..last: the symbols before and after decide too, with their own
+    contexts; at a row's edge, the place before its first or after its last word."""
+    before, after = np.maximum(first - 1, 0), np.minimum(last + 1, len(row) - 1)
+    inner_left, inner_right = (first > 0) & (row[before] == row[first]), (last < len(row) - 1) & (row[after] == row[last])
+    return np.where(inner_left, left[before], edges[row[first]] - 1), np.where(inner_right, right[after], edges[row[last] + 1] + 1)
 
 
 def _least_within(name, left, right, starts):
@@ -86,13 +86,13 @@ def _least_within(name, left, right, starts):
         width *= 2
 
 
-def anchors(words: np.ndarray, row: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The anchor's name of the windows at these starts. row: of every word, non-decreasing."""
+def anchors(words: np.ndarray, row: np.ndarray, edges: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The anchor's name of the windows at these starts. row: of every word, non-decreasing; edges: each row's first word, and the end."""
     at = np.arange(len(words))
     state, levels = (words, row, at, at + 1), []
     levels.append(state)
     for turn in range(1, ROUNDS + 1):
-        state = compress_pairs(*compress_runs(*state), turn)
+        state = compress_pairs(*compress_runs(*state, edges), edges, turn)
         levels.append(state)
     out, found = np.zeros(len(starts), U), np.zeros(len(starts), bool)
     for level in reversed(range(len(levels))):
@@ -160,7 +160,7 @@ def _six(name: np.ndarray) -> np.ndarray:
 def _deal(buckets: int):
     def run(batches):
         for b in batches:
-            for at, end, raw, offs in row_groups(b.column(1)):
+            for at, end, raw, offs in row_groups(b.column(1), 4 << 20):
                 ids = np.asarray(b.column(0)[at:end])
                 words = Words(raw, offs, lower=False)
                 count = np.diff(words.first)
@@ -173,7 +173,7 @@ def _deal(buckets: int):
                 doc, start = ids[row[starts]], place[starts]
                 first, later = _later(whole, doc, start)
                 marks = _marks(doc[later], start[later])
-                name = anchors(words.hash, row, starts)[first]
+                name = anchors(words.hash, row, words.first, starts)[first]
                 whole, doc, start = whole[first], doc[first], start[first]
                 bucket = (name % U(buckets)).astype(np.int32)
                 order = np.lexsort((start, doc, bucket))
@@ -211,32 +211,48 @@ def repeated(segments: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return _marks(doc[later], start[later])
 
 
-def _find(batches):
+def _by_key(batches, done):
+    """done(held rows without their key) for every key of rows sorted by the first column."""
     now, held = None, []
+    for b in batches:
+        for key, *rest in zip(*[c.to_pylist() for c in b.columns]):
+            if key != now and held:
+                yield from done(held)
+                held = []
+            now = key
+            held.append(rest)
+    if held:
+        yield from done(held)
 
-    def rows(marks):
-        doc = marks["doc"]
-        cut = np.concatenate(([0], np.flatnonzero(doc[1:] != doc[:-1]) + 1, [len(doc)]))
-        out = [(int(marks["doc"][i]), marks[i:j].tobytes()) for i, j in zip(cut[:-1], cut[1:])]
-        for i in range(0, len(out), 20_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[i : i + 20_000]), (pa.int64(), pa.binary()))], ["doc", "marks"])
 
-    def done():
+def _find(targets: int):
+    def done(held):
         segments = np.frombuffer(b"".join(x[0] for x in held), SEGMENT)
         hashes = np.frombuffer(b"".join(x[1] for x in held), np.uint8).reshape(-1, 5)
-        for marks in (repeated(segments, hashes), np.sort(np.frombuffer(b"".join(x[2] for x in held), MARK), order="doc", kind="stable")):
-            if len(marks):
-                yield from rows(marks)
+        marks = np.concatenate((repeated(segments, hashes), np.frombuffer(b"".join(x[2] for x in held), MARK)))
+        if len(marks):
+            target = (mix(marks["doc"].astype(U)) % U(targets)).astype(np.int32)
+            order = np.argsort(target, kind="stable")
+            marks, target = marks[order], target[order]
+            cut = np.flatnonzero(np.diff(target, prepend=-1, append=-1))
+            out = [(int(target[i]), marks[i:j].tobytes()) for i, j in zip(cut[:-1], cut[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.binary()))], ["target", "marks"])
 
-    for b in batches:
-        for bucket, *rest in zip(*[b.column(i).to_pylist() for i in range(4)]):
-            if bucket != now and held:
-                yield from done()
-                held = []
-            now = bucket
-            held.append(rest)
-    if held:
-        yield from done()
+    return lambda batches: _by_key(batches, done)
+
+
+def _gather(batches):
+    """From rows sorted by target, one row a document."""
+
+    def done(held):
+        marks = np.frombuffer(b"".join(x[0] for x in held), MARK)
+        marks = marks[np.argsort(marks["doc"], kind="stable")]
+        doc = marks["doc"]
+        cut = np.concatenate(([0], np.flatnonzero(doc[1:] != doc[:-1]) + 1, [len(doc)]))
+        out = [(int(doc[i]), marks[i:j].tobytes()) for i, j in zip(cut[:-1], cut[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.binary()))], ["doc", "marks"])
+
+    return _by_key(batches, done)
 
 
 def repeat_marks(docs: DataFrame) -> DataFrame:
@@ -244,16 +260,16 @@ def repeat_marks(docs: DataFrame) -> DataFrame:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), "text")
     dealt = rows.mapInArrow(_deal(2 * parts), "bucket int, segments binary, hashes binary, marks binary")
-    found = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_find, "doc long, marks binary")
-    return found.groupBy("doc").agg(F.collect_list("marks").alias("marks"))
+    found = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_find(2 * parts), "target int, marks binary")
+    return found.repartition(parts, "target").sortWithinPartitions("target").mapInArrow(_gather, "doc long, marks binary")
 
 
-def _kept(text: bytes, marks: list[bytes] | None) -> tuple[int, list[bytes]]:
+def _kept(text: bytes, marks: bytes | None) -> tuple[int, list[bytes]]:
     """Number of words; the words that stay."""
     words = text.split()  # of bytes: at ASCII white space only
     if not marks:
         return len(words), words
-    m = np.frombuffer(b"".join(marks), MARK)
+    m = np.frombuffer(marks, MARK)
     edge = np.zeros(len(words) + 1, np.int64)
     np.add.at(edge, m["start"], 1)
     np.add.at(edge, m["start"] + m["count"] + np.uint32(N - 1), -1)
@@ -275,7 +291,7 @@ def _clean(batches):
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words that stay, joined by one space) by row of docs."""
     marks = written(repeat_marks(docs))
-    held = marks.agg(F.count("*").alias("n"), F.sum(F.aggregate("marks", F.lit(0).cast("long"), lambda a, m: a + F.length(m))).alias("b")).first()
+    held = marks.agg(F.count("*").alias("n"), F.sum(F.length("marks")).alias("b")).first()
     if held["n"] <= BROADCAST_MARK_ROWS and (held["b"] or 0) <= BROADCAST_MARK_BYTES:
         marks = F.broadcast(marks)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
