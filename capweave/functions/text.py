@@ -83,8 +83,9 @@ def known_share_type(x: Column) -> Column:
 
 def strip_parentheses(x: Column, organisations=W.ORGANISATIONS, business_number: bool = True, times: int = 8) -> Column:
     """Removes trailing parentheses (one level of nesting) that name an organisation, `times` at most; then a business number."""
-    for _ in range(times):
-        x = F.when(contains_any(F.regexp_extract(x, _PAREN, 1), organisations), F.regexp_replace(F.regexp_replace(x, _PAREN, ""), r"(?U)\s+$", "")).otherwise(x)
+    cut = lambda t: F.regexp_replace(F.regexp_replace(t, _PAREN, ""), r"(?U)\s+$", "")
+    step = lambda t, _: F.when(contains_any(F.regexp_extract(t, _PAREN, 1), organisations), cut(t)).otherwise(t)
+    x = F.aggregate(F.sequence(F.lit(1), F.lit(times)), x, step)
     return F.regexp_replace(x, r"\s*\(\d{3}-\d{2,}-\d{4,}\)\s*$", "") if business_number else x
 
 

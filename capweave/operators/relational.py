@@ -18,11 +18,25 @@ def same(a: DataFrame, b: DataFrame, keys: Cols) -> Column:
 
 
 def upper_median(x: Column) -> Column:
-    """Of a group's values, sorted, the one at index n // 2. Nulls don't count. An aggregate: exact, by the rank of a percentile."""
+    """An aggregate: of a small group's values, sorted, the one at index n // 2. Nulls don't count."""
     s = F.array_sort(F.collect_list(x))
     return F.try_element_at(s, (F.floor(F.size(s) / 2) + 1).cast("int"))
 
 
+def upper_medians(df: DataFrame, keys: Cols, value: str, name: str = "median") -> DataFrame:
+    """keys and the upper median of each group, by a sort that can spill, for groups of any size."""
+    w = Window.partitionBy(*keys)
+    d = df.where(F.col(value).isNotNull()).select(*keys, value, F.count("*").over(w).alias("__n"), F.row_number().over(w.orderBy(value)).alias("__k"))
+    return d.where(F.col("__k") == F.floor(F.col("__n") / 2) + 1).select(*keys, F.col(value).alias(name))
+
+
+def dominant_value(df: DataFrame, keys: Cols, value: str, share: float, least: int = 2) -> DataFrame:
+    """keys and the value that at least `share` of a group's rows have (the smallest of several), in groups of `least` rows or more."""
+    v = df.groupBy(*keys, value).agg(F.count("*").alias("k")).withColumn("__n", F.sum("k").over(Window.partitionBy(*keys)))
+    v = v.where((F.col("__n") >= least) & (F.col("k") >= F.col("__n") * share))
+    return v.groupBy(*keys).agg(F.min(value).alias(value), F.max(F.col("__n")).alias("n"))
+
+
 def unique_only(df: DataFrame, keys: Cols) -> DataFrame:
     """Rows whose keys no other row has."""
     return df.withColumn("__n", F.count("*").over(Window.partitionBy(*keys))).where("__n = 1").drop("__n")
@@ -90,26 +104,46 @@ def midpoint_bands(df: DataFrame, keys: Cols, at: str, alone) -> DataFrame:
 
 
 def in_band(points: DataFrame, bands: DataFrame, keys: Cols, at: str) -> DataFrame:
-    """Points joined with the band (lo, hi] they are in; keys are equi-join keys, so the range test runs within a key."""
-    return points.join(bands, list(keys)).where((F.col(at) > F.col("lo")) & (F.col(at) <= F.col("hi")))
+    """Points with the band (lo, hi] of their key that they are in; bands of a key don't overlap.
+
+    One sorted pass a key over points and bands together, so a key with many of both makes no pairs.
+    """
+    rest = [c for c in bands.columns if c not in keys]
+    p = points.select("*", F.lit(None).cast(bands.select(F.struct(*rest)).schema[0].dataType).alias("__band"), F.lit(0).alias("__kind"), F.col(at).cast("double").alias("__at"))
+    b = bands.select(*keys, F.struct(*rest).alias("__band"), F.lit(1).alias("__kind"), F.col("lo").cast("double").alias("__at"))
+    w = Window.partitionBy(*keys).orderBy("__at", "__kind")  # at one place, points are before a band that begins there
+    both = p.unionByName(b, allowMissingColumns=True).withColumn("__in", F.last_value("__band", True).over(w))
+    both = both.where((F.col("__kind") == 0) & (F.col("__at") <= F.col("__in.hi")))
+    return both.select(*points.columns, *[F.col(f"__in.{c}").alias(c) for c in rest])
+
+
+def _around(df: DataFrame, others: DataFrame, keys: Cols, at: str, value: Column, tie: Column) -> DataFrame:
+    """df with __before and __after: the (at, tie, value) of the nearest others on either side, found in one sorted pass a key."""
+    o = others.where(F.col(at).isNotNull()).groupBy(*keys, F.col(at).alias("__at")).agg(F.min(F.struct(tie.alias("tie"), value.alias("value"))).alias("o"))
+    o = o.select(*keys, "__at", F.struct(F.col("__at").alias("at"), "o.tie", "o.value").alias("__o"), F.lit(1).alias("__kind"))
+    d = df.select("*", F.col(at).alias("__at"), F.lit(0).alias("__kind"))
+    w = Window.partitionBy(*keys).orderBy("__at")
+    both = d.unionByName(o, allowMissingColumns=True)
+    both = both.withColumns({"__before": F.last_value("__o", True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)), "__after": F.first_value("__o", True).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing))})
+    return both.where("__kind = 0").drop("__o", "__kind", "__at")
 
 
 def near_any(df: DataFrame, others: DataFrame, keys: Cols, at: str, reach, how: str = "left_semi") -> DataFrame:
-    """Rows with (left_semi) or without (left_anti) one of `others` (same key, `at`) within `reach`."""
-    o = others.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(at).alias("__at"))
-    on = F.abs(F.col(at) - F.col("__at")) <= reach
-    for k in keys:
-        on = on & (F.col(k) == F.col(f"__{k}"))
-    return df.join(o, on, how)
-
-
-def nearest(df: DataFrame, others: DataFrame, keys: Cols, at: str, ident: str, tie: str, value: str, most=None) -> DataFrame:
-    """For each row (ident), the value of the nearest of `others` within its key (ties: the smallest `tie`); rows without one drop out."""
-    o = others.select(*keys, F.col(at).alias("__at"), F.col(tie).alias("__tie"), F.col(value).alias("__value"))
-    near = df.join(o, list(keys)).withColumn("__d", F.abs(F.col(at) - F.col("__at")))
+    """Rows with (left_semi) or without (left_anti) one of `others` (same key) within `reach`."""
+    out = _around(df, others, keys, at, F.lit(0), F.lit(0))
+    test = F.coalesce(F.col(at) - F.col("__before.at") <= reach, F.lit(False)) | F.coalesce(F.col("__after.at") - F.col(at) <= reach, F.lit(False))
+    return out.where(test if how == "left_semi" else ~test).drop("__before", "__after")
+
+
+def nearest(df: DataFrame, others: DataFrame, keys: Cols, at: str, tie: str, value: str, most=None) -> DataFrame:
+    """df with nearest_<value> of the nearest of `others` in its key (ties: the smallest `tie`); rows without one (within `most`) drop out."""
+    out = _around(df, others, keys, at, F.col(value), F.col(tie))
+    side = lambda s, d: F.when(F.col(s).isNotNull(), F.struct(d.alias("d"), F.col(f"{s}.tie").alias("tie"), F.col(f"{s}.value").alias("value")))
+    best = F.least(side("__before", F.col(at) - F.col("__before.at")), side("__after", F.col("__after.at") - F.col(at)))
+    out = out.withColumn("__best", best).where("__best IS NOT NULL")
     if most is not None:
-        near = near.where(F.col("__d") <= most)
-    return near.groupBy(*keys, ident).agg(F.min_by("__value", F.struct("__d", "__tie")).alias(f"nearest_{value}"))
+        out = out.where(F.col("__best.d") <= most)
+    return out.withColumn(f"nearest_{value}", F.col("__best.value")).drop("__before", "__after", "__best")
 
 
 def fallback_insert(base: DataFrame, extra: DataFrame, keys: Cols, unique: Cols, flag: str) -> DataFrame:
