@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import words as W
 from ..functions.rules import is_aggregate_label, is_digit_heavy
 from ..functions.text import normal_share_type, parse_count, safe_dpi, stripped, totals_in
-from .relational import anchored_groups, in_band, islands, midpoint_bands, near_any
+from .relational import anchored_groups, in_band, islands, midpoint_bands
 
 PAGE = ["doc_id", "page_num"]
 _COUNT = "^\\d{1,3}(?:,\\d{3})+주?$|^\\d{3,}주$"
@@ -87,49 +87,54 @@ def text_layers(page_texts: DataFrame) -> DataFrame:
     return page_texts.groupBy("doc_id").agg(F.coalesce(F.bool_or(F.length(stripped(F.col("text"))) > 20), F.lit(False)).alias("has_text"))
 
 
-def count_words(words: DataFrame) -> DataFrame:
-    """Words that hold a row's share count, with `pass` (1: grouped digits, 2: small numbers in the column, 3: inside a longer word),
-    `n` (digits), sc_x1_min and sc_x2_max; `h` is the page's mean word height."""
-    words = words.withColumns({"h": F.avg(F.col("y2") - F.col("y1")).over(Window.partitionBy(*PAGE)), "t": stripped(F.col("text"))})
-    labels = words.where(is_aggregate_label(F.col("text")))
-    free = near_any(words, labels, PAGE, "yc", F.col("h") * 1.5, "left_anti")
+def _flagged_near(flag, reach):
+    """Whether a flagged word of the page is within `reach` of a word, in y. Windows over one table: no self-join."""
+    at = F.when(flag, F.col("yc"))
+    w = Window.partitionBy(*PAGE).orderBy("yc")
+    before = F.last_value(at, True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    after = F.first_value(at, True).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    return F.coalesce(F.col("yc") - before <= reach, F.lit(False)) | F.coalesce(after - F.col("yc") <= reach, F.lit(False))
+
+
+def marked_words(words: DataFrame) -> DataFrame:
+    """Words with `pass` (share counts: 1 grouped digits, 2 small numbers in the column, 3 inside a longer word; else null), `n` (the
+    digits), h (the page's mean word height), sc (left edge of the counts), limit (right edge of the names)."""
     page = Window.partitionBy(*PAGE)
-    first = free.where(F.col("t").rlike(_COUNT)).withColumns({"__k": F.count("*").over(page), "__m": F.max("x1").over(page)})
-    first = first.where((F.col("__k") < 2) | (F.col("x1") >= F.col("__m") * 0.75)).drop("__k", "__m").withColumn("pass", F.lit(1))
-    column = first.groupBy(*PAGE).agg(F.min("x1").alias("lo"), F.max("x2").alias("sc_x2_max"))
-    second = free.where(F.col("t").rlike(_SMALL)).join(column, PAGE).where((F.col("x1") >= F.col("lo") * 0.85) & (F.col("x2") <= F.col("sc_x2_max") * 1.15)).drop("lo", "sc_x2_max")
-    second = near_any(second, first, PAGE, "yc", F.col("h") * 0.5, "left_anti").withColumn("pass", F.lit(2))
-    both = first.unionByName(second)
-    column = both.groupBy(*PAGE).agg(F.min("x1").alias("sc_x1_min")).join(column.drop("lo"), PAGE)
-    inner = F.regexp_extract("t", _EMBEDDED, 1)
-    third = free.where(~F.col("t").rlike(_COUNT) & ~F.col("t").rlike(_SMALL) & (inner != "")).withColumn("t", inner)
-    third = third.where(parse_count(F.col("t")) >= 100)
-    third = near_any(third, both, PAGE, "yc", F.col("h") * 0.5, "left_anti").join(column, PAGE).withColumns({"x1": F.col("sc_x1_min"), "x2": F.col("sc_x2_max"), "pass": F.lit(3)})
-    out = both.join(column, PAGE).unionByName(third)
-    return out.withColumn("n", F.regexp_replace("t", "주+$", ""))
+    c = F.col
+    w = words.withColumns({"h": F.avg(c("y2") - c("y1")).over(page), "t": stripped(c("text")), "label": is_aggregate_label(c("text"))})
+    w = w.withColumn("free", ~_flagged_near(c("label"), c("h") * 1.5))
+    w = w.withColumn("f1", c("free") & c("t").rlike(_COUNT))
+    w = w.withColumns({"k1": F.count_if("f1").over(page), "m1": F.max(F.when(c("f1"), c("x1"))).over(page)})
+    w = w.withColumn("f1", c("f1") & ((c("k1") < 2) | (c("x1") >= c("m1") * 0.75)))
+    w = w.withColumns({"lo": F.min(F.when(c("f1"), c("x1"))).over(page), "hi": F.max(F.when(c("f1"), c("x2"))).over(page), "near1": _flagged_near(c("f1"), c("h") * 0.5)})
+    w = w.withColumn("f2", F.coalesce(c("free") & c("t").rlike(_SMALL) & (c("x1") >= c("lo") * 0.85) & (c("x2") <= c("hi") * 1.15) & ~c("near1"), F.lit(False)))
+    w = w.withColumns({"sc": F.min(F.when(c("f1") | c("f2"), c("x1"))).over(page), "near2": _flagged_near(c("f1") | c("f2"), c("h") * 0.5), "inner": F.regexp_extract("t", _EMBEDDED, 1)})
+    f3 = c("free") & c("sc").isNotNull() & ~c("t").rlike(_COUNT) & ~c("t").rlike(_SMALL) & F.coalesce(parse_count(c("inner")) >= 100, F.lit(False)) & ~c("near2")
+    w = w.withColumn("pass", F.when(c("f1"), 1).when(c("f2"), 2).when(f3, 3))
+    n = F.when(c("pass") == 3, c("inner")).when(c("pass").isNotNull(), F.regexp_replace("t", "주+$", ""))
+    typed = normal_share_type(c("text")).isin(*W.SHARE_TYPES)
+    has_type = F.coalesce(F.bool_or(typed & (c("x1") < c("sc"))).over(page), F.lit(False))
+    w = w.withColumns({"n": n, "typed": typed, "limit": c("sc") * F.when(has_type, 0.45).otherwise(0.80)})
+    return w.select(*words.columns, "pass", "n", "h", "sc", "limit", "typed", "label", "t")
 
 
 def rows_from_words(words: DataFrame) -> DataFrame:
     """Row candidates: doc_id, page_num, row_index, name, share_type, share_count, source, confidence, flags, raw_cells."""
-    counts = count_words(words)
-    groups = islands(counts, PAGE, "yc", F.col("h"), ["yc", "word_idx"], "grp")
+    w = marked_words(words)
+    groups = islands(w.where(F.col("pass").isNotNull()), PAGE, "yc", F.col("h"), ["yc", "word_idx"], "grp")
     value = F.coalesce(parse_count(F.col("n")), F.lit(0))
     best = F.max_by(F.struct("n", "pass"), F.struct(value, -F.col("yc"), -F.col("word_idx")))
-    anchors = groups.groupBy(*PAGE, "grp").agg(F.avg("yc").alias("anchor"), best.alias("best"), F.first("h").alias("h"), F.first("sc_x1_min").alias("sc"))
-    anchors = midpoint_bands(anchors, PAGE, "anchor", F.col("h") * 2.0)
-    typed = normal_share_type(F.col("text")).isin(*W.SHARE_TYPES)
-    left = words.join(anchors.select(*PAGE, "sc").distinct(), PAGE).where(F.col("x1") < F.col("sc"))
-    has_type = left.groupBy(*PAGE).agg(F.bool_or(typed).alias("has_type"))
-    anchors = anchors.join(has_type, PAGE, "left").withColumn("limit", F.col("sc") * F.when(F.coalesce("has_type", F.lit(False)), 0.45).otherwise(0.80)).drop("has_type")
-    in_rows = in_band(words, anchors, PAGE, "yc")
-    in_name = ((F.col("x2") <= F.col("limit")) | ((F.col("x1") < F.col("limit")) & (F.col("x2") < F.col("sc")))) & ~is_aggregate_label(F.col("text"))
-    in_name = in_name & ~F.lower(stripped(F.col("text"))).isin(*W.HEADINGS) & ~is_digit_heavy(F.col("text")) & ~typed
+    anchors = groups.groupBy(*PAGE, "grp").agg(F.avg("yc").alias("anchor"), best.alias("best"), F.first("h").alias("ah"))
+    anchors = midpoint_bands(anchors, PAGE, "anchor", F.col("ah") * 2.0).drop("ah")
+    in_rows = in_band(w, anchors, PAGE, "yc")
+    in_name = ((F.col("x2") <= F.col("limit")) | ((F.col("x1") < F.col("limit")) & (F.col("x2") < F.col("sc")))) & ~F.col("label")
+    in_name = in_name & ~F.lower("t").isin(*W.HEADINGS) & ~is_digit_heavy(F.col("text")) & ~F.col("typed")
     at = F.struct(F.bround(F.col("yc") / (F.col("h") * 0.5)).alias("y"), "x1", "word_idx", "text")
-    names = in_rows.where(in_name).groupBy(*PAGE, "grp").agg(F.array_join(F.transform(F.array_sort(F.collect_list(at)), lambda s: s["text"]), " ").alias("name"))
-    near = words.select(*PAGE, "word_idx", "text", "x1", "yc").join(anchors, PAGE).withColumn("d", F.abs(F.col("yc") - F.col("anchor")))
-    near = near.where((F.col("x1") > F.col("limit")) & (F.col("x1") < F.col("sc")) & (F.col("d") <= F.col("h") * 1.5) & typed)
+    names = in_rows.groupBy(*PAGE, "grp").agg(F.first("best").alias("best"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(in_name, at))), lambda s: s["text"]), " ").alias("name"))
+    near = w.where(F.col("typed") & (F.col("x1") > F.col("limit")) & (F.col("x1") < F.col("sc"))).select(*PAGE, "word_idx", "text", "yc", "h").join(anchors.select(*PAGE, "grp", "anchor"), PAGE)
+    near = near.withColumn("d", F.abs(F.col("yc") - F.col("anchor"))).where(F.col("d") <= F.col("h") * 1.5)
     types = near.groupBy(*PAGE, "grp").agg(F.min_by(normal_share_type(F.col("text")), F.struct("d", "word_idx")).alias("share_type"))
-    out = anchors.join(names, [*PAGE, "grp"]).where(stripped(F.col("name")) != "").join(types, [*PAGE, "grp"], "left")
+    out = names.where(stripped(F.col("name")) != "").join(types, [*PAGE, "grp"], "left")
     kind, n = F.coalesce("share_type", F.lit("")), F.col("best.n")
     flags = F.when(F.col("best.pass") == 2, F.array(F.lit("small_sc_2nd_pass"))).when(F.col("best.pass") == 3, F.array(F.lit("embedded_sc_3rd_pass"))).otherwise(F.array().cast("array<string>"))
     return out.select(
