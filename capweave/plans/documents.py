@@ -1,6 +1,6 @@
 """From recorded replies to a document's register: two extraction plans and the choice between them.
 
-The order of the steps is part of the result. Every step is a table of its own, so any of them can be written.
+The order of the steps is part of the result. The main steps are written as stage tables, so each is computed once.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import captable, drafts, layout, reconcile
 from ..sources.readers import model_rows
+from .stages import written
 
 PAGE = ["doc_id", "page_num"]
 
@@ -23,22 +24,22 @@ def by_pages(words: DataFrame, replies: DataFrame, page_texts: DataFrame) -> dic
 
     Keys: ocr, first, deficits, page_rows (as traced: before form and repeated pages go), accepted, shareholders.
     """
-    ocr, totals = layout.rows_from_words(words), layout.page_totals(words)
-    made = model_rows(replies)
+    ocr, totals = written(layout.rows_from_words(words)), written(layout.page_totals(words))
+    made = written(model_rows(replies))
     shape = ocr.columns
-    one, two = (reconcile.validated(made.where(t).select(*shape)) for t in ("attempt = 1", "attempt = 2"))
+    one, two = (written(reconcile.validated(made.where(t).select(*shape))) for t in ("attempt = 1", "attempt = 2"))
     pages = replies.select(*PAGE).unionByName(words.select(*PAGE)).distinct()
     lacking = reconcile.deficits(one, ocr, totals, pages)
     again = two.join(lacking.where("needs_retry").select(*PAGE), PAGE, "left_semi")
-    rows = reconcile.pick_attempt(one, again).select(*shape)
-    rows = reconcile.insert_from_ocr(rows, ocr, totals)
-    rows = reconcile.override_types(rows, ocr)
-    rows = reconcile.correct_face_values(rows, ocr, layout.face_values(words, ocr))
-    rows = reconcile.drop_aggregates(rows, totals)
-    kept = reconcile.drop_repeated_pages(reconcile.reject_forms(rows, ocr))
+    rows = written(reconcile.pick_attempt(one, again).select(*shape))
+    rows = written(reconcile.insert_from_ocr(rows, ocr, totals))
+    rows = written(reconcile.override_types(rows, ocr))
+    rows = written(reconcile.correct_face_values(rows, ocr, layout.face_values(words, ocr)))
+    rows = written(reconcile.drop_aggregates(rows, totals))
+    kept = written(reconcile.drop_repeated_pages(reconcile.reject_forms(rows, ocr)))
     final = reconcile.drop_document_aggregates(_ordered(kept, "page_num", "row_index"))
     final = captable.fill_missing_types(final, layout.text_layers(page_texts))
-    final = reconcile.deduplicated(final.select("doc_id", "ord", "name", "share_type", "share_count"))
+    final = written(reconcile.deduplicated(final.select("doc_id", "ord", "name", "share_type", "share_count")))
     return {"ocr": ocr, "first": one, "deficits": lacking, "page_rows": rows, "accepted": kept, "shareholders": final}
 
 
@@ -48,14 +49,14 @@ def by_reading(read: DataFrame, repaired: DataFrame, page_texts: DataFrame) -> d
     Keys: checked, structured, shareholders (of trusted documents only).
     """
     totals = layout.document_totals(page_texts)
-    checked = drafts.completeness(read, totals)
+    checked = written(drafts.completeness(read, totals))
     better = repaired.join(checked.where("NOT passed").select("doc_id"), "doc_id", "left_semi")
     used = better.unionByName(read.join(better.select("doc_id"), "doc_id", "left_anti"))
     rows = drafts.verified_counts(drafts.structured(used), used)
     rows = rows.withColumns({"page_num": F.lit(1), "confidence": F.lit(1.0), "raw_cells": F.array().cast("array<string>")})
-    rows = reconcile.validated(rows)
+    rows = written(reconcile.validated(rows))
     final = rows.join(drafts.trusted(rows, totals), "doc_id", "left_semi")
-    final = reconcile.deduplicated(_ordered(final, "row_index").select("doc_id", "ord", "name", "share_type", "share_count"))
+    final = written(reconcile.deduplicated(_ordered(final, "row_index").select("doc_id", "ord", "name", "share_type", "share_count")))
     return {"checked": checked, "structured": rows, "shareholders": final}
 
 
