@@ -32,7 +32,7 @@ from .words import U, mix
 
 THRESHOLD = 0.9
 SHARDS, SHARD_ROWS, BLOCK = 8, 32_768, 2_048
-LINKS, LAYER_RATIO, EF_BUILD, EF = 16, 16, 64, 64
+LINKS, LAYER_RATIO, EF_BUILD, EF = 16, 16, 64, 128
 AUDIT, RECALL = 256, 0.97
 #: Queries searched together.
 BATCH = 256
@@ -69,11 +69,11 @@ class Layer:
         self.vecs = vecs
         self.links = np.full((len(vecs), 2 * LINKS), -1, np.int32) if links is None else links
 
-    def build(self, entries) -> None:
-        """entries(queries): for each query the node to start from, among the first nodes."""
+    def build(self, entries, upper: int) -> None:
+        """entries(queries): for each query the node to start from, among the first `upper` nodes, which come in together."""
         n, done = len(self.vecs), 0
         while done < n:
-            end = min(n, max(256, min(2 * done, done + 2048)))
+            end = min(n, max(256, upper, min(2 * done, done + 2048)))
             new = self.vecs[done:end]
             inner = new @ new.T
             np.fill_diagonal(inner, -2)
@@ -182,7 +182,7 @@ class Graph:
         self.layers = [Layer(vecs[:n], links[i] if links else None) for i, n in enumerate(sizes)]
         if not links:
             for i in reversed(range(len(sizes))):
-                self.layers[i].build(lambda q, i=i: self.entry(q, i))
+                self.layers[i].build(lambda q, i=i: self.entry(q, i), sizes[i + 1] if i + 1 < len(sizes) else 0)
 
     def entry(self, queries, layer: int):
         at = np.zeros(len(queries), np.int64)
@@ -229,17 +229,24 @@ GRAPHS = "dim int, shard int, cls binary, vecs binary, links array<binary>"
 
 def _pack(batches):
     """Blocks of vectors of one length, as bytes."""
+    held: dict[int, list] = {}
+
+    def block(dim):
+        ids, flat = zip(*held.pop(dim))
+        row = (dim, np.concatenate(ids).tobytes(), np.concatenate(flat).tobytes())
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.binary(), pa.binary()))], ["dim", "q", "qv"])
+
     for b in batches:
         dims = np.asarray(b.column(1))
-        out = []
-        for dim in np.unique(dims):
+        for dim in np.unique(dims).tolist():
             rows = np.flatnonzero(dims == dim)
             for i in range(0, len(rows), BLOCK):
                 part = b.take(pa.array(rows[i : i + BLOCK]))
-                flat = np.asarray(part.column(2).flatten(), np.float32)
-                out.append((int(dim), np.asarray(part.column(0)).tobytes(), flat.tobytes()))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary()))], ["dim", "q", "qv"])
+                held.setdefault(dim, []).append((np.asarray(part.column(0)), np.asarray(part.column(2).flatten(), np.float32)))
+                if sum(len(x) for x, _ in held[dim]) >= BLOCK:
+                    yield block(dim)
+    for dim in list(held):
+        yield block(dim)
 
 
 def _query(ef: int, least: float):
