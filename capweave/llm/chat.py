@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import by_batches, table
 
 HEAD, MIDDLE, TAIL = b"<s>[INST] ", b" [/INST]", b"</s>"
 _CONTROL = r"([<\[])(\\*)(/?s>|/?INST\])"
@@ -102,7 +102,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
     """conv_id, part, formatted, mask (code points of the part), in order within each partition."""
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return rows.select("conv_id", "role", "text").mapInArrow(_format, FORMATTED)
+    return by_batches(rows.select("conv_id", "role", "text"), _format, FORMATTED)
 
 
 def _read_back(batches):
@@ -139,7 +139,7 @@ def _read_back(batches):
 
 def chat_digests(formatted: DataFrame) -> DataFrame:
     """One row a conversation; formatted: as format_chats() returns it, neither dealt nor sorted anew."""
-    return formatted.mapInArrow(_read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return by_batches(formatted, _read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op5_chat_format(spark, sf_dir: str) -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.stages import dropped, written  # noqa: F401
+
 #: Words between ASCII white space, as a Java or DuckDB regular expression.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 #: Words of ASCII letters, digits and everything beyond ASCII; applied to lower-cased text.
@@ -16,32 +15,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A side of at most this many slim rows may be broadcast (some 100 MB as a hash table).
 BROADCAST_ROWS = 1_000_000
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; on a local master without one, a temporary folder is set."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.conf.set("spark.checkpoint.dir", at := tempfile.mkdtemp(prefix="capweave-"))
-    return at.rstrip("/")
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, and a lost executor loses nothing."""
-    path = f"{shared_dir(df.sparkSession)}/capweave/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._capweave_path = path
-    return out
-
-
-def dropped(df: DataFrame) -> None:
-    """Deletes the files of a written() table that no later plan reads."""
-    path, spark = getattr(df, "_capweave_path", None), df.sparkSession
-    if path:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1_000
 
 
 def fitted(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -49,6 +24,14 @@ def fitted(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def by_batches(df: DataFrame, function, schema) -> DataFrame:
+    """mapInArrow with batches of at most BATCH_ROWS rows, so that a Python worker holds some megabytes of text."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, BATCH_ROWS)
+    return df.mapInArrow(function, schema)
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fitted, table, written
+from .common import by_batches, fitted, table, written
 from .components import Forest, components
 from .words import U, Words, mix, row_groups, windows
 
@@ -67,7 +67,7 @@ def _classes(batches):
 def document_classes(docs: DataFrame) -> DataFrame:
     """doc_id, key (hash of the text), n (size of the set), cls (hash of the set) by row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
-    return rows.mapInArrow(_classes, "doc_id long, key long, n long, cls long")
+    return by_batches(rows, _classes, "doc_id long, key long, n long, cls long")
 
 
 def _prefixes(buckets: int):
@@ -147,7 +147,7 @@ def candidate_groups(docs: DataFrame) -> DataFrame:
     """cls, n, grp of every class that has candidates."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    entries = docs.select("text").mapInArrow(_prefixes(4 * parts), "bucket int, tok binary, cls binary, n binary, times binary")
+    entries = by_batches(docs.select("text"), _prefixes(4 * parts), "bucket int, tok binary, cls binary, n binary, times binary")
     shared = entries.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "tok long, cls long, n long, df long")
     by_class = Window.partitionBy("cls")
     need = F.floor(F.col("n") * 3 / 32) + 1
@@ -278,7 +278,7 @@ def class_components(docs: DataFrame, classes: DataFrame) -> DataFrame:
     wanted = firsts.join(tasks, "cls")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = texts.join(fitted(wanted), F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("key"))).select("text", "cls", "tasks")
-    sets = texts.mapInArrow(_group_sets, f"cls long, tasks {TASKS}, s binary")
+    sets = by_batches(texts, _group_sets, f"cls long, tasks {TASKS}, s binary")
     sets = sets.select("cls", "s", F.inline("tasks"))
     edges = written(sets.groupBy("grp", "a", "b").applyInArrow(_join_group, "cls long, low long"))
     roots = components(edges).withColumnRenamed("v", "cls")

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import by_batches, table
 
 
 @dataclass(frozen=True)
@@ -132,7 +132,7 @@ def _search(notices: tuple[Notice, ...]):
 
 def license_scan(docs: DataFrame, notices: tuple[Notice, ...] = NOTICES) -> DataFrame:
     """doc_id, n_words, base (places of base phrases), found (spans in the normalised text with their edits), score."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_search(notices), RESULT)
+    return by_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _search(notices), RESULT)
 
 
 def op9_license_scan(spark, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import by_batches, table, written
 from .words import U, Words, mix, randoms, row_groups
 
 N = 20
@@ -259,7 +259,7 @@ def repeat_marks(docs: DataFrame) -> DataFrame:
     """doc (the id, LAST_ID for null), marks: packed (doc, start, count) of window starts, by document."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), "text")
-    dealt = rows.mapInArrow(_deal(2 * parts), "bucket int, segments binary, hashes binary, marks binary")
+    dealt = by_batches(rows, _deal(2 * parts), "bucket int, segments binary, hashes binary, marks binary")
     found = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_find(2 * parts), "target int, marks binary")
     return found.repartition(parts, "target").sortWithinPartitions("target").mapInArrow(_gather, "doc long, marks binary")
 
@@ -271,8 +271,9 @@ def _kept(text: bytes, marks: bytes | None) -> tuple[int, list[bytes]]:
         return len(words), words
     m = np.frombuffer(marks, MARK)
     edge = np.zeros(len(words) + 1, np.int64)
-    np.add.at(edge, m["start"], 1)
-    np.add.at(edge, m["start"] + m["count"] + np.uint32(N - 1), -1)
+    # Marks of a longer text with the same doc_id can reach beyond this one.
+    np.add.at(edge, np.minimum(m["start"], len(words)), 1)
+    np.add.at(edge, np.minimum(m["start"] + m["count"] + np.uint32(N - 1), len(words)), -1)
     return len(words), [w for w, c in zip(words, (np.cumsum(edge)[:-1] > 0).tolist()) if not c]
 
 
@@ -296,7 +297,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         marks = F.broadcast(marks)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.join(marks, F.coalesce("doc_id", F.lit(LAST_ID)) == F.col("doc"), "left").select("doc_id", "text", "marks")
-    return rows.mapInArrow(_clean, "doc_id long, n_words long, n_removed long, kept string")
+    return by_batches(rows, _clean, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fitted, table, written
+from .common import by_batches, fitted, table, written
 
 _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _KEYWORD = re.compile(r"(?ai:passw|secret|token|api_?key)")
@@ -99,7 +99,7 @@ def scan(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) ->
     todo = firsts.join(seen, "blob", "left").select("blob", "first_id", F.array_except(wanted, F.coalesce("seen", F.array().cast("array<struct<rule:string,version:int>>"))).alias("wanted"))
     todo = written(todo.where(F.size("wanted") > 0)).withColumnRenamed("blob", "__blob")
     texts = docs.select("doc_id", "text").join(fitted(todo), F.col("doc_id").eqNullSafe(F.col("first_id")) & (blob_of(F.col("text")) == F.col("__blob")))
-    found = texts.select("__blob", "text", "wanted").mapInArrow(_scanner(rules), LEDGER)
+    found = by_batches(texts.select("__blob", "text", "wanted"), _scanner(rules), LEDGER)
     return found.dropDuplicates(["blob", "rule", "version"])  # a row that is there twice
 
 

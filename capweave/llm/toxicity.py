@@ -22,14 +22,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, written
+from .common import by_batches, table, written
 from .words import U, Words, mix, plain, row_groups
 
-SAMPLE, WORDS, MIN_DF, FOLDS, RIDGE = 20_000, 1_500, 4, 5, 0.3
+SAMPLE, WORDS, MIN_DF, FOLDS, RIDGE, LEAST_Z = 20_000, 1_500, 4, 5, 0.3, 2.0
 #: The chain over the label table: poor quality first, then toxic.
 CHAIN = (("low_quality", "1 - quality"), ("toxic", "toxic"))
 _SEED = 71
@@ -94,7 +95,7 @@ def _logit(p: float) -> float:
     return float(np.log(p / (1 - p)))
 
 
-def logistic(row, col, n, words, dense, y, ridge=RIDGE, steps=400):
+def logistic(row, col, n, words, dense, y, ridge=RIDGE, steps=200):
     """(weights, dense weights, bias) of a ridge logistic model, by accelerated gradient steps. row, col: ones of a sparse matrix."""
     scale = np.concatenate((np.ones(words), 1 / np.maximum(dense.std(0), 1e-6) if dense.size else np.zeros(dense.shape[1]), [1.0]))
     z = dense * scale[words:-1]
@@ -156,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, chain=CHAIN, sample: int = SAMPLE)
     chosen = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(y.alias("y")).orderBy(F.xxhash64(F.lit(_SEED), "doc_id"), "doc_id").limit(sample)
     chosen = written(chosen.select(F.col("doc_id").cast("long").alias("doc_id"), "y"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # `sample` rows at most
-    rows = written(texts.select("doc_id", "text", "y").mapInArrow(_sample_words, "doc_id long, words array<bigint>, y array<double>"))
+    rows = written(by_batches(texts.select("doc_id", "text", "y"), _sample_words, "doc_id long, words array<bigint>, y array<double>"))
     n_pos = rows.select(*[F.count_if(F.col("y")[k] > 0).alias(f"p{k}") for k in range(len(chain))], *[F.count_if(F.col("y")[k] <= 0).alias(f"n{k}") for k in range(len(chain))]).first()
     counts = rows.select(F.explode("words").alias("word"), "y").groupBy("word")
     counts = counts.agg(*[F.count_if(F.col("y")[k] > 0).alias(f"p{k}") for k in range(len(chain))], *[F.count_if(F.col("y")[k] <= 0).alias(f"n{k}") for k in range(len(chain))])
@@ -164,14 +165,14 @@ def train(docs: DataFrame, labels: DataFrame, chain=CHAIN, sample: int = SAMPLE)
     for k in range(len(chain)):
         p, n, all_p, all_n = F.col(f"p{k}"), F.col(f"n{k}"), n_pos[f"p{k}"], n_pos[f"n{k}"]
         z = (F.log((p + 0.5) / (all_p - p + 0.5)) - F.log((n + 0.5) / (all_n - n + 0.5))) / F.sqrt(1 / (p + 0.5) + 1 / (n + 0.5))
-        best = counts.orderBy(F.abs(z).desc(), "word").limit(WORDS).collect()
+        best = counts.where(F.abs(z) >= LEAST_Z).orderBy(F.abs(z).desc(), "word").limit(WORDS).collect()
         known.append(np.unique(np.array([r["word"] for r in best], np.int64).astype(U)))
     wanted = F.array(*[F.lit(int(w)) for w in np.unique(np.concatenate(known)).astype(np.int64)]) if any(map(len, known)) else F.array().cast("array<bigint>")
     hits = rows.select("doc_id", F.array_intersect("words", wanted).alias("words"), "y").toArrow()
     ids, ys = hits["doc_id"].to_numpy(), np.array([[np.nan if v is None else v for v in x] for x in hits["y"].to_pylist()], float).reshape(-1, len(chain))
-    words = hits["words"].to_pylist()
-    row = np.repeat(np.arange(len(words)), [len(x) for x in words])
-    h = np.array([w for x in words for w in x], np.int64).astype(U)
+    lists = hits["words"].combine_chunks() if hits.num_rows else pa.array([], pa.list_(pa.int64()))
+    row = np.repeat(np.arange(len(lists)), np.asarray(pc.list_value_length(lists)))
+    h = np.asarray(pc.list_flatten(lists)).astype(np.int64).astype(U)
     return fit_chain(names, known, ids, row, h, ys)
 
 
@@ -199,7 +200,7 @@ def classify(docs: DataFrame, model: Chain, prefix: str = "") -> DataFrame:
     """docs with <prefix>p_<category>... and <prefix>rejected."""
     found = [T.StructField(f"{prefix}p_{x.name}", T.DoubleType()) for x in model.links] + [T.StructField(f"{prefix}rejected", T.BooleanType())]
     schema = T.StructType([*docs.schema.fields, *found])
-    return docs.select("*", F.col("text").alias("__text")).mapInArrow(_scorer(model, schema.names), schema)
+    return by_batches(docs.select("*", F.col("text").alias("__text")), _scorer(model, schema.names), schema)
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:

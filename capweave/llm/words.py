@@ -9,7 +9,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes handled at once, so that temporary arrays stay in the processor's cache.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -101,7 +101,7 @@ class Words:
         return mix(h + size.astype(U)), start + at, stop + at
 
 
-def row_groups(column: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def row_groups(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of rows with about `most` bytes, one row at least."""
     raw, offs = buffers(column)
     at = 0
