@@ -410,6 +410,54 @@ def uniform_ratio(spark, d):
     return R.uniform_ratio(_t(spark, d, "lineitem"), "l_partkey", "l_quantity", "l_extendedprice", ["l_orderkey", "l_linenumber"], 3, 60)
 
 
+_FAULT = "CASE WHEN k % 2 = 0 AND k % 13 = 0 THEN 'row_omission' WHEN k % 2 = 1 AND k % 17 = 0 THEN 'row_hallucination' WHEN k % 7 = 1 THEN 'name_truncation' WHEN k % 7 = 2 THEN 'name_corruption' WHEN k % 7 = 3 THEN 'share_type_mismatch' END"
+
+
+@query(f"SELECT error, count(*) AS n, count(DISTINCT d) AS documents FROM (SELECT {_FAULT} AS error, k % 10 AS d FROM (SELECT p_partkey AS k FROM part)) WHERE error IS NOT NULL GROUP BY 1")
+def cascade_errors(spark, d):
+    return evaluate.error_report(evaluate.errors(*_simulated(spark, d))).select("error", "n", "documents")
+
+
+@query(f"SELECT CAST(k % 10 AS VARCHAR) AS doc_id, bool_and(e IS NULL) AS passed FROM (SELECT k, {_FAULT} AS e FROM (SELECT p_partkey AS k FROM part)) GROUP BY 1")
+def pass_or_fail(spark, d):
+    return evaluate.passed(*_simulated(spark, d))
+
+
+@query(f"""SELECT diff, count(*) AS n FROM (SELECT CASE e WHEN 'row_omission' THEN 'missing' WHEN 'row_hallucination' THEN 'extra' WHEN 'share_type_mismatch' THEN 'type_diff' ELSE 'name_diff' END AS diff
+FROM (SELECT {_FAULT} AS e FROM (SELECT p_partkey AS k FROM part)) WHERE e IS NOT NULL) GROUP BY 1""")
+def review_discrepancies(spark, d):
+    return evaluate.discrepancies(*_simulated(spark, d)).groupBy("diff").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT side, count(*) AS n FROM (SELECT unnest(CASE e WHEN 'row_omission' THEN ['missing'] WHEN 'row_hallucination' THEN ['extra'] ELSE ['missing', 'extra'] END) AS side FROM (SELECT {_FAULT} AS e FROM (SELECT p_partkey AS k FROM part)) WHERE e IS NOT NULL) GROUP BY 1")
+def missing_and_extra(spark, d):
+    return evaluate.missing_and_extra(*_simulated(spark, d)).groupBy("side").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT o_orderkey, o_custkey, coalesce(n, 0) AS n FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1) ON l_orderkey = o_orderkey""")
+def optional_results(spark, d):
+    """Every document of the truth, with its result where there is one."""
+    n = _t(spark, d, "lineitem").where("l_returnflag = 'A'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
+    return _t(spark, d, "orders").select("o_orderkey", "o_custkey").join(n, "o_orderkey", "left").na.fill(0, ["n"])
+
+
+@query("SELECT doc_id, length(trim(text)) > 20 AS has_text FROM documents WHERE text IS NOT NULL")
+def text_layer_probe(spark, d):
+    return layout.text_layers(_t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey BETWEEN 1 AND 1 OR o_custkey BETWEEN 3 AND 3 OR o_custkey BETWEEN 7 AND 13")
+def subset_ranges(spark, d):
+    return R.in_ranges(_t(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("o_custkey"), "1,3,7-13").select("o_orderkey")
+
+
+@query("""SELECT l_orderkey AS doc_id, count(*) AS n, string_agg(l_returnflag, '; ' ORDER BY l_linenumber, l_partkey, l_suppkey) AS warnings FROM lineitem GROUP BY 1""")
+def joined_warnings(spark, d):
+    items = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")))  # of one order
+    out = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.count("*").alias("n"), items.alias("i"))
+    return out.select("doc_id", "n", F.array_join(F.transform("i", lambda x: x["l_returnflag"]), "; ").alias("warnings"))
+
+
 @query()
 def greedy_match(spark, d):
     """One-to-one by nearest order key within a customer; a pick depends on those before, so there is no SQL for it."""
