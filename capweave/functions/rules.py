@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import words as W
-from .text import contains_any, count_contained, is_place, name_words, no_space, stripped
+from .text import contains_any, count_contained, is_place, name_prefix, name_words, no_space, stripped
 
 
 def is_aggregate_label(x: Column) -> Column:
@@ -42,7 +42,7 @@ def is_signature_row(x: Column) -> Column:
 def keeps_line(cells: Column) -> Column:
     """Whether an OCR line may be data: no total, no lone heading, no long text without digits, no registration numbers alone, no signature."""
     text = F.array_join(cells, " ")
-    numbers = F.regexp_extract_all(text, F.lit(r"\d+"), F.lit(0))
+    numbers = F.regexp_extract_all(F.replace(text, F.lit(","), F.lit("")), F.lit(r"\d+"), F.lit(0))
     ids_only = (F.size(numbers) > 0) & F.forall(numbers, lambda n: F.length(n) >= 13)
     heading = (F.size(cells) == 1) & F.lower(stripped(cells[0])).isin(*W.HEADINGS)
     return ~(F.exists(cells, is_aggregate_label) | heading | ((F.length(text) > 30) & (F.size(numbers) == 0)) | ids_only | is_signature_row(text))
@@ -58,6 +58,11 @@ def name_has_address(x: Column) -> Column:
     return (count_contained(x, W.NAME_ADDRESS_WORDS) >= 2) | F.exists(F.slice(words, 2, 10_000), is_place)
 
 
+def usable_name(x: Column) -> Column:
+    """A name without an address in it, or with a prefix before the address."""
+    return ~name_has_address(x) | (name_prefix(x) != "")
+
+
 def is_digit_heavy(x: Column) -> Column:
     """Five characters or more, over 60 % of them digits, hyphens or points."""
     t = stripped(x)

@@ -131,7 +131,7 @@ def name_prefix(x: Column) -> Column:
 
 def hint_line(cells: Column, ordinal: Column) -> Column:
     """A numbered prompt line of a row's cells."""
-    return F.concat(ordinal.cast("string"), F.lit(". "), F.array_join(cells, " | "))
+    return F.concat(ordinal.cast("string"), F.lit(": "), F.array_join(cells, " | "))
 
 
 def unfenced(x: Column) -> Column:

@@ -225,7 +225,7 @@ def unresolved(profile: DataFrame, scores: DataFrame) -> DataFrame:
     return profile.join(scores, "doc_id").where((F.col("accuracy") == 0) | ((F.col("total") >= 10) & (F.col("name_corruption") > 0))).select("doc_id")
 
 
-def summary(profile: DataFrame, results: DataFrame) -> DataFrame:
+def summary(results: DataFrame) -> DataFrame:
     """One row: documents, passed, pass rate; errors and documents affected are in error_report()."""
     return results.agg(F.count("*").alias("documents"), F.count_if("passed").alias("passed"), F.avg(F.col("passed").cast("int")).alias("pass_rate"))
 

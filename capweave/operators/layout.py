@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import words as W
-from ..functions.rules import is_aggregate_label, is_digit_heavy
-from ..functions.text import normal_share_type, parse_count, safe_dpi, stripped, totals_in
+from ..functions.rules import is_aggregate_label, is_digit_heavy, name_has_address, usable_name
+from ..functions.text import hint_line, name_prefix, normal_share_type, parse_count, safe_dpi, stripped, totals_in
 from .relational import anchored_groups, in_band, islands, midpoint_bands
 
 PAGE = ["doc_id", "page_num"]
@@ -30,10 +30,17 @@ def ocr_words(replies: DataFrame) -> DataFrame:
     return f.withColumn("yc", (F.col("y1") + F.col("y2")) / 2)
 
 
+def break_lines(words: DataFrame) -> DataFrame:
+    """words (with line_break: the last of its line, null counts as yes) with `line`, numbered in reading order."""
+    w = Window.partitionBy(*PAGE).orderBy("word_idx")
+    ended = F.lag(F.coalesce("line_break", F.lit(True)).cast("int"), 1, 0).over(w)
+    return words.withColumn("__e", ended).withColumn("line", F.sum("__e").over(w)).drop("__e")
+
+
 def ocr_cells(words: DataFrame, gap: float = 1.5) -> DataFrame:
-    """Cells of lines (doc_id, page_num, line, word_idx, text, conf, x1..y2): words merge while the gap is at most `gap` line heights."""
+    """Cells of lines (doc_id, page_num, line, word_idx, text, conf, x1..y2): words merge while the gap is at most `gap` mean heights of the page."""
     keys = [*PAGE, "line"]
-    w = words.withColumn("__h", F.avg(F.col("y2") - F.col("y1")).over(Window.partitionBy(*keys)))
+    w = words.withColumn("__h", F.avg(F.col("y2") - F.col("y1")).over(Window.partitionBy(*PAGE)))
     order = Window.partitionBy(*keys).orderBy("x1", "word_idx")
     w = w.withColumn("__new", (F.col("x1") - F.lag("x2").over(order) > gap * F.col("__h")).cast("int"))
     w = w.withColumn("cell", F.coalesce(F.sum("__new").over(order), F.lit(0)))
@@ -162,6 +169,12 @@ def face_values(words: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def prompt_hints(rows: DataFrame) -> DataFrame:
-    """doc_id, page_num, hint: the page's rows as numbered lines."""
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("row_index", "raw_cells"))), lambda r: F.concat((r["row_index"] + 1).cast("string"), F.lit(". "), F.array_join(r["raw_cells"], " | ")))
-    return rows.groupBy(*PAGE).agg(F.array_join(lines, "\n").alias("hint"))
+    """doc_id, page_num, hint: the page's rows as numbered lines. A name with an address in it is cut to its prefix and marked `...`;
+    a row without a usable name is left out."""
+    name = F.element_at("raw_cells", 1)
+    cut = name_has_address(name)
+    cells = F.when(cut, F.concat(F.array(F.concat(name_prefix(name), F.lit("..."))), F.slice("raw_cells", 2, 10))).otherwise(F.col("raw_cells"))
+    r = rows.where(usable_name(name)).select(*PAGE, "row_index", cells.alias("cells"))
+    r = r.withColumn("line", hint_line(F.col("cells"), F.row_number().over(Window.partitionBy(*PAGE).orderBy("row_index"))))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("row_index", "line"))), lambda x: x["line"])
+    return r.groupBy(*PAGE).agg(F.array_join(lines, "\n").alias("hint"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import words as W
-from ..functions.rules import form_hits, is_aggregate_label, is_form_page, may_insert, name_has_address
+from ..functions.rules import form_hits, is_aggregate_label, is_form_page, may_insert, name_has_address, usable_name
 from ..functions.text import clean_name, contains_any, count_contained, known_share_type, name_prefix, no_space, parse_count
 from .relational import deficit_flags, first_of, leave_one_out, override, sorted_agreement, typed_preferred, unique_only, upper_median
 
@@ -34,7 +34,7 @@ def missing_details(rows: DataFrame, ocr: DataFrame) -> DataFrame:
 
 def deficits(rows: DataFrame, ocr: DataFrame, totals: DataFrame, pages: DataFrame) -> DataFrame:
     """By page of `pages`: sums and counts on both sides, sum_deficit, count_deficit, needs_retry."""
-    clean = F.count_if(~is_aggregate_label(F.col("name")))
+    clean = F.count_if(usable_name(F.element_at("raw_cells", 1)))
     r = rows.groupBy(*PAGE).agg(F.sum(count_of()).alias("total"), F.count("*").alias("n"))
     o = ocr.groupBy(*PAGE).agg(clean.alias("n_ocr"))
     out = pages.select(*PAGE).distinct().join(r, PAGE, "left").join(o, PAGE, "left").join(totals, PAGE, "left").na.fill(0, ["total", "n", "n_ocr"])

@@ -129,7 +129,7 @@ def test_layout(spark):
     w = lambda i, t, x, y, width=30.0: ("d", 1, i, t, 1.0, float(x), x + float(width), float(y), y + 10.0, y + 5.0)
     items = [
         w(0, "성명", 10, 0), w(1, "주식수", 300, 0),
-        w(2, "홍", 10, 30, 10), w(3, "길동", 25, 30), w(4, "보통주", 200, 31), w(5, "1,000", 300, 30),
+        w(2, "박", 10, 30, 10), w(3, "가나", 25, 30), w(4, "보통주", 200, 31), w(5, "1,000", 300, 30),
         w(6, "가나펀드", 10, 60), w(7, "우선", 200, 60), w(8, "2,500주", 300, 60),
         w(9, "김철수", 10, 90), w(10, "800", 302, 90, 20),
         w(11, "이영희", 10, 120), w(12, "우선주식 7,000주", 250, 120, 80),
@@ -137,12 +137,14 @@ def test_layout(spark):
     ]
     words = spark.createDataFrame(items, "doc_id string, page_num int, word_idx int, text string, conf double, x1 double, x2 double, y1 double, y2 double, yc double")
     got = layout.rows_from_words(words)
-    assert names(got, "name", "share_type", "share_count", "flags") == [("홍 길동", "보통주", 1000, []), ("가나펀드", "우선주", 2500, []), ("김철수", "", 800, ["small_sc_2nd_pass"]), ("이영희", "우선주", 7000, ["embedded_sc_3rd_pass"])]
+    assert names(got, "name", "share_type", "share_count", "flags") == [("박 가나", "보통주", 1000, []), ("가나펀드", "우선주", 2500, []), ("김철수", "", 800, ["small_sc_2nd_pass"]), ("이영희", "우선주", 7000, ["embedded_sc_3rd_pass"])]
     assert layout.page_totals(words).collect()[0]["ocr_total"] == 11_300
-    assert layout.prompt_hints(got).first()["hint"].startswith("1. 홍 길동 | 보통주 | 1,000\n2. ")
-    assert [r["cells"] for r in layout.ocr_lines(words).orderBy("line").collect()][1] == ["홍", "길동", "보통주", "1,000"]
+    assert layout.prompt_hints(got).first()["hint"].startswith("1: 박 가나 | 보통주 | 1,000\n2: ")
+    assert [r["cells"] for r in layout.ocr_lines(words).orderBy("line").collect()][1] == ["박", "가나", "보통주", "1,000"]
     cells = layout.ocr_cells(words.withColumn("line", F.floor(F.col("y1") / 30)))
-    assert [r["text"] for r in cells.where("line = 1").orderBy("cell").collect()] == ["홍 길동", "보통주", "1,000"]
+    broken = layout.break_lines(words.withColumn("line_break", F.col("word_idx").isin(1, 5, 8)))
+    assert [r["line"] for r in broken.orderBy("word_idx").collect()][:10] == [0, 0, 1, 1, 1, 1, 2, 2, 2, 3]
+    assert [r["text"] for r in cells.where("line = 1").orderBy("cell").collect()] == ["박 가나", "보통주", "1,000"]
 
 
 def test_documents(spark):
