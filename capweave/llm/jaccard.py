@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_batches, fitted, table, written
+from .common import BROADCAST_ROWS, by_batches, fitted, table, written
 from .components import Forest, components
 from .words import U, Words, mix, row_groups, windows
 
@@ -275,9 +275,12 @@ def class_components(docs: DataFrame, classes: DataFrame) -> DataFrame:
     firsts = written(firsts.select("cls", F.col("f.doc_id").alias("d"), F.col("f.key").alias("key")))
     groups = written(candidate_groups(docs))
     tasks = _grid(groups).groupBy("cls").agg(F.collect_list(F.struct("grp", "a", "b")).alias("tasks"))
-    wanted = firsts.join(tasks, "cls")
+    wanted = written(firsts.join(tasks, "cls"))
+    # A class of a large group has many tasks, so they are counted, not the rows.
+    if (wanted.agg(F.sum(F.size("tasks"))).first()[0] or 0) <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = texts.join(fitted(wanted), F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("key"))).select("text", "cls", "tasks")
+    texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("key"))).select("text", "cls", "tasks")
     sets = by_batches(texts, _group_sets, f"cls long, tasks {TASKS}, s binary")
     sets = sets.select("cls", "s", F.inline("tasks"))
     edges = written(sets.groupBy("grp", "a", "b").applyInArrow(_join_group, "cls long, low long"))
