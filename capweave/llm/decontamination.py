@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import PLAIN_WORD, ascii_lower, fitted, table
+from .common import PLAIN_WORD, ascii_lower, fitted, table, written
 
 N = 10
 BROADCAST_WINDOWS = 500_000
@@ -86,6 +86,7 @@ def find_hits(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
 def decontaminated(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
     """The rows of docs in which no window of an item occurs."""
     bad = find_hits(docs, items, n).where("n_hit > 0").select(F.col("doc_id").alias("__id"), F.col("__key").alias("__k"))
+    bad = written(bad)  # counted and joined: searched once
     return docs.join(fitted(bad), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__k")), "left_anti")
 
 
