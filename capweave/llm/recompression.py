@@ -160,7 +160,7 @@ def _six(name: np.ndarray) -> np.ndarray:
 def _deal(buckets: int):
     def run(batches):
         for b in batches:
-            for at, end, raw, offs in row_groups(b.column(1), 4 << 20):
+            for at, end, raw, offs in row_groups(b.column(1)):
                 ids = np.asarray(b.column(0)[at:end])
                 words = Words(raw, offs, lower=False)
                 count = np.diff(words.first)
@@ -259,8 +259,8 @@ def repeat_marks(docs: DataFrame) -> DataFrame:
     """doc (the id, LAST_ID for null), marks: packed (doc, start, count) of window starts, by document."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), "text")
-    dealt = by_batches(rows, _deal(2 * parts), "bucket int, segments binary, hashes binary, marks binary")
-    found = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_find(2 * parts), "target int, marks binary")
+    dealt = by_batches(rows, _deal(8 * parts), "bucket int, segments binary, hashes binary, marks binary")
+    found = dealt.repartition(4 * parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_find(2 * parts), "target int, marks binary")
     return found.repartition(parts, "target").sortWithinPartitions("target").mapInArrow(_gather, "doc long, marks binary")
 
 
