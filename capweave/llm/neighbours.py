@@ -5,8 +5,13 @@ in LAYER_RATIO goes up); links of a node are chosen from its nearest by the dive
 nearer to a chosen link than to the node comes last). Every class is searched in every shard: down the
 layers, then with a beam of `ef` on the lowest one; hits at or above the threshold are then followed
 along their links until no new hit turns up, so a dense group isn't cut off at the beam's width. Hits are
-verified by cosine in double precision. An audit compares the links of AUDIT classes with brute force over
-all vectors; while recall is below RECALL, the beam is doubled, up to a search of whole shards.
+verified by cosine in double precision.
+
+An audit compares the links of a hashed draw of classes with an exact scan of all shards. The draw starts
+with AUDIT classes and grows until EVIDENCE of them have from one to FEW links. Recall is the mean of the
+classes' shares of found links, over all drawn classes with links and over those with few; while either is
+below RECALL, the beam is doubled. Where a quarter of the classes isn't evidence enough, or the beam is as
+wide as a shard, whole shards are scanned instead, which misses nothing.
 
 The number of shards is SHARDS, more beyond SHARD_ROWS classes a shard. Blocks of BLOCK queries meet
 the graphs in a join by shard, so a task holds one graph and one block.
@@ -26,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, table, written
+from .common import dropped, fitted, table, written
 from .components import components
 from .words import U, mix
 
@@ -34,6 +39,7 @@ THRESHOLD = 0.9
 SHARDS, SHARD_ROWS, BLOCK = 8, 32_768, 2_048
 LINKS, LAYER_RATIO, EF_BUILD, EF = 16, 16, 64, 128
 AUDIT, RECALL = 256, 0.97
+EVIDENCE, FEW = 64, 8
 #: Queries searched together.
 BATCH = 256
 
@@ -249,7 +255,14 @@ def _pack(batches):
         yield block(dim)
 
 
+def _scan(vecs, queries, least: float):
+    """(query, node) of all nodes at or above `least`."""
+    return np.nonzero(queries @ vecs.T >= least)
+
+
 def _query(ef: int, least: float):
+    """Links of blocks of queries within a shard; where a row has no graph, its whole shard is scanned."""
+
     def run(batches):
         key = graph = None
         for batch in batches:
@@ -261,41 +274,37 @@ def _query(ef: int, least: float):
                     key = (dim, shard.as_py())
                     exact = _unit(np.frombuffer(vecs.as_py(), np.float32).reshape(-1, dim).astype(np.float64))
                     layers = [np.frombuffer(x.as_py(), np.int32).reshape(-1, 2 * LINKS) for x in links]
-                    graph = Graph(exact.astype(np.float32), [len(x) for x in layers], layers)
+                    single = exact.astype(np.float32)
+                    graph = Graph(single, [len(x) for x in layers], layers) if layers else None
                 queries = _unit(np.frombuffer(qv.as_py(), np.float32).reshape(-1, dim).astype(np.float64))
                 own = np.frombuffer(q.as_py(), np.int64)
-                a, b = graph.within(queries.astype(np.float32), least - 1e-4, ef)
-                fit = own[a] != cls[b]
-                a, b = a[fit], b[fit]
-                for i in range(0, len(a), 65536):
-                    x, y = a[i : i + 65536], b[i : i + 65536]
-                    ok = np.einsum("ij,ij->i", queries[x], exact[y]) >= least
-                    p, q2 = own[x[ok]], cls[y[ok]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q2)), pa.array(np.maximum(p, q2))], ["a", "b"])
+                for start in range(0, len(queries), BATCH):
+                    part = queries[start : start + BATCH].astype(np.float32)
+                    a, b = graph.within(part, least - 1e-4, ef) if graph else _scan(single, part, least - 1e-4)
+                    a = a + start
+                    fit = own[a] != cls[b]
+                    a, b = a[fit], b[fit]
+                    for i in range(0, len(a), 65536):
+                        x, y = a[i : i + 65536], b[i : i + 65536]
+                        ok = np.einsum("ij,ij->i", queries[x], exact[y]) >= least
+                        p, q2 = own[x[ok]], cls[y[ok]]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q2)), pa.array(np.maximum(p, q2))], ["a", "b"])
 
     return run
 
 
-def _audit(audit: list[tuple[int, list[float]]], least: float):
-    """Brute force of a bounded number of classes against a partition's."""
+def _drawn(share: float):
+    """Whether cls is in the draw of that share of all classes; a larger draw contains a smaller one."""
+    return F.pmod(F.xxhash64(F.lit(6), "cls"), F.lit(1 << 30)) < F.lit(math.ceil(share * (1 << 30)))
 
-    def run(batches):
-        own = np.array([x[0] for x in audit], np.int64)
-        by_dim = {d: ([i for i, x in enumerate(audit) if len(x[1]) == d]) for d in {len(x[1]) for x in audit}}
-        queries = {d: _unit(np.array([audit[i][1] for i in rows], np.float64)) for d, rows in by_dim.items()}
-        for batch in batches:
-            for r in range(batch.num_rows):
-                dim = batch.column(0)[r].as_py()
-                if dim not in queries:
-                    continue
-                cls = np.frombuffer(batch.column(1)[r].as_py(), np.int64)
-                vecs = _unit(np.frombuffer(batch.column(2)[r].as_py(), np.float32).reshape(-1, dim).astype(np.float64))
-                i, j = np.nonzero(queries[dim] @ vecs.T >= least)
-                p, q = own[np.array(by_dim[dim])[i]], cls[j]
-                p, q = p[p != q], q[p != q]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
 
-    return run
+def _shares(truth: DataFrame, found: DataFrame, share: float):
+    """Of the drawn classes with links: their number, the number with few, and the mean shares of found links of both."""
+    hits = found.join(fitted(truth), ["a", "b"], "left_semi")
+    both = truth.withColumn("hit", F.lit(0)).unionByName(hits.withColumn("hit", F.lit(1)))
+    per = both.select(F.explode(F.array("a", "b")).alias("cls"), "hit").where(_drawn(share)).groupBy("cls").agg(F.sum(1 - F.col("hit")).alias("n"), F.sum("hit").alias("hits"))
+    got, few = F.col("hits") / F.col("n"), F.col("n") <= FEW
+    return per.agg(F.count("*"), F.count(F.when(few, 1)), F.avg(got), F.avg(F.when(few, got))).first()
 
 
 def near_links(classes: DataFrame, least: float = THRESHOLD, recall: float = RECALL, ef: int = EF) -> DataFrame:
@@ -306,19 +315,29 @@ def near_links(classes: DataFrame, least: float = THRESHOLD, recall: float = REC
     graphs = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(5), "cls"), F.lit(shards)).cast("int")).groupBy("dim", "shard").applyInArrow(_build, GRAPHS)
     graphs = written(graphs)
     blocks = written(rows.mapInArrow(_pack, "dim int, q binary, qv binary"))
-    audit = [(r["cls"], list(r["embedding"])) for r in rows.orderBy(F.xxhash64(F.lit(6), "cls")).limit(AUDIT).collect()]
-    truth = written(blocks.mapInArrow(_audit(audit, least), "a long, b long").distinct())
-    total = truth.count()
-    asked = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    largest = -(-n // shards) * 2
-    while True:
+    bare = graphs.withColumn("links", F.array().cast("array<binary>"))
+    largest = (graphs.agg(F.max(F.length("cls"))).first()[0] or 0) // 8
+
+    def found_by(blocks, graphs, ef=0):
+        asked = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
         met = asked.join(graphs, ["dim", "shard"]).select("dim", "shard", "q", "qv", "cls", "vecs", "links")
-        found = written(met.mapInArrow(_query(ef, least), "a long, b long").distinct())
-        share = found.join(F.broadcast(truth), ["a", "b"], "left_semi").count() / total if total else 1.0  # truth: AUDIT classes' links
-        if share >= recall or ef >= largest:
+        return written(met.mapInArrow(_query(ef, least), "a long, b long").distinct())
+
+    draw, few = AUDIT, 0
+    while 4 * draw <= n and ef < largest:
+        truth = found_by(rows.where(_drawn(draw / n)).mapInArrow(_pack, "dim int, q binary, qv binary"), bare)
+        few = _shares(truth, truth.limit(0), draw / n)[1]
+        if few >= EVIDENCE:
+            break
+        dropped(truth)
+        draw *= 4
+    while few >= EVIDENCE and ef < largest:
+        found = found_by(blocks, graphs, ef)
+        if min(_shares(truth, found, draw / n)[2:]) >= recall:
             return found
         dropped(found)
         ef *= 2
+    return found_by(blocks, bare)
 
 
 def embedding_duplicates(rows: DataFrame, least: float = THRESHOLD) -> DataFrame:

@@ -289,6 +289,29 @@ def test_graph_recall():
     assert len(truth & set(zip(a.tolist(), b.tolist()))) >= 0.9 * len(truth)
 
 
+def _linked_pairs(v, least=0.9):
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    return set(zip(*map(np.ndarray.tolist, np.nonzero(np.triu(u @ u.T >= least, 1)))))
+
+
+def test_audit_needs_evidence(spark, monkeypatch):
+    """A beam of one node misses these pairs, and none of the first AUDIT drawn classes has a link."""
+    monkeypatch.setattr(neighbours, "SHARDS", 1)
+    r = np.random.default_rng(11)
+    base = r.normal(size=(3000, 48))
+    v = np.concatenate((base, base[:3] + 0.4 * r.normal(size=(3, 48)))).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "cls bigint, embedding array<float>").repartition(2)
+    found = {(x["a"], x["b"]) for x in neighbours.near_links(df, ef=1).collect()}
+    assert len(found) >= 2 and found == _linked_pairs(v)
+
+
+def test_audit_counts_classes_not_pairs(spark):
+    dense, pairs = [(i, j) for i in range(60) for j in range(i + 1, 60)], [(i, i + 1) for i in range(100, 140, 2)]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    linked, few, share, share_few = neighbours._shares(frame(dense + pairs), frame(dense + pairs[:5]), 1.0)
+    assert (linked, few) == (100, 40) and share == pytest.approx(0.7) and share_few == pytest.approx(0.25)
+
+
 def test_toxicity(spark):
     r = random.Random(8)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
