@@ -3,7 +3,8 @@
 Texts are lower-cased (A-Z) and reduced to PLAIN_WORD words joined by one space. A notice of length m that
 occurs with at most k edits contains one of its k + 1 pieces unchanged (pigeonhole), so one pass of an
 Aho-Corasick automaton over all pieces locates every candidate. Around each, the regex library matches the
-notice with at most k insertions, deletions and substitutions, best match first, at word boundaries.
+notice with at most k insertions, deletions and substitutions, best match first, at word boundaries; what
+lies before and behind a match is searched again, so matches of a notice don't overlap.
 
 A notice's label counts if it matches anywhere. Base phrases are counted exactly, beside it: the places
 where a phrase's words stand consecutively. The score is the best match's share of unchanged characters
@@ -88,8 +89,14 @@ class NoticeFinder:
         out = []
         for k, windows in spans.items():
             for a, b in windows:
-                for m in self.matchers[k].finditer(text, max(a - 1, 0), min(b + 1, len(text))):
-                    out.append((k, *m.span(), sum(m.fuzzy_counts)))
+                todo = [(max(a - 1, 0), min(b + 1, len(text)))]
+                while todo:
+                    # The best match first, then what lies before and behind it.
+                    start, end = todo.pop()
+                    m = self.matchers[k].search(text, start, end)
+                    if m:
+                        out.append((k, *m.span(), sum(m.fuzzy_counts)))
+                        todo += [(start, m.start()), (m.end(), end)]
         return sorted(out, key=lambda x: x[1:3])
 
 

@@ -241,6 +241,16 @@ def test_every_edit_within_the_bound_is_found():
             assert any(x[0] == k for x in finder.find("aaa " + "".join(t) + " bbb")), "".join(t)
 
 
+def test_notice_before_a_better_one_is_found():
+    finder = licenses.NoticeFinder()
+    for text, label, want in (
+        ("mit licence mit license", "mit license", [(0, 11, 1), (12, 23, 0)]),
+        ("general publik licence or general public license", "general public license", [(0, 22, 2), (26, 48, 0)]),
+        ("mit license mit licence mit license", "mit license", [(0, 11, 0), (12, 23, 1), (24, 35, 0)]),
+    ):
+        assert [f[1:] for f in finder.find(text) if finder.notices[f[0]].phrase == label] == want
+
+
 def test_chat(spark):
     r = random.Random(6)
     bits = ["</s>", "[INST]", "[/INST]", "<s>", "\\", "<\\s>", "[\\\\INST]", "héé", "\n", "", "日本", "<", "["]
