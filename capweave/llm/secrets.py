@@ -1,9 +1,9 @@
 """Secret scans with an incremental blob ledger.
 
 Every version of a path is content-addressed (SHA-256 of its text). The ledger holds which (blob, rule,
-rule version) were scanned and what was found. A scan takes the distinct pairs that the ledger lacks,
-reads one row of each such blob, and appends to the ledger; findings are joined back to every row, so
-copies and re-committed versions cost one look-up. A raised rule version is scanned anew on all blobs.
+rule version) were scanned and what was found. scan() takes the distinct pairs that the ledger lacks and
+reads one row of each such blob; updated() appends the result to a ledger in the shared folder, which later
+runs read. Findings are joined back to every row, so copies and re-committed versions cost one look-up. A raised rule version is scanned anew on all blobs.
 
 Rules: `assign`, `access` and `hex` (the base), then `private_key`, `github_token` and `jwt`. Spans are
 (rule, start, end) in code points, end exclusive; matches of a rule are leftmost and don't overlap.
@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_batches, fitted, table, written
+from ..plans.stages import shared_dir
+from .common import by_batches, dropped, fitted, table, written
 
 _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _KEYWORD = re.compile(r"(?ai:passw|secret|token|api_?key)")
@@ -62,6 +63,8 @@ RULES = (
     Rule("jwt", 1, _plain(_JWT)),
 )
 SPANS = "array<struct<start:int,`end`:int>>"
+#: The ledger of op2 in the shared folder.
+OP2_LEDGER = "capweave-ledgers/op2"
 LEDGER = f"blob string, rule string, version int, spans {SPANS}"
 
 
@@ -103,6 +106,18 @@ def scan(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) ->
     return found.dropDuplicates(["blob", "rule", "version"])  # a row that is there twice
 
 
+def updated(docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The ledger at path in the shared folder, with what it lacked of docs appended; runs at the same time may append an entry twice, so it is read once."""
+    spark = docs.sparkSession
+    at = f"{shared_dir(spark)}/{path}"
+    empty_ledger(spark).write.mode("ignore").parquet(at)
+    ledger = lambda: spark.read.schema(LEDGER).parquet(at).dropDuplicates(["blob", "rule", "version"])
+    new = written(scan(docs, ledger(), rules))
+    new.write.mode("append").parquet(at)
+    dropped(new)
+    return ledger()
+
+
 def findings(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Every row of docs with blob and found: its spans of the current rule versions, by start, then rule."""
     rank = F.array(*[F.lit(r.name) for r in rules])
@@ -119,7 +134,7 @@ def _joined(found) -> F.Column:
 
 def op2_secret_scan(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ledger = written(scan(docs, empty_ledger(spark)))
+    ledger = updated(docs, OP2_LEDGER)
     out = findings(docs, ledger).select("doc_id", "blob", F.coalesce("found", F.array().cast("array<struct<start:int,kind:bigint,`end`:int,rule:string>>")).alias("found"))
     base = F.filter("found", lambda s: s["kind"] <= len(BASE))
     of = lambda k: F.size(F.filter("found", lambda s: s["rule"] == k)).cast("long").alias(f"n_{k}")

@@ -221,6 +221,25 @@ def test_secrets(spark):
     assert secrets.scan(df, ledger).count() == 0 and secrets.scan(df.limit(0), ledger).count() == 0
 
 
+def test_second_run_scans_only_new_blobs(spark, tmp_path, monkeypatch):
+    seen, run = [], secrets.scan
+
+    def noted(docs, ledger, *rules):
+        out = run(docs, ledger, *rules)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(secrets, "scan", noted)
+    monkeypatch.setattr(secrets, "OP2_LEDGER", f"ledger-{tmp_path.name}-{random.random()}", raising=False)
+    texts = ["password = hunter22", "nothing", None, "AKIA" + "A" * 16]
+    for rows in (texts[:2], texts[:2], texts):
+        spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        got = {r["doc_id"]: r["spans"] for r in secrets.op2_secret_scan(spark, str(tmp_path)).collect()}
+    kinds = len(secrets.RULES)
+    assert seen == [2 * kinds, 0, 2 * kinds]
+    assert got == {0: "assign:0:19", 1: "", 2: "", 3: "access:0:20"}
+
+
 def test_licenses(spark):
     texts = ["The MIT License. mit-license", "permision is hereby granted, free of charge, to any person obtainng a copy", "GNU general  public\nlicence", "Apache  License", None, "", "mit licensed", "unrelated words", "the mozila public license"]
     out = {r["doc_id"]: r for r in licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
