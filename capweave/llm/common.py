@@ -25,11 +25,8 @@ def fitted(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def by_batches(df: DataFrame, function, schema) -> DataFrame:
-    """mapInArrow with batches of at most BATCH_ROWS rows, so that a Python worker holds some megabytes of text."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
-        conf.set(name, BATCH_ROWS)
-    return df.mapInArrow(function, schema)
+    """mapInArrow with batches cut to BATCH_ROWS rows, so that what is made from a batch has some megabytes; the session's settings stay."""
+    return df.mapInArrow(lambda batches: function(b.slice(i, BATCH_ROWS) for b in batches for i in range(0, b.num_rows, BATCH_ROWS)), schema)
 
 
 def ascii_lower(text: Column) -> Column:

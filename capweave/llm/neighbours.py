@@ -7,14 +7,16 @@ layers, then with a beam of `ef` on the lowest one; hits at or above the thresho
 along their links until no new hit turns up, so a dense group isn't cut off at the beam's width. Hits are
 verified by cosine in double precision.
 
-An audit compares the links of a hashed draw of classes with an exact scan of all shards. The draw starts
-with AUDIT classes and grows until EVIDENCE of them have from one to FEW links. Recall is the mean of the
-classes' shares of found links, over all drawn classes with links and over those with few; while either is
-below RECALL, the beam is doubled. Where a quarter of the classes isn't evidence enough, or the beam is as
-wide as a shard, whole shards are scanned instead, which misses nothing.
+An audit chooses the beam before the whole table is searched. Its draw of classes is searched by the graphs and by
+an exact scan of all shards; it starts with AUDIT classes and grows, to AUDIT_MOST, until EVIDENCE of them have from
+one to FEW links. Besides, AUDIT planted queries at a cosine just above the threshold from a known class must find that class, so
+the audit has evidence where links are rare. Recall is the least of three means: the drawn classes' shares of found links,
+the same of those with few, and the share of planted queries that succeed. While it is below RECALL, the beam is
+doubled; a beam as wide as a shard gives way to scans of whole shards, which miss nothing.
 
-The number of shards is SHARDS, more beyond SHARD_ROWS classes a shard. Blocks of BLOCK queries meet
-the graphs in a join by shard, so a task holds one graph and one block.
+The number of shards is SHARDS, more beyond SHARD_ROWS classes a shard. A task gets one graph and then blocks of
+queries one at a time. It returns counts by query and edges that connect what the hits connect, not the
+hits, so a dense group doesn't make pairs. n_links is what a vector's own searches found.
 
 Not indexed, and linked with nothing: vectors that are null, empty, zero, or have a null or non-finite
 component. Vectors of different length are in different indexes. Rows with a null vec_id count as copies
@@ -25,21 +27,24 @@ embedding are read.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, fitted, table, written
+from .common import table, written
 from .components import components
 from .words import U, mix
 
 THRESHOLD = 0.9
 SHARDS, SHARD_ROWS, BLOCK = 8, 32_768, 2_048
-LINKS, LAYER_RATIO, EF_BUILD, EF = 16, 16, 64, 128
-AUDIT, RECALL = 256, 0.97
+LINKS, LAYER_RATIO, EF_BUILD, EF = 16, 16, 64, 16
+AUDIT, AUDIT_MOST, RECALL = 256, 1_024, 0.97
 EVIDENCE, FEW = 64, 8
+#: Blocks of queries of a task: a graph is sent once for so many.
+TASK_BLOCKS = 32
 #: Queries searched together.
 BATCH = 256
 
@@ -222,15 +227,15 @@ def _build(key, group):
     for layer in range(1, 8):
         up[(h & U((1 << bits * layer) - 1)) == 0] = layer
     order = np.lexsort((cls, -up))
-    cls, vecs, up = cls[order], vecs[order], up[order]
+    cls, vecs, up, size = cls[order], vecs[order], up[order], group["size"].to_numpy().astype(np.int64)[order]
     sizes = [int((up >= layer).sum()) for layer in range(int(up.max()) + 1)] if len(up) else []
     g = Graph(_unit(vecs).astype(np.float32), sizes)
-    row = [group["dim"][0].as_py(), group["shard"][0].as_py(), cls.tobytes(), vecs.astype(np.float32).tobytes(), [x.links.tobytes() for x in g.layers]]
-    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.binary()))
-    return pa.table([pa.array([x], t) for x, t in zip(row, kinds)], ["dim", "shard", "cls", "vecs", "links"])
+    row = [group["dim"][0].as_py(), group["shard"][0].as_py(), cls.tobytes(), vecs.astype(np.float32).tobytes(), size.tobytes(), [x.links.tobytes() for x in g.layers]]
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary()))
+    return pa.table([pa.array([x], t) for x, t in zip(row, kinds)], ["dim", "shard", "cls", "vecs", "sizes", "links"])
 
 
-GRAPHS = "dim int, shard int, cls binary, vecs binary, links array<binary>"
+GRAPHS = "dim int, shard int, cls binary, vecs binary, sizes binary, links array<binary>"
 
 
 def _pack(batches):
@@ -260,35 +265,84 @@ def _scan(vecs, queries, least: float):
     return np.nonzero(queries @ vecs.T >= least)
 
 
-def _query(ef: int, least: float):
-    """Links of blocks of queries within a shard; where a row has no graph, its whole shard is scanned."""
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of links between labels, one from each label to the smallest that it reaches: as many as labels at most."""
+    names, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    low = np.arange(len(names))
+    while True:
+        least = np.minimum(low[i], low[j])
+        new = low.copy()
+        for x in (i, j, low[i], low[j]):
+            np.minimum.at(new, x, least)
+        new = new[new]
+        if (new == low).all():
+            break
+        low = new
+    fit = np.flatnonzero(low != np.arange(len(names)))
+    return names[fit], names[low[fit]]
+
+
+FOUND = "cls long, k long, near long, low long"
+
+
+def _query(ef: int, least: float, probes: bool):
+    """From rows of a shard, its graph first and blocks of queries behind it: of each query with hits, k (classes) and near (vectors);
+    and edges (cls, low) that connect what the hits connect, as many as queries and nodes, however many hits there are. A graph
+    without links is scanned whole. probes: only a query's own class counts as a hit, and there are no edges."""
+
+    def found(queries, own, cls, size, exact, single, graph):
+        k, near = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+        ends = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for at in range(0, len(queries), BATCH):
+            part = queries[at : at + BATCH].astype(np.float32)
+            a, b = graph.within(part, least - 1e-4, ef) if graph else _scan(single, part, least - 1e-4)
+            a = a + at
+            fit = (own[a] == cls[b]) == probes
+            a, b = a[fit], b[fit]
+            ok = [np.einsum("ij,ij->i", queries[a[i : i + 65536]], exact[b[i : i + 65536]]) >= least for i in range(0, len(a), 65536)]
+            ok = np.concatenate([*ok, np.zeros(0, bool)])
+            a, b = a[ok], b[ok]
+            k += np.bincount(a, minlength=len(own))
+            near += np.bincount(a, size[b], len(own)).astype(np.int64)
+            if not probes:
+                ends.append(spanning(own[a], cls[b]))
+        v, low = spanning(*(np.concatenate(x) for x in zip(*ends)))
+        some = np.flatnonzero(k)
+        none = lambda n: pa.nulls(n, pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(own[some]), pa.array(k[some]), pa.array(near[some]), none(len(some))], ["cls", "k", "near", "low"])
+        yield pa.RecordBatch.from_arrays([pa.array(v), none(len(v)), none(len(v)), pa.array(low)], ["cls", "k", "near", "low"])
 
     def run(batches):
-        key = graph = None
         for batch in batches:
             for r in range(batch.num_rows):
-                dim, shard, q, qv, cls, vecs, links = (batch.column(i)[r] for i in range(7))
-                dim = dim.as_py()
-                cls = np.frombuffer(cls.as_py(), np.int64)
-                if key != (dim, shard.as_py()):
-                    key = (dim, shard.as_py())
-                    exact = _unit(np.frombuffer(vecs.as_py(), np.float32).reshape(-1, dim).astype(np.float64))
-                    layers = [np.frombuffer(x.as_py(), np.int32).reshape(-1, 2 * LINKS) for x in links]
-                    single = exact.astype(np.float32)
+                dim, graph_row, ids, vecs, sizes, links = (batch.column(i)[r].as_py() for i in range(6))
+                ids = np.frombuffer(ids, np.int64)
+                unit = _unit(np.frombuffer(vecs, np.float32).reshape(-1, dim).astype(np.float64))
+                if graph_row:
+                    layers = [np.frombuffer(x, np.int32).reshape(-1, 2 * LINKS) for x in links]
+                    cls, size, exact, single = ids, np.frombuffer(sizes, np.int64), unit, unit.astype(np.float32)
                     graph = Graph(single, [len(x) for x in layers], layers) if layers else None
-                queries = _unit(np.frombuffer(qv.as_py(), np.float32).reshape(-1, dim).astype(np.float64))
-                own = np.frombuffer(q.as_py(), np.int64)
-                for start in range(0, len(queries), BATCH):
-                    part = queries[start : start + BATCH].astype(np.float32)
-                    a, b = graph.within(part, least - 1e-4, ef) if graph else _scan(single, part, least - 1e-4)
-                    a = a + start
-                    fit = own[a] != cls[b]
-                    a, b = a[fit], b[fit]
-                    for i in range(0, len(a), 65536):
-                        x, y = a[i : i + 65536], b[i : i + 65536]
-                        ok = np.einsum("ij,ij->i", queries[x], exact[y]) >= least
-                        p, q2 = own[x[ok]], cls[y[ok]]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q2)), pa.array(np.maximum(p, q2))], ["a", "b"])
+                else:
+                    yield from found(unit, ids, cls, size, exact, single, graph)
+
+    return run
+
+
+def _probes(least: float):
+    """Of each vector another one, at a cosine just above `least`, in a direction drawn from its class."""
+    cos = least + (1 - least) / 20
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for cls, v in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                v = _unit(np.array([v], np.float64))[0]
+                side = np.random.default_rng(cls & 0xFFFFFFFF).normal(size=len(v))
+                side -= (side @ v) * v
+                length = np.linalg.norm(side)
+                out.append(cos * v + np.sqrt(1 - cos * cos) * side / length if length > 1e-9 else v)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.astype(np.float32) for x in out], pa.list_(pa.float32()))], ["cls", "dim", "embedding"])
 
     return run
 
@@ -298,46 +352,69 @@ def _drawn(share: float):
     return F.pmod(F.xxhash64(F.lit(6), "cls"), F.lit(1 << 30)) < F.lit(math.ceil(share * (1 << 30)))
 
 
-def _shares(truth: DataFrame, found: DataFrame, share: float):
-    """Of the drawn classes with links: their number, the number with few, and the mean shares of found links of both."""
-    hits = found.join(fitted(truth), ["a", "b"], "left_semi")
-    both = truth.withColumn("hit", F.lit(0)).unionByName(hits.withColumn("hit", F.lit(1)))
-    per = both.select(F.explode(F.array("a", "b")).alias("cls"), "hit").where(_drawn(share)).groupBy("cls").agg(F.sum(1 - F.col("hit")).alias("n"), F.sum("hit").alias("hits"))
-    got, few = F.col("hits") / F.col("n"), F.col("n") <= FEW
-    return per.agg(F.count("*"), F.count(F.when(few, 1)), F.avg(got), F.avg(F.when(few, got))).first()
+def shares(truth: DataFrame, found: DataFrame) -> tuple[int, int, float | None, float | None]:
+    """Of the classes in truth (cls, k): their number, the number with few links, and the mean shares of links in found (cls, k) of both."""
+    both = truth.join(found.withColumnRenamed("k", "hits"), "cls", "left")
+    got, few = F.coalesce("hits", F.lit(0)) / F.col("k"), F.col("k") <= FEW
+    return tuple(both.agg(F.count("*"), F.count(F.when(few, 1)), F.avg(got), F.avg(F.when(few, got))).first())
+
+
+@dataclass
+class Links:
+    """found: FOUND rows, written; ef: the beam (0: whole shards were scanned); recall: the least of the audit's shares at that beam."""
+
+    found: DataFrame
+    ef: int
+    recall: float
+
 
+def _packed(rows: DataFrame) -> DataFrame:
+    return written(rows.select("cls", "dim", "embedding").mapInArrow(_pack, "dim int, q binary, qv binary"))
 
-def near_links(classes: DataFrame, least: float = THRESHOLD, recall: float = RECALL, ef: int = EF) -> DataFrame:
-    """a < b: the pairs of classes (cls, embedding) with a cosine of `least` or more; written."""
+
+def near_links(classes: DataFrame, least: float = THRESHOLD, recall: float = RECALL, ef: int = EF) -> Links:
+    """What links at `least` or more the classes (cls, size, embedding) have, each class searched in every shard."""
     n = classes.count()
     shards = max(SHARDS, -(-n // SHARD_ROWS))
-    rows = classes.select("cls", F.size("embedding").alias("dim"), F.col("embedding").cast("array<float>").alias("embedding"))
+    rows = classes.select("cls", "size", F.size("embedding").alias("dim"), F.col("embedding").cast("array<float>").alias("embedding"))
     graphs = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(5), "cls"), F.lit(shards)).cast("int")).groupBy("dim", "shard").applyInArrow(_build, GRAPHS)
     graphs = written(graphs)
-    blocks = written(rows.mapInArrow(_pack, "dim int, q binary, qv binary"))
     bare = graphs.withColumn("links", F.array().cast("array<binary>"))
     largest = (graphs.agg(F.max(F.length("cls"))).first()[0] or 0) // 8
 
-    def found_by(blocks, graphs, ef=0):
-        asked = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-        met = asked.join(graphs, ["dim", "shard"]).select("dim", "shard", "q", "qv", "cls", "vecs", "links")
-        return written(met.mapInArrow(_query(ef, least), "a long, b long").distinct())
-
-    draw, few = AUDIT, 0
-    while 4 * draw <= n and ef < largest:
-        truth = found_by(rows.where(_drawn(draw / n)).mapInArrow(_pack, "dim int, q binary, qv binary"), bare)
-        few = _shares(truth, truth.limit(0), draw / n)[1]
-        if few >= EVIDENCE:
-            break
-        dropped(truth)
-        draw *= 4
-    while few >= EVIDENCE and ef < largest:
-        found = found_by(blocks, graphs, ef)
-        if min(_shares(truth, found, draw / n)[2:]) >= recall:
-            return found
-        dropped(found)
-        ef *= 2
-    return found_by(blocks, bare)
+    def search(blocks, graphs, ef=0, probes=False):
+        # A task has one graph and then up to TASK_BLOCKS blocks, one at a time.
+        parts = max(1, -(-blocks.count() // TASK_BLOCKS))
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        g = graphs.select("dim", "shard", each(parts).alias("part"), F.lit(True).alias("graph"), F.col("cls").alias("ids"), "vecs", "sizes", "links")
+        q = blocks.select("dim", each(shards).alias("shard"), F.pmod(F.hash("q"), F.lit(parts)).alias("part"), F.lit(False).alias("graph"), F.col("q").alias("ids"), F.col("qv").alias("vecs"), F.lit(None).cast("binary").alias("sizes"), F.array().cast("array<binary>").alias("links"))
+        q = q.join(F.broadcast(graphs.select("dim", "shard").distinct()), ["dim", "shard"], "left_semi")  # a row a shard
+        met = g.unionByName(q).repartition(shards * parts, "dim", "shard", "part").sortWithinPartitions("dim", "shard", "part", F.col("graph").desc())
+        return written(met.select("dim", "graph", "ids", "vecs", "sizes", "links").mapInArrow(_query(ef, least, probes), FOUND))
+
+    def per_class(found):
+        return found.where("k IS NOT NULL").groupBy("cls").agg(F.sum("k").alias("k"))
+
+    got = 1.0
+    if ef < largest:
+        draw = AUDIT
+        while True:
+            asked = _packed(rows.where(_drawn(min(1.0, draw / n))))
+            truth = written(per_class(search(asked, bare)))
+            if truth.where(F.col("k") <= FEW).count() >= EVIDENCE or 4 * draw > min(n, AUDIT_MOST):
+                break
+            draw *= 4
+        probes = rows.where(_drawn(min(1.0, AUDIT / n)))
+        known = written(probes.select("cls", F.lit(1).cast("long").alias("k")))
+        probes = _packed(probes.select("cls", "dim", "embedding").mapInArrow(_probes(least), "cls long, dim int, embedding array<float>"))
+        while ef < largest:
+            real, planted = shares(truth, per_class(search(asked, graphs, ef))), shares(known, per_class(search(probes, graphs, ef, True)))
+            got = min(x for x in (*real[2:], planted[2], 1.0) if x is not None)
+            if got >= recall:
+                break
+            ef *= 2
+    whole = ef >= largest
+    return Links(search(_packed(rows), bare if whole else graphs, ef), 0 if whole else ef, 1.0 if whole else got)
 
 
 def embedding_duplicates(rows: DataFrame, least: float = THRESHOLD) -> DataFrame:
@@ -348,14 +425,12 @@ def embedding_duplicates(rows: DataFrame, least: float = THRESHOLD) -> DataFrame
     v = v.withColumn("cls", F.when(usable, F.xxhash64("embedding")))
     classes = v.where("cls IS NOT NULL").groupBy("cls").agg(F.count("*").alias("size"), F.min("vec_id").alias("least"), F.first("embedding").alias("embedding"))
     classes = written(classes)
-    links = near_links(classes.select("cls", "embedding"), least)
-    sizes = classes.select("cls", "size", "least")
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    other = both.join(sizes.select(F.col("cls").alias("b"), "size"), "b").groupBy(F.col("a").alias("cls")).agg(F.sum("size").alias("near"))
-    roots = components(links).withColumnRenamed("v", "cls")
-    per = sizes.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    found = near_links(classes.select("cls", "size", "embedding"), least).found
+    near = found.where("k IS NOT NULL").groupBy("cls").agg(F.sum("near").alias("near"))
+    roots = components(found.where("low IS NOT NULL").select("cls", "low")).withColumnRenamed("v", "cls")
+    per = classes.select("cls", "size", "least").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     first = per.groupBy("root").agg(F.min("least").alias("component"))
-    per = per.join(first, "root").join(other, "cls", "left").select("cls", (F.col("size") - 1 + F.coalesce("near", F.lit(0))).alias("n"), "component")
+    per = per.join(first, "root").join(near, "cls", "left").select("cls", (F.col("size") - 1 + F.coalesce("near", F.lit(0))).alias("n"), "component")
     out = v.select("vec_id", "cls").join(written(per), "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("vec_id")).otherwise(F.col("component"))
     out = out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))

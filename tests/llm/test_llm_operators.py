@@ -323,21 +323,76 @@ def _linked_pairs(v, least=0.9):
     return set(zip(*map(np.ndarray.tolist, np.nonzero(np.triu(u @ u.T >= least, 1)))))
 
 
-def test_audit_needs_evidence(spark, monkeypatch):
-    """A beam of one node misses these pairs, and none of the first AUDIT drawn classes has a link."""
-    monkeypatch.setattr(neighbours, "SHARDS", 1)
+def _vectors(spark, v):
+    return spark.createDataFrame([(i, 1, x.tolist()) for i, x in enumerate(v)], "cls bigint, size bigint, embedding array<float>").repartition(2)
+
+
+def _sparse_pairs():
     r = np.random.default_rng(11)
     base = r.normal(size=(3000, 48))
-    v = np.concatenate((base, base[:3] + 0.4 * r.normal(size=(3, 48)))).astype(np.float32).astype(float)
-    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "cls bigint, embedding array<float>").repartition(2)
-    found = {(x["a"], x["b"]) for x in neighbours.near_links(df, ef=1).collect()}
-    assert len(found) >= 2 and found == _linked_pairs(v)
+    return np.concatenate((base, base[:3] + 0.4 * r.normal(size=(3, 48)))).astype(np.float32).astype(float)
+
+
+def test_audit_needs_evidence(spark, monkeypatch):
+    """A beam of one node misses these pairs, and hardly any drawn class has a link: planted queries widen the beam."""
+    monkeypatch.setattr(neighbours, "SHARDS", 1)
+    v = _sparse_pairs()
+    got = neighbours.near_links(_vectors(spark, v), ef=1)
+    assert got.recall >= neighbours.RECALL and got.ef > 1
+    assert {(x["low"], x["cls"]) for x in got.found.where("low IS NOT NULL").collect()} == _linked_pairs(v)
+    assert {(x["cls"], x["k"], x["near"]) for x in got.found.where("k IS NOT NULL").collect()} == {(c, 1, 1) for p in _linked_pairs(v) for c in p}
+
+
+def test_a_graph_in_two_parts_is_scanned_whole(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SHARDS", 1)
+    build = neighbours._build
+
+    def cut(key, group):
+        import pyarrow as pa
+
+        t = build(key, group)
+        links = [np.frombuffer(x, np.int32).reshape(-1, 2 * neighbours.LINKS).copy() for x in t["links"][0].as_py()]
+        half = len(links[0]) // 2
+        for x in links:
+            own = np.arange(len(x))[:, None] < half
+            x[(x >= 0) & ((x < half) != own)] = -1
+        return t.set_column(t.schema.get_field_index("links"), "links", pa.array([[x.tobytes() for x in links]], pa.list_(pa.binary())))
+
+    monkeypatch.setattr(neighbours, "_build", cut)
+    v = _sparse_pairs()
+    got = neighbours.near_links(_vectors(spark, v), ef=64)
+    assert got.ef == 0 and got.recall == 1.0
+    assert {(x["low"], x["cls"]) for x in got.found.where("low IS NOT NULL").collect()} == _linked_pairs(v)
+
+
+def test_links_by_graph_have_the_recall_of_the_audit(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SHARDS", 2)
+    r = np.random.default_rng(2)
+    base = r.normal(size=(2500, 32))
+    v = np.concatenate((base, base[:800] + 0.3 * r.normal(size=(800, 32)), base[:1] + 0.1 * r.normal(size=(400, 32)))).astype(np.float32).astype(float)
+    got = neighbours.near_links(_vectors(spark, v))
+    assert 0 < got.ef < 2000
+    k, truth = {x["cls"]: x["k"] for x in got.found.where("k IS NOT NULL").groupBy("cls").agg(F.sum("k").alias("k")).collect()}, Counter(x for p in _linked_pairs(v) for x in p)
+    assert all(k[c] <= truth[c] for c in k) and np.mean([k.get(c, 0) / n for c, n in truth.items()]) >= 0.9
+    edges = [(x["cls"], x["low"]) for x in got.found.where("low IS NOT NULL").collect()]
+    assert len(edges) <= 4 * len(v)
+
+
+def test_spanning_edges_keep_the_components():
+    r = random.Random(3)
+    pairs = [(r.randrange(200), r.randrange(200)) for _ in range(90)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5001 + i) for i in range(50)]
+    v, low = neighbours.spanning(*(np.array(x, np.int64) for x in zip(*pairs)))
+    root = brute.roots(6000, pairs)
+    least = {}
+    for i, x in enumerate(root):
+        least.setdefault(x, i)
+    assert dict(zip(v.tolist(), low.tolist())) == {i: least[x] for i, x in enumerate(root) if least[x] != i} and len(v) == len(set(v.tolist()))
 
 
 def test_audit_counts_classes_not_pairs(spark):
-    dense, pairs = [(i, j) for i in range(60) for j in range(i + 1, 60)], [(i, i + 1) for i in range(100, 140, 2)]
-    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
-    linked, few, share, share_few = neighbours._shares(frame(dense + pairs), frame(dense + pairs[:5]), 1.0)
+    frame = lambda rows: spark.createDataFrame(rows, "cls long, k long")
+    truth = [(i, 59) for i in range(60)] + [(i, 1) for i in range(100, 140)]
+    linked, few, share, share_few = neighbours.shares(frame(truth), frame(truth[:70]))
     assert (linked, few) == (100, 40) and share == pytest.approx(0.7) and share_few == pytest.approx(0.25)
 
 
