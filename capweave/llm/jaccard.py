@@ -8,17 +8,20 @@ fewer words, the whole sequence. Rows with equal sets form a class, and classes
    n//4 + n//8 + 1 smallest hashes of each (prefix principle with a margin). Only these are counted by
    shingle. Shingles that no second class has drop out; of the m others a class needs L, and one of its
    m - L + 1 rarest is shared with each partner. So frequent lines and passages, the most frequent
-   shingles of a document, propose nothing unless the document consists of them.
+   shingles of a document, propose nothing unless the document consists of them. Texts are hashed once for that; Spark
+   sorts the entries by shingle and Python sees them as a stream, so a shingle of very many classes is never held as a whole.
 2. Classes that share such a shingle, with sizes within the ratio, form candidate groups (components).
-   A group is a task; one of over CHUNK classes becomes a grid of pairs of chunks, sorted by size.
+   A group is a task; one of over BUDGET shingles (a class counts as LEAST at least) becomes a grid of pairs of chunks, sorted by size.
 3. In a group, a signature tree: leaves of LEAF classes sorted by their smallest hashes, nodes with
    OR-combined bitmaps, size ranges and the most shingles hidden by bit collisions. The tree is traversed
    against itself; pairs of nodes whose greatest possible overlap is too small are pruned, also those
    whose classes are all in one component already. Classes that remain are intersected exactly.
 
 Nulls: a null or empty text has an empty set and no links. A null doc_id takes part; component_id is the
-smallest doc_id that isn't null, else null. Repeated rows are in one class. Only doc_id and text are read,
-and other columns, whatever their names, pass through near_duplicates() unchanged.
+smallest doc_id that isn't null, else null. Repeated rows are in one class. Only doc_id and text are read.
+near_duplicates() keeps one row of each component: the smallest doc_id (nulls last), of its texts the one with the smallest hash, of
+rows equal in both the one with the smallest hash of all its columns. Rows without words all stay. Other columns, whatever their
+names, pass through unchanged.
 """
 
 from __future__ import annotations
@@ -34,8 +37,11 @@ from .components import Forest, components
 from .words import U, Words, mix, row_groups, windows
 
 K = 5
-LEAF, FAN, CHUNK = 16, 8, 4096
-LOW48 = U((1 << 48) - 1)
+LEAF, FAN = 16, 8
+#: Shingles of a task (8 bytes each), and what a class counts for at least: 4096 classes at most.
+BUDGET, LEAST = 1 << 22, 1 << 10
+#: A shingle of more classes than this counts as one of very many; they rank behind all others.
+VERY_MANY = 100_000
 
 
 def shingle_sets(column: pa.Array, k: int = K):
@@ -58,97 +64,82 @@ def _class_id(s: np.ndarray) -> int:
 
 def _classes(batches):
     for b in batches:
-        n, cls = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
+        n, cls, seen = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), set()
+        prefix = [np.zeros(0, np.int64)] * b.num_rows
         for r, s in shingle_sets(b.column(2)):
             n[r], cls[r] = len(s), _class_id(s)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(cls)], ["doc_id", "key", "n", "cls"])
+            if len(s) and cls[r] not in seen:  # once a batch
+                seen.add(cls[r])
+                prefix[r] = s[: len(s) // 4 + len(s) // 8 + 1].astype(np.int64)
+        edges = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate([*prefix, np.zeros(0, np.int64)])))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(cls), lists], ["doc_id", "key", "n", "cls", "prefix"])
 
 
 def document_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, key (hash of the text), n (size of the set), cls (hash of the set) by row."""
+    """doc_id, key (hash of the text), n (size of the set), cls (hash of the set), prefix (its smallest shingles, at some row of each class) by row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
-    return by_batches(rows, _classes, "doc_id long, key long, n long, cls long")
-
-
-def _prefixes(buckets: int):
-    def run(batches):
-        for b in batches:
-            seen, toks, cls, size = set(), [], [], []
-            for _, s in shingle_sets(b.column(0)):
-                c = _class_id(s)
-                if len(s) and c not in seen:
-                    seen.add(c)
-                    toks.append(s[: len(s) // 4 + len(s) // 8 + 1])
-                    cls.append(c)
-                    size.append(len(s))
-            if not toks:
-                continue
-            count = np.array([len(t) for t in toks])
-            tok, doc = np.concatenate(toks), np.repeat(np.arange(len(toks)), count)
-            cls, size = np.array(cls, np.int64), np.array(size, np.int32)
-            bucket = ((tok & U(0xFFFFFFFF)) % U(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            tok, doc, bucket = tok[order] & LOW48, doc[order], bucket[order]
-            cut = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
-            out = []
-            for i, j in zip(cut[:-1], cut[1:]):
-                t, (who, times) = tok[i:j], np.unique(doc[i:j], return_counts=True)
-                low = t.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-                out.append((int(bucket[i]), low.tobytes(), cls[who].tobytes(), size[who].tobytes(), times.astype(np.uint32).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), *[pa.binary()] * 4))], ["bucket", "tok", "cls", "n", "times"])
-
-    return run
+    return by_batches(rows, _classes, "doc_id long, key long, n long, cls long, prefix array<long>")
+
+
+class _Open:
+    """The last shingle of a stream, which may go on: its entries are held until they are very many."""
+
+    def __init__(self, tok):
+        self.tok, self.held, self.count, self.many = tok, [], 0, False
+
+    def add(self, *entries):
+        self.held.append(entries)
+        self.count += len(entries[0])
+        self.many = self.many or self.count >= VERY_MANY
+        if self.many:
+            yield from self.flush()
+
+    def flush(self):
+        if self.held and self.count > 1:
+            t, c, n = (np.concatenate(x) for x in zip(*self.held))
+            yield _entries(t, c, n, np.full(len(t), VERY_MANY if self.many else self.count))
+        self.held = []
+
+
+def _entries(*columns):
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["tok", "cls", "n", "df"])
 
 
 def _shared(batches):
-    """Rows sorted by bucket; of each bucket, the entries whose shingle a second class has."""
-    now, held = None, []
-
-    def done():
-        raw = np.frombuffer(b"".join(x[0] for x in held), np.uint8).reshape(-1, 6)
-        wide = np.zeros((len(raw), 8), np.uint8)
-        wide[:, :6] = raw
-        tok = wide.view("<u8").ravel()
-        times = np.frombuffer(b"".join(x[3] for x in held), np.uint32)
-        cls = np.repeat(np.frombuffer(b"".join(x[1] for x in held), np.int64), times)
-        n = np.repeat(np.frombuffer(b"".join(x[2] for x in held), np.int32), times)
-        order = np.argsort(tok, kind="stable")
-        t = tok[order]
-        more = np.zeros(len(t), bool)
-        more[1:] = t[1:] == t[:-1]
-        more[:-1] |= more[1:]
-        order = order[more]  # repeated at all; copies of one class are still among them
-        order = order[np.lexsort((cls[order], tok[order]))]
-        t, c, n = tok[order], cls[order], n[order]
-        if not len(t):
-            return
+    """Rows (tok, cls, n) sorted by tok and cls; of them, once each, those whose shingle a second class has, with df, the number of its classes."""
+    now, last = None, None
+    for b in batches:
+        t, c, n = (np.asarray(b.column(i)).astype(np.int64) for i in range(3))
         new = np.ones(len(t), bool)
         new[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
+        if len(t):
+            new[0], last = last != (t[0], c[0]), (t[-1], c[-1])
         t, c, n = t[new], c[new], n[new]
-        _, inverse, df = np.unique(t, return_inverse=True, return_counts=True)
-        df = df[inverse]
-        keep = df > 1
-        for i in range(0, int(keep.sum()), 50_000):
-            part = [x[keep][i : i + 50_000] for x in (t.astype(np.int64), c, n.astype(np.int64), df.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, part)), ["tok", "cls", "n", "df"])
-
-    for b in batches:
-        for bucket, *rest in zip(*[b.column(i).to_pylist() for i in range(5)]):
-            if bucket != now and held:
-                yield from done()
-                held = []
-            now = bucket
-            held.append(rest)
-    if held:
-        yield from done()
-
-
-def candidate_groups(docs: DataFrame) -> DataFrame:
-    """cls, n, grp of every class that has candidates."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    entries = by_batches(docs.select("text"), _prefixes(4 * parts), "bucket int, tok binary, cls binary, n binary, times binary")
-    shared = entries.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "tok long, cls long, n long, df long")
+        if not len(t):
+            continue
+        edges = np.concatenate(([0], np.flatnonzero(t[1:] != t[:-1]) + 1, [len(t)]))
+        if now is None or now.tok != t[0]:
+            if now:
+                yield from now.flush()
+            now = _Open(t[0])
+        first, end = edges[1], edges[-2]
+        yield from now.add(t[:first], c[:first], n[:first])
+        if end:  # there are other shingles behind the first
+            yield from now.flush()
+            df = np.repeat(np.diff(edges), np.diff(edges))
+            keep = first + np.flatnonzero(df[first:end] > 1)
+            yield _entries(t[keep], c[keep], n[keep], df[keep])
+            now = _Open(t[end])
+            yield from now.add(t[end:], c[end:], n[end:])
+    if now:
+        yield from now.flush()
+
+
+def candidate_groups(classes: DataFrame) -> DataFrame:
+    """cls, n, grp, k (classes of the group) of every class that has candidates. classes: as document_classes() makes them."""
+    entries = classes.where("n > 0").select(F.explode("prefix").alias("tok"), "cls", "n")
+    shared = entries.repartition("tok").sortWithinPartitions("tok", "cls").mapInArrow(_shared, "tok long, cls long, n long, df long")
     by_class = Window.partitionBy("cls")
     need = F.floor(F.col("n") * 3 / 32) + 1
     rare = shared.withColumn("m", F.count("*").over(by_class)).where(F.col("m") >= need)
@@ -162,14 +153,16 @@ def candidate_groups(docs: DataFrame) -> DataFrame:
     roots = components(pairs.select("cls", "low").where("cls <> low"))
     linked = pairs.select("cls", "n").distinct().join(roots.withColumnRenamed("v", "cls"), "cls", "left")
     linked = linked.select("cls", "n", F.coalesce("root", "cls").alias("grp"))
-    return linked.withColumn("k", F.count("*").over(Window.partitionBy("grp"))).where("k > 1")
+    sizes = linked.groupBy("grp").agg(F.count("*").alias("k"), F.sum(F.greatest("n", F.lit(LEAST))).alias("weight")).where("k > 1")
+    return linked.join(sizes, "grp").select("cls", "n", "grp", "k", "weight")
 
 
 def _grid(groups: DataFrame) -> DataFrame:
-    """cls, grp, side_a, side_b: a class of a large group goes to every pair of chunks that may hold a partner."""
-    small = groups.where(F.col("k") <= CHUNK).select("cls", "grp", F.lit(0).alias("a"), F.lit(0).alias("b"))
-    large = groups.where(F.col("k") > CHUNK)
-    at = large.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy("grp").orderBy("n", "cls")) - 1) / (CHUNK // 2)).cast("int"))
+    """cls, grp, a, b: a class of a large group goes to every pair of chunks that may hold a partner."""
+    small = groups.where(F.col("weight") <= BUDGET).select("cls", "grp", F.lit(0).alias("a"), F.lit(0).alias("b"))
+    large, own = groups.where(F.col("weight") > BUDGET), F.greatest("n", F.lit(LEAST))
+    before = F.sum(own).over(Window.partitionBy("grp").orderBy("n", "cls")) - own
+    at = large.withColumn("chunk", F.floor(before / (BUDGET // 2)).cast("int"))
     span = at.groupBy("grp", "chunk").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     p, q = (span.select("grp", *[F.col(c).alias(f"{c}_{x}") for c in ("chunk", "lo", "hi")]) for x in "ab")
     pairs = p.join(q, "grp").where("chunk_a <= chunk_b AND lo_b * 3 <= hi_a * 4").select("grp", F.col("chunk_a").alias("a"), F.col("chunk_b").alias("b"))
@@ -270,10 +263,10 @@ TASKS = "array<struct<grp:bigint,a:int,b:int>>"
 
 
 def class_components(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """cls, component_id of every class with shingles."""
+    """cls, component_id, keep_key of every class with shingles: of its component, the smallest doc_id and the hash of the text to keep."""
     firsts = classes.where("n > 0").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("key"))).alias("f"))
     firsts = written(firsts.select("cls", F.col("f.doc_id").alias("d"), F.col("f.key").alias("key")))
-    groups = written(candidate_groups(docs))
+    groups = written(candidate_groups(classes))
     tasks = _grid(groups).groupBy("cls").agg(F.collect_list(F.struct("grp", "a", "b")).alias("tasks"))
     wanted = written(firsts.join(tasks, "cls"))
     # A class of a large group has many tasks, so they are counted, not the rows.
@@ -285,25 +278,31 @@ def class_components(docs: DataFrame, classes: DataFrame) -> DataFrame:
     sets = sets.select("cls", "s", F.inline("tasks"))
     edges = written(sets.groupBy("grp", "a", "b").applyInArrow(_join_group, "cls long, low long"))
     roots = components(edges).withColumnRenamed("v", "cls")
-    comp = firsts.join(roots, "cls", "left").select("cls", "d", F.coalesce("root", "cls").alias("root"))
-    least = comp.groupBy("root").agg(F.min("d").alias("component_id"))
-    return comp.join(least, "root").select("cls", "component_id")
+    comp = firsts.join(roots, "cls", "left").select("cls", "d", "key", F.coalesce("root", "cls").alias("root"))
+    least = comp.groupBy("root").agg(F.min(F.struct(F.col("d").isNull(), F.col("d"), F.col("key"))).alias("f"))
+    return comp.join(least, "root").select("cls", F.col("f.d").alias("component_id"), F.col("f.key").alias("keep_key"))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, key by row of docs."""
+    """doc_id, n_shingles, component_id, key (hash of the text), keep (the row is one that near_duplicates() may keep) by row of docs."""
     classes = written(document_classes(docs))
     comp = written(class_components(docs, classes))
-    out = classes.join(comp, "cls", "left")
-    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "key")
+    out = classes.select("doc_id", "key", "n", "cls").join(comp, "cls", "left")
+    some = F.col("n") > 0
+    keep = ~some | (F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("key") == F.col("keep_key")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(some, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "key", keep.alias("keep"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay: of each component the one with the smallest doc_id, and all without shingles."""
-    found = jaccard_components(docs)
-    gone = found.where("n_shingles > 0 AND NOT doc_id <=> component_id").select(F.col("doc_id").alias("__d"), F.col("key").alias("__k")).distinct()
-    return docs.join(fitted(gone), F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__k")), "left_anti")
+    """The rows of docs that stay: one of each component, and all without shingles."""
+    found = written(jaccard_components(docs.select("doc_id", "text")))
+    marks = found.where("n_shingles > 0").groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.bool_and("keep").alias("keep"), F.count("*").alias("n"))
+    marks = fitted(written(marks.where("NOT keep OR n > 1")))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"))
+    rows = rows.join(marks, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")
+    # Rows that are there more than once: one of them, chosen before the shuffle.
+    first = rows.where("keep").groupBy("doc_id", "key").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return rows.where("keep IS NULL").select("row.*").unionAll(first.select("row.*"))
 
 
 def op1_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
