@@ -6,10 +6,10 @@ from .chat import OP5_SQL, op5_chat_format
 from .decontamination import OP6_SQL, op6_decontamination
 from .jaccard import OP1_SQL, op1_ngram_jaccard
 from .licenses import op9_license_scan
-from .mixing import op3_mixing
+from .mixing import OP3_SQL, op3_mixing
 from .neighbours import OP4_SQL, op4_embedding_dedup
 from .recompression import OP8_SQL, op8_substring_dedup
-from .secrets import op2_secret_scan
+from .secrets import OP2_SQL, op2_secret_scan
 from .sharding import op10_sharding
 from .toxicity import op7_toxicity
 
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_sharding": op10_sharding,
 }
 #: The other operators draw hashes or fit models that DuckDB lacks; tests/llm holds them against brute force.
-ORACLE_SQL = {"op1_ngram_jaccard": OP1_SQL, "op4_embedding_dedup": OP4_SQL, "op5_chat_format": OP5_SQL, "op6_decontamination": OP6_SQL, "op8_substring_dedup": OP8_SQL}
+ORACLE_SQL = {"op1_ngram_jaccard": OP1_SQL, "op2_secret_scan": OP2_SQL, "op3_mixing": OP3_SQL, "op4_embedding_dedup": OP4_SQL, "op5_chat_format": OP5_SQL, "op6_decontamination": OP6_SQL, "op8_substring_dedup": OP8_SQL}

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -67,8 +68,9 @@ def test_jaccard(table, docs):
     assert jaccard.jaccard_components(empty(table)).count() == 0
     kept = jaccard.near_duplicates(table)
     assert kept.columns == table.columns
-    want = {(c, n) for d, n, c in brute.jaccard(docs) if n}
-    assert {r["doc_id"] for r in kept.collect() if brute.shingles(r["text"])} == {c for c, _ in want if c is not None}
+    want = {c for d, n, c in brute.jaccard(docs) if n}
+    assert Counter(r["doc_id"] for r in kept.collect() if brute.shingles(r["text"])) == Counter(want)
+    assert sum(not brute.shingles(r["text"]) for r in kept.collect()) == sum(not brute.shingles(d[1]) for d in docs)
 
 
 def test_jaccard_of_a_dense_group(spark, monkeypatch):
@@ -83,11 +85,45 @@ def test_jaccard_of_a_dense_group(spark, monkeypatch):
         docs.append((i, " ".join(w + [f"u{i}"] * (i % 3))))
     want = brute.jaccard(docs)
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
-    for chunk in (4096, 32):
-        monkeypatch.setattr(jaccard, "CHUNK", chunk)
+    for budget in (jaccard.BUDGET, 32 * jaccard.LEAST):
+        monkeypatch.setattr(jaccard, "BUDGET", budget)
         assert counted(jaccard.jaccard_components(df).select("doc_id", "n_shingles", "component_id")) == want
 
 
+def test_one_row_of_each_group_stays(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text, "a"), (1, text, "b"), (1, text, "b"), (2, text, "c"), (None, text + " x", "d"), (3, text.upper(), "e"), (3, text + " y", "f")]
+    rows += [(None, "q " * 9, "g"), (None, "q " * 9, "h"), (5, None, "i"), (5, None, "i"), (6, "", "j")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, __d string").withColumns({"key": F.lit(1), "row": F.lit(2), "keep": F.lit(False)})
+    kept = jaccard.near_duplicates(df.repartition(3))
+    assert kept.columns == df.columns
+    got = kept.collect()
+    assert Counter(r["doc_id"] for r in got if r["text"]) == Counter([1, None]) and sum(not r["text"] for r in got) == 3
+    assert jaccard.near_duplicates(df.repartition(5)).where("doc_id = 1").first()["__d"] == next(r["__d"] for r in got if r["doc_id"] == 1)
+    assert jaccard.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_shared_shingles_as_a_stream(monkeypatch):
+    import pyarrow as pa
+
+    r = random.Random(1)
+    for many in (100_000, 5):
+        monkeypatch.setattr(jaccard, "VERY_MANY", many)
+        rows = sorted({(r.randrange(40), r.randrange(9)) for _ in range(150)} | {(50, c) for c in range(30)})
+        rows = sorted(rows + rows[::3])
+        batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*[(t, c, c + 1) for t, c in rows[i : i + 7]])], ["tok", "cls", "n"]) for i in range(0, len(rows), 7)]
+        got = [x for b in jaccard._shared(batches) for x in zip(*[c.to_pylist() for c in b.columns])]
+        df = Counter(t for t, _ in set(rows))
+        at = lambda n: n if n < many else many
+        want = [(t, c, c + 1, df[t]) for t, c in sorted(set(rows)) if df[t] > 1]
+        assert sorted(x[:3] for x in got) == sorted(x[:3] for x in want)
+        by = defaultdict(set)
+        for t, _, _, n in got:
+            by[t].add(n)
+        assert all(len(x) == 1 for x in by.values())  # one order of shingles for all classes
+        assert all(at(n) == df[t] or df[t] >= many or n == df[t] for t, x in by.items() for n in x)
+
+
 @pytest.mark.parametrize("seed", [1, 4])
 def test_repeats(spark, seed):
     docs = brute.corpus(seed)
@@ -148,33 +184,83 @@ def _targets(sizes, cap=3):
     return out
 
 
+def _mixed(docs, weight=lambda size: math.isqrt(size) + 1):
+    """Copies of every (doc_id, text, source), with unequal-probability samples drawn document by document."""
+    size = lambda d: len(brute.SPACE.findall(d[1] or ""))
+    sizes = Counter()
+    for d in docs:
+        sizes[d[2]] += size(d)
+    targets, out = _targets(sizes), {}
+    for source in sizes:
+        own = [(d, size(d), weight(size(d)), hashlib.md5(f"{mixing.SEED}|{'' if d[0] is None else d[0]}|{'' if d[1] is None else hashlib.md5(d[1].encode()).hexdigest()}".encode()).hexdigest()) for d in docs if d[2] == source]
+        whole = int(targets[source] // sizes[source]) if sizes[source] else 0
+        need, rest = targets[source] - whole * sizes[source], [x for x in own if x[1]]
+        copies = {i: whole if x[1] else 0 for i, x in enumerate(own)}
+        certain = set()
+        while rest and need > 0:  # the heaviest leave the sample until all probabilities are below 1
+            rate = need / sum(x[1] * x[2] for x in rest)
+            top = max(x[2] for x in rest)
+            if rate * top < 1:
+                break
+            certain.add(top)
+            need -= sum(x[1] for x in rest if x[2] == top)
+            rest = [x for x in rest if x[2] != top]
+        for i, x in enumerate(own):
+            copies[i] += bool(x[1] and x[2] in certain)
+        if rest and need > 0:
+            odds = lambda x: ((u := (int(x[3][:13], 16) + 0.5) / 2**52) / (1 - u)) / (rate * x[2] / (1 - rate * x[2]))
+            groups = defaultdict(list)
+            for i, x in enumerate(own):
+                if x[1] and x[2] not in certain:
+                    groups[odds(x), x[3]].append(i)
+            full = 0
+            for key in sorted(groups):
+                n = sum(own[i][1] for i in groups[key])
+                if not need - full > full + n - need:
+                    break
+                full += n
+                for i in groups[key]:
+                    copies[i] += 1
+        for i, x in enumerate(own):
+            out.setdefault(x[0], []).append(copies[i])
+    return Counter((d[0], d[1], d[2], c) for d, cs in out.items() for c in cs)
+
+
 def test_mixing(spark):
     r = random.Random(3)
-    docs = [(i, " ".join(["w"] * r.choice([0, 1, 5, 50, 300])), None, r.choice(["a", "b", "c", "d", None] + ["hot"] * 5), 0) for i in range(3000)]
-    docs += [(1, None, None, "é", 0), (2, "w w", None, "é", 0), (2, "w w", None, "é", 0)]
-    rows = mixing.sized(spark.createDataFrame(docs, brute.DOC).repartition(4)).drop("text")
-    out = mixing.mix_sources(rows, mixing.mix_plan(rows)).select("doc_id", "source", "__size", "__target", "copies").collect()
-    again = mixing.mix_sources(rows.repartition(7), mixing.mix_plan(rows.repartition(2))).select("doc_id", "source", "__size", "__target", "copies").collect()
-    assert Counter(map(tuple, out)) == Counter(map(tuple, again)) and len(out) == len(docs)
+    docs = [(i, " ".join(["w"] * r.choice([0, 1, 5, 50, 300, 9000 if i % 400 == 0 else 2])), r.choice(["a", "b", "c", "d", None] + ["hot"] * 5)) for i in range(3000)]
+    docs += [(1, None, "é"), (2, "w w", "é"), (2, "w w", "é"), (None, "w w", "hot"), (None, None, None)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string").repartition(4).withColumns({"copies": F.lit("x"), "size": F.lit(-1), "rank": F.lit(0)})
+    keep = [F.col("doc_id"), F.col("text")]
+    take = lambda d, p: mixing.mix_sources(mixing.sized(d, keep=keep), mixing.mix_plan(mixing.sized(p)))
+    out = take(df, df).collect()
+    assert Counter((x["doc_id"], x["text"], x["source"], x["taken_copies"]) for x in out) == _mixed(docs)
+    assert counted(take(df.repartition(7), df.repartition(2))) == Counter(map(tuple, out))
     sizes, taken, target = Counter(), Counter(), {}
     for d in out:
-        sizes[d["source"]] += d["__size"]
-        taken[d["source"]] += d["__size"] * d["copies"]
-        target[d["source"]] = d["__target"]
-        assert 0 <= d["copies"] <= 3
+        sizes[d["source"]] += d["size"]
+        taken[d["source"]] += d["size"] * d["taken_copies"]
+        target[d["source"]] = d["target"]
+        assert 0 <= d["taken_copies"] <= 3
     want = _targets(sizes)
     for s in sizes:
-        assert target[s] == pytest.approx(want[s]) and abs(taken[s] - want[s]) <= 300
-    few = spark.createDataFrame([(1, None, None, "a", 0), (2, "", None, None, 0)], brute.DOC)
-    assert mixing.mixed_documents(few).count() == 0 and mixing.mixed_documents(few.limit(0)).count() == 0
+        assert target[s] == pytest.approx(want[s]) and abs(taken[s] - want[s]) <= 4500
+    mixed = mixing.mixed_documents(df)
+    assert mixed.columns == df.columns and mixed.count() == sum(x["taken_copies"] for x in out)
+    assert {(x["copies"], x["size"]) for x in mixed.collect()} == {("x", -1)}
+    assert mixing.mixed_documents(df.where("text IS NULL OR text = ''")).count() == 0 and mixing.mixed_documents(df.limit(0)).count() == 0
 
 
-def test_mixing_weights_move_the_sample(spark):
-    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("w w w").alias("text"), F.when(F.col("id") % 4 == 0, "a").otherwise("b").alias("source"), (F.col("id") % 2 * 9 + 1).alias("q"))
-    rows = mixing.sized(df, weight="q")
-    out = mixing.mix_sources(rows, mixing.mix_plan(rows)).where("source = 'b'").groupBy("q").agg(F.avg("copies").alias("c")).collect()
-    by = {r["q"]: r["c"] for r in out}
-    assert by[10] > by[1] + 0.2
+def test_inclusion_grows_with_the_weight(spark):
+    """Over many draws a document is taken as often as its probability says."""
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("w w w").alias("text"), F.when(F.col("id") % 4 == 0, "a").otherwise("b").alias("source"), (F.col("id") % 3 * 4 + 1).alias("q"))
+    rows = mixing.sized(df, weight="q", keep=[F.col("q")])
+    plan = mixing.mix_plan(rows)
+    by = {x["q"]: x["c"] for x in mixing.mix_sources(rows, plan).where("source = 'b'").groupBy("q").agg(F.avg("taken_copies").alias("c")).collect()}
+    p = plan.where("source = 'b'").first()
+    for q, c in by.items():
+        assert c == pytest.approx(p["copies"] + (1 if q > p["most"] else p["rate"] * q), abs=0.06)
+    assert by[9] > by[5] > by[1]
 
 
 def test_sharding(spark, docs, table):
@@ -221,7 +307,7 @@ def test_secrets(spark):
     assert secrets.scan(df, ledger).count() == 0 and secrets.scan(df.limit(0), ledger).count() == 0
 
 
-def test_second_run_scans_only_new_blobs(spark, tmp_path, monkeypatch):
+def test_increments_scan_only_new_blobs(spark, tmp_path, monkeypatch):
     seen, run = [], secrets.scan
 
     def noted(docs, ledger, *rules):
@@ -230,14 +316,28 @@ def test_second_run_scans_only_new_blobs(spark, tmp_path, monkeypatch):
         return out
 
     monkeypatch.setattr(secrets, "scan", noted)
-    monkeypatch.setattr(secrets, "OP2_LEDGER", f"ledger-{tmp_path.name}-{random.random()}", raising=False)
-    texts = ["password = hunter22", "nothing", None, "AKIA" + "A" * 16]
-    for rows in (texts[:2], texts[:2], texts):
-        spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
-        got = {r["doc_id"]: r["spans"] for r in secrets.op2_secret_scan(spark, str(tmp_path)).collect()}
-    kinds = len(secrets.RULES)
-    assert seen == [2 * kinds, 0, 2 * kinds]
-    assert got == {0: "assign:0:19", 1: "", 2: "", 3: "access:0:20"}
+    texts, kinds, path = ["password = hunter22", "nothing", None, "AKIA" + "A" * 16], len(secrets.RULES), f"ledger-{tmp_path.name}-{random.random()}"
+    for rows in (texts[:2], texts[:2], [], texts):
+        df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+        ledger = secrets.updated(df, path)
+    assert seen == [2 * kinds, 0, 0, 2 * kinds] and ledger.count() == 4 * kinds
+    # An increment that ran twice at the same time has appended its entries twice: read once.
+    secrets.scan(df, secrets.empty_ledger(spark)).write.mode("append").parquet(f"{secrets.shared_dir(spark)}/{path}")
+    assert secrets.updated(df, path).count() == 4 * kinds
+    found = {r["doc_id"]: [(s["rule"], s["start"], s["end"]) for s in r["found"] or []] for r in secrets.findings(df, ledger).collect()}
+    assert found == {0: [("assign", 0, 19)], 1: [], 2: [], 3: [("access", 0, 20)]}
+
+
+def test_secret_query_scans_every_run_in_two_increments(spark, tmp_path, monkeypatch):
+    seen, run = [], secrets.scan
+    monkeypatch.setattr(secrets, "scan", lambda docs, ledger, *rules: (out := run(docs, ledger, *rules), seen.append(out.select("blob").distinct().count()))[0])
+    rows = [(i, f"token = abcdef{i % 50}") for i in range(100)] + [(None, None), (100, "é\npasswd:aaaaaa")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for _ in range(2):
+        got = Counter((r["doc_id"], r["n_assign"], r["spans"]) for r in secrets.op2_secret_scan(spark, str(tmp_path)).collect())
+        text = lambda t: ",".join(f"{k}:{a}:{b}" for a, _, b, k in brute.secrets(t))
+        assert got == Counter((i, len(brute.secrets(t)), text(t)) for i, t in rows)
+    assert len(seen) == 4 and seen[:2] == seen[2:] and sum(seen[:2]) == 52 and min(seen) > 0
 
 
 def test_licenses(spark):
