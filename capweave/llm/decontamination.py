@@ -1,16 +1,16 @@
 """Benchmark decontamination: a broadcast hash set of test n-grams against every training window.
 
 Words are those of PLAIN_WORD in lower-cased (A-Z) text. A window is N consecutive words of an item;
-an item of fewer words is one window. Windows are named by a 64-bit hash; a hit is verified by a
-second hash of the same words, read backwards with another seed (128 bits together).
+an item of fewer words is one window. Every training window is named by a 64-bit hash of its length and four of its words
+(first, last and two between) and tested against the set of the items' names. The few documents with a name in
+the set are read again, and there the windows themselves, all words, are compared with the items' windows.
 
-The set of windows is broadcast only if a count proves it small (`limit` windows, 10 million bytes or
-so); beyond that the same join is shuffled. Training text is read once and never shuffled: each row
-sends out its hits and one marker with its length, which are gathered by row.
+The names are broadcast only if a count proves them few (BROADCAST_ROWS); beyond that the same join is shuffled. Training
+text itself isn't shuffled: each row sends out its candidates and one marker with its length, which are gathered by row.
 
 Nulls: a null or empty text has no words and no hits; an item with a null text has no window; an item
 with a null id counts as hit words but is not named. Rows equal in doc_id and text are one row for the
-search and come back as often as they are there.
+search and come back as often as they are there. Other columns, whatever their names, pass through decontaminated() unchanged.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from .common import PLAIN_WORD, ascii_lower, fitted, table, written
 
 N = 10
-BROADCAST_WINDOWS = 500_000
+#: Windows of items with their words that may be broadcast (100 bytes each or so).
+BROADCAST_WINDOWS = 200_000
 
 
 def words_of(text: Column) -> Column:
@@ -33,15 +34,11 @@ def _hashes(text: Column) -> Column:
 
 
 def _names(hashes: Column, n: int) -> Column:
-    """(at, n, name, check) of every window of n words, given the words' hashes."""
-    one = lambda h, i: F.struct(
-        i.alias("at"),
-        F.lit(n).alias("n"),
-        F.xxhash64(*[h[i + k] for k in range(n)]).alias("name"),
-        F.xxhash64(F.lit(n), *[h[i + k] for k in reversed(range(n))]).alias("check"),
-    )
+    """(at, n, name) of every window of n words, given the words' hashes."""
+    picked = sorted({0, (n - 1) // 3, 2 * (n - 1) // 3, n - 1})
+    one = lambda h, i: F.struct(i.alias("at"), F.lit(n).alias("n"), F.xxhash64(F.lit(n), *[h[i + k] for k in picked]).alias("name"))
     windows = lambda h: F.when(F.size(h) >= n, F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: one(h, i)))
-    return F.coalesce(windows(hashes), F.array().cast("array<struct<at:int,n:int,name:bigint,check:bigint>>"))
+    return F.coalesce(windows(hashes), F.array().cast("array<struct<at:int,n:int,name:bigint>>"))
 
 
 def _once(value: Column, use) -> Column:
@@ -49,50 +46,65 @@ def _once(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def _window(words: Column, at: Column, n: Column) -> Column:
+    """The words of a window; joined, as words hold no spaces."""
+    return F.array_join(F.slice(words, at + 1, n), " ")
+
+
 def item_windows(items: DataFrame, n: int = N) -> DataFrame:
-    """n, name, check and the ids of the items that hold the window."""
+    """n, name, window and the ids of the items that hold it."""
     every = lambda h: F.coalesce(*[F.when(F.size(h) == k, _names(h, k)) for k in range(1, n)], _names(h, n))
-    w = items.select(F.col("item_id").cast("string").alias("item"), F.inline(_once(_hashes(F.col("text")), every)))
-    return w.groupBy("n", "name", "check").agg(F.collect_set("item").alias("items"))
+    w = items.select(F.col("item_id").cast("string").alias("item"), words_of(F.col("text")).alias("w"))
+    w = w.select("item", "w", F.inline(_once(F.transform("w", lambda x: F.xxhash64(x)), every)))
+    return w.select("item", "n", "name", _window(F.col("w"), F.col("at"), F.col("n")).alias("window")).groupBy("n", "name", "window").agg(F.collect_set("item").alias("items"))
+
+
+def _candidates(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """doc_id, key (hash of the text), copies, n_words, places (at, n) by distinct row of docs; windows: written item_windows()."""
+    sizes = [r["n"] for r in windows.select("n").distinct().collect()]  # at most N of them
+    names = fitted(windows.select(F.col("name").alias("wanted")).distinct())
+    marker = lambda h: F.array(F.struct(F.lit(-1).alias("at"), F.size(h).alias("n"), F.lit(None).cast("bigint").alias("name")))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), F.inline(_once(_hashes(F.col("text")), lambda h: F.concat(marker(h), *[_names(h, k) for k in sizes]))))
+    found = rows.join(names, F.col("name") == F.col("wanted"), "left").where("at < 0 OR wanted IS NOT NULL")
+    return found.groupBy("doc_id", "key").agg(
+        F.count_if(F.col("at") < 0).alias("copies"),
+        F.max(F.when(F.col("at") < 0, F.col("n"))).cast("long").alias("n_words"),
+        F.collect_set(F.when(F.col("at") >= 0, F.struct("at", "n"))).alias("places"),
+    )
 
 
 def find_hits(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
-    """doc_id, __key (hash of the text), __copies, n_words, n_hit, items (sorted ids) by distinct row of docs."""
-    windows = item_windows(items, n)
-    sizes = [r["n"] for r in windows.select("n").distinct().collect()]  # at most n of them
-    windows = fitted(windows, BROADCAST_WINDOWS).withColumnsRenamed({"name": "__name", "check": "__check", "n": "__n"})
-    marker = lambda h: F.array(F.struct(F.lit(-1).alias("at"), F.size(h).alias("n"), F.lit(None).cast("bigint").alias("name"), F.lit(None).cast("bigint").alias("check")))
-    rows = docs.select(
-        "doc_id",
-        F.xxhash64("text").alias("__key"),
-        F.inline(_once(_hashes(F.col("text")), lambda h: F.concat(marker(h), *[_names(h, k) for k in sizes]))),
-    )
-    hits = rows.join(windows, (F.col("name") == F.col("__name")) & (F.col("check") == F.col("__check")) & (F.col("n") == F.col("__n")), "left")
-    hits = hits.where((F.col("at") < 0) | F.col("items").isNotNull())
-    by_row = hits.groupBy("doc_id", "__key").agg(
-        F.count_if(F.col("at") < 0).alias("__copies"),
-        F.max(F.when(F.col("at") < 0, F.col("n"))).cast("long").alias("n_words"),
-        F.sort_array(F.collect_set(F.when(F.col("at") >= 0, F.struct("at", "n")))).alias("__spans"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-    )
+    """doc_id, key (hash of the text), copies, n_words, n_hit, items (sorted ids) by distinct row of docs (doc_id, text)."""
+    windows = written(item_windows(items, n))
+    rows = written(_candidates(docs, windows))
+    some = rows.where(F.size("places") > 0).select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "places")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
+    texts = texts.join(fitted(some, 100_000), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))).select("doc_id", "key", words_of(F.col("text")).alias("w"), "places")
+    spots = F.transform("places", lambda p: F.struct(p["at"].alias("at"), p["n"].alias("n"), _window(F.col("w"), p["at"], p["n"]).alias("window")))
+    spots = texts.select("doc_id", "key", F.inline(spots))
+    hits = spots.join(fitted(windows.select(F.col("n").alias("m"), F.col("window").alias("text"), "items"), BROADCAST_WINDOWS), (F.col("window") == F.col("text")) & (F.col("n") == F.col("m")))
+    by_row = hits.groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.sort_array(F.collect_set(F.struct("at", "n"))).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     step = lambda a, s: F.struct(
         F.greatest(a["end"], s["at"] + s["n"]).alias("end"),
         (a["hit"] + F.greatest(F.lit(0), s["at"] + s["n"] - F.greatest(a["end"], s["at"]))).cast("long").alias("hit"),
     )
-    covered = F.aggregate("__spans", F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("hit")), step, lambda a: a["hit"])
-    return by_row.select("doc_id", "__key", "__copies", "n_words", covered.alias("n_hit"), "items")
+    covered = F.aggregate("spans", F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("hit")), step, lambda a: a["hit"])
+    by_row = by_row.select("d", "k", covered.alias("n_hit"), "items")
+    out = rows.join(by_row, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")
+    return out.select("doc_id", "key", "copies", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
     """The rows of docs in which no window of an item occurs."""
-    bad = find_hits(docs, items, n).where("n_hit > 0").select(F.col("doc_id").alias("__id"), F.col("__key").alias("__k"))
+    bad = find_hits(docs.select("doc_id", "text"), items, n).where("n_hit > 0").select(F.col("doc_id").alias("d"), F.col("key").alias("k"))
     bad = written(bad)  # counted and joined: searched once
-    return docs.join(fitted(bad), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__k")), "left_anti")
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("key"))
+    return rows.join(fitted(bad), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left_anti").select("row.*")
 
 
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:
     out = find_hits(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
-    out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
+    out = out.select("*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return out.select(
         "doc_id",
         "n_words",
