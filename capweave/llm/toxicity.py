@@ -5,7 +5,7 @@ features, the log odds that the models before it give. Later models are trained
 predictions of the earlier ones (FOLDS folds by a hash of doc_id), so they learn what those predictions are worth
 on unseen rows. The last model's threshold maximises F1 on its own out-of-fold predictions.
 
-The fit uses at most SAMPLE labelled rows, those with the smallest hash of doc_id. Words are 64-bit hashes
+The fit uses at most SAMPLE labelled ids, those with the smallest hash of doc_id, one text each (of several, the one with the smallest hash). Words are 64-bit hashes
 (no folding into buckets); each category uses the WORDS with the greatest log-odds z-score among those in
 MIN_DF sample rows or more. The driver gets these words and the sample's hits on them, nothing else; the model
 is some thousand numbers, and scoring is one pass over all texts.
@@ -13,7 +13,8 @@ is some thousand numbers, and scoring is one pass over all texts.
 Nulls: a null or empty text has no words and gets the base rate. Labels that are null are left out; of
 repeated labels of a doc_id, the greatest holds. Without both classes in the sample a category has no model
 and its probability is the class share (0 without labels). Scores depend on the text alone, so
-repeated rows agree. Only doc_id and text of the documents are read.
+repeated rows agree. An empty table gives an empty result. Only doc_id and text of the documents are read; other columns, whatever
+their names, pass through clean() unchanged, and classify() adds columns with a prefix of the caller's choice.
 """
 
 from __future__ import annotations
@@ -157,7 +158,10 @@ def train(docs: DataFrame, labels: DataFrame, chain=CHAIN, sample: int = SAMPLE)
     chosen = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(y.alias("y")).orderBy(F.xxhash64(F.lit(_SEED), "doc_id"), "doc_id").limit(sample)
     chosen = written(chosen.select(F.col("doc_id").cast("long").alias("doc_id"), "y"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # `sample` rows at most
-    rows = written(by_batches(texts.select("doc_id", "text", "y"), _sample_words, "doc_id long, words array<bigint>, y array<double>"))
+    rows = by_batches(texts.select("doc_id", "text", "y"), _sample_words, "doc_id long, words array<bigint>, y array<double>")
+    # One row an id, however often the documents repeat it.
+    rows = rows.groupBy("doc_id").agg(F.min_by(F.struct("words", "y"), F.xxhash64("words")).alias("r"))
+    rows = written(rows.select("doc_id", "r.words", "r.y"))
     n_pos = rows.select(*[F.count_if(F.col("y")[k] > 0).alias(f"p{k}") for k in range(len(chain))], *[F.count_if(F.col("y")[k] <= 0).alias(f"n{k}") for k in range(len(chain))]).first()
     counts = rows.select(F.explode("words").alias("word"), "y").groupBy("word")
     counts = counts.agg(*[F.count_if(F.col("y")[k] > 0).alias(f"p{k}") for k in range(len(chain))], *[F.count_if(F.col("y")[k] <= 0).alias(f"n{k}") for k in range(len(chain))])
@@ -167,8 +171,10 @@ def train(docs: DataFrame, labels: DataFrame, chain=CHAIN, sample: int = SAMPLE)
         z = (F.log((p + 0.5) / (all_p - p + 0.5)) - F.log((n + 0.5) / (all_n - n + 0.5))) / F.sqrt(1 / (p + 0.5) + 1 / (n + 0.5))
         best = counts.where(F.abs(z) >= LEAST_Z).orderBy(F.abs(z).desc(), "word").limit(WORDS).collect()
         known.append(np.unique(np.array([r["word"] for r in best], np.int64).astype(U)))
-    wanted = F.array(*[F.lit(int(w)) for w in np.unique(np.concatenate(known)).astype(np.int64)]) if any(map(len, known)) else F.array().cast("array<bigint>")
-    hits = rows.select("doc_id", F.array_intersect("words", wanted).alias("words"), "y").toArrow()
+    wanted = docs.sparkSession.createDataFrame([(int(w),) for w in np.unique(np.concatenate(known)).astype(np.int64)], "word long")
+    # At most len(chain) * WORDS words, and at most `sample` rows with these words alone.
+    hits = rows.select("doc_id", F.explode("words").alias("word")).join(F.broadcast(wanted), "word").groupBy("doc_id").agg(F.collect_list("word").alias("words"))
+    hits = rows.select("doc_id", "y").join(hits, "doc_id", "left").select("doc_id", F.coalesce("words", F.array().cast("array<bigint>")).alias("words"), "y").toArrow()
     ids, ys = hits["doc_id"].to_numpy(), np.array([[np.nan if v is None else v for v in x] for x in hits["y"].to_pylist()], float).reshape(-1, len(chain))
     lists = hits["words"].combine_chunks() if hits.num_rows else pa.array([], pa.list_(pa.int64()))
     row = np.repeat(np.arange(len(lists)), np.asarray(pc.list_value_length(lists)))
@@ -176,14 +182,14 @@ def train(docs: DataFrame, labels: DataFrame, chain=CHAIN, sample: int = SAMPLE)
     return fit_chain(names, known, ids, row, h, ys)
 
 
-def _scorer(model: Chain, names: list[str]):
-    """Batches whose last column is the text: it gives way to the probabilities and the verdict."""
+def _scorer(model: Chain, text: int, names: list[str]):
+    """Batches of rows (one struct column, whose field `text` is scored): the probabilities and the verdict are added."""
 
     def run(batches):
         known = model.known()
         for b in batches:
             p = np.zeros((b.num_rows, len(model.links)))
-            for at, end, row, h in word_sets(b.column(b.num_columns - 1)):
+            for at, end, row, h in word_sets(b.column(0).field(text)):
                 if len(known):
                     hit = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
                     pair = np.unique(np.stack((row[hit].astype(U), h[hit])), axis=1)
@@ -191,21 +197,28 @@ def _scorer(model: Chain, names: list[str]):
                 else:
                     row, h = row[:0], h[:0]
                 p[at:end] = model.score(row, h, end - at)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(p[:, k]) for k in range(p.shape[1])], pa.array(p[:, -1] >= model.threshold)], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(p[:, k]) for k in range(p.shape[1])], pa.array(p[:, -1] >= model.threshold)], names)
 
     return run
 
 
+def _scored(docs: DataFrame, model: Chain) -> DataFrame:
+    """row (all columns of docs), p0, p1..., rejected."""
+    rows = docs.select(F.struct("*").alias("row"))
+    found = [T.StructField(f"p{k}", T.DoubleType()) for k in range(len(model.links))] + [T.StructField("rejected", T.BooleanType())]
+    schema = T.StructType([*rows.schema.fields, *found])
+    return by_batches(rows, _scorer(model, docs.columns.index("text"), schema.names), schema)
+
+
 def classify(docs: DataFrame, model: Chain, prefix: str = "") -> DataFrame:
     """docs with <prefix>p_<category>... and <prefix>rejected."""
-    found = [T.StructField(f"{prefix}p_{x.name}", T.DoubleType()) for x in model.links] + [T.StructField(f"{prefix}rejected", T.BooleanType())]
-    schema = T.StructType([*docs.schema.fields, *found])
-    return by_batches(docs.select("*", F.col("text").alias("__text")), _scorer(model, schema.names), schema)
+    out = _scored(docs, model)
+    return out.select("row.*", *[F.col(f"p{k}").alias(f"{prefix}p_{x.name}") for k, x in enumerate(model.links)], F.col("rejected").alias(f"{prefix}rejected"))
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that a chain trained on labels doesn't reject."""
-    return classify(docs, train(docs, labels), "__").where("NOT __rejected").select(*docs.columns)
+    return _scored(docs, train(docs, labels)).where("NOT rejected").select("row.*")
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
