@@ -156,3 +156,17 @@ def op9_license_scan(spark, sf_dir: str) -> DataFrame:
         labels("base", "found").alias("labels"),
         "score",
     )
+
+
+def license_base_places(spark, sf_dir: str) -> DataFrame:
+    """What op9 says of base phrases alone."""
+    return op9_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+LICENSE_BASE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p(phrase, label) AS (VALUES (['mit', 'license'], 'mit'), (['apache', 'license'], 'apache'), (['general', 'public', 'license'], 'gpl')),
+h AS (SELECT rid, label, i FROM d, p, unnest(range(1, len(w) + 1)) t(i) WHERE w[i] = phrase[1] AND w[i:i + len(phrase) - 1] = phrase),
+g AS (SELECT rid, count(*) AS n, min(i) - 1 AS a, max(i) - 1 AS b, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels FROM h GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, a AS first_word, b AS last_word, coalesce(labels, '') AS base_labels FROM d LEFT JOIN g USING (rid)
+"""
