@@ -55,7 +55,7 @@ def is_address(x: Column) -> Column:
 def name_has_address(x: Column) -> Column:
     """Two address words, or any word but the first that is a place."""
     words = name_words(x)
-    return (count_contained(x, W.NAME_ADDRESS_WORDS) >= 2) | F.exists(F.slice(words, 2, 10_000), is_place)
+    return (count_contained(x, W.NAME_ADDRESS_WORDS) >= 2) | F.exists(F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), is_place)
 
 
 def usable_name(x: Column) -> Column:

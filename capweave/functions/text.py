@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 
+# A trailing parenthesis with one level of nesting; numbers that may be totals.
 _PAREN = r"\s*\(([^()]*(?:\([^()]*\)[^()]*)*)\)\s*$"
 TOTAL_NUMBER = r"\d{1,3}(?:,\d{3})+|\d{4,}"
 
@@ -81,11 +82,12 @@ def known_share_type(x: Column) -> Column:
     return F.when((F.coalesce(x, F.lit("")) != "") & n.isin(*W.SHARE_TYPES), n).otherwise("")
 
 
-def strip_parentheses(x: Column, organisations=W.ORGANISATIONS, business_number: bool = True, times: int = 8) -> Column:
-    """Removes trailing parentheses (one level of nesting) that name an organisation, `times` at most; then a business number."""
+def strip_parentheses(x: Column, organisations=W.ORGANISATIONS, business_number: bool = True) -> Column:
+    """Removes trailing parentheses (one level of nesting) that name an organisation, however many; then a business number."""
     cut = lambda t: F.regexp_replace(F.regexp_replace(t, _PAREN, ""), r"(?U)\s+$", "")
     step = lambda t, _: F.when(contains_any(F.regexp_extract(t, _PAREN, 1), organisations), cut(t)).otherwise(t)
-    x = F.aggregate(F.sequence(F.lit(1), F.lit(times)), x, step)
+    most = F.length(x) - F.length(F.replace(x, F.lit("("), F.lit("")))
+    x = F.when(most > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), x, step)).otherwise(x)
     return F.regexp_replace(x, r"\s*\(\d{3}-\d{2,}-\d{4,}\)\s*$", "") if business_number else x
 
 

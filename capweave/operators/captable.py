@@ -71,29 +71,41 @@ def cap_table(requests: DataFrame) -> DataFrame:
     return price_round(holders(valid), investors(valid), valid.select("doc_id", F.col("pre_money").cast("decimal(20,0)").alias("pre_money")), "doc_id")
 
 
+# The sheet's number formats (of amounts, shares of a total, counts) and the widths of its columns.
+MONEY_FORMAT = '_-* #,##0_-;\\-* #,##0_-;_-* "-"_-;_-@_-'
+SHARE_FORMAT = "0.00%"
+COUNT_FORMAT = "#,##0"
+WIDTHS = {"A": 5.125, "B": 3.5, "C": 38.25, "D": 15.75, "E": 14.625, "F": 17.125, "G": 4.875, "H": 15.625, "I": 4.25}
+
+
 def cells(requests: DataFrame) -> DataFrame:
-    """The sheet as a table: doc_id, row_no, section, name, share_type, shares, ownership, value, number_format."""
+    """The sheet as a table: doc_id, row_no, section, name, share_type, shares, ownership, value, number_format (of ownership, or of the amount or the
+    count where there is none), merged (the columns of the row that are one cell: C:D of totals, G:H of investors' lines). Column widths are WIDTHS.
+
+    The round is computed once: each of its rows turns into its lines, and each document into its two lines of totals.
+    """
     rows = cap_table(requests)
-    n = rows.groupBy("doc_id").agg(F.count_if(F.col("kind") == "holder").alias("n"), F.count_if(F.col("kind") == "investor").alias("m"))
-    rows = rows.join(n, "doc_id")
+    n = rows.groupBy("doc_id").agg(
+        F.count_if(F.col("kind") == "holder").alias("n"), F.count_if(F.col("kind") == "investor").alias("m"),
+        F.first("pre_total").alias("pre_total"), F.first("post_total").alias("post_total"), F.first("price").alias("price"),
+        F.sum("pre_ownership").alias("pre_sum"), F.sum("post_ownership").alias("post_sum"),
+    )
     section_two = F.lit(FIRST_ROW + 4) + F.col("n")
     post = section_two + 2 * F.col("m") + 2
-    line = lambda section, row, own, where: rows.where(where).select("doc_id", row.cast("int").alias("row_no"), F.lit(section).alias("section"), "name", "share_type", "shares", own.alias("ownership"), "value")
-    is_holder, is_new, nothing = F.col("kind") == "holder", F.col("kind") == "investor", F.lit(None).cast("double")
-    parts = [
-        line("pre", F.lit(FIRST_ROW) + F.col("ord"), F.col("pre_ownership"), is_holder),
-        line("amount", section_two + 2 * F.col("ord"), nothing, is_new),
-        line("issue", section_two + 2 * F.col("ord") + 1, nothing, is_new),
-        line("post", post + F.col("ord"), F.col("post_ownership"), is_holder),
-        line("post", post + F.col("n") + F.col("ord"), F.col("post_ownership"), is_new),
-    ]
-    totals = rows.groupBy("doc_id", "n", "m").agg(F.first("pre_total").alias("pre_total"), F.first("post_total").alias("post_total"), F.first("price").alias("price"), F.sum("pre_ownership").alias("pre_sum"), F.sum("post_ownership").alias("post_sum"))
-    total = lambda section, row, shares, own: totals.select("doc_id", row.cast("int").alias("row_no"), F.lit(section).alias("section"), F.lit("total").alias("name"), F.lit("").alias("share_type"), F.col(shares).alias("shares"), F.col(own).alias("ownership"), (F.col(shares) * F.col("price")).alias("value"))
-    parts += [total("pre_total", F.lit(FIRST_ROW) + F.col("n"), "pre_total", "pre_sum"), total("post_total", post + F.col("n") + F.col("m"), "post_total", "post_sum")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumn("number_format", F.when(F.col("ownership").isNotNull(), "0.00%").otherwise("#,##0"))
+    at = lambda section, row, own: F.struct(F.lit(section).alias("section"), row.cast("int").alias("row_no"), own.cast("double").alias("ownership"))
+    nothing, ord_ = F.lit(None), F.col("ord")
+    holder = F.array(at("pre", F.lit(FIRST_ROW) + ord_, F.col("pre_ownership")), at("post", post + ord_, F.col("post_ownership")))
+    investor = F.array(at("amount", section_two + 2 * ord_, nothing), at("issue", section_two + 2 * ord_ + 1, nothing), at("post", post + F.col("n") + ord_, F.col("post_ownership")))
+    lines = rows.join(n.select("doc_id", "n", "m"), "doc_id").withColumn("l", F.explode(F.when(F.col("kind") == "holder", holder).otherwise(investor)))
+    out = lines.select("doc_id", "l.row_no", "l.section", "name", "share_type", "shares", "l.ownership", F.col("value").cast("decimal(38,0)").alias("value"), (F.col("kind") == "holder").alias("holder"))
+    total = lambda section, row, shares, own: F.struct(at(section, row, F.col(own)).alias("l"), F.col(shares).cast("bigint").alias("shares"))
+    totals = n.withColumn("t", F.explode(F.array(total("pre_total", F.lit(FIRST_ROW) + F.col("n"), "pre_total", "pre_sum"), total("post_total", post + F.col("n") + F.col("m"), "post_total", "post_sum"))))
+    totals = totals.select("doc_id", "t.l.row_no", "t.l.section", F.lit("total").alias("name"), F.lit("").alias("share_type"), "t.shares", "t.l.ownership", (F.col("t.shares") * F.col("price")).cast("decimal(38,0)").alias("value"), F.lit(False).alias("holder"))
+    out = out.unionByName(totals)
+    kind, new = F.col("section"), F.col("ownership").isNotNull() & ~F.col("holder")
+    merged = F.when(kind.isin("pre_total", "post_total"), "C:D").when(kind.isin("amount", "issue") | ((kind == "post") & new), "G:H")
+    shape = F.when(kind == "amount", MONEY_FORMAT).when(F.col("ownership").isNotNull(), SHARE_FORMAT).otherwise(COUNT_FORMAT)
+    return out.withColumns({"number_format": shape, "merged": merged}).drop("holder")
 
 
 def fill_missing_types(rows: DataFrame, has_text: DataFrame) -> DataFrame:

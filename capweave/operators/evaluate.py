@@ -6,12 +6,15 @@ one document at a time; names are compared in Spark beforehand, by keys made onc
 
 from __future__ import annotations
 
+import bisect
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import names_match, no_space, scoring_keys
-from .relational import missing_from, zero_filled
+from ..plans.stages import written
+from .relational import missing_from, unique_match, zero_filled
 
 CORRECT = "correct"
 # The failure types.
@@ -22,28 +25,36 @@ def _keyed(df: DataFrame) -> DataFrame:
     return df.select("doc_id", F.col("ord").cast("long").alias("ord"), "name", F.coalesce("share_type", F.lit("")).alias("share_type"), F.coalesce("share_count", F.lit(0)).cast("long").alias("share_count"), scoring_keys(F.col("name")).alias("k"), no_space(F.col("name")).alias("packed"))
 
 
-def _sides(truth: DataFrame, rows: DataFrame) -> DataFrame:
-    """Both sides' rows in one table, by document."""
-    return _keyed(truth).withColumn("side", F.lit("g")).unionByName(_keyed(rows).withColumn("side", F.lit("e")))
-
-
 def _pairs_by_count(truth: DataFrame, rows: DataFrame) -> DataFrame:
     """Ordinals that one count, unique on either side, brings together."""
-    once = lambda d: d.where("share_count > 0").withColumn("__n", F.count("*").over(Window.partitionBy("doc_id", "share_count"))).where("__n = 1")
-    g, e = once(truth).select("doc_id", "share_count", F.col("ord").alias("g")), once(rows).select("doc_id", "share_count", F.col("ord").alias("e"))
-    return g.join(e, ["doc_id", "share_count"]).select("doc_id", "g", "e")
+    side = lambda d, n: d.select("doc_id", F.coalesce("share_count", F.lit(0)).cast("long").alias("share_count"), F.col("ord").cast("long").alias(n)).where("share_count > 0")
+    return unique_match(side(truth, "g"), side(rows, "e"), ["doc_id", "share_count"]).where("side = 'both'").select("doc_id", "g", "e")
 
 
 def _nearest_index(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Each truth row, in order, takes the nearest free row; of two as near, the lower one."""
-    free = sorted(pdf.loc[pdf["side"] == "e", "ord"])
-    out = []
+    """Each truth row, in order, takes the nearest free row; of two as near, the lower one. Taken rows are skipped by links to the next
+    free one on either side, so a document costs little more than sorting it."""
+    rows = sorted(pdf.loc[pdf["side"] == "e", "ord"])
+    n, out = len(rows), []
+    down, up = list(range(n + 1)), list(range(n + 1))  # places 1 to n and 0; places 0 to n - 1 and n
+
+    def free(links, at):
+        path = []
+        while links[at] != at:
+            path.append(at)
+            at = links[at]
+        for p in path:
+            links[p] = at
+        return at
+
     for g in sorted(pdf.loc[pdf["side"] == "g", "ord"]):
-        if not free:
+        at = bisect.bisect_left(rows, g)
+        low, high = free(down, at) - 1, free(up, at)
+        if low < 0 and high == n:
             break
-        best = min(free, key=lambda e: (abs(e - g), e))
-        free.remove(best)
-        out.append((pdf["doc_id"].iloc[0], g, best))
+        best = low if high == n or (low >= 0 and g - rows[low] <= rows[high] - g) else high
+        down[best + 1], up[best] = best, best + 1
+        out.append((pdf["doc_id"].iloc[0], g, rows[best]))
     return pd.DataFrame(out, columns=["doc_id", "g", "e"])
 
 
@@ -56,28 +67,30 @@ def nearest_index(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def matched(truth: DataFrame, rows: DataFrame) -> DataFrame:
     """doc_id, g, e: pairs by unique count, then by nearest place."""
-    first = _pairs_by_count(_keyed(truth), _keyed(rows))
+    first = _pairs_by_count(truth, rows)
     rest = lambda d, c: d.select("doc_id", F.col("ord").cast("long").alias("ord")).join(first.select("doc_id", F.col(c).alias("ord")), ["doc_id", "ord"], "left_anti")
     return first.unionByName(nearest_index(rest(truth, "g"), rest(rows, "e")))
 
 
 def classified(truth: DataFrame, rows: DataFrame) -> DataFrame:
     """doc_id, g, e, type and both rows (truth, extracted); unmatched rows are omissions and hallucinations."""
-    whole = lambda d, n: _keyed(d).select("doc_id", F.col("ord").alias(n), F.struct("name", "share_type", "share_count", "k").alias(f"row_{n}"))
+    whole = lambda d, n: d.select("doc_id", F.col("ord").cast("long").alias(n), F.struct("name", F.coalesce("share_type", F.lit("")).alias("share_type"), F.coalesce("share_count", F.lit(0)).cast("long").alias("share_count")).alias(f"row_{n}"))
     both = whole(truth, "g").join(matched(truth, rows), ["doc_id", "g"], "left").join(whole(rows, "e"), ["doc_id", "e"], "full")
     g, e = F.col("row_g"), F.col("row_e")
-    a, b = g["k"]["plain"], e["k"]["plain"]
+    # Names are normalised once, for rows that have a partner; equal ones need no key.
+    pair = g.isNotNull() & e.isNotNull()
+    both = both.withColumn("keys", F.when(pair & (g["name"] != e["name"]), F.struct(scoring_keys(g["name"]).alias("g"), scoring_keys(e["name"]).alias("e"))))
+    a, b, other = F.col("keys.g.plain"), F.col("keys.e.plain"), F.coalesce(~names_match(F.col("keys.g"), F.col("keys.e")), F.lit(False))
     kind = (
         F.when(g.isNull(), "row_hallucination")
         .when(e.isNull(), "row_omission")
-        .when(~names_match(g["k"], e["k"]) & (b != "") & a.startswith(b) & (F.length(b) < F.length(a)), "name_truncation")
-        .when(~names_match(g["k"], e["k"]), "name_corruption")
+        .when(other & (b != "") & a.startswith(b) & (F.length(b) < F.length(a)), "name_truncation")
+        .when(other, "name_corruption")
         .when(g["share_type"] != e["share_type"], "share_type_mismatch")
         .when(g["share_count"] != e["share_count"], "share_count_mismatch")
         .otherwise(CORRECT)
     )
-    slim = lambda r: F.when(r.isNotNull(), F.struct(r["name"].alias("name"), r["share_type"].alias("share_type"), r["share_count"].alias("share_count")))
-    return both.select("doc_id", "g", "e", kind.alias("type"), slim(g).alias("truth"), slim(e).alias("extracted"))
+    return both.select("doc_id", "g", "e", kind.alias("type"), g.alias("truth"), e.alias("extracted"))
 
 
 def failure_counts(found: DataFrame) -> DataFrame:
@@ -108,33 +121,38 @@ def missing_and_extra(truth: DataFrame, rows: DataFrame) -> DataFrame:
     return missing_from(a, b).withColumn("side", F.lit("missing")).unionByName(missing_from(b, a).withColumn("side", F.lit("extra")))
 
 
-def _candidates(truth: DataFrame, rows: DataFrame) -> DataFrame:
-    """Pairs of a document's rows that any pass may take, with what agrees: found by equal count or by equal name keys, so no pair of
-    all rows is made. Names one edit apart share a deletion variant, on which they are joined."""
-    g = _keyed(truth).select("doc_id", F.col("ord").alias("g"), F.struct("name", "share_type", "share_count", "k", "packed").alias("a"))
-    e = _keyed(rows).select("doc_id", F.col("ord").alias("e"), F.struct("name", "share_type", "share_count", "k", "packed").alias("b"))
+def _rows(df: DataFrame, at: str, row: str) -> DataFrame:
+    return _keyed(df).select("doc_id", F.col("ord").alias(at), F.struct("name", "share_type", "share_count", "k", "packed").alias(row))
+
+
+def _agreeing(pairs: DataFrame) -> DataFrame:
+    """doc_id, g, e and what agrees of their rows a and b."""
+    a, b = F.col("a"), F.col("b")
+    packed = a["packed"] == b["packed"]
+    inner = (F.contains(b["packed"], a["packed"]) | F.contains(a["packed"], b["packed"])) & (F.length(a["packed"]) > F.length(b["packed"]))
+    agree = {"packed": packed, "fuzzy": packed | names_match(a["k"], b["k"]), "kind": a["share_type"] == b["share_type"], "count": a["share_count"] == b["share_count"], "inner": inner}
+    return pairs.withColumns(agree).drop("a", "b")
+
+
+def _named(g: DataFrame, e: DataFrame) -> DataFrame:
+    """Pairs of a document's rows whose names agree, with what else agrees. Names one edit apart share a deletion variant, on which
+    they are joined, so no pair of all rows is made."""
 
     def variants(k):
         near = lambda t: F.concat(F.array(t), F.transform(F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t)))))
         return F.array_distinct(F.concat(near(k["packed"]), near(k["bare"])))
 
-    by_count = g.withColumn("x", F.col("a.share_count")).join(e.withColumn("x", F.col("b.share_count")), ["doc_id", "x"]).drop("x")
-    spread = lambda d, c: d.withColumn("x", F.explode(F.array_append(variants(F.col(c)["k"]), F.col(c)["packed"])))
-    by_name = spread(g, "a").join(spread(e, "b"), ["doc_id", "x"]).drop("x")
-    both = by_count.unionByName(by_name).dropDuplicates(["doc_id", "g", "e"])
-    a, b = F.col("a"), F.col("b")
-    packed, fuzzy = a["packed"] == b["packed"], names_match(a["k"], b["k"])
-    kind, count = a["share_type"] == b["share_type"], a["share_count"] == b["share_count"]
-    inner = (F.contains(b["packed"], a["packed"]) | F.contains(a["packed"], b["packed"])) & (F.length(a["packed"]) > F.length(b["packed"]))
-    return both.select("doc_id", "g", "e", packed.alias("packed"), (packed | fuzzy).alias("fuzzy"), kind.alias("kind"), count.alias("count"), inner.alias("inner"))
+    spread = lambda d, c: d.withColumn("x", F.explode(F.array_distinct(F.array_append(variants(F.col(c)["k"]), F.col(c)["packed"]))))
+    pairs = spread(g, "a").join(spread(e, "b"), ["doc_id", "x"]).drop("x").dropDuplicates(["doc_id", "g", "e"])
+    return _agreeing(pairs).where("fuzzy")
 
 
-def _by_passes(passes):
+def _by_passes(passes, first: int):
     """First fit, pass by pass: each truth row in order takes the first free row of its candidates."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, used_g, used_e, out = pdf.sort_values(["g", "e"]), set(), set(), []
-        for number, test in enumerate(passes, 1):
+        for number, test in enumerate(passes, first):
             for r in pdf[test(pdf)].itertuples():
                 if r.g not in used_g and r.e not in used_e:
                     used_g.add(r.g)
@@ -147,16 +165,33 @@ def _by_passes(passes):
 
 _EXACT = lambda p: p["packed"] & p["kind"] & p["count"]
 _FUZZY = lambda p: p["fuzzy"] & p["kind"] & p["count"]
-_COUNT = lambda p: p["count"]
 _NAME = lambda p: p["fuzzy"]
 
 
+def _taken(pairs: DataFrame, passes, first: int) -> DataFrame:
+    kinds = pairs.select("doc_id", "g", "e", F.lit(0).alias("pass_no")).schema
+    return pairs.groupBy("doc_id").applyInPandas(_by_passes(passes, first), kinds)
+
+
 def cascade(truth: DataFrame, rows: DataFrame, by_name: bool = True) -> DataFrame:
-    """doc_id, g, e, pass_no and what agrees: exact, then fuzzy name, then count alone, then (by_name) name alone."""
-    c = _candidates(truth, rows)
-    passes = (_EXACT, _FUZZY, _COUNT, _NAME) if by_name else (_EXACT, _FUZZY, _COUNT)
-    kinds = c.select("doc_id", "g", "e", F.lit(0).alias("pass_no")).schema
-    return c.groupBy("doc_id").applyInPandas(_by_passes(passes), kinds).join(c, ["doc_id", "g", "e"])
+    """doc_id, g, e, pass_no and what agrees: exact, then fuzzy name, then count alone, then (by_name) name alone.
+
+    By count alone, the n-th free row of a document and count meets the n-th on the other side: the first fit, without pairs of all.
+    """
+    g, e = _rows(truth, "g", "a"), _rows(rows, "e", "b")
+    named = written(_named(g, e))
+    first = written(_taken(named.where(F.col("kind") & F.col("count")), (_EXACT, _FUZZY), 1))
+
+    def place(d, at, row):
+        d = d.join(first.select("doc_id", at), ["doc_id", at], "left_anti").select("doc_id", at, F.col(row)["share_count"].alias("n"))
+        return d.withColumn("place", F.row_number().over(Window.partitionBy("doc_id", "n").orderBy(at)))
+
+    third = place(g, "g", "a").join(place(e, "e", "b"), ["doc_id", "n", "place"]).select("doc_id", "g", "e", F.lit(3).alias("pass_no"))
+    used = written(first.unionByName(third))
+    if by_name:
+        free = named.join(used.select("doc_id", "g"), ["doc_id", "g"], "left_anti").join(used.select("doc_id", "e"), ["doc_id", "e"], "left_anti")
+        used = used.unionByName(_taken(free, (_NAME,), 4))
+    return _agreeing(used.join(g, ["doc_id", "g"]).join(e, ["doc_id", "e"]))
 
 
 def errors(truth: DataFrame, rows: DataFrame) -> DataFrame:

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from ..functions import words as W
 from ..functions.rules import is_aggregate_label, is_digit_heavy, name_has_address, usable_name
 from ..functions.text import hint_line, name_prefix, normal_share_type, parse_count, safe_dpi, stripped, totals_in
-from .relational import anchored_groups, in_band, islands, midpoint_bands
+from .relational import anchored_groups, in_band, islands, midpoint_bands, nearest
 
 PAGE = ["doc_id", "page_num"]
+# Share counts with grouped digits, small ones, counts inside a longer word, and face values.
 _COUNT = "^\\d{1,3}(?:,\\d{3})+주?$|^\\d{3,}주$"
 _SMALL = r"^\d{2,4}$"
 _EMBEDDED = "(\\d{1,3}(?:,\\d{3})+)주"
@@ -132,15 +133,15 @@ def rows_from_words(words: DataFrame) -> DataFrame:
     value = F.coalesce(parse_count(F.col("n")), F.lit(0))
     best = F.max_by(F.struct("n", "pass"), F.struct(value, -F.col("yc"), -F.col("word_idx")))
     anchors = groups.groupBy(*PAGE, "grp").agg(F.avg("yc").alias("anchor"), best.alias("best"), F.first("h").alias("ah"))
-    anchors = midpoint_bands(anchors, PAGE, "anchor", F.col("ah") * 2.0).drop("ah")
-    in_rows = in_band(w, anchors, PAGE, "yc")
+    anchors = midpoint_bands(anchors, PAGE, "anchor", F.col("ah") * 2.0)
+    in_rows = in_band(w, anchors.drop("ah"), PAGE, "yc")
     in_name = ((F.col("x2") <= F.col("limit")) | ((F.col("x1") < F.col("limit")) & (F.col("x2") < F.col("sc")))) & ~F.col("label")
     in_name = in_name & ~F.lower("t").isin(*W.HEADINGS) & ~is_digit_heavy(F.col("text")) & ~F.col("typed")
     at = F.struct(F.bround(F.col("yc") / (F.col("h") * 0.5)).alias("y"), "x1", "word_idx", "text")
     names = in_rows.groupBy(*PAGE, "grp").agg(F.first("best").alias("best"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(in_name, at))), lambda s: s["text"]), " ").alias("name"))
-    near = w.where(F.col("typed") & (F.col("x1") > F.col("limit")) & (F.col("x1") < F.col("sc"))).select(*PAGE, "word_idx", "text", "yc", "h").join(anchors.select(*PAGE, "grp", "anchor"), PAGE)
-    near = near.withColumn("d", F.abs(F.col("yc") - F.col("anchor"))).where(F.col("d") <= F.col("h") * 1.5)
-    types = near.groupBy(*PAGE, "grp").agg(F.min_by(normal_share_type(F.col("text")), F.struct("d", "word_idx")).alias("share_type"))
+    # An anchor's type is that of the nearest type word within reach.
+    typed = w.where(F.col("typed") & (F.col("x1") > F.col("limit")) & (F.col("x1") < F.col("sc"))).select(*PAGE, "word_idx", F.col("yc").alias("anchor"), normal_share_type(F.col("text")).alias("type"))
+    types = nearest(anchors.select(*PAGE, "grp", "anchor", "ah"), typed, PAGE, "anchor", "word_idx", "type", F.col("ah") * 1.5).select(*PAGE, "grp", F.col("nearest_type").alias("share_type"))
     out = names.where(stripped(F.col("name")) != "").join(types, [*PAGE, "grp"], "left")
     kind, n = F.coalesce("share_type", F.lit("")), F.col("best.n")
     flags = F.when(F.col("best.pass") == 2, F.array(F.lit("small_sc_2nd_pass"))).when(F.col("best.pass") == 3, F.array(F.lit("embedded_sc_3rd_pass"))).otherwise(F.array().cast("array<string>"))
@@ -173,7 +174,7 @@ def prompt_hints(rows: DataFrame) -> DataFrame:
     a row without a usable name is left out."""
     name = F.element_at("raw_cells", 1)
     cut = name_has_address(name)
-    cells = F.when(cut, F.concat(F.array(F.concat(name_prefix(name), F.lit("..."))), F.slice("raw_cells", 2, 10))).otherwise(F.col("raw_cells"))
+    cells = F.when(cut, F.concat(F.array(F.concat(name_prefix(name), F.lit("..."))), F.slice("raw_cells", 2, F.greatest(F.size("raw_cells"), F.lit(1))))).otherwise(F.col("raw_cells"))
     r = rows.where(usable_name(name)).select(*PAGE, "row_index", cells.alias("cells"))
     r = r.withColumn("line", hint_line(F.col("cells"), F.row_number().over(Window.partitionBy(*PAGE).orderBy("row_index"))))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("row_index", "line"))), lambda x: x["line"])

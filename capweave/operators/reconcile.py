@@ -74,10 +74,10 @@ def override_types(rows: DataFrame, ocr: DataFrame) -> DataFrame:
 
 def correct_face_values(rows: DataFrame, ocr: DataFrame, faces: DataFrame) -> DataFrame:
     """Divides a page's counts by its face value if all are multiples and OCR read the same numbers."""
-    key = F.concat_ws("|", "doc_id", "page_num")
-    agree = sorted_agreement(ocr.where("share_count <> 0").withColumn("key", key), rows.where("share_count > 0").withColumn("key", key), "key", "share_count", W.FACE_AGREEMENT)
+    agree = sorted_agreement(ocr.where("share_count <> 0"), rows.where("share_count > 0"), PAGE, "share_count", W.FACE_AGREEMENT)
     page = Window.partitionBy(*PAGE)
-    out = rows.join(faces, PAGE, "left").withColumn("key", key).join(agree, "key", "left")
+    # Only pages with a face value can change.
+    out = rows.join(faces.join(agree, PAGE), PAGE, "left")
     fits = F.coalesce(F.bool_and((count_of() > 0) & (F.pmod(count_of(), F.col("face_value")) == 0)).over(page) & (F.count("*").over(page) >= 2) & F.col("agree"), F.lit(False))
     out = out.withColumn("__fits", fits)
     flagged = F.when(F.col("__fits"), F.array_append("flags", F.lit("face_value_corrected"))).otherwise(F.col("flags"))

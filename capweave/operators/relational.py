@@ -10,13 +10,6 @@ from pyspark.sql import functions as F
 Cols = Sequence[str]
 
 
-def same(a: DataFrame, b: DataFrame, keys: Cols) -> Column:
-    out = F.lit(True)
-    for k in keys:
-        out = out & a[k].eqNullSafe(b[k])
-    return out
-
-
 def upper_median(x: Column) -> Column:
     """An aggregate: of a small group's values, sorted, the one at index n // 2. Nulls don't count."""
     s = F.array_sort(F.collect_list(x))
@@ -167,12 +160,12 @@ def ordinal_agreement(a: DataFrame, b: DataFrame, key: str, order: Cols, value:
     return both.groupBy(key).agg(F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.bool_and(F.col("a").isNotNull() & F.col("b").isNotNull() & F.col("va").eqNullSafe(F.col("vb"))).alias("agree"))
 
 
-def sorted_agreement(a: DataFrame, b: DataFrame, key: str, value: str, tolerance: float) -> DataFrame:
-    """By key: whether both sorted lists have one length and differ by under `tolerance` of b's value everywhere."""
-    rank = lambda d, n: d.where(F.col(value).isNotNull()).select(key, F.row_number().over(Window.partitionBy(key).orderBy(value)).alias("__o"), F.col(value).alias(n))
-    both = rank(a, "va").join(rank(b, "vb"), [key, "__o"], "full")
+def sorted_agreement(a: DataFrame, b: DataFrame, keys: Cols, value: str, tolerance: float) -> DataFrame:
+    """By keys: whether both sorted lists have one length and differ by under `tolerance` of b's value everywhere."""
+    rank = lambda d, n: d.where(F.col(value).isNotNull()).select(*keys, F.row_number().over(Window.partitionBy(*keys).orderBy(value)).alias("__o"), F.col(value).alias(n))
+    both = rank(a, "va").join(rank(b, "vb"), [*keys, "__o"], "full")
     near = F.coalesce(F.abs(F.col("va") - F.col("vb")) < tolerance * F.greatest(F.col("vb"), F.lit(1)), F.lit(False))
-    return both.groupBy(key).agg(F.bool_and(near).alias("agree"))
+    return both.groupBy(*keys).agg(F.bool_and(near).alias("agree"))
 
 
 def unique_match(a: DataFrame, b: DataFrame, keys: Cols) -> DataFrame:
@@ -240,3 +233,16 @@ def in_ranges(df: DataFrame, number: Column, spec: str) -> DataFrame:
         lo, _, hi = part.partition("-")
         test = test | number.between(int(lo), int(hi or lo))
     return df.where(test)
+
+
+def appended(df: DataFrame, keys: Cols, at: str, **values) -> DataFrame:
+    """With a row behind the last of each key; columns without a value are null."""
+    last = df.groupBy(*keys).agg((F.max(at) + 1).cast(df.schema[at].dataType).alias(at))
+    return df.unionByName(last.withColumns({c: F.lit(v) for c, v in values.items()}), allowMissingColumns=True)
+
+
+def joined(df: DataFrame, keys: Cols, order: Cols, value: str, separator: str = "; ") -> DataFrame:
+    """keys, n and the values of a (small) group in order, as one text."""
+    items = F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("__value"))))
+    out = df.groupBy(*keys).agg(F.count("*").alias("n"), items.alias("__items"))
+    return out.select(*keys, "n", F.array_join(F.transform("__items", lambda x: x["__value"]), separator).alias(value))

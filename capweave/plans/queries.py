@@ -95,18 +95,33 @@ CAST(total AS BIGINT) AS pre_total, CAST(total + ceil(1000000.0 / nullif(round(p
 """
 
 
-@query(_CELLS)
-def sheet_layout(spark, d):
+def _requests(spark, d):
+    """A round of each customer: orders are the holders, one investor pays a million."""
     o = _t(spark, d, "orders")
     holder = F.struct(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("name"), F.lit("").alias("share_type"), F.col("o_orderkey").cast("bigint").alias("share_count"))
     r = o.groupBy(F.col("o_custkey").cast("string").alias("doc_id")).agg(F.array_sort(F.collect_list(holder)).alias("shareholders"), F.sum(_money("o_totalprice")).cast("decimal(20,0)").alias("pre_money"))
-    r = r.withColumn("investors", F.array(F.struct(F.lit("lead").alias("name"), F.lit("RCPS").alias("share_type"), F.lit(1_000_000).cast("decimal(20,0)").alias("amount"))))
+    return r.withColumn("investors", F.array(F.struct(F.lit("lead").alias("name"), F.lit("RCPS").alias("share_type"), F.lit(1_000_000).cast("decimal(20,0)").alias("amount"))))
+
+
+@query(_CELLS)
+def sheet_layout(spark, d):
     at = lambda s: F.max(F.when(F.col("section") == s, F.col("row_no"))).cast("long")
     n = lambda s: F.max(F.when(F.col("section") == s, F.col("shares")))
-    out = captable.cells(r).groupBy("doc_id").agg(at("pre_total").alias("total_row"), at("amount").alias("amount_row"), F.max("row_no").cast("long").alias("last_row"), n("pre_total").alias("pre_total"), n("post_total").alias("post_total"))
+    out = captable.cells(_requests(spark, d)).groupBy("doc_id").agg(at("pre_total").alias("total_row"), at("amount").alias("amount_row"), F.max("row_no").cast("long").alias("last_row"), n("pre_total").alias("pre_total"), n("post_total").alias("post_total"))
     return out.where("pre_total > 0")
 
 
+@query("""WITH o AS (SELECT CAST(o_custkey AS VARCHAR) AS doc_id, o_orderpriority AS name, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_custkey) AS n, round(CAST(CAST(sum(CAST(o_totalprice AS DECIMAL(20,2))) OVER (PARTITION BY o_custkey) AS DECIMAL(20,0)) AS BIGINT) / sum(o_orderkey) OVER (PARTITION BY o_custkey), 0) AS price, sum(o_orderkey) OVER (PARTITION BY o_custkey) AS total FROM orders),
+u AS (SELECT DISTINCT doc_id, n FROM o WHERE total > 0),
+l AS (SELECT doc_id, 14 + i AS row_no, 'pre' AS section, name, '0.00%' AS number_format, NULL AS merged FROM o WHERE total > 0 UNION ALL SELECT doc_id, 22 + n + i, 'post', name, '0.00%', NULL FROM o WHERE total > 0
+UNION ALL SELECT doc_id, 14 + n, 'pre_total', 'total', '0.00%', 'C:D' FROM u UNION ALL SELECT doc_id, 18 + n, 'amount', 'lead', '_-* #,##0_-;\\-* #,##0_-;_-* "-"_-;_-@_-', 'G:H' FROM u UNION ALL SELECT doc_id, 19 + n, 'issue', 'lead', '#,##0', 'G:H' FROM u
+UNION ALL SELECT doc_id, 22 + 2 * n, 'post', 'lead', '0.00%', 'G:H' FROM u UNION ALL SELECT doc_id, 23 + 2 * n, 'post_total', 'total', '0.00%', 'C:D' FROM u)
+SELECT doc_id, CAST(row_no AS BIGINT) AS row_no, section, name, number_format, merged FROM l""")
+def sheet_cells(spark, d):
+    out = captable.cells(_requests(spark, d).where("exists(shareholders, h -> h.share_count > 0)"))
+    return out.select("doc_id", F.col("row_no").cast("long").alias("row_no"), "section", "name", "number_format", "merged")
+
+
 # ---------------------------------------------------------------- scalar functions
 
 
@@ -201,12 +216,14 @@ def column_outlier_filter(spark, d):
 
 
 _FORM = " + ".join(f"CAST(contains(html, '{w}') AS INT)" for w in ("<b>", "<table", "footer", "advert", "&amp;"))
+_LONG, _BARE = "length(html) % 10 / 10.0", "length(url) % 10 / 10.0"
 
 
-@query(f"SELECT page_id, CAST({_FORM} AS BIGINT) AS hits FROM pages WHERE ({_FORM}) >= 3")
+@query(f"SELECT page_id, CAST({_FORM} AS BIGINT) AS hits FROM pages WHERE ({_FORM}) >= 3 OR (({_FORM}) >= 2 AND {_LONG} >= 0.3 AND {_BARE} >= 0.5)")
 def page_form_reject(spark, d):
-    p = _t(spark, d, "pages").select("page_id", text.count_contained(F.col("html"), ("<b>", "<table", "footer", "advert", "&amp;")).cast("long").alias("hits"))
-    return p.where(rules.is_form_page(F.col("hits"), F.lit(0.0), F.lit(0.0)))
+    hits = text.count_contained(F.col("html"), ("<b>", "<table", "footer", "advert", "&amp;")).cast("long")
+    p = _t(spark, d, "pages").select("page_id", hits.alias("hits"), F.expr(_LONG).cast("double").alias("long"), F.expr(_BARE).cast("double").alias("untyped"))
+    return p.where(rules.is_form_page(F.col("hits"), F.col("long"), F.col("untyped"))).select("page_id", "hits")
 
 
 # ---------------------------------------------------------------- joins
@@ -254,7 +271,7 @@ _SORTED = "SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER B
 FROM a FULL JOIN b ON a.l_orderkey = b.l_orderkey AND a.o = b.o GROUP BY 1""")
 def sorted_agreement(spark, d):
     li = _t(spark, d, "lineitem")
-    return R.sorted_agreement(li.where("l_returnflag = 'A'"), li.where("l_returnflag = 'R'"), "l_orderkey", "l_quantity", 0.5)
+    return R.sorted_agreement(li.where("l_returnflag = 'A'"), li.where("l_returnflag = 'R'"), ["l_orderkey"], "l_quantity", 0.5)
 
 
 @query("""WITH a AS (SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' GROUP BY 1 HAVING count(*) = 1), b AS (SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'O' GROUP BY 1 HAVING count(*) = 1)
@@ -385,7 +402,7 @@ def duplicate_page_ratio(spark, d):
 
 def _simulated(spark, d):
     """Parts as truth, and as rows read with faults: even documents lose rows, odd ones gain some."""
-    p = _t(spark, d, "part").select((F.col("p_partkey") % 10).cast("string").alias("doc_id"), F.col("p_partkey").alias("ord"), "p_partkey", F.col("p_brand").alias("share_type"), F.concat("p_name", F.lit(" fund "), F.col("p_partkey").cast("string")).alias("name"), (F.col("p_partkey") + 1).alias("share_count"))
+    p = _t(spark, d, "part").select(F.expr("CAST(p_partkey div 200 * 2 + p_partkey % 2 AS STRING)").alias("doc_id"), F.col("p_partkey").alias("ord"), "p_partkey", F.col("p_brand").alias("share_type"), F.concat("p_name", F.lit(" fund "), F.col("p_partkey").cast("string")).alias("name"), (F.col("p_partkey") + 1).alias("share_count"))
     truth = p.where("NOT (p_partkey % 2 = 1 AND p_partkey % 17 = 0)")
     read = p.where("NOT (p_partkey % 2 = 0 AND p_partkey % 13 = 0)")
     k = F.col("p_partkey")
@@ -399,7 +416,7 @@ def failure_taxonomy(spark, d):
     return evaluate.failure_counts(evaluate.classified(*_simulated(spark, d)))
 
 
-@query("""SELECT CAST(p_partkey % 10 AS VARCHAR) AS doc_id, count(*) FILTER (NOT (p_partkey % 2 = 1 AND p_partkey % 17 = 0)) AS n_truth, count(*) FILTER (NOT (p_partkey % 2 = 1 AND p_partkey % 17 = 0) AND NOT (p_partkey % 2 = 0 AND p_partkey % 13 = 0) AND p_partkey % 7 NOT IN (1, 2, 3)) AS n_correct FROM part GROUP BY 1""")
+@query("""SELECT CAST(p_partkey // 200 * 2 + p_partkey % 2 AS VARCHAR) AS doc_id, count(*) FILTER (NOT (p_partkey % 2 = 1 AND p_partkey % 17 = 0)) AS n_truth, count(*) FILTER (NOT (p_partkey % 2 = 1 AND p_partkey % 17 = 0) AND NOT (p_partkey % 2 = 0 AND p_partkey % 13 = 0) AND p_partkey % 7 NOT IN (1, 2, 3)) AS n_correct FROM part GROUP BY 1""")
 def score_documents(spark, d):
     return evaluate.accuracy(evaluate.classified(*_simulated(spark, d))).select("doc_id", "n_truth", "n_correct")
 
@@ -413,12 +430,12 @@ def uniform_ratio(spark, d):
 _FAULT = "CASE WHEN k % 2 = 0 AND k % 13 = 0 THEN 'row_omission' WHEN k % 2 = 1 AND k % 17 = 0 THEN 'row_hallucination' WHEN k % 7 = 1 THEN 'name_truncation' WHEN k % 7 = 2 THEN 'name_corruption' WHEN k % 7 = 3 THEN 'share_type_mismatch' END"
 
 
-@query(f"SELECT error, count(*) AS n, count(DISTINCT d) AS documents FROM (SELECT {_FAULT} AS error, k % 10 AS d FROM (SELECT p_partkey AS k FROM part)) WHERE error IS NOT NULL GROUP BY 1")
+@query(f"SELECT error, count(*) AS n, count(DISTINCT d) AS documents FROM (SELECT {_FAULT} AS error, k // 200 * 2 + k % 2 AS d FROM (SELECT p_partkey AS k FROM part)) WHERE error IS NOT NULL GROUP BY 1")
 def cascade_errors(spark, d):
     return evaluate.error_report(evaluate.errors(*_simulated(spark, d))).select("error", "n", "documents")
 
 
-@query(f"SELECT CAST(k % 10 AS VARCHAR) AS doc_id, bool_and(e IS NULL) AS passed FROM (SELECT k, {_FAULT} AS e FROM (SELECT p_partkey AS k FROM part)) GROUP BY 1")
+@query(f"SELECT CAST(k // 200 * 2 + k % 2 AS VARCHAR) AS doc_id, bool_and(e IS NULL) AS passed FROM (SELECT k, {_FAULT} AS e FROM (SELECT p_partkey AS k FROM part)) GROUP BY 1")
 def pass_or_fail(spark, d):
     return evaluate.passed(*_simulated(spark, d))
 
@@ -441,9 +458,9 @@ def optional_results(spark, d):
     return _t(spark, d, "orders").select("o_orderkey", "o_custkey").join(n, "o_orderkey", "left").na.fill(0, ["n"])
 
 
-@query("SELECT doc_id, length(trim(text)) > 20 AS has_text FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, coalesce(length(trim(text)) > 20, false) AS has_text FROM documents")
 def text_layer_probe(spark, d):
-    return layout.text_layers(_t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text"))
+    return layout.text_layers(_t(spark, d, "documents").select("doc_id", "text"))
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_custkey BETWEEN 1 AND 1 OR o_custkey BETWEEN 3 AND 3 OR o_custkey BETWEEN 7 AND 13")
@@ -453,23 +470,31 @@ def subset_ranges(spark, d):
 
 @query("""SELECT l_orderkey AS doc_id, count(*) AS n, string_agg(l_returnflag, '; ' ORDER BY l_linenumber, l_partkey, l_suppkey) AS warnings FROM lineitem GROUP BY 1""")
 def joined_warnings(spark, d):
-    items = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")))  # of one order
-    out = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.count("*").alias("n"), items.alias("i"))
-    return out.select("doc_id", "n", F.array_join(F.transform("i", lambda x: x["l_returnflag"]), "; ").alias("warnings"))
+    li = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), "l_linenumber", "l_partkey", "l_suppkey", F.col("l_returnflag").alias("warnings"))
+    return R.joined(li, ["doc_id"], ["l_linenumber", "l_partkey", "l_suppkey"], "warnings")
 
 
-@query()
+@query("""WITH RECURSIVE g AS (SELECT o_custkey AS doc, o_orderkey AS g, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders WHERE o_orderstatus = 'F'),
+e AS (SELECT o_custkey AS doc, list(o_orderkey) AS free FROM orders WHERE o_orderstatus = 'O' GROUP BY 1),
+r AS (SELECT doc, CAST(0 AS BIGINT) AS i, free, CAST(NULL AS BIGINT) AS g, CAST(NULL AS BIGINT) AS e FROM e
+UNION ALL SELECT doc, i, list_filter(free, lambda x: x <> best), g, best FROM (SELECT r.doc, g.i, r.free, g.g, list_sort(list_transform(r.free, lambda x: {'d': abs(x - g.g), 'x': x}))[1].x AS best FROM r JOIN g ON g.doc = r.doc AND g.i = r.i + 1 WHERE len(r.free) > 0))
+SELECT doc AS doc_id, g, e FROM r WHERE i > 0""")
 def greedy_match(spark, d):
-    """One-to-one by nearest order key within a customer; a pick depends on those before, so there is no SQL for it."""
+    """One-to-one by nearest order key within a customer; a pick depends on those before."""
     o = _t(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("ord"), "o_orderstatus")
     return evaluate.nearest_index(o.where("o_orderstatus = 'F'"), o.where("o_orderstatus = 'O'"))
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT o_custkey // 10 AS doc, year(o_orderdate) * 4 + quarter(o_orderdate) AS page, o_custkey AS name FROM orders),
+p AS (SELECT doc, page, list(name) AS names, row_number() OVER (PARTITION BY doc ORDER BY page) AS i FROM o GROUP BY doc, page),
+r AS (SELECT doc, page, i, names AS seen, true AS kept FROM p WHERE i = 1
+UNION ALL SELECT doc, page, i, CASE WHEN new THEN list_concat(seen, names) ELSE seen END, new FROM (SELECT p.doc, p.page, p.i, r.seen, p.names, len(p.names) < 2 OR len(list_filter(p.names, lambda x: list_contains(r.seen, x))) / len(p.names) < 0.5 AS new FROM r JOIN p ON p.doc = r.doc AND p.i = r.i + 1))
+SELECT CAST(doc AS BIGINT) AS doc_id, CAST(page AS BIGINT) AS page_num FROM r WHERE kept""")
 def repeated_pages(spark, d):
-    """Accepted months of a nation's customers; whether one is accepted depends on those before."""
-    o = _t(spark, d, "orders").join(_t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    rows = o.select(F.col("c_nationkey").alias("doc_id"), (F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("page_num"), F.col("o_orderkey").alias("row_index"), F.col("c_name").alias("name"), F.col("o_orderkey").alias("share_count"))
+    """Accepted quarters of ten customers' orders; whether one is accepted depends on those before."""
+    o = _t(spark, d, "orders")
+    page = (F.year("o_orderdate") * 4 + F.quarter("o_orderdate")).cast("long")
+    rows = o.select(F.expr("o_custkey div 10").alias("doc_id"), page.alias("page_num"), F.col("o_orderkey").alias("row_index"), F.col("o_custkey").cast("string").alias("name"), F.col("o_orderkey").alias("share_count"))
     return reconcile.drop_repeated_pages(rows).select("doc_id", "page_num").distinct()
 
 

@@ -11,6 +11,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 def spark():
     from pyspark.sql import SparkSession
 
+    os.environ.setdefault("OMP_NUM_THREADS", "1")  # eight workers share the processors
     os.environ["PYTHONPATH"] = f"{Path(__file__).resolve().parent.parent}:{os.environ.get('PYTHONPATH', '')}"
     conf = {"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "6g", "spark.ui.showConsoleProgress": "false"}
     session = SparkSession.builder.master("local[8]").config(map=conf).getOrCreate()

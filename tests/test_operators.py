@@ -210,6 +210,47 @@ def test_nearest_index_takes_the_lower_of_two(spark):
     assert {(r["g"], r["e"]) for r in evaluate.nearest_index(left, right).collect()} == {(6, 4), (7, 8)}
 
 
+def test_nearest_index_equals_the_plain_search(spark):
+    import random
+
+    r = random.Random(5)
+    sides = [(d, r.randrange(400)) for d in ("x", "y") for _ in range(150)], [(d, r.randrange(400)) for d in ("x", "y", "z") for _ in range(140)]
+    sides = [sorted(set(s)) for s in sides]
+    want = set()
+    for d in ("x", "y"):
+        free = [o for k, o in sides[1] if k == d]
+        for g in (o for k, o in sides[0] if k == d):
+            if free:
+                best = min(free, key=lambda e: (abs(e - g), e))
+                free.remove(best)
+                want.add((d, g, best))
+    left, right = (spark.createDataFrame(s, "doc_id string, ord int") for s in sides)
+    assert {tuple(x) for x in evaluate.nearest_index(left, right).collect()} == want
+
+
+def test_rows_without_counts_pair_by_place(spark):
+    """Sixty rows of one count are paired one by one, not all with all."""
+    truth = register(spark, *[(f"holder number {i}", "", None) for i in range(60)])
+    got = register(spark, *[(f"another {i * 1000}", "", 0) for i in range(50)])
+    m = evaluate.cascade(truth, got, by_name=False)
+    assert sorted((x["g"], x["e"], x["pass_no"]) for x in m.collect()) == [(i, i, 3) for i in range(50)]
+
+
+def test_hints_keep_all_cells(spark):
+    cells = ["홍길순 서울시 마포구", *[str(i) for i in range(20)]]
+    got = layout.prompt_hints(rows(spark, ("홍길순", "", 1, cells)))
+    assert got.first()["hint"] == "1: 홍길순... | " + " | ".join(cells[1:])
+
+
+def test_reports_have_sections(spark):
+    from capweave.sources import sinks
+
+    truth, got = register(spark, ("가나다", "", 10), ("라마바", "", 20)), register(spark, ("가나다", "", 10))
+    report = sinks.report_sections(evaluate.accuracy(evaluate.classified(truth, got)), evaluate.passed(truth, got), evaluate.error_report(evaluate.errors(truth, got)), evaluate.root_causes(evaluate.error_profile(truth, got)))
+    lines = [r["value"] for r in report.orderBy("part", "line").collect()]
+    assert lines == ["# Documents", "d | FAIL | 1/2", "# Errors", "row_omission | 1 | 1", "# Causes", "rows left out | 1"]
+
+
 def test_relational_edges(spark):
     v = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (1, 4), (2, 7), (2, None)], "k int, v int")
     assert {tuple(r) for r in v.groupBy("k").agg(R.upper_median(F.col("v"))).collect()} == {(1, 3), (2, 7)}

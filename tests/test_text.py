@@ -27,6 +27,13 @@ def test_normal_share_type(spark):
     assert values(spark, text.known_share_type, "기타", "우선", "", "RCPS") == ["", "우선주", "", "RCPS"]
 
 
+def test_nothing_is_cut_off(spark):
+    many = "가" + " (주식회사 나)" * 12
+    assert values(spark, text.strip_parentheses, many, many + " (A)", "가", None, "", ")(") == ["가", many + " (A)", "가", None, "", ")("]
+    long = " ".join(["홍길순", *["가나"] * 30, "부산"])
+    assert values(spark, rules.name_has_address, long, "", " ") == [True, False, False]
+
+
 def test_strip_parentheses(spark):
     got = values(spark, text.strip_parentheses, "가펀드 (업무집행조합원 나)", "가(주)", "가 (재단법인 (나)) (123-45-67890)", "가펀드(A 주식회사) (B 유한회사)", "가 (SUP)", "가 (123-45-67890)", "가")
     assert got == ["가펀드", "가(주)", "가 (재단법인 (나))", "가펀드", "가 (SUP)", "가", "가"]
