@@ -10,8 +10,11 @@ Of each window of N words, the symbol of the highest level that has one within (
 the smallest name is its anchor. Windows are dealt by anchor, neighbours with one anchor together. An anchor
 that occurs once reveals that its windows are unique; the others are verified by a hash of all N words
 (40 bits beside the anchor's 48). Of equal windows, all but the first by (doc_id, start) are marked, and
-every word that a marked window covers goes. Windows that repeat within a task's rows are marked there
-and only the first is dealt, so a passage in a third of all rows counts once a task.
+every word that a marked window covers goes. Windows that repeat within some megabytes of rows are marked there
+and only the first is dealt, so a passage in a third of all rows counts once for these.
+
+Names are hashes of what they name, so all tasks give the same names without asking each other; the Spark job has one exchange
+(windows by anchor) instead of one a round, and a second one that brings the marks to the documents.
 
 Nulls: a null text has no words. A null doc_id is after all others. doc_id names a document: rows that
 share one are marked alike, position by position. Texts of fewer than N words keep all of them. Marks go
@@ -35,6 +38,8 @@ ROUNDS = 2
 LAST_ID = (1 << 63) - 1
 #: Marks of at most so many bytes and rows are broadcast.
 BROADCAST_MARK_BYTES, BROADCAST_MARK_ROWS = 64 << 20, 500_000
+#: Bytes of text for which there are eight buckets at least.
+PART_BYTES = 32 << 20
 MARK = np.dtype([("doc", "<i8"), ("start", "<u4"), ("count", "<u4")])
 SEGMENT = np.dtype([("doc", "<i8"), ("name", "u1", 6), ("start", "<u4"), ("count", "<u4")])
 
@@ -169,12 +174,13 @@ def _deal(buckets: int):
                 starts = np.flatnonzero(place + N <= count[row]) if len(row) else np.zeros(0, np.int64)
                 if not len(starts):
                     continue
+                # Symbols are named first; windows with one anchor and the same words are then one kind.
+                name = anchors(words.hash, row, words.first, starts)
                 whole = window_hashes(words.hash, starts)
                 doc, start = ids[row[starts]], place[starts]
-                first, later = _later(whole, doc, start)
+                first, later = _later(mix(mix(name) + whole), doc, start)
                 marks = _marks(doc[later], start[later])
-                name = anchors(words.hash, row, words.first, starts)[first]
-                whole, doc, start = whole[first], doc[first], start[first]
+                name, whole, doc, start = name[first], whole[first], doc[first], start[first]
                 bucket = (name % U(buckets)).astype(np.int32)
                 order = np.lexsort((start, doc, bucket))
                 name, whole, doc, start, bucket = name[order], whole[order], doc[order], start[order], bucket[order]
@@ -258,6 +264,8 @@ def _gather(batches):
 def repeat_marks(docs: DataFrame) -> DataFrame:
     """doc (the id, LAST_ID for null), marks: packed (doc, start, count) of window starts, by document."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Buckets are counted from the bytes of the texts, so that their size stays, however large the input is.
+    parts = max(parts, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), "text")
     dealt = by_batches(rows, _deal(8 * parts), "bucket int, segments binary, hashes binary, marks binary")
     found = dealt.repartition(4 * parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_find(2 * parts), "target int, marks binary")
