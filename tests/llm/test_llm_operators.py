@@ -400,6 +400,42 @@ def test_licenses(spark):
     assert found(3) == {"apache"} and not found(7) and out[4]["score"] == out[5]["score"] == 0 and not out[6]["base"]
 
 
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_licenses_equal_the_plain_search(spark):
+    """Every stretch of whole words against every notice; base places word by word."""
+    r, notices = random.Random(12), [n for n in licenses.NOTICES if len(n.phrase) < 30]
+    texts = []
+    for i in range(60):
+        w = [r.choice(["alpha", "beta", "mit", "license", "public", "general", "mozilla"]) for _ in range(r.randrange(4))]
+        t = list(r.choice(notices).phrase)
+        for _ in range(r.randrange(5)):
+            t[r.randrange(len(t))] = r.choice(["", "q", "e", "li"])
+        texts.append(" ".join(w) + r.choice([" ", ", ", "\n"]) + r.choice(["".join(t), "".join(t).title()]) + r.choice(["", " é end", "-mit license"]))
+    rows = [*enumerate(texts), (None, "MIT License"), (0, "MIT License"), (0, "MIT License"), (61, None), (62, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"found": F.lit(1), "score": F.lit("x"), "base": F.lit(0)})
+    got = Counter((x["doc_id"], x["n_words"], tuple((b["word"], b["label"]) for b in x["base"]), tuple(sorted({f["label"] for f in x["found"]})), round(x["score"], 9)) for x in licenses.license_scan(df.repartition(3), tuple(notices)).collect())
+    want = Counter()
+    for k, t in rows:
+        w = brute.PLAIN.findall((t or "").translate(brute.LOWER))
+        base = sorted((i, label) for phrase, label in licenses.BASE for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split())
+        best = {}
+        for n in notices:
+            for i in range(len(w)):
+                for j in range(i + 1, len(w) + 1):
+                    if abs(len(" ".join(w[i:j])) - len(n.phrase)) <= n.edits and (e := _edits(" ".join(w[i:j]), n.phrase)) <= n.edits:
+                        best[n.label] = max(best.get(n.label, 0), 1 - e / len(n.phrase))
+        want[k, len(w), tuple(base), tuple(sorted(best)), round(max([float(bool(base)), *best.values()]), 9)] += 1
+    assert got == want and licenses.license_scan(df.limit(0)).count() == 0
+
+
 def test_every_edit_within_the_bound_is_found():
     r, finder = random.Random(4), licenses.NoticeFinder()
     for k, n in enumerate(licenses.NOTICES):
@@ -574,6 +610,49 @@ def test_toxicity(spark):
     assert toxicity.clean(df.limit(0), lab).count() == 0
 
 
+def _newton(x, z, y, ridge):
+    """(weights, dense weights, bias) of the same model by Newton steps on whole matrices."""
+    std = np.maximum(z.std(0), 1e-6) if z.size else np.ones(z.shape[1])
+    a = np.hstack((x, z / std, np.ones((len(y), 1))))
+    w, keep = np.zeros(a.shape[1]), np.append(np.full(a.shape[1] - 1, ridge), 0.0)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-(a @ w)))
+        w = w - np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + np.diag(keep + 1e-12), a.T @ (p - y) + keep * w)
+    return np.append(w[: x.shape[1]], np.append(w[x.shape[1] : -1] / std, w[-1]))
+
+
+def test_chain_by_hand():
+    """Two categories on eighty rows of six words: out-of-fold log odds of the first feed the second."""
+    r = np.random.default_rng(4)
+    n, ids = 80, np.arange(100, 180)
+    known = [np.array([1, 3, 5, 7], np.uint64), np.array([2, 3, 11], np.uint64)]
+    x = r.random((n, 12)) < 0.4
+    first = (x[:, 1] | (r.random(n) < 0.2)).astype(float)
+    y = np.stack((first, ((x[:, 2] & (first > 0)) | (r.random(n) < 0.1)).astype(float)), 1)
+    y[:5, 1] = np.nan
+    row, h = np.nonzero(x)
+    model = toxicity.fit_chain(["a", "b"], known, ids, row, h.astype(np.uint64), y)
+    fold = (toxicity.mix(ids.astype(np.uint64) + np.uint64(toxicity._SEED)) % np.uint64(toxicity.FOLDS)).astype(int)
+    odds, scored = np.zeros((n, 2)), np.zeros((n, 2))
+    for k in range(2):
+        own, there = x[:, known[k].astype(int)].astype(float), ~np.isnan(y[:, k])
+        apply = lambda w, before: np.clip(own @ w[: own.shape[1]] + before[:, :k] @ w[own.shape[1] : -1] + w[-1], -12, 12)  # noqa: E731, B023
+        for f in range(toxicity.FOLDS):
+            use = there & (fold != f)
+            odds[fold == f, k] = apply(_newton(own[use], odds[use, :k], y[use, k], toxicity.RIDGE), odds)[fold == f]
+        scored[:, k] = apply(_newton(own[there], odds[there, :k], y[there, k], toxicity.RIDGE), scored)
+    assert np.abs(model.score(row, h.astype(np.uint64), n) - 1 / (1 + np.exp(-scored))).max() < 0.01
+
+
+def test_one_row_of_a_repeated_id_reaches_the_driver(spark, monkeypatch):
+    seen, fit = [], toxicity.fit_chain
+    monkeypatch.setattr(toxicity, "fit_chain", lambda names, known, ids, *rest: (seen.append(sorted(ids)), fit(names, known, ids, *rest))[1])
+    docs = spark.createDataFrame([(i % 10, f"word{i % 3} text bad{i % 2} same") for i in range(400)], "doc_id bigint, text string").withColumns({"__text": F.lit(1), "row": F.lit(2), "rejected": F.lit(3)})
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(10)], "doc_id bigint, quality int, toxic int")
+    out = toxicity.clean(docs, labels)
+    assert seen == [list(range(10))] and out.columns == docs.columns
+
+
 def test_crc_and_size(spark):
     out = sharding.shard_documents(spark.createDataFrame([(1, "é", 10, zlib.crc32("é".encode()))], "doc_id bigint, text string, size bigint, text_crc32 bigint"), 3, 4).first()
     assert out["slot"] == 0 and out["size"] == 10
