@@ -34,11 +34,10 @@ def _hashes(text: Column) -> Column:
 
 
 def _names(hashes: Column, n: int) -> Column:
-    """(at, n, name) of every window of n words, given the words' hashes."""
-    picked = sorted({0, (n - 1) // 3, 2 * (n - 1) // 3, n - 1})
-    one = lambda h, i: F.struct(i.alias("at"), F.lit(n).alias("n"), F.xxhash64(F.lit(n), *[h[i + k] for k in picked]).alias("name"))
-    windows = lambda h: F.when(F.size(h) >= n, F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: one(h, i)))
-    return F.coalesce(windows(hashes), F.array().cast("array<struct<at:int,n:int,name:bigint>>"))
+    """The names of all windows of n words, by place, given the words' hashes."""
+    others = sorted({(n - 1) // 3, 2 * (n - 1) // 3, n - 1} - {0})
+    windows = F.transform(F.slice(hashes, 1, F.greatest(F.size(hashes) - n + 1, F.lit(0))), lambda x, i: F.xxhash64(F.lit(n), x, *[hashes[i + k] for k in others]))
+    return F.when(F.size(hashes) >= n, windows).otherwise(F.array().cast("array<bigint>"))
 
 
 def _once(value: Column, use) -> Column:
@@ -55,7 +54,7 @@ def item_windows(items: DataFrame, n: int = N) -> DataFrame:
     """n, name, window and the ids of the items that hold it."""
     every = lambda h: F.coalesce(*[F.when(F.size(h) == k, _names(h, k)) for k in range(1, n)], _names(h, n))
     w = items.select(F.col("item_id").cast("string").alias("item"), words_of(F.col("text")).alias("w"))
-    w = w.select("item", "w", F.inline(_once(F.transform("w", lambda x: F.xxhash64(x)), every)))
+    w = w.select("item", "w", F.least(F.size("w"), F.lit(n)).alias("n"), F.posexplode(_once(F.transform("w", lambda x: F.xxhash64(x)), every)).alias("at", "name"))
     return w.select("item", "n", "name", _window(F.col("w"), F.col("at"), F.col("n")).alias("window")).groupBy("n", "name", "window").agg(F.collect_set("item").alias("items"))
 
 
@@ -63,13 +62,18 @@ def _candidates(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """doc_id, key (hash of the text), copies, n_words, places (at, n) by distinct row of docs; windows: written item_windows()."""
     sizes = [r["n"] for r in windows.select("n").distinct().collect()]  # at most N of them
     names = fitted(windows.select(F.col("name").alias("wanted")).distinct())
-    marker = lambda h: F.array(F.struct(F.lit(-1).alias("at"), F.size(h).alias("n"), F.lit(None).cast("bigint").alias("name")))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), F.inline(_once(_hashes(F.col("text")), lambda h: F.concat(marker(h), *[_names(h, k) for k in sizes]))))
-    found = rows.join(names, F.col("name") == F.col("wanted"), "left").where("at < 0 OR wanted IS NOT NULL")
+    # A row's first list has one null in the place of a name, and tells its number of words.
+    lists = lambda h: F.array(
+        F.struct(F.lit(0).alias("n"), F.size(h).alias("words"), F.array(F.lit(None).cast("bigint")).alias("names")),
+        *[F.struct(F.lit(k).alias("n"), F.lit(0).alias("words"), _names(h, k).alias("names")) for k in sizes],
+    )
+    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), F.inline(_once(_hashes(F.col("text")), lists)))
+    rows = rows.select("doc_id", "key", "n", "words", F.posexplode("names").alias("at", "name"))
+    found = rows.join(names, F.col("name") == F.col("wanted"), "left").where("n = 0 OR wanted IS NOT NULL")
     return found.groupBy("doc_id", "key").agg(
-        F.count_if(F.col("at") < 0).alias("copies"),
-        F.max(F.when(F.col("at") < 0, F.col("n"))).cast("long").alias("n_words"),
-        F.collect_set(F.when(F.col("at") >= 0, F.struct("at", "n"))).alias("places"),
+        F.count_if(F.col("n") == 0).alias("copies"),
+        F.max("words").cast("long").alias("n_words"),
+        F.collect_set(F.when(F.col("n") > 0, F.struct("at", "n"))).alias("places"),
     )
 
 
