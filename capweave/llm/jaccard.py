@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, by_batches, fitted, table, written
+from .common import BROADCAST_ROWS, by_batches, dropped, fitted, table, written
 from .components import Forest, components
 from .words import U, Words, mix, row_groups, windows
 
@@ -268,7 +268,7 @@ def class_components(docs: DataFrame, classes: DataFrame) -> DataFrame:
     firsts = written(firsts.select("cls", F.col("f.doc_id").alias("d"), F.col("f.key").alias("key")))
     groups = written(candidate_groups(classes))
     tasks = _grid(groups).groupBy("cls").agg(F.collect_list(F.struct("grp", "a", "b")).alias("tasks"))
-    wanted = written(firsts.join(tasks, "cls"))
+    wanted = wanted_table = written(firsts.join(tasks, "cls"))
     # A class of a large group has many tasks, so they are counted, not the rows.
     if (wanted.agg(F.sum(F.size("tasks"))).first()[0] or 0) <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
@@ -278,6 +278,8 @@ def class_components(docs: DataFrame, classes: DataFrame) -> DataFrame:
     sets = sets.select("cls", "s", F.inline("tasks"))
     edges = written(sets.groupBy("grp", "a", "b").applyInArrow(_join_group, "cls long, low long"))
     roots = components(edges).withColumnRenamed("v", "cls")
+    for done in (groups, wanted_table, edges):
+        dropped(done)
     comp = firsts.join(roots, "cls", "left").select("cls", "d", "key", F.coalesce("root", "cls").alias("root"))
     least = comp.groupBy("root").agg(F.min(F.struct(F.col("d").isNull(), F.col("d"), F.col("key"))).alias("f"))
     return comp.join(least, "root").select("cls", F.col("f.d").alias("component_id"), F.col("f.key").alias("keep_key"))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import dropped, table, written
 from .components import components
 from .words import U, mix
 
@@ -403,18 +403,26 @@ def near_links(classes: DataFrame, least: float = THRESHOLD, recall: float = REC
             truth = written(per_class(search(asked, bare)))
             if truth.where(F.col("k") <= FEW).count() >= EVIDENCE or 4 * draw > min(n, AUDIT_MOST):
                 break
+            dropped(asked)
+            dropped(truth)
             draw *= 4
         probes = rows.where(_drawn(min(1.0, AUDIT / n)))
         known = written(probes.select("cls", F.lit(1).cast("long").alias("k")))
         probes = _packed(probes.select("cls", "dim", "embedding").mapInArrow(_probes(least), "cls long, dim int, embedding array<float>"))
         while ef < largest:
-            real, planted = shares(truth, per_class(search(asked, graphs, ef))), shares(known, per_class(search(probes, graphs, ef, True)))
+            tried = search(asked, graphs, ef), search(probes, graphs, ef, True)
+            real, planted = shares(truth, per_class(tried[0])), shares(known, per_class(tried[1]))
+            dropped(tried[0])
+            dropped(tried[1])
             got = min(x for x in (*real[2:], planted[2], 1.0) if x is not None)
             if got >= recall:
                 break
             ef *= 2
-    whole = ef >= largest
-    return Links(search(_packed(rows), bare if whole else graphs, ef), 0 if whole else ef, 1.0 if whole else got)
+    whole, blocks = ef >= largest, _packed(rows)
+    out = Links(search(blocks, bare if whole else graphs, ef), 0 if whole else ef, 1.0 if whole else got)
+    dropped(graphs)
+    dropped(blocks)
+    return out
 
 
 def embedding_duplicates(rows: DataFrame, least: float = THRESHOLD) -> DataFrame:
