@@ -15,6 +15,15 @@ from .queries import _t, query
 from .stages import shared_dir, written
 
 PAGE = ["doc_id", "page_num"]
+_PLANS: dict[tuple, dict[str, DataFrame]] = {}
+
+
+def _planned(plan, spark, d) -> dict[str, DataFrame]:
+    """plan(spark, d), whose tables are written, once a session."""
+    key = (plan.__name__, spark.sparkContext.applicationId, d)
+    if key not in _PLANS:
+        _PLANS[key] = plan(spark, d)
+    return _PLANS[key]
 
 
 def _part(spark, d, *expressions: str) -> DataFrame:
@@ -146,12 +155,16 @@ def _page_texts(spark, d) -> DataFrame:
     return _part(spark, d, f"CAST({_DOC} AS STRING) AS doc_id").select("doc_id", F.lit(1).alias("page_num"), F.lit("a text layer of some length").alias("text")).distinct()
 
 
+def _pages(spark, d) -> dict[str, DataFrame]:
+    return documents.by_pages(_words(spark, d), _replies(spark, d), _page_texts(spark, d))
+
+
 _PLAN = f"""SELECT *, CAST(doc_id AS BIGINT) % 2 = 0 AS again, CASE WHEN m = 2 THEN '박가나' ELSE name END AS final FROM ({_LINES})"""
 
 
 @query(f"""SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN NOT again AND m IN (2, 4) THEN 1 ELSE 0 END, k) - 1 AS BIGINT) AS ord, final AS name, share_type, n AS share_count FROM ({_PLAN})""")
 def page_plan(spark, d):
-    out = documents.by_pages(_words(spark, d), _replies(spark, d), _page_texts(spark, d))["shareholders"]
+    out = _planned(_pages, spark, d)["shareholders"]
     return out.select("doc_id", F.col("ord").cast("long").alias("ord"), "name", "share_type", "share_count")
 
 
@@ -159,14 +172,14 @@ def page_plan(spark, d):
 ELSE CASE m WHEN 2 THEN 'count_only_match,address_trimmed' WHEN 4 THEN 'count_only_match' WHEN 3 THEN '' ELSE 'type_ocr_override' END END AS flags, n AS share_count FROM ({_PLAN})""")
 def page_trace(spark, d):
     """What each row of the page plan has been through."""
-    out = documents.by_pages(_words(spark, d), _replies(spark, d), _page_texts(spark, d))["page_rows"]
+    out = _planned(_pages, spark, d)["page_rows"]
     return out.select("doc_id", "name", "source", F.array_join("flags", ",").alias("flags"), "share_count")
 
 
 @query(f"""SELECT doc_id, CAST(coalesce(sum(n) FILTER (m IN (0, 1, 3)), 0) AS BIGINT) AS total, count(*) FILTER (m IN (0, 1, 3)) AS n, count(*) AS n_ocr, bool_or(k % 20 = 0) AS sum_deficit,
 count(*) >= 2 AND count(*) FILTER (m IN (0, 1, 3)) < count(*) AS count_deficit FROM ({_PLAN}) GROUP BY 1""")
 def page_deficits(spark, d):
-    out = documents.by_pages(_words(spark, d), _replies(spark, d), _page_texts(spark, d))["deficits"]
+    out = _planned(_pages, spark, d)["deficits"]
     return out.select("doc_id", "total", "n", "n_ocr", "sum_deficit", "count_deficit")
 
 
@@ -201,7 +214,7 @@ UNION ALL SELECT CAST(k AS VARCHAR), 1, '사바마라다나가 ' || k, '', CASE
 def reading_plan(spark, d):
     """A dropped line of totals shifts the draft's counts, which is part of the result; counted as a row, it also hides that a draft is
     incomplete, which is then neither repaired nor trusted."""
-    return _reading(spark, d)["shareholders"].select("doc_id", F.col("ord").cast("long").alias("ord"), "name", "share_type", "share_count")
+    return _planned(_reading, spark, d)["shareholders"].select("doc_id", F.col("ord").cast("long").alias("ord"), "name", "share_type", "share_count")
 
 
 @query("""WITH p AS (SELECT p_partkey AS k, 1000 + p_partkey % 1000 AS a, 2000 + p_partkey % 1000 AS b FROM part), c AS (SELECT *, k % 3 <> 0 AS two, CASE WHEN k % 5 = 0 THEN 9999 ELSE 0 END AS extra FROM p),
@@ -209,7 +222,7 @@ s AS (SELECT *, a + extra + CASE WHEN two THEN b ELSE 0 END AS total FROM c)
 SELECT CAST(k AS VARCHAR) AS doc_id, CAST(1 + CAST(two AS INT) + CAST(extra > 0 AS INT) AS BIGINT) AS draft_count, CAST(total AS BIGINT) AS draft_sum, CAST(a + b AS BIGINT) AS text_total,
 CASE WHEN total < (a + b) * 0.85 THEN 'sum_deficit: draft=' || total || ', expected=' || (a + b) ELSE '' END AS issues, total >= (a + b) * 0.85 AS passed FROM s""")
 def draft_checks(spark, d):
-    out = _reading(spark, d)["checked"]
+    out = _planned(_reading, spark, d)["checked"]
     return out.select("doc_id", F.col("draft_count").cast("long").alias("draft_count"), "draft_sum", "text_total", F.array_join("issues", ";").alias("issues"), "passed")
 
 
