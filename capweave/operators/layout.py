@@ -74,6 +74,13 @@ def page_totals(words: DataFrame) -> DataFrame:
     return lines.where(named).select(*PAGE, F.array_max(totals_in(F.col("t"))).alias("n")).where("n IS NOT NULL").groupBy(*PAGE).agg(F.max("n").alias("ocr_total"))
 
 
+def line_totals(lines: DataFrame) -> DataFrame:
+    """The same from lines of cells (as ocr_lines() makes them): only a cell that is a label makes a line one of totals."""
+    numbers = totals_in(F.array_join("cells", " "))
+    found = lines.where(F.exists("cells", is_aggregate_label)).select(*PAGE, F.array_max(numbers).alias("n"))
+    return found.where("n IS NOT NULL").groupBy(*PAGE).agg(F.max("n").alias("ocr_total"))
+
+
 def document_totals(page_texts: DataFrame) -> DataFrame:
     """doc_id, text_total: the first number within bounds on the first line of totals that has one (doc_id, page_num, text)."""
     lines = page_texts.select(*PAGE, F.posexplode(F.split("text", "\n")).alias("line", "t"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from ..operators import drafts, evaluate, layout, reconcile
+from ..operators import captable, evaluate, layout, reconcile
 from ..operators import relational as R
 from ..sources import readers, sinks
 from . import documents
@@ -316,8 +316,6 @@ def document_aggregates(spark, d):
 @query("""WITH d AS (SELECT p_partkey AS k, CASE WHEN p_partkey // 10 % 2 = 0 OR p_partkey % 4 > 0 THEN '' ELSE 'RCPS' END AS t, p_partkey // 10 AS doc FROM part)
 SELECT CAST(doc AS VARCHAR) AS doc_id, CAST(k AS BIGINT) AS ord, CASE WHEN bool_and(t = '') OVER (PARTITION BY doc) AND doc % 3 > 0 THEN '보통주' ELSE t END AS share_type FROM d""")
 def filled_types(spark, d):
-    from ..operators import captable
-
     p = _part(spark, d, "CAST(floor(k / 10) AS STRING) AS doc_id", "CAST(k AS BIGINT) AS ord", "CASE WHEN floor(k / 10) % 2 = 0 OR k % 4 > 0 THEN '' ELSE 'RCPS' END AS share_type", "floor(k / 10) % 3 > 0 AS has_text")
     return captable.fill_missing_types(p.select("doc_id", "ord", "share_type"), p.select("doc_id", "has_text").distinct())
 
@@ -393,3 +391,51 @@ def row_edits(spark, d):
 def expected_rows(spark, d):
     s = _t(spark, d, "supplier").selectExpr("s_name AS name", "CAST(s_suppkey AS BIGINT) AS share_count")
     return evaluate.has_expected(s.where("share_count % 3 = 0"), s)
+
+
+@query("""SELECT CAST(doc AS VARCHAR) AS doc_id, CAST(max(9000 + k % 1000) AS BIGINT) AS ocr_total FROM (SELECT p_partkey AS k, p_partkey // 10 AS doc FROM part) WHERE k % 5 = 0 GROUP BY doc""")
+def line_totals(spark, d):
+    """Lines of cells: totals beside a number that is too long, labels without a number, and numbers without a label."""
+    cells = "CASE k % 5 WHEN 0 THEN array('합 계', CAST(9000 + k % 1000 AS STRING), '1234567890123456') WHEN 1 THEN array('소계', '77') ELSE array('가나', '99,999,999') END AS cells"
+    return layout.line_totals(_part(spark, d, "CAST(floor(k / 10) AS STRING) AS doc_id", "1 AS page_num", "k % 10 AS line", cells)).select("doc_id", "ocr_total")
+
+
+@query("SELECT p_partkey AS k, p_partkey % 4 = 0 AS rows_ready, p_partkey % 3 > 0 AND p_partkey % 5 > 0 AS terms_ready, p_partkey % 6 = 0 AS investors_ready FROM part")
+def form_steps(spark, d):
+    """A form's steps: rows without a name, without a count, or none; terms without a company or an amount; investors without an amount."""
+    rows = ["CASE k % 4 WHEN 3 THEN array() WHEN 1 THEN array('a', ' ') ELSE array('a', 'b') END AS names", "CASE k % 4 WHEN 3 THEN array() WHEN 2 THEN array(1, 0) ELSE array(1, 5) END AS counts"]
+    p = _part(spark, d, *rows, "CASE WHEN k % 3 = 0 THEN ' ' ELSE 'company' END AS company", "k % 5 AS pre", "array('lead', CASE WHEN k % 2 = 0 THEN 'other' END) AS who", "array(7, CASE WHEN k % 3 = 0 THEN 5 END) AS amounts")
+    c = F.col
+    return p.select("k", rules.ready_rows(c("names"), c("counts")).alias("rows_ready"), rules.ready_terms(c("company"), F.lit("A"), c("pre")).alias("terms_ready"), rules.ready_investors(c("who"), c("amounts")).alias("investors_ready"))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS doc_id, 'holder' AS kind, CAST(10 AS BIGINT) AS shares FROM part WHERE p_partkey % 4 = 0 UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'investor', 2 FROM part WHERE p_partkey % 4 = 0")
+def valid_requests(spark, d):
+    """Requests without holders, with no valuation, and with a lead that pays nothing are left out."""
+    kind = "array<struct<name:string,share_type:string,share_count:bigint>>"
+    holders = f"CASE WHEN k % 4 = 1 THEN CAST(array() AS {kind}) ELSE CAST(array(struct('a', '', 10)) AS {kind}) END AS shareholders"
+    lead = "CAST(array(struct('lead', CAST(NULL AS STRING), CASE WHEN k % 4 = 3 THEN 0 ELSE 15 END)) AS array<struct<name:string,share_type:string,amount:decimal(20,0)>>) AS investors"
+    p = _part(spark, d, "CAST(k AS STRING) AS doc_id", holders, lead, "CAST(CASE WHEN k % 4 = 2 THEN 0 ELSE 100 END AS DECIMAL(20,0)) AS pre_money")
+    return captable.cap_table(p).select("doc_id", "kind", "shares")
+
+
+@query("SELECT '4' AS doc_id, CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS ord, o_orderpriority AS name, CAST(o_orderkey AS BIGINT) AS share_count FROM orders WHERE o_custkey = 4")
+def register_lookup(spark, d):
+    """One document of a register file."""
+    rows = _t(spark, d, "orders").selectExpr("CAST(o_custkey AS STRING) AS doc_id", "CAST(o_orderkey AS BIGINT) AS ord", "o_orderpriority AS name", "'' AS share_type", "CAST(o_orderkey AS BIGINT) AS share_count")
+    path = f"{shared_dir(spark)}/capweave/{spark.sql('SELECT uuid()').first()[0]}"
+    sinks.write_registers(rows, path)
+    return readers.register_of(spark, path, "4").select("doc_id", F.col("ord").cast("long").alias("ord"), "name", "share_count")
+
+
+@query("SELECT p_partkey AS k FROM part WHERE NOT (p_partkey = 1 OR p_partkey = 3 OR p_partkey BETWEEN 7 AND 13)")
+def remaining_tests(spark, d):
+    """Tests that a list of ranges doesn't name."""
+    p = _part(spark, d).select("k")
+    return R.missing_from(p, R.in_ranges(p, F.col("k"), "1,3,7-13"))
+
+
+@query("SELECT doc_id, n_chars FROM documents ORDER BY doc_id LIMIT 5")
+def first_documents(spark, d):
+    """A preview: the limit is what is asked for."""
+    return _t(spark, d, "documents").select("doc_id", "n_chars").orderBy("doc_id").limit(5)

@@ -416,9 +416,9 @@ def failure_taxonomy(spark, d):
     return evaluate.failure_counts(evaluate.classified(*_simulated(spark, d)))
 
 
-@query("""SELECT CAST(p_partkey // 200 * 2 + p_partkey % 2 AS VARCHAR) AS doc_id, count(*) FILTER (NOT (p_partkey % 2 = 1 AND p_partkey % 17 = 0)) AS n_truth, count(*) FILTER (NOT (p_partkey % 2 = 1 AND p_partkey % 17 = 0) AND NOT (p_partkey % 2 = 0 AND p_partkey % 13 = 0) AND p_partkey % 7 NOT IN (1, 2, 3)) AS n_correct FROM part GROUP BY 1""")
+@query("""SELECT *, n_correct / n_truth AS accuracy FROM (SELECT CAST(p_partkey // 200 * 2 + p_partkey % 2 AS VARCHAR) AS doc_id, count(*) FILTER (NOT (p_partkey % 2 = 1 AND p_partkey % 17 = 0)) AS n_truth, count(*) FILTER (NOT (p_partkey % 2 = 1 AND p_partkey % 17 = 0) AND NOT (p_partkey % 2 = 0 AND p_partkey % 13 = 0) AND p_partkey % 7 NOT IN (1, 2, 3)) AS n_correct FROM part GROUP BY 1)""")
 def score_documents(spark, d):
-    return evaluate.accuracy(evaluate.classified(*_simulated(spark, d))).select("doc_id", "n_truth", "n_correct")
+    return evaluate.accuracy(evaluate.classified(*_simulated(spark, d))).select("doc_id", "n_truth", "n_correct", "accuracy")
 
 
 @query("""SELECT l_partkey, bool_and(abs(r - f) < 60) AS uniform, count(*) AS n FROM (SELECT l_partkey, r, first_value(r) OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS f, count(*) OVER (PARTITION BY l_partkey) AS k
