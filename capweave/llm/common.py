@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.stages import dropped, written  # noqa: F401
+from ..plans import stages
+from ..plans.stages import dropped  # noqa: F401
 
 #: Words between ASCII white space, as a Java or DuckDB regular expression.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
@@ -25,10 +26,22 @@ def fitted(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def by_batches(df: DataFrame, function, schema) -> DataFrame:
-    """mapInArrow with batches cut to BATCH_ROWS rows, so that what is made from a batch has some megabytes; the session's settings stay."""
+    """mapInArrow with batches cut to BATCH_ROWS rows, so that what is made from a batch has some megabytes."""
     return df.mapInArrow(lambda batches: function(b.slice(i, BATCH_ROWS) for b in batches for i in range(0, b.num_rows, BATCH_ROWS)), schema)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """stages.written(), meanwhile with Arrow batches of BATCH_ROWS rows at most, so that executors hold few megabytes of text beside the heap."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    try:
+        if not 0 < int(before) <= BATCH_ROWS:
+            conf.set(name, BATCH_ROWS)
+        return stages.written(df)
+    finally:
+        conf.set(name, before)
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
