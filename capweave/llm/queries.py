@@ -7,11 +7,14 @@ from .decontamination import OP6_SQL, op6_decontamination
 from .jaccard import OP1_SQL, op1_ngram_jaccard
 from .licenses import LICENSE_BASE_SQL, license_base_places, op9_license_scan
 from .mixing import OP3_SQL, op3_mixing
+from .negatives import OP12_SQL, op12_hard_negatives
 from .neighbours import OP4_SQL, op4_embedding_dedup
+from .periods import OP13_SQL, op13_periodic_runs
 from .recompression import OP8_SQL, op8_substring_dedup
 from .secrets import OP2_SQL, op2_secret_scan
 from .sharding import SHARD_LOADS_SQL, op10_sharding, shard_loads
 from .toxicity import op7_toxicity
+from .urls import OP11_SQL, op11_url_filter
 
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_sharding": op10_sharding,
+    "op11_url_filter": op11_url_filter,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_periodic_runs": op13_periodic_runs,
     # What SQL can say about operators whose query has other columns, too.
     "license_base_places": license_base_places,
     "shard_loads": shard_loads,
@@ -37,6 +43,9 @@ ORACLE_SQL = {
     "op5_chat_format": OP5_SQL,
     "op6_decontamination": OP6_SQL,
     "op8_substring_dedup": OP8_SQL,
+    "op11_url_filter": OP11_SQL,
+    "op12_hard_negatives": OP12_SQL,
+    "op13_periodic_runs": OP13_SQL,
     "license_base_places": LICENSE_BASE_SQL,
     "shard_loads": SHARD_LOADS_SQL,
 }
