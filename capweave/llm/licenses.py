@@ -2,20 +2,24 @@
 
 Texts are lower-cased (A-Z) and reduced to PLAIN_WORD words joined by one space. A notice of length m that
 occurs with at most k edits contains one of its k + 1 pieces unchanged (pigeonhole), so one pass of an
-Aho-Corasick automaton over all pieces locates every candidate. Around each, the regex library matches the
-notice with at most k insertions, deletions and substitutions, best match first, at word boundaries; what
-lies before and behind a match is searched again, so matches of a notice don't overlap.
+Aho-Corasick automaton over all pieces locates every candidate. In a candidate's own window (the notice and k characters
+on either side of where it should stand), the regex library finds a match with at most k insertions, deletions and substitutions, at word
+boundaries; if there is one, with as few as give one. Of a notice's matches the best is taken first, then the earliest; what a window still holds beside a match that was
+taken is searched again, so matches of a notice don't overlap. A window is searched a few times and never grows, so a text of
+any length takes time in proportion to its length and candidates, however densely notices stand.
 
 A notice's label counts if it matches anywhere. Base phrases are counted exactly, beside it: the places
 where a phrase's words stand consecutively. The score is the best match's share of unchanged characters
 (1 for an exact notice or base phrase, 0 without any).
 
 Nulls: a null or empty text has no words, no labels and the score 0. Any doc_id, null or repeated, is a
-row like any other. Only doc_id and text are read.
+row like any other. An empty table gives no rows. A very long text is searched whole by its task. Only doc_id and text are read.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections import defaultdict
 from dataclasses import dataclass
 
 import ahocorasick
@@ -62,7 +66,8 @@ def pieces(phrase: str, edits: int) -> list[tuple[int, str]]:
 class NoticeFinder:
     def __init__(self, notices: tuple[Notice, ...] = NOTICES):
         self.notices = notices
-        self.matchers = [regex.compile(rf"(?b)\b(?:{regex.escape(n.phrase)}){{e<={n.edits}}}\b") for n in notices]
+        # By notice and number of edits. With one fewer there is no match, so a match has just as many, and is the best.
+        self.matchers = [[regex.compile(rf"\b(?:{regex.escape(n.phrase)}){{e<={e}}}\b") for e in range(n.edits + 1)] for n in notices]
         seeds: dict[str, list[tuple[int, int]]] = {}
         for k, n in enumerate(notices):
             for offset, part in pieces(n.phrase, n.edits):
@@ -73,32 +78,59 @@ class NoticeFinder:
         self.automaton.make_automaton()
 
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(notice, start, end, edits) in code points of the normalised text; overlapping candidates are searched once."""
-        spans: dict[int, list[list[int]]] = {}
+        """(notice, start, end, edits) in code points of the normalised text."""
+        windows: dict[int, list[list[int]]] = defaultdict(list)
         for last, (size, places) in self.automaton.iter(text):
             for k, offset in places:
                 n = self.notices[k]
-                a = last - size + 1 - offset - n.edits
-                b = a + len(n.phrase) + 2 * n.edits
-                own = spans.setdefault(k, [])
-                if own and max(a, 0) <= own[-1][1]:
-                    own[-1][0] = min(own[-1][0], max(a, 0))
+                a = max(last - size + 1 - offset - n.edits, 0)
+                b = last - size + 1 - offset + len(n.phrase) + n.edits
+                own = windows[k]
+                # Pieces of one occurrence lie within its edits of each other; further ones have a window of their own.
+                if own and own[-1][0] <= a <= own[-1][0] + 2 * n.edits:
                     own[-1][1] = max(own[-1][1], b)
                 else:
-                    own.append([max(a, 0), b])
-        out = []
-        for k, windows in spans.items():
-            for a, b in windows:
-                todo = [(max(a - 1, 0), min(b + 1, len(text)))]
-                while todo:
-                    # The best match first, then what lies before and behind it.
-                    start, end = todo.pop()
-                    m = self.matchers[k].search(text, start, end)
-                    if m:
-                        out.append((k, *m.span(), sum(m.fuzzy_counts)))
-                        todo += [(start, m.start()), (m.end(), end)]
+                    own.append([a, b])
+        out = [(k, *m) for k, own in windows.items() for m in self._taken(k, own, text)]
         return sorted(out, key=lambda x: x[1:3])
 
+    def _taken(self, k: int, windows: list[list[int]], text: str) -> list[tuple[int, int, int]]:
+        """(start, end, edits) of the notice's matches in these windows, the best first, none over another."""
+        notice, matchers, n = self.notices[k], self.matchers[k], len(text)
+        least, most = max(1, len(notice.phrase) - notice.edits), len(notice.phrase) + notice.edits
+        found: list[tuple[int, int, int, int, int]] = []
+        taken: dict[int, list[tuple[int, int]]] = defaultdict(list)  # by start // most, as few as fit
+
+        def look(a: int, b: int) -> None:
+            # Matches begin and end with words, so a cut word at either end can go.
+            b = min(b, n)
+            if a > 0 and text[a - 1] != " ":
+                a = text.find(" ", a, b) + 1 or b
+            if b < n and text[b] != " ":
+                b = max(text.rfind(" ", a, b), a)
+            if b - a >= least and matchers[-1].search(text, a, b):
+                m = next(m for x in matchers if (m := x.search(text, a, b)))
+                heapq.heappush(found, (sum(m.fuzzy_counts), m.start(), m.end(), a, b))
+
+        for a, b in windows:
+            look(a, b)
+        out = []
+        while found:
+            edits, start, end, a, b = heapq.heappop(found)
+            near = sorted(x for i in range((a - most) // most, b // most + 1) for x in taken.get(i, ()) if x[0] < b and x[1] > a)
+            if any(s < end and t > start for s, t in near):
+                for s, t in near:
+                    if s > a:
+                        look(a, s)
+                    a = max(a, t)
+            else:
+                taken[start // most].append((start, end))
+                out.append((start, end, edits))
+                look(a, start)
+                a = end
+            look(a, b)
+        return out
+
 
 def normalised(text: bytes) -> tuple[int, bytes]:
     """Number of words; the words joined by one space."""
@@ -108,12 +140,16 @@ def normalised(text: bytes) -> tuple[int, bytes]:
 
 def base_places(plain: bytes) -> list[tuple[int, str]]:
     """(index of the first word, label) of every place of a base phrase."""
-    out, padded = [], b" " + plain + b" "
+    hits, padded = [], b" " + plain + b" "
     for phrase, label in BASE:
         wanted, at = b" " + phrase.encode() + b" ", -1
         while (at := padded.find(wanted, at + 1)) >= 0:
-            out.append((padded.count(b" ", 0, at), label))
-    return sorted(out)
+            hits.append((at, label))
+    out, words, seen = [], 0, 0
+    for at, label in sorted(hits):
+        words, seen = words + padded.count(b" ", seen, at), at
+        out.append((words, label))
+    return out
 
 
 SPAN = pa.struct([("label", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("edits", pa.int32())])

@@ -198,7 +198,7 @@ def _met(rows: Blocks, anchors: Blocks, state: DataFrame, same: bool, k: int, sh
     # Written blocks are numbered within a task that makes TASK_ROWS or so, from 2**33 times its number on.
     number = F.shiftright("block", 33) * TASK_ROWS + F.col("block").bitwiseAND(F.lit((1 << 33) - 1))
     part = F.pmod(number, F.lit(parts)).cast("int").alias("part")
-    mine = anchors.df.select("dim", "block")  # slim, a row for ANCHORS anchors
+    mine = blocks_.select("dim", "block")  # slim, a row for ANCHORS anchors
     r = rows.df.select("dim", part, *numbers).join(F.broadcast(mine) if anchors.n <= BROADCAST_ROWS else mine, "dim")
     r = r.select("dim", "block", "part", F.lit(None).cast(held.schema["windows"].dataType).alias("windows"), *numbers)
     tasks = min(MOST_TASKS, 2 * parts * max(1, anchors.n))

@@ -8,16 +8,22 @@ words stand, the same symbol comes out. Equal windows hence share all symbols wh
 
 Of each window of N words, the symbol of the highest level that has one within (a word, if none has) and
 the smallest name is its anchor. Windows are dealt by anchor, neighbours with one anchor together. An anchor
-that occurs once reveals that its windows are unique; the others are verified by a hash of all N words
-(40 bits beside the anchor's 48). Of equal windows, all but the first by (doc_id, start) are marked, and
-every word that a marked window covers goes. Windows that repeat within some megabytes of rows are marked there
+that occurs once reveals that its windows are unique; the others are verified by two hashes of all N words, 64 bits each, made
+from two hashes of each word that share nothing. 128 bits decide, whatever the anchor: with W different windows a false
+equality has odds of W * W / 2 ** 129, at a hundred terabytes (some 1e13 windows) 1.5e-13. Of equal windows, all but the first by (doc_id, start)
+are marked, and every word that a marked window covers goes. Windows that repeat within some megabytes of rows are marked there
 and only the first is dealt, so a passage in a third of all rows counts once for these.
 
+Some anchors stand in a large share of all different windows (a common pair of words), and would fill one task. A first pass counts windows by anchor over all
+rows; windows of a heavy anchor (HEAVY or more) are dealt by their own hash instead. Which anchors count as heavy moves windows between
+tasks and changes no result: equal windows have equal anchors and hashes.
+
 Names are hashes of what they name, so all tasks give the same names without asking each other; the Spark job has one exchange
 (windows by anchor) instead of one a round, and a second one that brings the marks to the documents.
 
 Nulls: a null text has no words. A null doc_id is after all others. doc_id names a document: rows that
-share one are marked alike, position by position. Texts of fewer than N words keep all of them. Marks go
+share one are marked alike, position by position. Texts of fewer than N words keep all of them; a very long one is worked on
+whole by its task. An empty table gives no rows. Only doc_id and text are read, so other columns may have any name. Marks go
 to the texts by broadcast if their bytes, summed first, are few; else by a shuffled join.
 """
 
@@ -40,8 +46,16 @@ LAST_ID = (1 << 63) - 1
 BROADCAST_MARK_BYTES, BROADCAST_MARK_ROWS = 64 << 20, 500_000
 #: Bytes of text for which there are eight buckets at least.
 PART_BYTES = 32 << 20
+#: Tasks that compare; each takes its buckets one by one.
+MOST_TASKS = 40_000
+#: An anchor with so many different windows is heavy; an anchor with fewer than a LOCAL in some megabytes of rows isn't counted there.
+HEAVY, LOCAL = 200_000, 32
+#: Heavy anchors that tasks are told of, the heaviest first; 8 bytes each.
+MOST_HEAVY = 500_000
 MARK = np.dtype([("doc", "<i8"), ("start", "<u4"), ("count", "<u4")])
-SEGMENT = np.dtype([("doc", "<i8"), ("name", "u1", 6), ("start", "<u4"), ("count", "<u4")])
+#: tag: 16 bits of the anchor's name, by which unique ones are passed over.
+SEGMENT = np.dtype([("doc", "<i8"), ("tag", "<u2"), ("start", "<u4"), ("count", "<u2")])
+LONGEST = (1 << 16) - 1
 
 
 def compress_runs(name, row, left, right, edges):
@@ -110,9 +124,8 @@ def anchors(words: np.ndarray, row: np.ndarray, edges: np.ndarray, starts: np.nd
     return out
 
 
-def window_hashes(words: np.ndarray, starts: np.ndarray, n: int = N) -> np.ndarray:
-    """A hash of the n words from each start: differences of a running polynomial modulo 2**64."""
-    base = U(0x9E3779B97F4A7C15)
+def window_hashes(words: np.ndarray, starts: np.ndarray, n: int = N, base: U = U(0x9E3779B97F4A7C15)) -> np.ndarray:
+    """A hash of the n words from each start: differences of a running polynomial in an odd base modulo 2**64."""
     power = np.cumprod(np.full(len(words) + 1, base))
     back = np.cumprod(np.full(len(words) + 1, U(pow(int(base), -1, 1 << 64))))
     total = np.concatenate((np.zeros(1, U), np.cumsum(words * power[: len(words)])))
@@ -120,13 +133,18 @@ def window_hashes(words: np.ndarray, starts: np.ndarray, n: int = N) -> np.ndarr
 
 
 def _runs(doc: np.ndarray, start: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First index and length of stretches of consecutive starts in one document."""
+    """First index and length of stretches of consecutive starts in one document, LONGEST at most."""
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)
     for x in same:
         new[1:] |= x[1:] != x[:-1]
     at = np.flatnonzero(new)
-    return at, np.diff(np.append(at, len(doc)))
+    length = np.diff(np.append(at, len(doc)))
+    if len(at) and length.max() > LONGEST:
+        pieces = -(-length // LONGEST)
+        at = np.repeat(at, pieces) + LONGEST * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        length = np.diff(np.append(at, len(doc)))
+    return at, length
 
 
 def _marks(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -138,12 +156,15 @@ def _marks(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
     return out
 
 
-def _later(key: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first of each key by doc and start, those after the first) as indices."""
+def _later(key: np.ndarray, second: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first of each pair of keys by doc and start, those after the first) as indices."""
     order = np.argsort(key, kind="stable")
-    k = key[order]
+    k, k2 = key[order], second[order]
+    if ((k[1:] == k[:-1]) & (k2[1:] != k2[:-1])).any():  # different windows with one key: the second tells them apart
+        order = np.lexsort((second, key))
+        k, k2 = key[order], second[order]
     new = np.ones(len(k), bool)
-    new[1:] = k[1:] != k[:-1]
+    new[1:] = (k[1:] != k[:-1]) | (k2[1:] != k2[:-1])
     at = np.flatnonzero(new)
     # The least (doc, start) of each key: the least doc, then the least start among its windows there.
     d, s = doc[order], start[order].astype(np.int64)
@@ -158,40 +179,56 @@ def _later(key: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndar
     return order[one], order[~is_first]
 
 
-def _six(name: np.ndarray) -> np.ndarray:
-    return name.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+def _named(texts: pa.Array, twice: bool):
+    """Of runs of rows with some megabytes: (first row, the windows' rows and places, words, anchors' names)."""
+    for at, _, raw, offs in row_groups(texts):
+        words = Words(raw, offs, lower=False, twice=twice)
+        count = np.diff(words.first)
+        row = np.repeat(np.arange(len(count)), count)
+        place = np.arange(len(row)) - words.first[:-1][row] if len(row) else np.zeros(0, np.int64)
+        starts = np.flatnonzero(place + N <= count[row]) if len(row) else np.zeros(0, np.int64)
+        if len(starts):
+            yield at, row, place, starts, words, anchors(words.hash, row, words.first, starts)
+
+
+def _counted(batches):
+    """Anchors (as signed numbers) and how many windows have them, without the rare ones."""
+    for b in batches:
+        for *_, name in _named(b.column(0), False):
+            names, n = np.unique(name, return_counts=True)
+            many = n >= LOCAL
+            yield pa.RecordBatch.from_arrays([pa.array(names[many].view(np.int64)), pa.array(n[many].astype(np.int64))], ["name", "n"])
+
+
+def heavy_anchors(docs: DataFrame) -> np.ndarray:
+    """The names of heavy anchors, sorted."""
+    n = by_batches(docs.select("text"), _counted, "name long, n long").groupBy("name").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY)
+    return np.sort(np.array([r["name"] for r in n.orderBy(F.desc("n"), "name").limit(MOST_HEAVY).collect()], np.int64).view(U))
 
 
-def _deal(buckets: int):
+def _deal(buckets: int, heavy: np.ndarray):
     def run(batches):
         for b in batches:
-            for at, end, raw, offs in row_groups(b.column(1)):
-                ids = np.asarray(b.column(0)[at:end])
-                words = Words(raw, offs, lower=False)
-                count = np.diff(words.first)
-                row = np.repeat(np.arange(len(count)), count)
-                place = np.arange(len(row)) - words.first[:-1][row] if len(row) else np.zeros(0, np.int64)
-                starts = np.flatnonzero(place + N <= count[row]) if len(row) else np.zeros(0, np.int64)
-                if not len(starts):
-                    continue
-                # Symbols are named first; windows with one anchor and the same words are then one kind.
-                name = anchors(words.hash, row, words.first, starts)
-                whole = window_hashes(words.hash, starts)
+            for at, row, place, starts, words, name in _named(b.column(1), True):
+                ids = np.asarray(b.column(0)[at : at + row[-1] + 1])
+                whole, second = window_hashes(words.hash, starts), window_hashes(words.other, starts, base=U(0xC2B2AE3D27D4EB4F))
                 doc, start = ids[row[starts]], place[starts]
-                first, later = _later(mix(mix(name) + whole), doc, start)
+                first, later = _later(whole, second, doc, start)
                 marks = _marks(doc[later], start[later])
-                name, whole, doc, start = name[first], whole[first], doc[first], start[first]
+                name, whole, second, doc, start = name[first], whole[first], second[first], doc[first], start[first]
+                near = np.minimum(np.searchsorted(heavy, name), max(len(heavy) - 1, 0))
+                name = np.where(heavy[near] == name, mix(whole + U(1)), name) if len(heavy) else name
                 bucket = (name % U(buckets)).astype(np.int32)
                 order = np.lexsort((start, doc, bucket))
-                name, whole, doc, start, bucket = name[order], whole[order], doc[order], start[order], bucket[order]
+                name, whole, second, doc, start, bucket = name[order], whole[order], second[order], doc[order], start[order], bucket[order]
                 seg, length = _runs(doc, start, name)
                 out = np.zeros(len(seg), SEGMENT)
-                out["doc"], out["name"], out["start"], out["count"] = doc[seg], _six(name[seg]), start[seg], length
-                low = whole.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+                out["doc"], out["tag"], out["start"], out["count"] = doc[seg], (mix(name[seg]) & U(0xFFFF)).astype(np.uint16), start[seg], length
+                both = np.stack((whole, second), 1)
                 seg_bucket = bucket[seg]
                 cut = np.flatnonzero(np.diff(seg_bucket, prepend=-1, append=-1))
                 ends = np.append(seg, len(doc))
-                rows = [(int(seg_bucket[i]), out[i:j].tobytes(), low[ends[i] : ends[j]].tobytes(), b"") for i, j in zip(cut[:-1], cut[1:])]
+                rows = [(int(seg_bucket[i]), out[i:j].tobytes(), both[ends[i] : ends[j]].tobytes(), b"") for i, j in zip(cut[:-1], cut[1:])]
                 rows[0] = (*rows[0][:3], marks.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 3))], ["bucket", "segments", "hashes", "marks"])
 
@@ -199,21 +236,14 @@ def _deal(buckets: int):
 
 
 def repeated(segments: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """The marks of the windows of a bucket that aren't the first of their kind."""
-    wide = np.zeros((len(segments), 8), np.uint8)
-    wide[:, :6] = segments["name"]
-    name, count = wide.view("<u8").ravel(), segments["count"].astype(np.int64)
-    _, inverse, times = np.unique(name, return_inverse=True, return_counts=True)
-    shown = times[inverse] > 1  # an anchor that occurs once has unique windows only
-    keep = np.repeat(shown, count)
-    segments, name, count = segments[shown], name[shown], count[shown]
-    wide = np.zeros((int(keep.sum()), 8), np.uint8)
-    wide[:, :5] = hashes[keep]
-    key = mix(np.repeat(mix(name), count) + wide.view("<u8").ravel())
+    """The marks of the windows of a bucket that aren't the first of their kind. hashes: two a window."""
+    count = segments["count"].astype(np.int64)
+    shown = np.bincount(segments["tag"], minlength=1 << 16)[segments["tag"]] > 1  # an anchor that occurs once has unique windows only
+    hashes, segments, count = hashes[np.repeat(shown, count)], segments[shown], count[shown]
     before = np.concatenate(([0], np.cumsum(count)[:-1])) if len(count) else count
-    start = np.repeat(segments["start"].astype(np.int64), count) + np.arange(len(key)) - np.repeat(before, count)
+    start = np.repeat(segments["start"].astype(np.int64), count) + np.arange(len(hashes)) - np.repeat(before, count)
     doc = np.repeat(segments["doc"], count)
-    _, later = _later(key, doc, start)
+    _, later = _later(np.ascontiguousarray(hashes[:, 0]), np.ascontiguousarray(hashes[:, 1]), doc, start)
     return _marks(doc[later], start[later])
 
 
@@ -234,7 +264,7 @@ def _by_key(batches, done):
 def _find(targets: int):
     def done(held):
         segments = np.frombuffer(b"".join(x[0] for x in held), SEGMENT)
-        hashes = np.frombuffer(b"".join(x[1] for x in held), np.uint8).reshape(-1, 5)
+        hashes = np.frombuffer(b"".join(x[1] for x in held), np.uint64).reshape(-1, 2)
         marks = np.concatenate((repeated(segments, hashes), np.frombuffer(b"".join(x[2] for x in held), MARK)))
         if len(marks):
             target = (mix(marks["doc"].astype(U)) % U(targets)).astype(np.int32)
@@ -267,9 +297,9 @@ def repeat_marks(docs: DataFrame) -> DataFrame:
     # Buckets are counted from the bytes of the texts, so that their size stays, however large the input is.
     parts = max(parts, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), "text")
-    dealt = by_batches(rows, _deal(8 * parts), "bucket int, segments binary, hashes binary, marks binary")
-    found = dealt.repartition(4 * parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_find(2 * parts), "target int, marks binary")
-    return found.repartition(parts, "target").sortWithinPartitions("target").mapInArrow(_gather, "doc long, marks binary")
+    dealt = by_batches(rows, _deal(8 * parts, heavy_anchors(docs)), "bucket int, segments binary, hashes binary, marks binary")
+    found = dealt.repartition(min(4 * parts, MOST_TASKS), "bucket").sortWithinPartitions("bucket").mapInArrow(_find(2 * parts), "target int, marks binary")
+    return found.repartition(min(parts, MOST_TASKS), "target").sortWithinPartitions("target").mapInArrow(_gather, "doc long, marks binary")
 
 
 def _kept(text: bytes, marks: bytes | None) -> tuple[int, list[bytes]]:

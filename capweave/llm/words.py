@@ -43,8 +43,10 @@ def lowered() -> np.ndarray:
     return low
 
 
-_AT = randoms(1 << 12, 1)
-_BYTE = randoms(256, 2)
+#: Seeds of two hashes that have nothing in common.
+SEEDS = ((1, 2), (11, 12))
+_AT = [randoms(1 << 12, a) for a, _ in SEEDS]
+_BYTE = [randoms(256, b) for _, b in SEEDS]
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -61,10 +63,10 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """hash, start and end (byte positions) of every word; first: of every row, its first word's index (n + 1)."""
+    """hash, start and end (byte positions) of every word; first: of every row, its first word's index (n + 1). twice: other, too, a second hash."""
 
-    def __init__(self, raw: np.ndarray, offs: np.ndarray, lower: bool, word: np.ndarray | None = None):
-        word, value = spaces() if word is None else word, _BYTE[lowered()] if lower else _BYTE
+    def __init__(self, raw: np.ndarray, offs: np.ndarray, lower: bool, word: np.ndarray | None = None, twice: bool = False):
+        word, value = spaces() if word is None else word, [x[lowered()] if lower else x for x in _BYTE[: 1 + twice]]
         parts, begins = [], offs[:-1]
         at = 0
         while at < len(raw):
@@ -77,7 +79,11 @@ class Words:
                 end = min(end + 4096, len(raw))
             parts.append(self._block(raw, at, end, begins, word, value))
             at = end
-        self.hash, self.start, self.end = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        hashes, starts, ends = zip(*parts) if parts else ((), (), ())
+        whole = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
+        self.start, self.end = whole(starts, np.int64), whole(ends, np.int64)
+        self.hash, *other = (whole(x, U) for x in zip(*hashes)) if hashes else [np.zeros(0, U)] * (1 + twice)
+        self.other = other[0] if other else None
         self.first = np.searchsorted(self.start, offs)
 
     @staticmethod
@@ -90,15 +96,17 @@ class Words:
         start = np.flatnonzero(w & (cut[:-1] | ~np.concatenate(([False], w[:-1]))))
         stop = np.flatnonzero(w & (cut[1:] | ~np.concatenate((w[1:], [False])))) + 1
         if not len(start):
-            return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return [np.zeros(0, U)] * len(value), np.zeros(0, np.int64), np.zeros(0, np.int64)
         size = stop - start
         inside = np.flatnonzero(w)
         before = np.concatenate(([0], np.cumsum(size)[:-1]))
         pos = np.arange(len(inside)) - np.repeat(before, size)
         most = int(size.max())
-        at_pos = _AT[pos] if most <= len(_AT) else randoms(most, 1)[pos]
-        h = np.add.reduceat(at_pos * value[x[inside]], before)
-        return mix(h + size.astype(U)), start + at, stop + at
+        of, out = x[inside], []
+        for own, places, (seed, _) in zip(value, _AT, SEEDS):
+            places = places if most <= len(places) else randoms(most, seed)
+            out.append(mix(np.add.reduceat(places[pos] * own[of], before) + size.astype(U)))
+        return out, start + at, stop + at
 
 
 def row_groups(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

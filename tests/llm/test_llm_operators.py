@@ -138,6 +138,54 @@ def test_repeats_shuffled_marks_and_nothing(spark, docs, table, monkeypatch):
     assert recompression.remove_repeats(empty(table)).count() == 0
 
 
+def test_windows_are_told_apart_by_all_bits():
+    """One anchor; hashes that agree in their first 64 bits (and in the last of them), but not in the second: only the true repeat is marked."""
+    segments = np.zeros(4, recompression.SEGMENT)
+    segments["doc"], segments["tag"], segments["start"], segments["count"] = [1, 2, 3, 4], 7, 5, 1
+    a, b = np.uint64(0xFFFFFFFFFF), np.uint64(1 << 63 | 0xFFFFFFFFFF)
+    marks = recompression.repeated(segments, np.array([[a, 1], [a, 2], [b, 1], [a, 2]], np.uint64))
+    assert marks.tolist() == [(4, 5, 1)]
+    key = np.array([5, 5, 5, 5], np.uint64)
+    first, later = recompression._later(key, np.array([1, 2, 1, 2], np.uint64), np.array([9, 8, 7, 6]), np.zeros(4, np.int64))
+    assert sorted(first.tolist()) == [2, 3] and sorted(later.tolist()) == [0, 1]
+
+
+def test_long_stretches_are_cut_to_the_width_of_their_count(monkeypatch):
+    monkeypatch.setattr(recompression, "LONGEST", 4)
+    at, length = recompression._runs(np.array([1] * 11 + [2] * 4 + [3]), np.array([*range(11), *range(4), 9]))
+    assert at.tolist() == [0, 4, 8, 11, 15] and length.tolist() == [4, 4, 3, 4, 1]
+
+
+def test_a_heavy_anchor_is_dealt_over_all_buckets(monkeypatch):
+    """All windows hold one word that is the anchor of them all; told that it is heavy, tasks spread them."""
+    import pyarrow as pa
+
+    r = random.Random(3)
+    monkeypatch.setattr(recompression, "ROUNDS", 0)  # a window's anchor is then the word with the smallest hash
+    words = Words(*buffers(pa.array([" ".join(f"v{i}" for i in range(4_000))])), lower=False)
+    least = f"v{int(np.argmin(words.hash))}"
+    texts = [" ".join(least if i % 10 == 0 else f"v{r.randrange(4_000)}" for i in range(400)) for _ in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(texts)], ["doc", "text"])
+    counts = {name: n for out in recompression._counted([batch.select(["text"])]) for name, n in zip(*(c.to_pylist() for c in out.columns))}
+    heavy = np.sort(np.array([name for name, n in counts.items() if n >= 2_000], np.int64).view(np.uint64))
+    assert len(heavy) == 1
+    share = []
+    for told in (heavy[:0], heavy):
+        rows = [row for out in recompression._deal(16, told)([batch]) for row in out.to_pylist()]
+        sizes = [len(x["hashes"]) for x in rows]
+        share.append(max(sizes) / sum(sizes))
+    assert share[0] > 0.9 and share[1] < 0.1
+
+
+def test_heavy_anchors_change_no_result(spark, monkeypatch):
+    docs = brute.corpus()
+    df = spark.createDataFrame(docs, brute.DOC).repartition(3)
+    monkeypatch.setattr(recompression, "HEAVY", 1)
+    assert len(recompression.heavy_anchors(df)) > 0
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"], hashlib.sha256(r["kept"].encode()).hexdigest()) for r in recompression.remove_repeats(df).collect())
+    assert got == brute.repeats(docs)
+
+
 def test_equal_windows_have_equal_anchors():
     r = random.Random(9)
     common = [r.randrange(30) for _ in range(40)]
@@ -409,6 +457,24 @@ def _edits(a, b):
     return row[-1]
 
 
+def test_dense_notices_take_linear_time():
+    import time
+
+    finder = licenses.NoticeFinder()
+    for unit, width, edits in (("mit licence ", 11, 1), ("general publik licence or ", 22, 2)):
+        began = time.process_time()
+        found = finder.find((unit * 30_000).strip())
+        assert time.process_time() - began < 10
+        assert [(b - a, e) for _, a, b, e in found] == [(width, edits)] * 30_000
+    assert len(licenses.base_places(b" ".join([b"mit license"] * 50_000))) == 50_000
+
+
+def test_a_notice_beside_a_better_one_is_kept():
+    find = licenses.NoticeFinder().find
+    assert find("mit licence mit license mit licence") == [(0, 0, 11, 1), (0, 12, 23, 0), (0, 24, 35, 1)]
+    assert [x[1:] for x in find("y mit license, apache license".replace(",", ""))] == [(2, 13, 0), (14, 28, 0)]
+
+
 def test_licenses_equal_the_plain_search(spark):
     """Every stretch of whole words against every notice; base places word by word."""
     r, notices = random.Random(12), [n for n in licenses.NOTICES if len(n.phrase) < 30]
