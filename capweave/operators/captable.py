@@ -79,7 +79,7 @@ WIDTHS = {"A": 5.125, "B": 3.5, "C": 38.25, "D": 15.75, "E": 14.625, "F": 17.125
 
 
 def cells(requests: DataFrame) -> DataFrame:
-    """The sheet as a table: doc_id, row_no, section, name, share_type, shares, ownership, value, number_format (of ownership, or of the amount or the
+    """The sheet as a table: doc_id, row_no, section, name, share_type, shares, ownership, value, price, amount, number_format (of ownership, or of the amount or the
     count where there is none), merged (the columns of the row that are one cell: C:D of totals, G:H of investors' lines). Column widths are WIDTHS.
 
     The round is computed once: each of its rows turns into its lines, and each document into its two lines of totals.
@@ -97,10 +97,10 @@ def cells(requests: DataFrame) -> DataFrame:
     holder = F.array(at("pre", F.lit(FIRST_ROW) + ord_, F.col("pre_ownership")), at("post", post + ord_, F.col("post_ownership")))
     investor = F.array(at("amount", section_two + 2 * ord_, nothing), at("issue", section_two + 2 * ord_ + 1, nothing), at("post", post + F.col("n") + ord_, F.col("post_ownership")))
     lines = rows.join(n.select("doc_id", "n", "m"), "doc_id").withColumn("l", F.explode(F.when(F.col("kind") == "holder", holder).otherwise(investor)))
-    out = lines.select("doc_id", "l.row_no", "l.section", "name", "share_type", "shares", "l.ownership", F.col("value").cast("decimal(38,0)").alias("value"), (F.col("kind") == "holder").alias("holder"))
+    out = lines.select("doc_id", "l.row_no", "l.section", "name", "share_type", "shares", "l.ownership", F.col("value").cast("decimal(38,0)").alias("value"), "price", "amount", (F.col("kind") == "holder").alias("holder"))
     total = lambda section, row, shares, own: F.struct(at(section, row, F.col(own)).alias("l"), F.col(shares).cast("bigint").alias("shares"))
     totals = n.withColumn("t", F.explode(F.array(total("pre_total", F.lit(FIRST_ROW) + F.col("n"), "pre_total", "pre_sum"), total("post_total", post + F.col("n") + F.col("m"), "post_total", "post_sum"))))
-    totals = totals.select("doc_id", "t.l.row_no", "t.l.section", F.lit("total").alias("name"), F.lit("").alias("share_type"), "t.shares", "t.l.ownership", (F.col("t.shares") * F.col("price")).cast("decimal(38,0)").alias("value"), F.lit(False).alias("holder"))
+    totals = totals.select("doc_id", "t.l.row_no", "t.l.section", F.lit("total").alias("name"), F.lit("").alias("share_type"), "t.shares", "t.l.ownership", (F.col("t.shares") * F.col("price")).cast("decimal(38,0)").alias("value"), "price", F.lit(None).cast("decimal(20,0)").alias("amount"), F.lit(False).alias("holder"))
     out = out.unionByName(totals)
     kind, new = F.col("section"), F.col("ownership").isNotNull() & ~F.col("holder")
     merged = F.when(kind.isin("pre_total", "post_total"), "C:D").when(kind.isin("amount", "issue") | ((kind == "post") & new), "G:H")
@@ -108,6 +108,67 @@ def cells(requests: DataFrame) -> DataFrame:
     return out.withColumns({"number_format": shape, "merged": merged}).drop("holder")
 
 
+#: The sheet's labels.
+TITLE, PRICE, PRE_VALUE, POST_VALUE = "Cap Table", "Purchasing Value", "Pre Value", "Post Value"
+BEFORE, AFTER, TOTAL, PAID, ISSUED = "투자 전", "투자 후", "합계", "매입자금", "거래주식수"
+HEADINGS = ("주주명", "주식종류", "주식 수", "지분율")
+FORMATS = (COUNT_FORMAT, SHARE_FORMAT, MONEY_FORMAT)
+
+
+def sheet_lines(lines: DataFrame, requests: DataFrame) -> DataFrame:
+    """The whole sheet, a line a row: doc_id, row_no, merged, cells (col, text, number, formula, number_format), with the formulas that a reader of
+    the file can change numbers under. lines: cells(), best written first, as they are read twice; requests: doc_id, pre_money, and
+    company and round if there are such columns."""
+    kind, row = F.col("section"), F.col("row_no")
+    at = lambda s: F.max(F.when(kind == s, row))
+    value = lambda s: F.max(F.when(kind == s, F.col("value")))
+    places = lines.groupBy("doc_id").agg(at("pre_total").alias("pre"), at("post_total").alias("post"), F.count_if(kind == "amount").cast("int").alias("m"), F.max("price").alias("p"), value("pre_total").alias("pre_value"), value("post_total").alias("post_value"))
+    given = [F.col(c).cast("string").alias(c) if c in requests.columns else F.lit(None).cast("string").alias(c) for c in ("company", "round")]
+    places = places.join(requests.select("doc_id", F.col("pre_money").cast("decimal(20,0)").alias("pre_money"), *given), "doc_id")
+
+    number_of = lambda x: F.when(x.isNotNull(), x.cast("string"))
+    nothing = F.lit(None).cast("string")
+
+    def cell(col: str, text=nothing, number=nothing, formula=nothing, shape=None):
+        return F.struct(F.lit(col).alias("col"), text.alias("text"), number.alias("number"), formula.alias("formula"), F.lit(shape).cast("string").alias("number_format"))
+
+    join = lambda *parts: F.concat(*[x.cast("string") if not isinstance(x, str) else F.lit(x) for x in parts])
+    label = lambda col, x: cell(col, F.lit(x))
+    pre, post, m = F.col("pre"), F.col("post"), F.col("m")
+    first_post, second = pre + 4 + 2 * m + 2, pre + 4
+    share = cell("F", number=number_of(F.col("ownership")), formula=join("E", row, "/$E$", F.when(kind == "pre", pre).otherwise(post)), shape=SHARE_FORMAT)
+    count = lambda formula: cell("E", number=number_of(F.col("shares")), formula=formula, shape=COUNT_FORMAT)
+    sums = lambda col, first, shape, number: cell(col, number=number, formula=join(f"SUM({col}", first, f":{col}", row - 1, ")"), shape=shape)
+    total = lambda first: F.array(label("C", TOTAL), sums("E", first, COUNT_FORMAT, number_of(F.col("shares"))), sums("F", first, SHARE_FORMAT, number_of(F.col("ownership"))))
+    named = [cell("C", F.col("name")), cell("D", F.col("share_type"))]
+    bought = second + 2 * (row - (post - m)) + 1  # the line that says how many shares this investor gets
+    investor = F.array(*named, count(join("F", bought)), share, cell("G", number=number_of(F.col("value")), formula=join("E", row, "*D6"), shape=MONEY_FORMAT))
+    paid = [label("E", PAID), cell("F", number=number_of(F.col("amount")), shape=MONEY_FORMAT)]
+    held = F.array(*named, count(nothing), share)
+    own = (
+        F.when(kind == "pre_total", total(F.lit(FIRST_ROW))).when(kind == "post_total", total(first_post))
+        .when((kind == "amount") & (row == second), F.array(label("B", "2)"), label("C", AFTER), *paid)).when(kind == "amount", F.array(*paid))
+        .when(kind == "issue", F.array(label("E", ISSUED), cell("F", number=number_of(F.col("shares")), formula=join("ROUNDUP(F", row - 1, "/D6,0)"), shape=COUNT_FORMAT)))
+        .when((kind == "post") & (row >= post - m), investor).otherwise(held)
+    )
+    body = lines.join(places, "doc_id").select("doc_id", row.alias("row_no"), "merged", own.alias("cells"))
+    money = lambda col, number, formula=nothing: cell(col, number=number_of(number), formula=formula, shape=MONEY_FORMAT)
+    headings = F.array(*[label(c, h) for c, h in zip("CDEF", HEADINGS)])
+    head = [
+        (F.lit(2), F.array(label("B", TITLE))),
+        (F.lit(4), F.array(cell("B", F.col("company")))),
+        (F.lit(5), F.array(cell("C", F.col("round")))),
+        (F.lit(6), F.array(label("C", PRICE), money("D", F.col("p"), join("ROUND(E7/E", pre, ",0)")))),
+        (F.lit(7), F.array(label("C", PRE_VALUE), money("D", F.col("pre_value"), join("D6*E", pre)), money("E", F.col("pre_money")))),
+        (F.lit(8), F.array(label("C", POST_VALUE), money("D", F.col("post_value"), join("D6*E", post)))),
+        (F.lit(11), F.array(label("B", "1)"), label("C", BEFORE))),
+        (F.lit(FIRST_ROW - 1), headings),
+        (first_post - 1, headings),
+    ]
+    head = places.select("doc_id", F.explode(F.array(*[F.struct(r.cast("int").alias("row_no"), c.alias("cells")) for r, c in head])).alias("h"))
+    return body.unionByName(head.select("doc_id", "h.row_no", F.lit(None).cast("string").alias("merged"), "h.cells"))
+
+
 def fill_missing_types(rows: DataFrame, has_text: DataFrame) -> DataFrame:
     """Where no row of a document has a type and the document has a text layer (doc_id, has_text), all become common stock."""
     none = F.bool_and(F.coalesce(F.col("share_type"), F.lit("")) == "").over(Window.partitionBy("doc_id"))

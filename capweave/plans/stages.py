@@ -19,9 +19,14 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def scratch(spark: SparkSession) -> str:
+    """The path of a new folder in the shared one."""
+    return f"{shared_dir(spark)}/capweave/{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder."""
-    path = f"{shared_dir(df.sparkSession)}/capweave/{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._capweave_path = path
@@ -30,7 +35,11 @@ def written(df: DataFrame) -> DataFrame:
 
 def dropped(df: DataFrame) -> None:
     """Deletes the files of a written() table that no later plan reads."""
-    path, spark = getattr(df, "_capweave_path", None), df.sparkSession
-    if path:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if path := getattr(df, "_capweave_path", None):
+        cleared(df.sparkSession, path)
+
+
+def cleared(spark: SparkSession, path: str) -> None:
+    """Deletes a folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
