@@ -9,8 +9,8 @@ words stand, the same symbol comes out. Equal windows hence share all symbols wh
 Of each window of N words, the symbol of the highest level that has one within (a word, if none has) and
 the smallest name is its anchor. Windows are dealt by anchor, neighbours with one anchor together. An anchor
 that occurs once reveals that its windows are unique; the others are verified by two hashes of all N words, 64 bits each, made
-from two hashes of each word that share nothing. 128 bits decide, whatever the anchor: with W different windows a false
-equality has odds of W * W / 2 ** 129, at a hundred terabytes (some 1e13 windows) 1.5e-13. Of equal windows, all but the first by (doc_id, start)
+from two hashes of each word that share nothing. Within some megabytes of rows all 128 bits decide, between tasks 64 and half of the others (96), whatever
+the anchor: with W different windows, a false equality has odds of W * W / 2 ** 97: 4e-10 at 30 GB (8e9 windows), 0.4 % at 100 TB. Of equal windows, all but the first by (doc_id, start)
 are marked, and every word that a marked window covers goes. Windows that repeat within some megabytes of rows are marked there
 and only the first is dealt, so a passage in a third of all rows counts once for these.
 
@@ -49,13 +49,15 @@ PART_BYTES = 32 << 20
 #: Tasks that compare; each takes its buckets one by one.
 MOST_TASKS = 40_000
 #: An anchor with so many different windows is heavy; an anchor with fewer than a LOCAL in some megabytes of rows isn't counted there.
-HEAVY, LOCAL = 200_000, 32
+HEAVY, LOCAL = 2_000_000, 32
 #: Heavy anchors that tasks are told of, the heaviest first; 8 bytes each.
-MOST_HEAVY = 500_000
+MOST_HEAVY = 4_000_000
 MARK = np.dtype([("doc", "<i8"), ("start", "<u4"), ("count", "<u4")])
 #: tag: 16 bits of the anchor's name, by which unique ones are passed over.
 SEGMENT = np.dtype([("doc", "<i8"), ("tag", "<u2"), ("start", "<u4"), ("count", "<u2")])
 LONGEST = (1 << 16) - 1
+#: What tells windows apart between tasks.
+PRINT = np.dtype([("a", "<u8"), ("b", "<u4")])
 
 
 def compress_runs(name, row, left, right, edges):
@@ -224,7 +226,8 @@ def _deal(buckets: int, heavy: np.ndarray):
                 seg, length = _runs(doc, start, name)
                 out = np.zeros(len(seg), SEGMENT)
                 out["doc"], out["tag"], out["start"], out["count"] = doc[seg], (mix(name[seg]) & U(0xFFFF)).astype(np.uint16), start[seg], length
-                both = np.stack((whole, second), 1)
+                both = np.zeros(len(whole), PRINT)
+                both["a"], both["b"] = whole, second >> U(32)
                 seg_bucket = bucket[seg]
                 cut = np.flatnonzero(np.diff(seg_bucket, prepend=-1, append=-1))
                 ends = np.append(seg, len(doc))
@@ -236,14 +239,14 @@ def _deal(buckets: int, heavy: np.ndarray):
 
 
 def repeated(segments: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """The marks of the windows of a bucket that aren't the first of their kind. hashes: two a window."""
+    """The marks of the windows of a bucket that aren't the first of their kind. hashes: a PRINT a window."""
     count = segments["count"].astype(np.int64)
     shown = np.bincount(segments["tag"], minlength=1 << 16)[segments["tag"]] > 1  # an anchor that occurs once has unique windows only
     hashes, segments, count = hashes[np.repeat(shown, count)], segments[shown], count[shown]
     before = np.concatenate(([0], np.cumsum(count)[:-1])) if len(count) else count
     start = np.repeat(segments["start"].astype(np.int64), count) + np.arange(len(hashes)) - np.repeat(before, count)
     doc = np.repeat(segments["doc"], count)
-    _, later = _later(np.ascontiguousarray(hashes[:, 0]), np.ascontiguousarray(hashes[:, 1]), doc, start)
+    _, later = _later(np.ascontiguousarray(hashes["a"]), np.ascontiguousarray(hashes["b"]), doc, start)
     return _marks(doc[later], start[later])
 
 
@@ -264,7 +267,7 @@ def _by_key(batches, done):
 def _find(targets: int):
     def done(held):
         segments = np.frombuffer(b"".join(x[0] for x in held), SEGMENT)
-        hashes = np.frombuffer(b"".join(x[1] for x in held), np.uint64).reshape(-1, 2)
+        hashes = np.frombuffer(b"".join(x[1] for x in held), PRINT)
         marks = np.concatenate((repeated(segments, hashes), np.frombuffer(b"".join(x[2] for x in held), MARK)))
         if len(marks):
             target = (mix(marks["doc"].astype(U)) % U(targets)).astype(np.int32)

@@ -143,7 +143,7 @@ def test_windows_are_told_apart_by_all_bits():
     segments = np.zeros(4, recompression.SEGMENT)
     segments["doc"], segments["tag"], segments["start"], segments["count"] = [1, 2, 3, 4], 7, 5, 1
     a, b = np.uint64(0xFFFFFFFFFF), np.uint64(1 << 63 | 0xFFFFFFFFFF)
-    marks = recompression.repeated(segments, np.array([[a, 1], [a, 2], [b, 1], [a, 2]], np.uint64))
+    marks = recompression.repeated(segments, np.array([(a, 1), (a, 2), (b, 1), (a, 2)], recompression.PRINT))
     assert marks.tolist() == [(4, 5, 1)]
     key = np.array([5, 5, 5, 5], np.uint64)
     first, later = recompression._later(key, np.array([1, 2, 1, 2], np.uint64), np.array([9, 8, 7, 6]), np.zeros(4, np.int64))
