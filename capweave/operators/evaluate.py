@@ -8,12 +8,12 @@ from __future__ import annotations
 
 import bisect
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import names_match, no_space, scoring_keys
 from ..plans.stages import written
+from .folds import by_key
 from .relational import missing_from, unique_match, zero_filled
 
 CORRECT = "correct"
@@ -31,10 +31,10 @@ def _pairs_by_count(truth: DataFrame, rows: DataFrame) -> DataFrame:
     return unique_match(side(truth, "g"), side(rows, "e"), ["doc_id", "share_count"]).where("side = 'both'").select("doc_id", "g", "e")
 
 
-def _nearest_index(pdf: pd.DataFrame) -> pd.DataFrame:
+def _nearest_index(doc: object, columns: list[list]) -> list[tuple]:
     """Each truth row, in order, takes the nearest free row; of two as near, the lower one. Taken rows are skipped by links to the next
     free one on either side, so a document costs little more than sorting it."""
-    rows = sorted(pdf.loc[pdf["side"] == "e", "ord"])
+    rows = [n for n, truth in zip(*columns) if not truth]
     n, out = len(rows), []
     down, up = list(range(n + 1)), list(range(n + 1))  # places 1 to n and 0; places 0 to n - 1 and n
 
@@ -47,22 +47,23 @@ def _nearest_index(pdf: pd.DataFrame) -> pd.DataFrame:
             links[p] = at
         return at
 
-    for g in sorted(pdf.loc[pdf["side"] == "g", "ord"]):
-        at = bisect.bisect_left(rows, g)
-        low, high = free(down, at) - 1, free(up, at)
-        if low < 0 and high == n:
-            break
-        best = low if high == n or (low >= 0 and g - rows[low] <= rows[high] - g) else high
-        down[best + 1], up[best] = best, best + 1
-        out.append((pdf["doc_id"].iloc[0], g, rows[best]))
-    return pd.DataFrame(out, columns=["doc_id", "g", "e"])
+    for g, truth in zip(*columns):
+        if truth:
+            at = bisect.bisect_left(rows, g)
+            low, high = free(down, at) - 1, free(up, at)
+            if low < 0 and high == n:
+                break
+            best = low if high == n or (low >= 0 and g - rows[low] <= rows[high] - g) else high
+            down[best + 1], up[best] = best, best + 1
+            out.append((doc, g, rows[best]))
+    return out
 
 
 def nearest_index(left: DataFrame, right: DataFrame) -> DataFrame:
     """doc_id, g, e: one-to-one, greedy by distance of ordinals (doc_id, ord)."""
-    both = left.select("doc_id", F.col("ord").cast("long").alias("ord"), F.lit("g").alias("side")).unionByName(right.select("doc_id", F.col("ord").cast("long").alias("ord"), F.lit("e").alias("side")))
-    schema = both.select("doc_id", F.col("ord").alias("g"), F.col("ord").alias("e")).schema
-    return both.groupBy("doc_id").applyInPandas(_nearest_index, schema)
+    side = lambda d, truth: d.select("doc_id", F.col("ord").cast("long").alias("ord"), F.lit(truth).alias("truth"))
+    both = side(left, True).unionByName(side(right, False))
+    return by_key(both, ["ord"], _nearest_index, both.select("doc_id", F.col("ord").alias("g"), F.col("ord").alias("e")).schema)
 
 
 def matched(truth: DataFrame, rows: DataFrame) -> DataFrame:
@@ -150,27 +151,34 @@ def _named(g: DataFrame, e: DataFrame) -> DataFrame:
 def _by_passes(passes, first: int):
     """First fit, pass by pass: each truth row in order takes the first free row of its candidates."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, used_g, used_e, out = pdf.sort_values(["g", "e"]), set(), set(), []
+    def fold(doc: object, columns: list[list]) -> list[tuple]:
+        used_g, used_e, out = set(), set(), []
         for number, test in enumerate(passes, first):
-            for r in pdf[test(pdf)].itertuples():
-                if r.g not in used_g and r.e not in used_e:
-                    used_g.add(r.g)
-                    used_e.add(r.e)
-                    out.append((r.doc_id, r.g, r.e, number))
-        return pd.DataFrame(out, columns=["doc_id", "g", "e", "pass_no"])
+            for g, e, *agree in zip(*columns):
+                if g not in used_g and e not in used_e and test(*agree):
+                    used_g.add(g)
+                    used_e.add(e)
+                    out.append((doc, g, e, number))
+        return out
 
-    return run
+    return fold
 
 
-_EXACT = lambda p: p["packed"] & p["kind"] & p["count"]
-_FUZZY = lambda p: p["fuzzy"] & p["kind"] & p["count"]
-_NAME = lambda p: p["fuzzy"]
+def _exact(packed: bool, fuzzy: bool, kind: bool, count: bool) -> bool:
+    return packed and kind and count
+
+
+def _fuzzy(packed: bool, fuzzy: bool, kind: bool, count: bool) -> bool:
+    return fuzzy and kind and count
+
+
+def _name(packed: bool, fuzzy: bool, kind: bool, count: bool) -> bool:
+    return fuzzy
 
 
 def _taken(pairs: DataFrame, passes, first: int) -> DataFrame:
     kinds = pairs.select("doc_id", "g", "e", F.lit(0).alias("pass_no")).schema
-    return pairs.groupBy("doc_id").applyInPandas(_by_passes(passes, first), kinds)
+    return by_key(pairs.select("doc_id", "g", "e", "packed", "fuzzy", "kind", "count"), ["g", "e"], _by_passes(passes, first), kinds)
 
 
 def cascade(truth: DataFrame, rows: DataFrame, by_name: bool = True) -> DataFrame:
@@ -180,7 +188,7 @@ def cascade(truth: DataFrame, rows: DataFrame, by_name: bool = True) -> DataFram
     """
     g, e = _rows(truth, "g", "a"), _rows(rows, "e", "b")
     named = written(_named(g, e))
-    first = written(_taken(named.where(F.col("kind") & F.col("count")), (_EXACT, _FUZZY), 1))
+    first = written(_taken(named.where(F.col("kind") & F.col("count")), (_exact, _fuzzy), 1))
 
     def place(d, at, row):
         d = d.join(first.select("doc_id", at), ["doc_id", at], "left_anti").select("doc_id", at, F.col(row)["share_count"].alias("n"))
@@ -190,7 +198,7 @@ def cascade(truth: DataFrame, rows: DataFrame, by_name: bool = True) -> DataFram
     used = written(first.unionByName(third))
     if by_name:
         free = named.join(used.select("doc_id", "g"), ["doc_id", "g"], "left_anti").join(used.select("doc_id", "e"), ["doc_id", "e"], "left_anti")
-        used = used.unionByName(_taken(free, (_NAME,), 4))
+        used = used.unionByName(_taken(free, (_name,), 4))
     return _agreeing(used.join(g, ["doc_id", "g"]).join(e, ["doc_id", "e"]))
 
 

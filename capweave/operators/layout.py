@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import words as W
 from ..functions.rules import is_aggregate_label, is_digit_heavy, name_has_address, usable_name
 from ..functions.text import hint_line, name_prefix, normal_share_type, parse_count, safe_dpi, stripped, totals_in
+from ..plans.stages import written
 from .relational import anchored_groups, in_band, islands, midpoint_bands, nearest
 
 PAGE = ["doc_id", "page_num"]
@@ -53,7 +54,7 @@ def _anchored(words: DataFrame, gap: float) -> DataFrame:
     """words with `line`: numbered by distance from the first word of a line."""
     own = F.array_sort(F.collect_list(F.struct("yc", "word_idx")))
     page = words.groupBy(*PAGE).agg(own.alias("w"), F.avg(F.col("y2") - F.col("y1")).alias("h"))
-    page = page.withColumn("line", anchored_groups(F.transform("w", lambda s: s["yc"]), F.col("h") * gap))
+    page = page.withColumn("line", anchored_groups(F.transform("w", lambda s: s["yc"].cast("double")), F.col("h") * gap))
     lines = page.select(*PAGE, F.explode(F.arrays_zip(F.transform("w", lambda s: s["word_idx"]).alias("word_idx"), F.col("line").alias("line"))).alias("z")).select(*PAGE, "z.word_idx", "z.line")
     return words.join(lines, [*PAGE, "word_idx"])
 
@@ -134,8 +135,12 @@ def marked_words(words: DataFrame) -> DataFrame:
 
 
 def rows_from_words(words: DataFrame) -> DataFrame:
-    """Row candidates: doc_id, page_num, row_index, name, share_type, share_count, source, confidence, flags, raw_cells."""
-    w = marked_words(words)
+    """Row candidates: doc_id, page_num, row_index, name, share_type, share_count, source, confidence, flags, raw_cells. Words are marked once, as a stage table."""
+    return rows_from_marked(written(marked_words(words)))
+
+
+def rows_from_marked(w: DataFrame) -> DataFrame:
+    """The same from marked_words()."""
     groups = islands(w.where(F.col("pass").isNotNull()), PAGE, "yc", F.col("h"), ["yc", "word_idx"], "grp")
     value = F.coalesce(parse_count(F.col("n")), F.lit(0))
     best = F.max_by(F.struct("n", "pass"), F.struct(value, -F.col("yc"), -F.col("word_idx")))

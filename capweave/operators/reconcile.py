@@ -5,13 +5,15 @@ Rows (both kinds): doc_id, page_num, row_index, name, share_type, share_count, s
 
 from __future__ import annotations
 
-import pandas as pd
+from itertools import groupby
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import words as W
 from ..functions.rules import form_hits, is_aggregate_label, is_form_page, may_insert, name_has_address, usable_name
 from ..functions.text import clean_name, contains_any, count_contained, known_share_type, name_prefix, no_space, parse_count
+from .folds import by_key
 from .relational import deficit_flags, first_of, leave_one_out, override, sorted_agreement, typed_preferred, unique_only, upper_median
 
 PAGE = ["doc_id", "page_num"]
@@ -119,24 +121,23 @@ def reject_forms(rows: DataFrame, ocr: DataFrame) -> DataFrame:
     return rows.join(bad.select(*PAGE), PAGE, "left_anti")
 
 
-def _accept_pages(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Whether a page is new depends on the pages accepted before it: one pass over a document's pages."""
+def _accept_pages(doc: object, columns: list[list]) -> list[tuple]:
+    """Whether a page is new depends on the pages accepted before it: one pass over a document's rows, sorted by page."""
     names, counts, kept = set(), set(), []
-    for _, page in pdf.sort_values(["page_num", "row_index"]).groupby("page_num", sort=True):
-        packed = page["name"].fillna("").str.replace(" ", "")
-        n = page["share_count"].fillna(0).astype("int64")
-        if names and len(page) >= 2 and max(packed.isin(names).mean(), n.isin(counts).mean()) >= W.DUPLICATE_PAGE:
+    for page, rows in groupby(zip(*columns), key=lambda r: r[0]):
+        _, packed, n = zip(*rows)
+        if names and len(n) >= 2 and max(sum(x in names for x in packed), sum(x in counts for x in n)) / len(n) >= W.DUPLICATE_PAGE:
             continue
-        kept.append(page[["doc_id", "page_num"]].head(1))
+        kept.append((doc, page))
         names.update(packed)
         counts.update(n)
-    return pd.concat(kept) if kept else pdf[["doc_id", "page_num"]].head(0)
+    return kept
 
 
 def drop_repeated_pages(rows: DataFrame) -> DataFrame:
     """Without pages half of whose rows (by name or by count) were on pages accepted before. Only slim rows of one document meet in a task."""
-    slim = rows.select("doc_id", "page_num", "row_index", "name", "share_count")
-    kept = slim.groupBy("doc_id").applyInPandas(_accept_pages, rows.select(*PAGE).schema)
+    slim = rows.select("doc_id", "page_num", no_space(F.coalesce("name", F.lit(""))).alias("name"), count_of().alias("n"))
+    kept = by_key(slim, ["page_num"], _accept_pages, rows.select(*PAGE).schema)
     return rows.join(kept, PAGE, "left_semi")
 
 

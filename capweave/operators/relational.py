@@ -75,15 +75,16 @@ def islands(df: DataFrame, keys: Cols, at: Column | str, gap, order: Cols, name:
 
 
 def anchored_groups(values: Column, gap: Column) -> Column:
-    """Of a sorted array, the group number (from 0) of each value: a new group when over `gap` from the group's first."""
-    start = F.struct(F.lit(None).cast("double").alias("first"), F.lit(-1).alias("at"), F.array().cast("array<int>").alias("out"))
+    """Of a sorted array, the group number (from 0) of each value: a new group when over `gap` from the group's first. The fold keeps the
+    groups' first values only; a value's number is that of the last of them up to it."""
+    start = F.struct(F.lit(None).cast("double").alias("first"), F.array().cast("array<double>").alias("firsts"))
 
     def step(a, v):
         new = a["first"].isNull() | (v - a["first"] > gap)
-        at = F.when(new, a["at"] + 1).otherwise(a["at"])
-        return F.struct(F.when(new, v).otherwise(a["first"]).alias("first"), at.alias("at"), F.concat(a["out"], F.array(at)).alias("out"))
+        return F.when(new, F.struct(v.alias("first"), F.array_append(a["firsts"], v).alias("firsts"))).otherwise(a)
 
-    return F.aggregate(values, start, step, lambda a: a["out"])
+    firsts = F.aggregate(values, start, step, lambda a: a["firsts"])
+    return F.transform(values, lambda v: F.size(F.filter(firsts, lambda f: f <= v)) - 1)
 
 
 def midpoint_bands(df: DataFrame, keys: Cols, at: str, alone) -> DataFrame:

@@ -12,18 +12,14 @@ from ..operators import relational as R
 from ..sources import readers, sinks
 from . import documents
 from .queries import _t, query
-from .stages import shared_dir, written
+from .stages import cleared, scratch, written
 
 PAGE = ["doc_id", "page_num"]
-_PLANS: dict[tuple, dict[str, DataFrame]] = {}
-
-
-def _planned(plan, spark, d) -> dict[str, DataFrame]:
-    """plan(spark, d), whose tables are written, once a session."""
-    key = (plan.__name__, spark.sparkContext.applicationId, d)
-    if key not in _PLANS:
-        _PLANS[key] = plan(spark, d)
-    return _PLANS[key]
+def _kept(spark, path: str, df: DataFrame) -> DataFrame:
+    """df as a stage table; the files at path, from which it was read, go."""
+    out = written(df)
+    cleared(spark, path)
+    return out
 
 
 def _part(spark, d, *expressions: str) -> DataFrame:
@@ -108,9 +104,9 @@ def _ocr_files(spark, d) -> DataFrame:
     p = _part(spark, d, "CAST(floor(k / 10) AS STRING) AS doc_id", "CAST(30 * (k % 10) AS DOUBLE) AS y")
     p = p.selectExpr("doc_id", "k", f"array({field("'a' || " + k, 0)}, {field("' '", 31)}, {field("'b' || " + k, 35)}, {field("'c' || " + k, 200)}) AS f")
     p = p.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "f"))).alias("f"))  # ten lines
-    path = f"{shared_dir(spark)}/capweave/{spark.sql('SELECT uuid()').first()[0]}"
+    path = scratch(spark)
     p.select("doc_id", F.lit(1).alias("page_num"), F.array(F.struct(F.flatten(F.transform("f", lambda x: x["f"])).alias("fields"))).alias("images")).write.json(path)
-    return layout.ocr_words(readers.ocr_replies(spark, path))
+    return _kept(spark, path, layout.ocr_words(readers.ocr_replies(spark, path)))
 
 
 _OCR = "SELECT p_partkey AS k, CAST(p_partkey // 10 AS VARCHAR) AS doc_id, 30 * (p_partkey % 10) AS y FROM part"
@@ -164,7 +160,7 @@ _PLAN = f"""SELECT *, CAST(doc_id AS BIGINT) % 2 = 0 AS again, CASE WHEN m = 2 T
 
 @query(f"""SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN NOT again AND m IN (2, 4) THEN 1 ELSE 0 END, k) - 1 AS BIGINT) AS ord, final AS name, share_type, n AS share_count FROM ({_PLAN})""")
 def page_plan(spark, d):
-    out = _planned(_pages, spark, d)["shareholders"]
+    out = _pages(spark, d)["shareholders"]
     return out.select("doc_id", F.col("ord").cast("long").alias("ord"), "name", "share_type", "share_count")
 
 
@@ -172,14 +168,26 @@ def page_plan(spark, d):
 ELSE CASE m WHEN 2 THEN 'count_only_match,address_trimmed' WHEN 4 THEN 'count_only_match' WHEN 3 THEN '' ELSE 'type_ocr_override' END END AS flags, n AS share_count FROM ({_PLAN})""")
 def page_trace(spark, d):
     """What each row of the page plan has been through."""
-    out = _planned(_pages, spark, d)["page_rows"]
+    out = _pages(spark, d)["page_rows"]
     return out.select("doc_id", "name", "source", F.array_join("flags", ",").alias("flags"), "share_count")
 
 
+@query(f"""WITH r AS (SELECT doc_id, m, again, i, k, CASE WHEN again THEN CAST(i AS BIGINT) ELSE row_number() OVER (PARTITION BY doc_id, m IN (0, 1, 3) ORDER BY k) - 1 END AS place, count(*) FILTER (m IN (0, 1, 3)) OVER (PARTITION BY doc_id) AS firsts FROM ({_PLAN})),
+o AS (SELECT doc_id, m, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS place FROM r WHERE m IN (0, 1, 3) AND again)
+SELECT doc_id, 'vlm_retry' AS source, place AS row_index, 'validated' AS stage, 'changed' AS change, 'name' AS "column", '박가나 서울시 마포구' AS before, '박가나' AS after FROM r WHERE again AND m = 2
+UNION ALL SELECT doc_id, 'vlm', place, 'picked', 'dropped', NULL, NULL, NULL FROM o
+UNION ALL SELECT doc_id, 'ocr_fallback', firsts + place, 'inserted', 'added', NULL, NULL, NULL FROM r WHERE NOT again AND m IN (2, 4)
+UNION ALL SELECT doc_id, CASE WHEN again THEN 'vlm_retry' ELSE 'vlm' END, place, 'typed', 'changed', 'share_type', CASE WHEN m = 1 THEN '보통주' ELSE '' END, CASE m WHEN 0 THEN '보통주' ELSE '우선주' END FROM r WHERE CASE WHEN again THEN m IN (1, 4) ELSE m IN (0, 1) END""")
+def stage_trace(spark, d):
+    """Which stage of the page plan changed what, and which one each lost row was lost in."""
+    out = documents.page_trace(_pages(spark, d))
+    return out.select("doc_id", "source", F.col("row_index").cast("long").alias("row_index"), "stage", "change", "column", "before", "after")
+
+
 @query(f"""SELECT doc_id, CAST(coalesce(sum(n) FILTER (m IN (0, 1, 3)), 0) AS BIGINT) AS total, count(*) FILTER (m IN (0, 1, 3)) AS n, count(*) AS n_ocr, bool_or(k % 20 = 0) AS sum_deficit,
 count(*) >= 2 AND count(*) FILTER (m IN (0, 1, 3)) < count(*) AS count_deficit FROM ({_PLAN}) GROUP BY 1""")
 def page_deficits(spark, d):
-    out = _planned(_pages, spark, d)["deficits"]
+    out = _pages(spark, d)["deficits"]
     return out.select("doc_id", "total", "n", "n_ocr", "sum_deficit", "count_deficit")
 
 
@@ -214,7 +222,7 @@ UNION ALL SELECT CAST(k AS VARCHAR), 1, '사바마라다나가 ' || k, '', CASE
 def reading_plan(spark, d):
     """A dropped line of totals shifts the draft's counts, which is part of the result; counted as a row, it also hides that a draft is
     incomplete, which is then neither repaired nor trusted."""
-    return _planned(_reading, spark, d)["shareholders"].select("doc_id", F.col("ord").cast("long").alias("ord"), "name", "share_type", "share_count")
+    return _reading(spark, d)["shareholders"].select("doc_id", F.col("ord").cast("long").alias("ord"), "name", "share_type", "share_count")
 
 
 @query("""WITH p AS (SELECT p_partkey AS k, 1000 + p_partkey % 1000 AS a, 2000 + p_partkey % 1000 AS b FROM part), c AS (SELECT *, k % 3 <> 0 AS two, CASE WHEN k % 5 = 0 THEN 9999 ELSE 0 END AS extra FROM p),
@@ -222,7 +230,7 @@ s AS (SELECT *, a + extra + CASE WHEN two THEN b ELSE 0 END AS total FROM c)
 SELECT CAST(k AS VARCHAR) AS doc_id, CAST(1 + CAST(two AS INT) + CAST(extra > 0 AS INT) AS BIGINT) AS draft_count, CAST(total AS BIGINT) AS draft_sum, CAST(a + b AS BIGINT) AS text_total,
 CASE WHEN total < (a + b) * 0.85 THEN 'sum_deficit: draft=' || total || ', expected=' || (a + b) ELSE '' END AS issues, total >= (a + b) * 0.85 AS passed FROM s""")
 def draft_checks(spark, d):
-    out = _planned(_reading, spark, d)["checked"]
+    out = _reading(spark, d)["checked"]
     return out.select("doc_id", F.col("draft_count").cast("long").alias("draft_count"), "draft_sum", "text_total", F.array_join("issues", ";").alias("issues"), "passed")
 
 
@@ -246,13 +254,53 @@ def document_totals(spark, d):
     return layout.document_totals(li)
 
 
-@query("""SELECT CAST(k AS VARCHAR) AS doc_id, CAST(i AS BIGINT) AS row_index, name, share_type, CAST(n AS BIGINT) AS share_count FROM (SELECT p_partkey AS k FROM part), LATERAL (SELECT unnest([0, 1]) AS i, unnest(['홀더 ' || k, '가나']) AS name, unnest(['보통주', '']) AS share_type, unnest([k + 1, 1234567]) AS n) WHERE k % 4 < 2""")
+#: Replies from every row of part. A row's name and count are of every JSON type; texts, numbers (whole, with a point or an exponent, negative), true, null, a
+#: list, or absent. Around them: no fence, fences in three spellings, broken JSON, JSON of another shape, blanks, nothing.
+_NAMES = ("'\"' || k || ') 홀더  ' || s || '\"'", "'\"가 나\"'", "'\" \"'", "CAST(s AS {string})", "s || '.0'", "'true'", "'null'", "'\"' || p || '\"'")
+_COUNTS = ("CAST(k + 1 AS {string})", "k || '.75'", "s || 'e3'", "'-' || k", "'true'", "'false'", "'\"1,' || lpad(CAST(k % 1000 AS {string}), 3, '0') || '주\"'", "'null'", "'[' || k || ']'", "'\"-\"'", "'0.5'")
+_TYPES = ("'null'", "'\" 보통 \"'", "'\"우선\"'", "'\"\"'", "'\"' || p || '\"'")
+
+
+def _pick(options, at: str, string: str) -> str:
+    return f"CASE CAST({at} AS INT) % {len(options)} " + " ".join(f"WHEN {i} THEN {o.format(string=string)}" for i, o in enumerate(options)) + " END"
+
+
+def _body(string: str) -> str:
+    """The SQL of a reply: three rows, each with a name, a type and a count of its own; the fourth has no type and no count."""
+    line = lambda i: f"""'{{"name": ' || {_pick(_NAMES, f"k + {3 * i}", string)} || ', "shareType": ' || {_pick(_TYPES, f"k * 3 + {i}", string)} || ', "shareCount": ' || {_pick(_COUNTS, f"k * 7 + {5 * i}", string)} || '}}'"""
+    return f"""'{{"shareholders": [' || {line(0)} || ', ' || {line(1)} || ', ' || {line(2)} || ', {{"name": "x"}}]}}'"""
+
+
+def _around(fifth: str) -> str:
+    around = ("b", "'```json' || chr(10) || b || chr(10) || '```'", "'```JSON ' || b || '```'", "' ``` ' || b || ' ``` '", "b", "'[' || b || ']'", "'{\"shareholders\": ' || k || '}'", "'{\"shareholders\": [' || k || ']}'", "'{broken'", "' '", "NULL", "'{\"other\": 1}'")
+    return f"CASE CAST({fifth} AS INT) % {len(around)} " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(around)) + " END"
+
+
+_REPLIES = f"""WITH t AS (SELECT p_partkey AS k, p_size AS s, p_type AS p FROM part), b AS (SELECT k, {_body("VARCHAR")} AS b FROM t), r AS (SELECT CAST(k AS VARCHAR) AS doc_id, {_around("k // 5")} AS x FROM b),
+u AS (SELECT doc_id, x, trim(regexp_replace(regexp_replace(trim(x, chr(32) || chr(10)), '^```(?:json)?\\s*', '', 'i'), '\\s*```$', ''), chr(32) || chr(10)) AS y FROM r),
+v AS (SELECT *, CASE WHEN x IS NULL OR trim(x) = '' THEN 'failed' WHEN NOT json_valid(y) THEN 'broken' WHEN json_type(CAST(y AS JSON)) <> 'OBJECT' THEN 'shape' END AS bad FROM u),
+j AS (SELECT doc_id, x, bad, CASE WHEN bad IS NULL AND json_type(CAST(y AS JSON), '$.shareholders') = 'ARRAY' THEN CAST(CAST(y AS JSON) -> '$.shareholders' AS JSON[]) ELSE [] END AS items FROM v),
+w AS (SELECT doc_id, x, CASE WHEN bad IS NOT NULL THEN bad WHEN len(list_filter(items, lambda i: json_type(i) <> 'OBJECT')) > 0 THEN 'shape' ELSE 'read' END AS state, items FROM j),
+c AS (SELECT doc_id, i - 1 AS row_index, items[i] -> 'name' AS n, items[i] ->> 'name' AS ns, items[i] -> 'shareType' AS t, items[i] ->> 'shareType' AS ts, items[i] -> 'shareCount' AS c, items[i] ->> 'shareCount' AS cs FROM w, unnest(range(1, len(items) + 1)) g(i) WHERE state = 'read'),
+f AS (SELECT doc_id, row_index, CASE json_type(n) WHEN 'NULL' THEN 'None' WHEN 'BOOLEAN' THEN upper(ns[1]) || ns[2:] ELSE coalesce(ns, '') END AS name, CASE WHEN t IS NULL OR json_type(t) = 'NULL' THEN NULL ELSE trim(ts) END AS t,
+CASE json_type(c) WHEN 'VARCHAR' THEN CAST(trunc(TRY_CAST(regexp_replace(cs, '[^0-9.]', '', 'g') AS DOUBLE)) AS BIGINT) WHEN 'BOOLEAN' THEN CAST(cs = 'true' AS BIGINT) WHEN 'NULL' THEN 0 WHEN 'ARRAY' THEN 0 ELSE CAST(trunc(CAST(cs AS DOUBLE)) AS BIGINT) END AS n FROM c),
+g AS (SELECT doc_id, row_index, regexp_replace(regexp_replace(trim(regexp_replace(name, '\\s+', ' ', 'g')), '^\\d+[.)]\\s*', ''), '^가 나$', '가나') AS name, CASE WHEN t IS NULL THEN '' WHEN t = '' OR contains(t, '보통') THEN '보통주' WHEN contains(t, '우선') THEN '우선주' ELSE t END AS share_type, n FROM f)"""
+
+
+def _varied_replies(spark, d) -> DataFrame:
+    p = _t(spark, d, "part").selectExpr("p_partkey AS k", "p_size AS s", "p_type AS p")
+    p = p.selectExpr("k", f"{_body('STRING')} AS b")
+    return p.selectExpr("CAST(k AS STRING) AS doc_id", "1 AS page_num", "1 AS attempt", f"{_around('floor(k / 5)')} AS content")
+
+
+@query(f"{_REPLIES} SELECT doc_id, CAST(row_index AS BIGINT) AS row_index, name, share_type, n AS share_count FROM g WHERE name <> '' AND n > 0")
 def reply_rows(spark, d):
-    """Replies: plain, fenced, broken, and none at all; in the good ones a nameless row and one without a count drop out."""
-    good = """'{"shareholders": [{"name": "3) 홀더  ' || CAST(k AS STRING) || '", "shareType": " 보통 ", "shareCount": ' || CAST(k + 1 AS STRING) || '}, {"name": "가 나", "shareType": null, "shareCount": "1,234,567주"}, {"name": " ", "shareCount": "5"}, {"name": "x", "shareCount": "-"}]}'"""
-    p = _part(spark, d, "CAST(k AS STRING) AS doc_id", "1 AS page_num", "1 AS attempt", f"CASE k % 4 WHEN 0 THEN {good} WHEN 1 THEN '```json' || char(10) || {good} || char(10) || '```' WHEN 2 THEN '{{broken' END AS content")
-    # Rows are numbered after the others have dropped out.
-    return readers.model_rows(p).select("doc_id", F.col("row_index").cast("long").alias("row_index"), "name", "share_type", "share_count")
+    return readers.model_rows(_varied_replies(spark, d)).select("doc_id", F.col("row_index").cast("long").alias("row_index"), "name", "share_type", "share_count")
+
+
+@query(f"{_REPLIES} SELECT doc_id, state, x AS content FROM w WHERE state <> 'read'")
+def unread_replies(spark, d):
+    return readers.unread_replies(_varied_replies(spark, d)).select("doc_id", "state", "content")
 
 
 # ---------------------------------------------------------------- rules of rows and pages
@@ -367,9 +415,9 @@ def report_sections(spark, d):
 def register_files(spark, d):
     """Registers written as JSON lines and read again; ordinals come from the order in a register."""
     rows = _t(spark, d, "orders").selectExpr("CAST(o_custkey AS STRING) AS doc_id", "CAST(o_orderkey AS BIGINT) AS ord", "o_orderpriority AS name", "CASE WHEN o_orderkey % 3 = 0 THEN 'RCPS' ELSE '' END AS share_type", "CAST(o_orderkey AS BIGINT) AS share_count")
-    path = f"{shared_dir(spark)}/capweave/{spark.sql('SELECT uuid()').first()[0]}"
+    path = scratch(spark)
     sinks.write_registers(rows, path)
-    return readers.registers(spark, path).select("doc_id", F.col("share_count").alias("ord"), "name", "share_type", "share_count")
+    return _kept(spark, path, readers.registers(spark, path)).select("doc_id", F.col("share_count").alias("ord"), "name", "share_type", "share_count")
 
 
 @query("SELECT unnest(['benchmark', 'conversations', 'customer', 'documents', 'embeddings', 'events', 'labels', 'lineitem', 'nation', 'orders', 'pages', 'part', 'region', 'supplier']) AS doc_id")
@@ -423,9 +471,9 @@ def valid_requests(spark, d):
 def register_lookup(spark, d):
     """One document of a register file."""
     rows = _t(spark, d, "orders").selectExpr("CAST(o_custkey AS STRING) AS doc_id", "CAST(o_orderkey AS BIGINT) AS ord", "o_orderpriority AS name", "'' AS share_type", "CAST(o_orderkey AS BIGINT) AS share_count")
-    path = f"{shared_dir(spark)}/capweave/{spark.sql('SELECT uuid()').first()[0]}"
+    path = scratch(spark)
     sinks.write_registers(rows, path)
-    return readers.register_of(spark, path, "4").select("doc_id", F.col("ord").cast("long").alias("ord"), "name", "share_count")
+    return _kept(spark, path, readers.register_of(spark, path, "4")).select("doc_id", F.col("ord").cast("long").alias("ord"), "name", "share_count")
 
 
 @query("SELECT p_partkey AS k FROM part WHERE NOT (p_partkey = 1 OR p_partkey = 3 OR p_partkey BETWEEN 7 AND 13)")

@@ -9,10 +9,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import captable, drafts, layout, reconcile
+from ..operators.trace import trace
 from ..sources.readers import model_rows
 from .stages import written
 
 PAGE = ["doc_id", "page_num"]
+#: What a row is known by from its reply or OCR line to the register.
+ROW = [*PAGE, "source", "row_index"]
+#: The page plan's stages, by what each has done.
+STAGES = ("read", "validated", "picked", "inserted", "typed", "divided", "summed", "forms", "repeated", "document", "filled", "deduplicated")
 
 
 def _ordered(rows: DataFrame, *order: str) -> DataFrame:
@@ -22,25 +27,35 @@ def _ordered(rows: DataFrame, *order: str) -> DataFrame:
 def by_pages(words: DataFrame, replies: DataFrame, page_texts: DataFrame) -> dict[str, DataFrame]:
     """OCR words and model replies (attempt 1, and 2 where it was repeated), page by page.
 
-    Keys: ocr, first, deficits, page_rows (as traced: before form and repeated pages go), accepted, shareholders.
+    Keys: ocr, first, deficits, page_rows (before form and repeated pages go), accepted, shareholders; and of STAGES, each stage's rows with
+    their identity (ROW).
     """
-    ocr, totals = written(layout.rows_from_words(words)), written(layout.page_totals(words))
+    words = written(layout.marked_words(words))  # the one pass over the words as they come
+    ocr, totals = written(layout.rows_from_marked(words)), written(layout.page_totals(words))
     made = written(model_rows(replies))
     shape = ocr.columns
     one, two = (written(reconcile.validated(made.where(t).select(*shape))) for t in ("attempt = 1", "attempt = 2"))
     pages = replies.select(*PAGE).unionByName(words.select(*PAGE)).distinct()
     lacking = reconcile.deficits(one, ocr, totals, pages)
     again = two.join(lacking.where("needs_retry").select(*PAGE), PAGE, "left_semi")
-    rows = written(reconcile.pick_attempt(one, again).select(*shape))
-    rows = written(reconcile.insert_from_ocr(rows, ocr, totals))
-    rows = written(reconcile.override_types(rows, ocr))
-    rows = written(reconcile.correct_face_values(rows, ocr, layout.face_values(words, ocr)))
-    rows = written(reconcile.drop_aggregates(rows, totals))
-    kept = written(reconcile.drop_repeated_pages(reconcile.reject_forms(rows, ocr)))
-    final = reconcile.drop_document_aggregates(_ordered(kept, "page_num", "row_index"))
-    final = captable.fill_missing_types(final, layout.text_layers(page_texts))
-    final = written(reconcile.deduplicated(final.select("doc_id", "ord", "name", "share_type", "share_count")))
-    return {"ocr": ocr, "first": one, "deficits": lacking, "page_rows": rows, "accepted": kept, "shareholders": final}
+    picked = written(reconcile.pick_attempt(one, again).select(*shape))
+    inserted = written(reconcile.insert_from_ocr(picked, ocr, totals))
+    typed = written(reconcile.override_types(inserted, ocr))
+    divided = written(reconcile.correct_face_values(typed, ocr, layout.face_values(words, ocr)))
+    summed = written(reconcile.drop_aggregates(divided, totals))
+    forms = reconcile.reject_forms(summed, ocr)
+    kept = written(reconcile.drop_repeated_pages(forms))
+    document = reconcile.drop_document_aggregates(_ordered(kept, "page_num", "row_index"))
+    filled = captable.fill_missing_types(document, layout.text_layers(page_texts))
+    final = written(reconcile.deduplicated(filled.select("doc_id", "ord", "name", "share_type", "share_count", "page_num", "source", "row_index")))
+    tables = (made, one.unionByName(two), picked, inserted, typed, divided, summed, forms, kept, document, filled, final)
+    out = {"ocr": ocr, "first": one, "deficits": lacking, "page_rows": summed, "accepted": kept}
+    return out | dict(zip(STAGES, tables)) | {"shareholders": final.select("doc_id", "ord", "name", "share_type", "share_count")}
+
+
+def page_trace(plan: dict[str, DataFrame]) -> DataFrame:
+    """trace() of by_pages(): what each stage did to each row's name, type and count, and which one dropped it."""
+    return trace([(s, plan[s]) for s in STAGES], ROW, ["name", "share_type", "share_count"])
 
 
 def by_reading(read: DataFrame, repaired: DataFrame, page_texts: DataFrame) -> dict[str, DataFrame]:

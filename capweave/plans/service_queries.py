@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import captable
 from ..sources import workbooks
-from ..streaming import jobs
+from ..streaming import jobs, sessions
+from ..streaming import pages as streamed_pages
 from .queries import _requests, _t, query
 from .stages import cleared, scratch, written
 
@@ -107,3 +108,23 @@ def workbook_cells(spark, d):
 UNION ALL SELECT d, 'width', c || ':' || c, CAST(w AS DOUBLE) FROM u, (VALUES {", ".join(f"('{c}', {w})" for c, w in captable.WIDTHS.items())}) w(c, w)""")
 def workbook_layout(spark, d):
     return _workbooks(spark, d, workbooks.layout).select("doc_id", "kind", "ref", F.col("value").cast("double").alias("value"))
+
+
+# ---------------------------------------------------------------- sessions, replies that come apart
+
+
+@query("""WITH e AS (SELECT user_id, ts, CAST(value AS DECIMAL(18,4)) AS v, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 3 HOUR AS new FROM events WHERE ts IS NOT NULL),
+s AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM e)
+SELECT user_id AS key, epoch_us(min(ts)) AS session_start, epoch_us(max(ts)) AS session_end, count(*) AS n, CAST(sum(v) AS DOUBLE) AS total FROM s GROUP BY user_id, s""")
+def user_sessions(spark, d):
+    out = sessions.sessions(_t(spark, d, "events"), "user_id", "3 hours")
+    return out.withColumns({c: F.unix_micros(c) for c in ("session_start", "session_end")})
+
+
+@query("""SELECT event_id AS doc_id, CASE WHEN event_id % 4 > 0 AND event_id * 37 % 600 BETWEEN 0 AND 300 AND event_id % 7 > 0 THEN 'r' || event_id END AS content, NOT (event_id % 4 > 0 AND event_id * 37 % 600 <= 300 AND event_id % 7 > 0) AS failed FROM events""")
+def page_replies(spark, d):
+    """Pages whose reply comes in time, too late, before them (every seventh), or never (every fourth)."""
+    pages = _t(spark, d, "events").select(F.col("event_id").alias("doc_id"), F.lit(1).alias("page_num"), "ts")
+    after = F.expr("make_interval(0, 0, 0, 0, 0, 0, CASE WHEN doc_id % 7 = 0 THEN -5 ELSE doc_id * 37 % 600 END)")
+    replies = pages.where("doc_id % 4 > 0").withColumn("ts", F.col("ts").cast("timestamp") + after).withColumn("content", F.concat(F.lit("r"), "doc_id"))
+    return streamed_pages.with_replies(pages, replies).select("doc_id", "content", "failed")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import is_pdf_upload
-from ..functions.text import first_given, natural_key, parse_count, reply_rows
+from ..functions.text import first_given, natural_key, parse_count, parsed_reply, reply_rows
 from ..operators.relational import in_ranges, latest
 
 _ROW = "name string, shareType string, share_type string, shareCount string, share_count string"
@@ -67,9 +67,14 @@ def model_replies(spark: SparkSession, path: str) -> DataFrame:
 
 def model_rows(replies: DataFrame) -> DataFrame:
     """Row candidates of recorded replies (doc_id, page_num, attempt, content). A failed call (null) and an empty list give none."""
-    rows = replies.select("doc_id", "page_num", "attempt", F.posexplode(reply_rows(F.col("content"))).alias("row_index", "r"))
+    rows = replies.select("doc_id", "page_num", "attempt", F.explode(reply_rows(F.col("content"))).alias("r"))
     source = F.when(F.col("attempt") > 1, "vlm_retry").otherwise("vlm")
-    return rows.select("doc_id", "page_num", "attempt", "row_index", "r.*", source.alias("source"), F.lit(1.0).alias("confidence"), F.array().cast("array<string>").alias("flags"), F.array().cast("array<string>").alias("raw_cells"))
+    return rows.select("doc_id", "page_num", "attempt", "r.*", source.alias("source"), F.lit(1.0).alias("confidence"), F.array().cast("array<string>").alias("flags"), F.array().cast("array<string>").alias("raw_cells"))
+
+
+def unread_replies(replies: DataFrame) -> DataFrame:
+    """doc_id, page_num, attempt, state (failed, broken, shape), content of the replies that give no rows because they can't be read."""
+    return replies.select("doc_id", "page_num", "attempt", parsed_reply(F.col("content"))["state"].alias("state"), "content").where("state <> 'read'")
 
 
 def drafts(spark: SparkSession, path: str, kind: str = "draft") -> DataFrame:

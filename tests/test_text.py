@@ -1,3 +1,4 @@
+import json
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -50,12 +51,34 @@ def test_name_prefix(spark):
 
 
 def test_replies(spark):
-    good = '```json\n{"shareholders":[{"name":"1. 홍길동","shareType":null,"shareCount":"1,000주"},{"name":"김철수","shareType":"우선","shareCount":5},{"name":"","shareType":"","shareCount":3},{"name":"가","shareType":"","shareCount":"x"}]}\n```'
+    good = '```json\n{"shareholders":[{"name":"1. 홍길동","shareType":null,"shareCount":"1,000주"},{"name":"","shareType":"","shareCount":3},{"name":"김철수","shareType":"우선","shareCount":5},{"name":"가","shareType":"","shareCount":"x"}]}\n```'
     got = values(spark, text.reply_rows, good, "not json", None, '{"shareholders": []}')
-    assert [tuple(r) for r in got[0]] == [("홍길동", "", 1000), ("김철수", "우선주", 5)]
+    assert [tuple(r) for r in got[0]] == [(0, "홍길동", "", 1000), (2, "김철수", "우선주", 5)]
     assert got[1:] == [[], None, []]
 
 
+def test_counts_and_names_of_every_json_type(spark):
+    row = lambda **k: json.dumps({"shareholders": [k]}, ensure_ascii=False)
+    raw = lambda count: f'{{"shareholders": [{{"name": "가나", "shareCount": {count}}}]}}'
+    counts = {"10000000.0": 10_000_000, "1e7": 10_000_000, "5.9": 5, "-5": None, "0.9": None, "true": 1, "false": None, "null": None, "[7]": None, '{"a": 7}': None, '"1,234주"': 1234, '"-5"': 5, '"1.9"': 1, '""': None, "9007199254740993": 9007199254740993, "1e300": None, "99999999999999999999": None}
+    got = values(spark, text.reply_rows, *map(raw, counts))
+    assert [r[0]["share_count"] if r else None for r in got] == list(counts.values())
+    names = {"홍": "홍", 5: "5", 2.5: "5", 1e7: "0", -2.5: "-2.5", -1e7: "-10000000.0", True: "True", None: "None"}  # a leading number and its point go
+    got = values(spark, text.reply_rows, *[row(name=n, shareCount=1) for n in names], row(shareCount=1))
+    assert [r[0]["name"] if r else None for r in got] == [*names.values(), None]
+    got = values(spark, text.reply_rows, *[row(name="가", shareType=t, shareCount=1) for t in ("", " ", None, "보통", 3)], row(name="가", shareCount=1))
+    assert [r[0]["share_type"] for r in got] == ["보통주", "보통주", "", "보통주", "3", ""]
+
+
+def test_fences_shapes_and_states(spark):
+    body = '{"shareholders": [{"name": "가", "shareCount": 1}]}'
+    replies = [f"```JSON\n{body}\n```", f"```\n{body}```", f"  ```Json {body} ```  ", body, f"[{body}]", "7", '{"shareholders": 7}', '{"shareholders": [7]}', '{"a": 1}', "{", "```", " \n", None, body + "x"]
+    states = ["read"] * 4 + ["shape", "shape", "read", "shape", "read", "broken", "broken", "failed", "failed", "broken", "broken", "broken"]
+    assert values(spark, lambda x: text.parsed_reply(x)["state"], *replies) == states
+    rows = values(spark, text.reply_rows, *replies)
+    assert [None if r is None else len(r) for r in rows] == [1] * 4 + [None, None, 0, None, 0, 0, 0, None, None, 0, 0, 0]
+
+
 def test_drafts_totals_keys(spark):
     got = values(spark, text.draft_line, "1. 홍길동 / 보통 / 1,000주", "2. 김 / 20", "x", "3. 하나", "4. 가 / 이상 / 7")
     assert [tuple(g) if g else None for g in got] == [("홍길동", "보통주", 1000), ("김", "", 20), None, None, ("가", "", 7)]
