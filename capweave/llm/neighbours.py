@@ -19,7 +19,7 @@ queries one at a time. It returns counts by query and edges that connect what th
 hits, so a dense group doesn't make pairs. n_links is what a vector's own searches found.
 
 Not indexed, and linked with nothing: vectors that are null, empty, zero, or have a null or non-finite
-component. Vectors of different length are in different indexes. Rows with a null vec_id count as copies
+component. Components are kept as 32-bit floats: one of type double is rounded, one beyond a float's range counts as not finite. Vectors of different length are in different indexes. Rows with a null vec_id count as copies
 and get the links of their vector; component_id is the smallest vec_id that isn't null. Only vec_id and
 embedding are read.
 """
@@ -449,6 +449,24 @@ def op4_embedding_dedup(spark, sf_dir: str) -> DataFrame:
     return embedding_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def embedding_links(spark, sf_dir: str) -> DataFrame:
+    """op4 over a table that has links: each vector of embeddings, of unit length, with two more that have 0.4 added to one component. These are
+    linked with it (cosine about 0.93), but, as their components differ, not with each other (0.86)."""
+    rows = table(spark, sf_dir, "embeddings").where("vec_id IS NOT NULL").select("vec_id", F.explode(F.array(*map(F.lit, range(3)))).alias("k"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    at = F.pmod(F.col("vec_id") * 7 + F.col("k") * 31, F.size("v"))
+    planted = F.transform("v", lambda x, i: F.when((F.col("k") > 0) & (i == at), x + 0.4).otherwise(x))
+    return embedding_duplicates(rows.select((F.col("vec_id") * 3 + F.col("k")).alias("vec_id"), planted.alias("embedding")))
+
+
+LINKS_SQL = """
+WITH RECURSIVE p AS (SELECT vec_id, k, CAST(embedding AS DOUBLE[]) AS v FROM embeddings, range(3) t(k)),
+v AS (SELECT vec_id * 3 + k AS vec_id, list_transform(list_transform(v, lambda x, i: CASE WHEN k > 0 AND i - 1 = (vec_id * 7 + k * 31) % len(v) THEN x + 0.4 ELSE x END), lambda x: CAST(CAST(x AS FLOAT) AS DOUBLE)) AS e FROM p),
+l AS (SELECT p.vec_id AS x, q.vec_id AS y FROM v p JOIN v q ON p.vec_id <> q.vec_id AND len(p.e) = len(q.e) WHERE list_cosine_similarity(p.e, q.e) >= 0.9),
+n AS (SELECT x, count(*) AS n FROM l GROUP BY x),
+r AS (SELECT x AS vec_id, x AS dest FROM n UNION SELECT r.vec_id, l.y FROM r JOIN l ON r.dest = l.x),
+m AS (SELECT vec_id, min(dest) AS c FROM r GROUP BY vec_id)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, coalesce(m.c, v.vec_id) AS component_id, coalesce(m.c, v.vec_id) = v.vec_id AS kept FROM v LEFT JOIN n ON n.x = v.vec_id LEFT JOIN m USING (vec_id)
+"""
 OP4_SQL = """
 WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 l AS (SELECT p.vec_id AS x, q.vec_id AS y FROM v p JOIN v q ON p.vec_id <> q.vec_id AND len(p.e) = len(q.e) WHERE list_cosine_similarity(p.e, q.e) >= 0.9),

@@ -8,7 +8,7 @@ from .jaccard import OP1_SQL, op1_ngram_jaccard
 from .licenses import LICENSE_BASE_SQL, license_base_places, op9_license_scan
 from .mixing import OP3_SQL, op3_mixing
 from .negatives import OP12_SQL, op12_hard_negatives
-from .neighbours import OP4_SQL, op4_embedding_dedup
+from .neighbours import LINKS_SQL, OP4_SQL, embedding_links, op4_embedding_dedup
 from .periods import OP13_SQL, op13_periodic_runs
 from .recompression import OP8_SQL, op8_substring_dedup
 from .secrets import OP2_SQL, op2_secret_scan
@@ -30,7 +30,8 @@ QUERIES = {
     "op11_url_filter": op11_url_filter,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_periodic_runs": op13_periodic_runs,
-    # What SQL can say about operators whose query has other columns, too.
+    # op4 on a table with links; what SQL can say about operators whose query has other columns, too.
+    "embedding_links": embedding_links,
     "license_base_places": license_base_places,
     "shard_loads": shard_loads,
 }
@@ -46,6 +47,7 @@ ORACLE_SQL = {
     "op11_url_filter": OP11_SQL,
     "op12_hard_negatives": OP12_SQL,
     "op13_periodic_runs": OP13_SQL,
+    "embedding_links": LINKS_SQL,
     "license_base_places": LICENSE_BASE_SQL,
     "shard_loads": SHARD_LOADS_SQL,
 }

@@ -110,11 +110,14 @@ def shard_documents(docs: DataFrame, shards: int = 24, virtual_nodes: int = VIRT
     docs = docs.drop("shard", "slot", "home_shard")
     text = F.col("text") if "text" in docs.columns else F.lit(None).cast("string")
     tie = [F.coalesce(F.crc32(text.cast("binary")), F.lit(0)), F.coalesce(F.octet_length(text), F.lit(0))]
-    return _dealt(spark, docs.select(F.struct("*").alias("row"), "doc_id", tie[0].alias("crc"), tie[1].alias("bytes")), shards, virtual_nodes, load_factor).select("row.*", "shard", "slot", "home_shard")
+    # Rows that differ anywhere have an order of their own (maps can't be hashed; rows that differ there alone are ordered by chance).
+    own = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if f.dataType.typeName() not in ("map", "variant")])
+    return _dealt(spark, docs.select(F.struct("*").alias("row"), "doc_id", tie[0].alias("crc"), tie[1].alias("bytes"), own.alias("own")), shards, virtual_nodes, load_factor).select("row.*", "shard", "slot", "home_shard")
 
 
 def _dealt(spark, keys: DataFrame, shards: int, virtual_nodes: int, load_factor: float) -> DataFrame:
-    """keys (doc_id, crc, bytes and others) with shard, slot and home_shard."""
+    """keys (doc_id, crc, bytes, perhaps own: a tie-breaker, and others) with shard, slot and home_shard."""
+    order = ["spot", "doc_id", "crc", "bytes", *(["own"] if "own" in keys.columns else [])]
     spot = F.xxhash64(F.lit(RING_SEED), "doc_id", F.col("crc").cast("long"), F.col("bytes").cast("long"))
     keys = keys.withColumn("spot", spot).withColumn("cell", F.pmod("spot", F.lit(CELLS)).cast("int"))
     counts = {r["cell"]: r["n"] for r in keys.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # CELLS rows at most
@@ -122,7 +125,7 @@ def _dealt(spark, keys: DataFrame, shards: int, virtual_nodes: int, load_factor:
     fields = ("of", "from", "to", "shard", "first", "home_shard")
     kind = "array<struct<of:int,from:bigint,to:bigint,shard:int,first:bigint,home_shard:int>>"
     parts_df = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps([dict(zip(fields, p)) for p in parts])), kind)))
-    ranked = keys.withColumn("rank", F.row_number().over(Window.partitionBy("cell").orderBy("spot", "doc_id", "crc", "bytes")) - 1)
+    ranked = keys.withColumn("rank", F.row_number().over(Window.partitionBy("cell").orderBy(*order)) - 1)
     fits = (F.col("cell") == F.col("of")) & (F.col("rank") >= F.col("from")) & (F.col("rank") < F.col("to"))
     # At most CELLS + shards rows are broadcast.
     return ranked.join(F.broadcast(parts_df), fits).withColumn("slot", F.col("first") + F.col("rank") - F.col("from"))

@@ -218,3 +218,52 @@ def test_best_run_is_exact(spark):
     assert [r["b"] and tuple(r["b"]) for r in df.select(periods.best_run(F.col("runs")).alias("b")).collect()] == [(9, 67, 2), (0, 10**9 + 1, 10**8), None, (7, 24, 3)]
     with pytest.raises(ValueError):
         periods.periodic_runs(df.select(F.lit(1).alias("doc_id"), F.lit("").alias("text")), times=2)
+
+
+# Changes of this round to earlier operators
+
+
+def test_names_behind_the_bitmap_are_all_found(spark, monkeypatch):
+    """The joins shuffled, and a bitmap so small that most bits are set: rows are the same."""
+    from capweave.llm import decontamination as d
+
+    r = random.Random(5)
+    text = lambda n: " ".join(r.choice("abcdefgh") + str(r.randrange(9)) for _ in range(n))
+    items = [(i, text(r.choice([3, 10, 14]))) for i in range(40)] + [(99, None), (98, "")]
+    docs = [(i, f"{text(15)} {items[i % 40][1]} {text(5)}" if i % 3 else text(30)) for i in range(120)] + [(None, None), (7, "")]
+    rows, bench = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3), spark.createDataFrame(items, "item_id bigint, text string")
+    found = lambda: Counter((x["doc_id"], x["n_words"], x["n_hit"], tuple(x["items"])) for x in d.find_hits(rows, bench).collect())
+    want = found()
+    monkeypatch.setattr(d, "fitted", lambda df, *a: df)
+    for bits in (1 << 28, 64):
+        monkeypatch.setattr(d, "FILTER_BITS", bits)
+        assert found() == want
+    names = d.item_windows(bench).select(F.col("name").alias("wanted")).distinct()
+    monkeypatch.setattr(d, "FILTER_BITS", 1 << 28)
+    other = names.select(F.lit(1).alias("n"), F.explode(F.array("wanted", F.col("wanted") + 1)).alias("name"))
+    assert names.count() <= d._maybe_named(other, names).count() < 1.1 * names.count()
+
+
+def test_rows_that_differ_in_one_column_keep_their_slots(spark):
+    from capweave.llm import sharding
+
+    df = spark.createDataFrame([(i % 3 if i % 4 else None, "same", f"x{i}") for i in range(60)], "doc_id bigint, text string, lang string")
+    runs = {tuple(sorted(((r["lang"], r["shard"], r["slot"]) for r in sharding.shard_documents(df.repartition(k), 5).collect()))) for k in (1, 4, 7)}
+    assert len(runs) == 1
+
+
+def test_planted_links_are_found(spark):
+    from capweave.llm import queries
+    from helpers import DATA, duck, same_rows
+
+    got = queries.QUERIES["embedding_links"](spark, DATA).toArrow()
+    same_rows(got, duck(queries.ORACLE_SQL["embedding_links"]))
+    assert sorted(set(got.column("n_links").to_pylist())) == [1, 2]
+
+
+@pytest.mark.parametrize("name", ["op11_url_filter", "op12_hard_negatives", "op13_periodic_runs"])
+def test_new_queries_equal_sql(spark, name):
+    from capweave.llm import queries
+    from helpers import DATA, duck, same_rows
+
+    same_rows(queries.QUERIES[name](spark, DATA).toArrow(), duck(queries.ORACLE_SQL[name]))
