@@ -84,7 +84,8 @@ def anchored_groups(values: Column, gap: Column) -> Column:
         return F.when(new, F.struct(v.alias("first"), F.array_append(a["firsts"], v).alias("firsts"))).otherwise(a)
 
     firsts = F.aggregate(values, start, step, lambda a: a["firsts"])
-    return F.transform(values, lambda v: F.size(F.filter(firsts, lambda f: f <= v)) - 1)
+    # As the one member of an array, so that the fold runs once and not once a value.
+    return F.transform(F.array(firsts), lambda own: F.transform(values, lambda v: F.size(F.filter(own, lambda f: f <= v)) - 1))[0]
 
 
 def midpoint_bands(df: DataFrame, keys: Cols, at: str, alone) -> DataFrame:

@@ -72,7 +72,7 @@ def test_counts_and_names_of_every_json_type(spark):
 
 def test_fences_shapes_and_states(spark):
     body = '{"shareholders": [{"name": "가", "shareCount": 1}]}'
-    replies = [f"```JSON\n{body}\n```", f"```\n{body}```", f"  ```Json {body} ```  ", body, f"[{body}]", "7", '{"shareholders": 7}', '{"shareholders": [7]}', '{"a": 1}', "{", "```", " \n", None, body + "x"]
+    replies = [f"```JSON\n{body}\n```", f"```\n{body}```", f"  ```Json {body} ```  ", body, f"[{body}]", "7", '{"shareholders": 7}', '{"shareholders": [7]}', '{"a": 1}', "{", "```", " \n", None, body + "x", body + body, body + "," + body]
     states = ["read"] * 4 + ["shape", "shape", "read", "shape", "read", "broken", "broken", "failed", "failed", "broken", "broken", "broken"]
     assert values(spark, lambda x: text.parsed_reply(x)["state"], *replies) == states
     rows = values(spark, text.reply_rows, *replies)
