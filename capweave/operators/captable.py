@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rules import is_valid_request
 from ..functions.words import COMMON
 
 FIRST_ROW = 14
@@ -67,7 +68,7 @@ def round_totals(held: DataFrame, invested: DataFrame, pre_money: DataFrame, key
 
 def cap_table(requests: DataFrame) -> DataFrame:
     """price_round() of requests (doc_id, pre_money, shareholders, investors), invalid ones left out."""
-    valid = requests.where((F.size("shareholders") > 0) & (F.col("pre_money") > 0) & (F.col("investors")[0]["amount"] > 0))
+    valid = requests.where(is_valid_request(F.col("shareholders"), F.col("pre_money"), F.get("investors", F.lit(0))["amount"]))
     return price_round(holders(valid), investors(valid), valid.select("doc_id", F.col("pre_money").cast("decimal(20,0)").alias("pre_money")), "doc_id")
 
 

@@ -274,8 +274,20 @@ def summary(results: DataFrame) -> DataFrame:
 
 
 def error_report(found: DataFrame) -> DataFrame:
-    """error, n, documents (distinct), ids (sorted)."""
-    return found.groupBy("error").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("documents"), F.array_sort(F.collect_set("doc_id")).alias("ids"))
+    """error, n, documents (distinct)."""
+    return found.groupBy("error").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("documents"))
+
+
+def affected(found: DataFrame) -> DataFrame:
+    """error, doc_id, n: a row for each document that an error is in, however many there are."""
+    return found.groupBy("error", "doc_id").agg(F.count("*").alias("n"))
+
+
+def optional_results(truth: DataFrame, rows: DataFrame) -> DataFrame:
+    """doc_id, n_truth, n, has_result: every document of the truth, with or without a result; a result without truth is left out."""
+    count = lambda d, n: d.groupBy("doc_id").agg(F.count("*").alias(n))
+    out = count(truth, "n_truth").join(count(rows, "n"), "doc_id", "left")
+    return out.select("doc_id", "n_truth", F.coalesce("n", F.lit(0)).alias("n"), F.col("n").isNotNull().alias("has_result"))
 
 
 def has_expected(rows: DataFrame, expected: DataFrame) -> DataFrame:

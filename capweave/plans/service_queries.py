@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import captable
-from ..sources import workbooks
+from ..functions import text
+from ..operators import captable, evaluate, reconcile
+from ..sources import readers, sinks, workbooks
 from ..streaming import jobs, sessions
 from ..streaming import pages as streamed_pages
+from .document_queries import _MISREAD, _misread, _part
 from .queries import _requests, _t, query
 from .stages import cleared, scratch, written
 
@@ -128,3 +130,91 @@ def page_replies(spark, d):
     after = F.expr("make_interval(0, 0, 0, 0, 0, 0, CASE WHEN doc_id % 7 = 0 THEN -5 ELSE doc_id * 37 % 600 END)")
     replies = pages.where("doc_id % 4 > 0").withColumn("ts", F.col("ts").cast("timestamp") + after).withColumn("content", F.concat(F.lit("r"), "doc_id"))
     return streamed_pages.with_replies(pages, replies).select("doc_id", "content", "failed")
+
+
+# ---------------------------------------------------------------- files in and out
+
+
+@query("""SELECT CAST(c_nationkey AS BIGINT) AS k, CAST(sum(strlen(c_name) + 1) AS BIGINT) AS length, sha256(string_agg(c_name, chr(10) ORDER BY c_custkey) || chr(10)) AS content FROM customer GROUP BY 1""")
+def uploads(spark, d):
+    """A file a nation with the names of its customers: named .pdf, and once more .txt, which is no upload."""
+    names = _t(spark, d, "customer").repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey").select("c_nationkey", "c_name")
+    path = scratch(spark)
+    for extension in ("pdf", "txt"):
+        names.write.mode("append").partitionBy("c_nationkey").option("extension", extension).csv(path)
+    out = written(readers.uploads(spark, path).select(F.regexp_extract("path", "c_nationkey=([0-9]+)", 1).cast("long").alias("k"), "length", F.sha2("content", 256).alias("content")))
+    cleared(spark, path)
+    return out
+
+
+@query("""SELECT CAST(o_custkey AS VARCHAR) AS doc_id, CAST(o_orderkey AS BIGINT) AS share_count, o_orderstatus AS status FROM orders WHERE o_orderkey % 2 = 0""")
+def stage_dump(spark, d):
+    """A stage as written for later looks: the rows that were there when it was written last."""
+    o = _t(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("doc_id"), F.col("o_orderkey").cast("long").alias("share_count"), F.col("o_orderstatus").alias("status"))
+    path = scratch(spark)
+    sinks.write_stage(o, path)
+    sinks.write_stage(o.where("share_count % 2 = 0"), path, "overwrite")
+    out = written(spark.read.parquet(path))
+    cleared(spark, path)
+    return out
+
+
+def _reported(spark, lines: DataFrame) -> DataFrame:
+    path = scratch(spark)
+    sinks.write_report(lines, path)
+    out = written(sinks.read_report(spark, path))
+    cleared(spark, path)
+    return out
+
+
+@query(f"SELECT doc || ' | ' || CASE WHEN wrong = 0 THEN 'PASS' ELSE 'FAIL' END || ' | ' || (n - wrong) || '/' || n || ' | ' || CAST(round(100.0 * (n - wrong) / n) AS INT) || '%' AS value FROM ({_MISREAD})")
+def report_lines(spark, d):
+    sides = _misread(spark, d)
+    return _reported(spark, sinks.report_lines(evaluate.accuracy(evaluate.classified(*sides)), evaluate.passed(*sides)))
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_partkey // 10 AS doc FROM part), n AS (SELECT k, doc, k % 4 AS m FROM p),
+r AS (SELECT *, format('{:,}', 1000 + k) AS c FROM n)
+SELECT CASE m WHEN 1 THEN doc || ' | type_diff | holder ' || k || ' / 보통주 / ' || c || ' | holder ' || k || ' / 우선주 / ' || c WHEN 2 THEN doc || ' | missing | holder ' || k || ' / 보통주 / ' || c || ' | -' ELSE doc || ' | extra | - | other ' || k || ' / (null) / ' || format('{:,}', 2000000 + k) END AS value FROM r WHERE m > 0""")
+def discrepancy_lines(spark, d):
+    """Of every four rows, one is right, one has another type, one is missing, one is joined by a row of no one."""
+    p = _part(spark, d, "CAST(floor(k / 10) AS STRING) AS doc_id", "CAST(2 * k AS BIGINT) AS ord", "'holder ' || CAST(k AS STRING) AS name", "'보통주' AS share_type", "CAST(1000 + k AS BIGINT) AS share_count", "k % 4 AS m")
+    keep = ["doc_id", "ord", "name", "share_type", "share_count"]
+    rows = p.where("m <> 2").withColumn("share_type", F.when(F.col("m") == 1, "우선주").otherwise(F.col("share_type"))).select(keep)
+    extra = p.where("m = 3").selectExpr("doc_id", "ord + 1 AS ord", "'other ' || CAST(k AS STRING) AS name", "'' AS share_type", "CAST(2000000 + k AS BIGINT) AS share_count")
+    truth, read = p.select(keep), rows.unionByName(extra)
+    return _reported(spark, sinks.discrepancy_lines(evaluate.discrepancies(truth, read), truth, read))
+
+
+@query(f"SELECT 'share_count_mismatch' AS error, CAST(doc AS VARCHAR) AS doc_id, wrong AS n FROM ({_MISREAD}) WHERE wrong > 0")
+def affected_documents(spark, d):
+    return evaluate.affected(evaluate.errors(*_misread(spark, d)))
+
+
+# ---------------------------------------------------------------- rules over many values
+
+
+@query("""WITH m AS (SELECT o_custkey AS c, CAST(o_orderkey % 1000 + 1 AS BIGINT) AS n, o_orderkey AS k FROM orders), p AS (SELECT c, list_sort(list(n))[len(list(n)) // 2 + 1] AS median, count(*) AS rows FROM m GROUP BY c),
+o AS (SELECT o_custkey AS c, CAST(o_totalprice AS BIGINT) AS n FROM orders), u AS (SELECT c, n FROM o GROUP BY c, n HAVING count(*) = 1)
+SELECT CAST(u.c AS VARCHAR) AS doc_id, u.n AS share_count FROM u JOIN p USING (c) WHERE u.n > 0 AND NOT EXISTS (SELECT 1 FROM m WHERE m.c = u.c AND m.n = u.n) AND u.n <= 100 * p.median AND u.n < 100000000""")
+def median_inserts(spark, d):
+    """Rows that OCR may add to a page, where the page's upper median decides: orders are the model's rows, their prices OCR's."""
+    o = _t(spark, d, "orders").withColumns({"doc_id": F.col("o_custkey").cast("string"), "page_num": F.lit(1), "row_index": F.lit(0)})
+    none = F.array().cast("array<string>")
+    more = lambda df, name, n, source, cells: df.select("doc_id", "page_num", "row_index", F.lit(name).alias("name"), F.lit("").alias("share_type"), n.alias("share_count"), F.lit(source).alias("source"), F.lit(1.0).alias("confidence"), none.alias("flags"), cells.alias("raw_cells"))
+    rows = more(o, "가나", (F.col("o_orderkey") % 1000 + 1).cast("long"), "vlm", none)
+    price = F.bround("o_totalprice", 0).cast("long")
+    ocr = more(o, "박가나", price, "ocr", F.array(F.lit("박가나"), price.cast("string")))
+    totals = spark.createDataFrame([], "doc_id string, page_num int, ocr_total bigint")
+    out = reconcile.insert_from_ocr(rows, ocr, totals).where("source = 'ocr_fallback'")
+    return out.select("doc_id", "share_count")
+
+
+@query("""WITH n AS (SELECT p_partkey AS k, p_name || CASE p_partkey % 5 WHEN 0 THEN ' (주식회사 가)' WHEN 1 THEN '(자기주식)' WHEN 2 THEN ' (x)' WHEN 3 THEN ' (유한회사 (가)) (사단법인)' ELSE '' END AS name, p_partkey % 5 AS m, p_name FROM part)
+SELECT k, CASE m WHEN 2 THEN p_name || '(x)' WHEN 0 THEN p_name || '((주)가)' WHEN 1 THEN p_name || '(자기주식)' WHEN 3 THEN p_name || '(유한회사(가))(사단법인)' ELSE p_name END AS plain,
+replace(CASE m WHEN 2 THEN p_name || '(x)' ELSE p_name END, ' ', '') AS bare FROM n""")
+def scoring_names(spark, d):
+    """Names with parentheses: of organisations, of treasury shares, of none, one within another, two in a row."""
+    p = _t(spark, d, "part").selectExpr("p_partkey AS k", "p_name || CASE p_partkey % 5 WHEN 0 THEN ' (주식회사 가)' WHEN 1 THEN '(자기주식)' WHEN 2 THEN ' (x)' WHEN 3 THEN ' (유한회사 (가)) (사단법인)' ELSE '' END AS name")
+    keys = text.scoring_keys(F.col("name"))
+    return p.select("k", keys["plain"].alias("plain"), keys["bare"].alias("bare"))

@@ -47,6 +47,11 @@ def discrepancy_lines(found: DataFrame, truth: DataFrame, rows: DataFrame) -> Da
     return out.select(F.concat_ws(" | ", "doc_id", found.columns[-1], F.coalesce("t", F.lit("-")), F.coalesce("x", F.lit("-"))).alias("value"))
 
 
+def read_report(spark, path: str) -> DataFrame:
+    """The lines of a report, as written."""
+    return spark.read.text(path)
+
+
 def write_report(lines: DataFrame, path: str, mode: str = "error") -> None:
     lines.select("value").write.mode(mode).text(path)
 
