@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import is_valid_request
 from ..functions.words import COMMON
+from ..plans.stages import written
 
 FIRST_ROW = 14
 MONEY = "decimal(38,0)"
@@ -42,11 +43,12 @@ def investors(requests: DataFrame) -> DataFrame:
 def price_round(held: DataFrame, invested: DataFrame, pre_money: DataFrame, key: str) -> DataFrame:
     """Rows after the round. held: key, ord, name, share_type, shares; invested: key, ord, name, share_type, amount; pre_money: key, pre_money.
 
-    kind is holder or investor. The totals come from one aggregate a key, not from a window over its rows.
+    kind is holder or investor. The totals come from one aggregate a key, not from a window over its rows. Terms (a row a key) and issued
+    rows (one an investment) are stage tables, so `held` is read twice and the others once.
     """
     total = held.groupBy(key).agg(F.sum("shares").cast("bigint").alias("pre_total"))
-    terms = pre_money.join(total, key).withColumn("price", share_price(F.col("pre_money"), F.col("pre_total")))
-    issued = invested.join(terms.select(key, "price"), key).withColumn("shares", new_shares(F.col("amount"), F.col("price")))
+    terms = written(pre_money.join(total, key).withColumn("price", share_price(F.col("pre_money"), F.col("pre_total"))))
+    issued = written(invested.join(terms.select(key, "price"), key).withColumn("shares", new_shares(F.col("amount"), F.col("price"))))
     added = issued.groupBy(key).agg(F.sum("shares").cast("bigint").alias("added"))
     terms = terms.join(added, key, "left").withColumn("post_total", F.col("pre_total") + F.coalesce("added", F.lit(0)))
     old = held.select(key, F.lit("holder").alias("kind"), "ord", "name", "share_type", "shares", F.lit(None).cast("decimal(20,0)").alias("amount"))

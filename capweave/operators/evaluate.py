@@ -186,7 +186,7 @@ def cascade(truth: DataFrame, rows: DataFrame, by_name: bool = True) -> DataFram
 
     By count alone, the n-th free row of a document and count meets the n-th on the other side: the first fit, without pairs of all.
     """
-    g, e = _rows(truth, "g", "a"), _rows(rows, "e", "b")
+    g, e = written(_rows(truth, "g", "a")), written(_rows(rows, "e", "b"))  # names are normalised once
     named = written(_named(g, e))
     first = written(_taken(named.where(F.col("kind") & F.col("count")), (_exact, _fuzzy), 1))
 

@@ -12,6 +12,7 @@ from ..operators import captable, drafts, evaluate, layout, reconcile
 from ..operators import relational as R
 from ..sources.sinks import register_lines
 from ..streaming.registers import windowed_counts
+from .stages import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -42,6 +43,7 @@ def _round(spark, d):
     """A round of each nation: customers hold as many shares as they have orders; suppliers invest a thousand times their balance."""
     c, o, s = _t(spark, d, "customer"), _t(spark, d, "orders"), _t(spark, d, "supplier")
     held = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("shares"), F.sum(_money("o_totalprice")).alias("paid")).join(c, "c_custkey")
+    held = written(held.select("c_nationkey", "c_custkey", "c_name", "shares", "paid"))
     rows = held.select("c_nationkey", F.col("c_custkey").alias("ord"), F.col("c_name").alias("name"), F.lit("보통주").alias("share_type"), "shares")
     pre = held.groupBy("c_nationkey").agg(F.sum("paid").cast("decimal(20,0)").alias("pre_money"))
     paid = s.where("s_acctbal > 0").select(F.col("s_nationkey").alias("c_nationkey"), F.col("s_suppkey").alias("ord"), F.col("s_name").alias("name"), F.lit("RCPS").alias("share_type"), (_money("s_acctbal") * 1000).cast("decimal(20,0)").alias("amount"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import rules, text, words
 from ..operators import captable, evaluate, reconcile
 from ..sources import readers, sinks, workbooks
 from ..streaming import jobs, sessions
@@ -218,3 +218,35 @@ def scoring_names(spark, d):
     p = _t(spark, d, "part").selectExpr("p_partkey AS k", "p_name || CASE p_partkey % 5 WHEN 0 THEN ' (주식회사 가)' WHEN 1 THEN '(자기주식)' WHEN 2 THEN ' (x)' WHEN 3 THEN ' (유한회사 (가)) (사단법인)' ELSE '' END AS name")
     keys = text.scoring_keys(F.col("name"))
     return p.select("k", keys["plain"].alias("plain"), keys["bare"].alias("bare"))
+
+_BEFORE = ("", "주권번호", "서 기", "서울시", "대표이사", "a@b", "12", "2020년 3월", "881010-1*****", "부산시 해운대구", "(인)", "3", "자본금")
+_AFTER = ("", "1동", "마포구", "5층", "명", "2021. 3. 4", "( 인 )", "로", "12개", "번길 3")
+
+
+def _array(words, quote="'") -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _any(x: str, words) -> str:
+    return f"len(list_filter({_array(words)}, lambda w: contains({x}, w)))"
+
+
+_BARE = "replace(x, ' ', '')"
+_RULES = f"""WITH p AS (SELECT p_partkey AS k, trim({_array(_BEFORE)}[p_partkey * 7 % {len(_BEFORE)} + 1] || ' ' || CASE WHEN p_partkey % 3 = 0 THEN '' WHEN p_partkey % 3 = 1 THEN p_name ELSE '홀더' || p_size END || ' ' || {_array(_AFTER)}[p_partkey * 11 % {len(_AFTER)} + 1]) AS x,
+CAST(p_size * p_size * p_size * (1 + p_partkey % 900) AS BIGINT) AS n, CASE WHEN p_partkey % 4 > 0 THEN CAST(p_size * 10 AS BIGINT) END AS median, CASE WHEN p_partkey % 5 = 0 THEN CAST(p_size * p_size * p_size * (1 + p_partkey % 900) AS BIGINT) ELSE 7 END AS total FROM part)"""
+
+
+@query(f"""{_RULES}, s AS (SELECT *, length(x) AS l, length(regexp_replace(x, '[0-9년월일\\s]', '', 'g')) AS rest FROM p)
+SELECT k, NOT ({_any(_BARE, words.INSERT_REJECTS)} > 0 OR contains(x, '@') OR regexp_matches(x, '^[0-9]+\\s+') OR regexp_matches(x, '[0-9]{{6}}-\\*+') OR regexp_matches(x, '[0-9]{{1,2}}월|[0-9]{{1,2}}일|[0-9]{{4}}년')
+OR coalesce(median > 0 AND n > median * 100, false) OR n >= 100000000 OR regexp_matches(x, '^[0-9]+[명건개호주]?$') OR l < 2 OR n = total) AS may_insert,
+{_any(_BARE, words.SIGNATURE_WORDS)} > 0 OR contains(x, '(인)') OR contains(x, '( 인 )') OR (l > 0 AND (l - rest) / l > 0.7) AS signature,
+regexp_matches(x, '[0-9]+\\s*[동호층]') OR {_any("x", words.ADDRESS_WORDS)} >= 2 AS address,
+l >= 5 AND (l - length(regexp_replace(x, '[0-9.-]', '', 'g'))) / l > 0.6 AS digits FROM s""")
+def rules_over_names(spark, d):
+    """The rules of rows over names put together from columns and words, with counts, medians and totals from columns."""
+    pick = lambda words, at: F.element_at(F.array(*map(F.lit, words)), F.expr(f"CAST({at} % {len(words)} + 1 AS INT)"))
+    middle = F.when(F.col("p_partkey") % 3 == 0, "").when(F.col("p_partkey") % 3 == 1, F.col("p_name")).otherwise(F.concat(F.lit("홀더"), F.col("p_size").cast("string")))
+    p = _t(spark, d, "part").select(F.col("p_partkey").alias("k"), "p_size", F.trim(F.concat(pick(_BEFORE, "p_partkey * 7"), F.lit(" "), middle, F.lit(" "), pick(_AFTER, "p_partkey * 11"))).alias("x"))
+    p = p.selectExpr("k", "x", "CAST(p_size * p_size * p_size * (1 + k % 900) AS BIGINT) AS n", "CASE WHEN k % 4 > 0 THEN CAST(p_size * 10 AS BIGINT) END AS median").withColumn("total", F.when(F.col("k") % 5 == 0, F.col("n")).otherwise(7))
+    c = F.col
+    return p.select("k", rules.may_insert(c("x"), c("n"), c("median"), c("total")).alias("may_insert"), rules.is_signature_row(c("x")).alias("signature"), rules.is_address(c("x")).alias("address"), rules.is_digit_heavy(c("x")).alias("digits"))
