@@ -56,7 +56,9 @@ def insert_from_ocr(rows: DataFrame, ocr: DataFrame, totals: DataFrame) -> DataF
     raw = F.element_at("raw_cells", 1)
     o = unique_only(ocr_counts(ocr).where("n > 0"), [*PAGE, "n"])
     o = o.join(rows.select(*PAGE, F.col("share_count").alias("n")).distinct(), [*PAGE, "n"], "left_anti")
-    o = o.withColumn("trimmed", name_has_address(raw)).withColumn("name", clean_name(F.when(F.col("trimmed"), name_prefix(raw)).otherwise(raw)))
+    # Exploded, so that the tests on the name read it and don't each hold a copy of its expression.
+    named = F.struct(name_has_address(raw).alias("trimmed"), clean_name(F.when(name_has_address(raw), name_prefix(raw)).otherwise(raw)).alias("name"))
+    o = o.drop("name").select("*", F.inline(F.array(named)))
     page = rows.groupBy(*PAGE).agg(upper_median(count_of()).alias("median"), (F.max("row_index") + 1).alias("k"))
     o = o.join(page, PAGE, "left").join(totals, PAGE, "left")
     o = o.where((F.col("name") != "") & ~is_aggregate_label(F.col("name")) & may_insert(F.col("name"), F.col("n"), F.col("median"), F.col("ocr_total")))

@@ -43,7 +43,7 @@ def by_pages(words: DataFrame, replies: DataFrame, page_texts: DataFrame) -> dic
     typed = written(reconcile.override_types(inserted, ocr))
     divided = written(reconcile.correct_face_values(typed, ocr, layout.face_values(words, ocr)))
     summed = written(reconcile.drop_aggregates(divided, totals))
-    forms = reconcile.reject_forms(summed, ocr)
+    forms = written(reconcile.reject_forms(summed, ocr))
     kept = written(reconcile.drop_repeated_pages(forms))
     document = reconcile.drop_document_aggregates(_ordered(kept, "page_num", "row_index"))
     filled = captable.fill_missing_types(document, layout.text_layers(page_texts))
