@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import rules, text, words
+from ..functions import rules, sql, text, words
 from ..operators import captable, evaluate, reconcile
 from ..sources import readers, sinks, workbooks
 from ..streaming import jobs, sessions
 from ..streaming import pages as streamed_pages
 from .document_queries import _MISREAD, _misread, _part
-from .queries import _requests, _t, query
+from .queries import ORACLE, _requests, _t, query
 from .stages import cleared, scratch, written
 
 # ---------------------------------------------------------------- jobs
@@ -250,3 +250,28 @@ def rules_over_names(spark, d):
     p = p.selectExpr("k", "x", "CAST(p_size * p_size * p_size * (1 + k % 900) AS BIGINT) AS n", "CASE WHEN k % 4 > 0 THEN CAST(p_size * 10 AS BIGINT) END AS median").withColumn("total", F.when(F.col("k") % 5 == 0, F.col("n")).otherwise(7))
     c = F.col
     return p.select("k", rules.may_insert(c("x"), c("n"), c("median"), c("total")).alias("may_insert"), rules.is_signature_row(c("x")).alias("signature"), rules.is_address(c("x")).alias("address"), rules.is_digit_heavy(c("x")).alias("digits"))
+
+
+# ---------------------------------------------------------------- rules and plans in SQL
+
+
+@query(ORACLE["rules_over_names"])
+def rules_in_sql(spark, d):
+    """rules_over_names by functions in SQL."""
+    sql.register(spark)
+    pick = lambda words, at: f"element_at(array({', '.join(f"'{w}'" for w in words)}), CAST({at} % {len(words)} + 1 AS INT))"
+    x = f"trim({pick(_BEFORE, 'p_partkey * 7')} || ' ' || CASE WHEN p_partkey % 3 = 0 THEN '' WHEN p_partkey % 3 = 1 THEN p_name ELSE '홀더' || p_size END || ' ' || {pick(_AFTER, 'p_partkey * 11')})"
+    n = "CAST(p_size * p_size * p_size * (1 + p_partkey % 900) AS BIGINT)"
+    return spark.sql(
+        f"""SELECT k, may_insert(x, n, median, total) AS may_insert, is_signature_row(x) AS signature, is_address(x) AS address, is_digit_heavy(x) AS digits FROM
+        (SELECT p_partkey AS k, {x} AS x, {n} AS n, CASE WHEN p_partkey % 4 > 0 THEN CAST(p_size * 10 AS BIGINT) END AS median, CASE WHEN p_partkey % 5 = 0 THEN {n} ELSE 7 END AS total FROM {{part}})""",
+        part=_t(spark, d, "part"),
+    )
+
+
+@query("""SELECT 'pages' AS plan, CAST(o_custkey AS VARCHAR) AS doc_id, o_orderkey AS share_count FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT 'reading', CAST(o_custkey AS VARCHAR), o_orderkey FROM orders WHERE o_orderkey % 3 = 0""")
+def plans_by_name(spark, d):
+    """The rows of two plans, each chosen by its name in SQL; a third name has none."""
+    o = _t(spark, d, "orders").selectExpr("CAST(o_custkey AS STRING) AS doc_id", "1 AS ord", "o_orderpriority AS name", "'' AS share_type", "CAST(o_orderkey AS BIGINT) AS share_count")
+    sql.register_plans(spark, {"pages": o.where("share_count % 2 = 0"), "reading": o.where("share_count % 3 = 0")})
+    return spark.sql(" UNION ALL ".join(f"SELECT '{p}' AS plan, doc_id, share_count FROM register_rows('{p}')" for p in ("pages", "reading", "other")))
