@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_batches, table, written
-from .words import U, Words, mix, randoms, row_groups
+from .words import U, Words, mix, row_groups
 
 N = 20
 ROUNDS = 2
