@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-EVENT = "stage string, change string, column string, before string, after string"
-
 
 def trace(stages: Sequence[tuple[str, DataFrame]], keys: Sequence[str], values: Sequence[str]) -> DataFrame:
     """keys, stage_no, stage, change (added, changed, dropped), column, before, after.

@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-SESSION = "key, session_start, session_end, n, total"
-
 
 def sessions(events: DataFrame, key: str, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """key, session_start, session_end (the last event's time), n, total by session: events (key, ts, value) less than `gap` apart. On a table all sessions; on a
