@@ -25,9 +25,18 @@ def uploads(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered_files(spark: SparkSession, path: str, pattern: str = "Test*.pdf", subset: str | None = None) -> DataFrame:
-    """doc_id, path, number of files by name; sorted by number when shown, cut to ranges such as 1,3,7-13."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path")
-    files = files.withColumn("doc_id", F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)).withColumn("number", natural_key(F.col("doc_id")))
+    """doc_id, path, number of what lies in a folder by name, a file or a folder of parts that stands for one; sorted by number when shown, cut to ranges such
+    as 1,3,7-13."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    at = hadoop.Path(path)
+    root = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/") + "/"
+    inside, name = F.col("path").startswith(root), F.regexp_extract("path", "[^/]+$", 0)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    # Parts lie below the folder; where the path is a pattern of its own, files go by their own names.
+    files = files.withColumn("name", F.when(inside, F.substring_index(F.substring("path", len(root) + 1, 1 << 20), "/", 1)).otherwise(name))
+    files = files.where(F.col("name").rlike(f"^(?:{hadoop.GlobPattern(pattern).compiled().pattern()})$"))
+    files = files.select(F.when(inside, F.concat(F.lit(root), "name")).otherwise(F.col("path")).alias("path"), F.regexp_extract("name", r"(.+)\.[^.]+$", 1).alias("doc_id")).distinct()
+    files = files.withColumn("number", natural_key(F.col("doc_id")))
     return in_ranges(files, F.col("number"), subset) if subset else files
 
 
