@@ -82,8 +82,8 @@ WIDTHS = {"A": 5.125, "B": 3.5, "C": 38.25, "D": 15.75, "E": 14.625, "F": 17.125
 
 
 def cells(requests: DataFrame) -> DataFrame:
-    """The sheet as a table: doc_id, row_no, section, name, share_type, shares, ownership, value, price, amount, number_format (of ownership, or of the amount or the
-    count where there is none), merged (the columns of the row that are one cell: C:D of totals, G:H of investors' lines). Column widths are WIDTHS.
+    """The sheet as a table: doc_id, row_no, section, name, share_type, shares, ownership, value, price, amount, number_format (of ownership; of the amount and the
+    count in their own lines), merged (the columns of the row that are one cell: C:D of totals, G:H of investors' lines). Column widths are WIDTHS.
 
     The round is computed once: each of its rows turns into its lines, and each document into its two lines of totals.
     """
@@ -105,9 +105,10 @@ def cells(requests: DataFrame) -> DataFrame:
     totals = n.withColumn("t", F.explode(F.array(total("pre_total", F.lit(FIRST_ROW) + F.col("n"), "pre_total", "pre_sum"), total("post_total", post + F.col("n") + F.col("m"), "post_total", "post_sum"))))
     totals = totals.select("doc_id", "t.l.row_no", "t.l.section", F.lit("total").alias("name"), F.lit("").alias("share_type"), "t.shares", "t.l.ownership", (F.col("t.shares") * F.col("price")).cast("decimal(38,0)").alias("value"), "price", F.lit(None).cast("decimal(20,0)").alias("amount"), F.lit(False).alias("holder"))
     out = out.unionByName(totals)
-    kind, new = F.col("section"), F.col("ownership").isNotNull() & ~F.col("holder")
-    merged = F.when(kind.isin("pre_total", "post_total"), "C:D").when(kind.isin("amount", "issue") | ((kind == "post") & new), "G:H")
-    shape = F.when(kind == "amount", MONEY_FORMAT).when(F.col("ownership").isNotNull(), SHARE_FORMAT).otherwise(COUNT_FORMAT)
+    # By the line's place, not by its values: an investor whose shares are unknown (a price of 0) has a line of the same shape.
+    kind = F.col("section")
+    merged = F.when(kind.isin("pre_total", "post_total"), "C:D").when(kind.isin("amount", "issue") | ((kind == "post") & ~F.col("holder")), "G:H")
+    shape = F.when(kind == "amount", MONEY_FORMAT).when(kind == "issue", COUNT_FORMAT).otherwise(SHARE_FORMAT)
     return out.withColumns({"number_format": shape, "merged": merged}).drop("holder")
 
 

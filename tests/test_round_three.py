@@ -22,3 +22,17 @@ def test_folders_of_parts_are_listed_by_their_names(spark, tmp_path):
     got = document_queries.readers.numbered_files(spark, str(tmp_path), "*.parquet").collect()
     assert sorted((r["doc_id"], r["path"].rsplit("/", 1)[1]) for r in got) == [("a", "a.parquet"), ("b", "b.parquet"), ("part.1", "part.1.parquet")]
     assert [r["doc_id"] for r in document_queries.readers.numbered_files(spark, f"{tmp_path}/a*", "*1.parquet").collect()] == ["part-1"]
+
+
+def free_shares(tmp_path) -> str:
+    """Customers whose round has a price of 0, so that its new shares are unknown, and one whose price isn't."""
+    duckdb.sql(f"""COPY (SELECT CAST(1000 * i + c AS BIGINT) AS o_orderkey, CAST(c AS BIGINT) AS o_custkey, CASE WHEN c = 3 THEN 90000.0 ELSE 1.0 END AS o_totalprice, 'p' || i AS o_orderpriority FROM range(1, 4) t(i), range(1, 4) u(c)) TO '{tmp_path}/orders.parquet'""")
+    return str(tmp_path)
+
+
+def _same(spark, name, at):
+    same_rows(register.QUERIES[name](spark, at).toArrow(), duck(register.ORACLE[name], at))
+
+
+def test_sheet_cells_with_unknown_shares(spark, tmp_path):
+    _same(spark, "sheet_cells", free_shares(tmp_path))
