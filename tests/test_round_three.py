@@ -40,3 +40,9 @@ def test_sheet_cells_with_unknown_shares(spark, tmp_path):
 
 def test_sheet_layout_with_unknown_shares(spark, tmp_path):
     _same(spark, "sheet_layout", free_shares(tmp_path))
+
+
+def test_workbook_layout_with_unknown_shares(spark, tmp_path):
+    at = free_shares(tmp_path)
+    _same(spark, "workbook_layout", at)
+    _same(spark, "workbook_cells", at)
