@@ -135,70 +135,69 @@ def _agreeing(pairs: DataFrame) -> DataFrame:
     return pairs.withColumns(agree).drop("a", "b")
 
 
-def _named(g: DataFrame, e: DataFrame) -> DataFrame:
-    """Pairs of a document's rows whose names agree, with what else agrees. Names one edit apart share a deletion variant, on which
-    they are joined, so no pair of all rows is made."""
-
-    def variants(k):
-        near = lambda t: F.concat(F.array(t), F.transform(F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t)))))
-        return F.array_distinct(F.concat(near(k["packed"]), near(k["bare"])))
-
-    spread = lambda d, c: d.withColumn("x", F.explode(F.array_distinct(F.array_append(variants(F.col(c)["k"]), F.col(c)["packed"]))))
-    pairs = spread(g, "a").join(spread(e, "b"), ["doc_id", "x"]).drop("x").dropDuplicates(["doc_id", "g", "e"])
-    return _agreeing(pairs).where("fuzzy")
-
-
-def _by_passes(passes, first: int):
-    """First fit, pass by pass: each truth row in order takes the first free row of its candidates."""
-
-    def fold(doc: object, columns: list[list]) -> list[tuple]:
-        used_g, used_e, out = set(), set(), []
-        for number, test in enumerate(passes, first):
-            for g, e, *agree in zip(*columns):
-                if g not in used_g and e not in used_e and test(*agree):
-                    used_g.add(g)
-                    used_e.add(e)
-                    out.append((doc, g, e, number))
-        return out
-
-    return fold
-
-
-def _exact(packed: bool, fuzzy: bool, kind: bool, count: bool) -> bool:
-    return packed and kind and count
+def _spread(d: DataFrame, at: str, row: str, keys) -> DataFrame:
+    """h, i, c, doc_id, `at`: a name's forms, whole (i 0) and without their i-th character (c), each with the keys as one hash."""
+    t = d.select("doc_id", at, *[F.col(row)[k].alias(k) for k in keys], F.explode(F.array_distinct(F.array(F.col(row)["packed"], F.col(row)["k"]["packed"], F.col(row)["k"]["bare"]))).alias("t"))
+    t = t.withColumn("i", F.explode(F.sequence(F.lit(0), F.length("t"))))
+    i, whole = F.col("i"), F.col("i") == 0
+    x = F.when(whole, F.col("t")).otherwise(F.concat(F.substring("t", F.lit(1), i - 1), F.substring("t", i + 1, F.length("t"))))
+    return t.select(F.xxhash64("doc_id", *keys, x).alias("h"), "i", F.when(whole, "").otherwise(F.substring("t", i, F.lit(1))).alias("c"), "doc_id", at)
+
+
+def _named(g: DataFrame, e: DataFrame, keys=()) -> DataFrame:
+    """doc_id, g, e: pairs of a document's rows whose names (and keys) agree. Names one edit apart are joined on a form that they share: one is the other without
+    a character, or both lack a different one at the same place. So no pair of all rows is made, an equal pair is made once, and what is
+    shuffled has hashes, not rows; the names are compared afterwards."""
+    a, b = _spread(g, "g", "a", keys), _spread(e, "e", "b", keys).drop("doc_id").withColumnsRenamed({"i": "j", "c": "other"})
+    c = F.col
+    pairs = a.join(b, "h").where((c("i") == 0) | (c("j") == 0) | ((c("i") == c("j")) & (c("c") != c("other")))).select("doc_id", "g", "e").distinct()
+    pairs = _agreeing(pairs.join(g, ["doc_id", "g"]).join(e, ["doc_id", "e"])).where("fuzzy")
+    return (pairs.where("kind AND count") if keys else pairs).select("doc_id", "g", "e")
+
+
+def _first_fit(doc: object, columns: list[list]) -> list[tuple]:
+    """Each truth row in order takes the first free row of its candidates."""
+    used_g, used_e, out = set(), set(), []
+    for g, e in zip(*columns):
+        if g not in used_g and e not in used_e:
+            used_g.add(g)
+            used_e.add(e)
+            out.append((doc, g, e))
+    return out
 
 
-def _fuzzy(packed: bool, fuzzy: bool, kind: bool, count: bool) -> bool:
-    return fuzzy and kind and count
+def _taken(pairs: DataFrame) -> DataFrame:
+    return by_key(pairs, ["g", "e"], _first_fit, pairs.schema)
 
 
-def _name(packed: bool, fuzzy: bool, kind: bool, count: bool) -> bool:
-    return fuzzy
+def _in_turn(g: DataFrame, e: DataFrame, keys) -> DataFrame:
+    """doc_id, g, e: the n-th row of a document and keys meets the n-th on the other side: the first fit by equality, without pairs of all."""
 
+    def place(d, at, row):
+        d = d.select("doc_id", at, *[F.col(row)[k].alias(k) for k in keys])
+        return d.withColumn("place", F.row_number().over(Window.partitionBy("doc_id", *keys).orderBy(at)))
 
-def _taken(pairs: DataFrame, passes, first: int) -> DataFrame:
-    kinds = pairs.select("doc_id", "g", "e", F.lit(0).alias("pass_no")).schema
-    return by_key(pairs.select("doc_id", "g", "e", "packed", "fuzzy", "kind", "count"), ["g", "e"], _by_passes(passes, first), kinds)
+    return place(g, "g", "a").join(place(e, "e", "b"), ["doc_id", *keys, "place"]).select("doc_id", "g", "e")
 
 
 def cascade(truth: DataFrame, rows: DataFrame, by_name: bool = True) -> DataFrame:
     """doc_id, g, e, pass_no and what agrees: exact, then fuzzy name, then count alone, then (by_name) name alone.
 
-    By count alone, the n-th free row of a document and count meets the n-th on the other side: the first fit, without pairs of all.
+    Only rows that the passes before left free come into the next one; of the second pass, only those with a type and count that the other side has.
     """
     g, e = written(_rows(truth, "g", "a")), written(_rows(rows, "e", "b"))  # names are normalised once
-    named = written(_named(g, e))
-    first = written(_taken(named.where(F.col("kind") & F.col("count")), (_exact, _fuzzy), 1))
-
-    def place(d, at, row):
-        d = d.join(first.select("doc_id", at), ["doc_id", at], "left_anti").select("doc_id", at, F.col(row)["share_count"].alias("n"))
-        return d.withColumn("place", F.row_number().over(Window.partitionBy("doc_id", "n").orderBy(at)))
-
-    third = place(g, "g", "a").join(place(e, "e", "b"), ["doc_id", "n", "place"]).select("doc_id", "g", "e", F.lit(3).alias("pass_no"))
-    used = written(first.unionByName(third))
+    kind = ["share_type", "share_count"]
+    number = lambda d, n: d.withColumn("pass_no", F.lit(n))
+    free = lambda d, at, used: d.join(used.select("doc_id", at), ["doc_id", at], "left_anti")
+    used = written(number(_in_turn(g, e, ["packed", *kind]), 1))
+    g2, e2 = free(g, "g", used), free(e, "e", used)
+    known = lambda d, row: d.select("doc_id", *[F.col(row)[k].alias(k) for k in kind]).distinct()
+    both = known(g2, "a").join(known(e2, "b"), ["doc_id", *kind])
+    there = lambda d, row: d.join(both, (d["doc_id"] == both["doc_id"]) & (d[row]["share_type"] == both["share_type"]) & (d[row]["share_count"] == both["share_count"]), "left_semi")
+    used = written(used.unionByName(number(_taken(_named(there(g2, "a"), there(e2, "b"), kind)), 2)))
+    used = written(used.unionByName(number(_in_turn(free(g, "g", used), free(e, "e", used), ["share_count"]), 3)))
     if by_name:
-        free = named.join(used.select("doc_id", "g"), ["doc_id", "g"], "left_anti").join(used.select("doc_id", "e"), ["doc_id", "e"], "left_anti")
-        used = used.unionByName(_taken(free, (_name,), 4))
+        used = used.unionByName(number(_taken(_named(free(g, "g", used), free(e, "e", used))), 4))
     return _agreeing(used.join(g, ["doc_id", "g"]).join(e, ["doc_id", "e"]))
 
 

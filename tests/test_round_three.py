@@ -4,6 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from capweave.llm import queries as llm
+from capweave.operators import evaluate
 from capweave.plans import document_queries, service_queries  # noqa: F401  they add their queries
 from capweave.plans import queries as register
 from helpers import duck, same_rows
@@ -46,3 +47,14 @@ def test_workbook_layout_with_unknown_shares(spark, tmp_path):
     at = free_shares(tmp_path)
     _same(spark, "workbook_layout", at)
     _same(spark, "workbook_cells", at)
+
+
+def test_names_meet_on_hashes_once(spark):
+    """Rows don't go through the shuffle with each form of their names, and an equal pair isn't made by every form."""
+    rows = spark.createDataFrame([("d", i, n, "", c) for i, (n, c) in enumerate([("abcdefghij", 1), ("abcdefghij", 2), ("abcdefghix", 3), ("bacdefghij", 4), ("abcdefghijk", 5), ("", 6), (None, 7)])], "doc_id string, ord int, name string, share_type string, share_count bigint")
+    g, e = evaluate._rows(rows, "g", "a"), evaluate._rows(rows, "e", "b")
+    assert set(evaluate._spread(g, "g", "a", ()).columns) == {"h", "i", "c", "doc_id", "g"}
+    near = {(0, 1), (0, 2), (1, 2), (0, 4), (1, 4)}
+    got = [(r["g"], r["e"]) for r in evaluate._named(g, e).collect()]
+    assert sorted(got) == sorted({(i, i) for i in range(6)} | near | {(b, a) for a, b in near})
+    assert len([r for r in evaluate._named(g, e, ["share_type", "share_count"]).collect()]) == 6
