@@ -66,9 +66,13 @@ def ocr_lines(words: DataFrame, gap: float = 0.5) -> DataFrame:
 
 
 def page_totals(words: DataFrame) -> DataFrame:
-    """doc_id, page_num, ocr_total: the greatest number on a line of totals; pages without one are left out."""
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("yc", "word_idx", "text"))), lambda s: s["text"]), " ")
-    lines = _anchored(words, 0.8).groupBy(*PAGE, "line").agg(text.alias("t"), F.bool_or(is_aggregate_label(F.col("text"))).alias("label"))
+    """doc_id, page_num, ocr_total: the greatest number on a line of totals; pages without one are left out. A page's words meet once, with what is asked of
+    them only, and stay together for its lines."""
+    page = words.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("yc", "word_idx", "text"))).alias("w"), F.avg(F.col("y2") - F.col("y1")).alias("h"))
+    lines = page.select(*PAGE, "w", anchored_groups(F.transform("w", lambda s: s["yc"].cast("double")), F.col("h") * 0.8).alias("line"))
+    own = lines.select(*PAGE, F.posexplode(F.arrays_zip(F.transform("w", lambda s: s["text"]).alias("text"), F.col("line").alias("line"))).alias("at", "z"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "z.text"))), lambda s: s["text"]), " ")
+    lines = own.groupBy(*PAGE, F.col("z.line").alias("line")).agg(text.alias("t"), F.bool_or(is_aggregate_label(F.col("z.text"))).alias("label"))
     named = F.col("label")
     for w in W.TOTAL_LABELS:
         named = named | F.contains("t", F.lit(w))

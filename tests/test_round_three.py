@@ -4,7 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from capweave.llm import queries as llm
-from capweave.operators import evaluate
+from capweave.operators import evaluate, layout
 from capweave.plans import document_queries, service_queries  # noqa: F401  they add their queries
 from capweave.plans import queries as register
 from helpers import duck, same_rows
@@ -58,3 +58,11 @@ def test_names_meet_on_hashes_once(spark):
     got = [(r["g"], r["e"]) for r in evaluate._named(g, e).collect()]
     assert sorted(got) == sorted({(i, i) for i in range(6)} | near | {(b, a) for a, b in near})
     assert len([r for r in evaluate._named(g, e, ["share_type", "share_count"]).collect()]) == 6
+
+
+def test_a_page_meets_once_for_its_totals(spark):
+    words = spark.createDataFrame([("d", 1, 2, "1,000", 0.0, 10.0, 5.0, 9.0), ("d", 1, 1, "합계", 0.0, 10.0, 4.0, 1.0), ("d", 1, 3, "9,999", 40.0, 50.0, 45.0, 9.0), ("d", 2, 1, "77777", 0.0, 10.0, 5.0, 1.0), ("d", 3, 1, None, 0.0, 10.0, 5.0, 1.0), ("d", 3, 2, "총계", 0.0, 10.0, 5.0, 1.0), ("d", 3, 3, "5,000", 0.0, 10.0, 5.0, 1.0)], "doc_id string, page_num int, word_idx int, text string, y1 double, y2 double, yc double, x1 double")
+    out = layout.page_totals(words)
+    assert sorted(tuple(r) for r in out.collect()) == [("d", 1, 1000), ("d", 3, 5000)]
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange") == 1 and "Join" not in plan
