@@ -12,7 +12,7 @@ from ..operators import relational as R
 from ..sources import readers, sinks
 from . import documents
 from .queries import _t, query
-from .stages import cleared, scratch, written
+from .stages import cleared, scratch, spread, written
 
 PAGE = ["doc_id", "page_num"]
 def _kept(spark, path: str, df: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def _kept(spark, path: str, df: DataFrame) -> DataFrame:
 
 
 def _part(spark, d, *expressions: str) -> DataFrame:
-    return _t(spark, d, "part").selectExpr("p_partkey AS k", "p_size AS s").selectExpr("k", "s", *expressions)
+    return spread(_t(spark, d, "part").selectExpr("p_partkey AS k", "p_size AS s"), "k").selectExpr("k", "s", *expressions)
 
 
 # ---------------------------------------------------------------- words of a page to rows
@@ -288,7 +288,7 @@ g AS (SELECT doc_id, row_index, regexp_replace(regexp_replace(trim(regexp_replac
 
 
 def _varied_replies(spark, d) -> DataFrame:
-    p = _t(spark, d, "part").selectExpr("p_partkey AS k", "p_size AS s", "p_type AS p")
+    p = spread(_t(spark, d, "part").selectExpr("p_partkey AS k", "p_size AS s", "p_type AS p"), "k")
     p = p.selectExpr("k", f"{_body('STRING')} AS b")
     return p.selectExpr("CAST(k AS STRING) AS doc_id", "1 AS page_num", "1 AS attempt", f"{_around('floor(k / 5)')} AS content")
 

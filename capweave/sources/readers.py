@@ -76,14 +76,16 @@ def model_replies(spark: SparkSession, path: str) -> DataFrame:
 
 def model_rows(replies: DataFrame) -> DataFrame:
     """Row candidates of recorded replies (doc_id, page_num, attempt, content). A failed call (null) and an empty list give none."""
-    rows = replies.select("doc_id", "page_num", "attempt", F.explode(reply_rows(F.col("content"))).alias("r"))
+    # First the list as the one row of a list: Spark would else read each reply a second time, to see whether it has rows.
+    lists = replies.select("doc_id", "page_num", "attempt", F.explode(F.array(reply_rows(F.col("content")))).alias("rows"))
+    rows = lists.select("doc_id", "page_num", "attempt", F.explode("rows").alias("r"))
     source = F.when(F.col("attempt") > 1, "vlm_retry").otherwise("vlm")
     return rows.select("doc_id", "page_num", "attempt", "r.*", source.alias("source"), F.lit(1.0).alias("confidence"), F.array().cast("array<string>").alias("flags"), F.array().cast("array<string>").alias("raw_cells"))
 
 
 def unread_replies(replies: DataFrame) -> DataFrame:
     """doc_id, page_num, attempt, state (failed, broken, shape), content of the replies that give no rows because they can't be read."""
-    return replies.select("doc_id", "page_num", "attempt", parsed_reply(F.col("content"))["state"].alias("state"), "content").where("state <> 'read'")
+    return replies.select("doc_id", "page_num", "attempt", F.explode(F.array(parsed_reply(F.col("content"))["state"])).alias("state"), "content").where("state <> 'read'")  # read once, as above
 
 
 def drafts(spark: SparkSession, path: str, kind: str = "draft") -> DataFrame:

@@ -7,6 +7,7 @@ from capweave.llm import queries as llm
 from capweave.operators import evaluate, layout
 from capweave.plans import document_queries, service_queries  # noqa: F401  they add their queries
 from capweave.plans import queries as register
+from capweave.sources import readers
 from helpers import duck, same_rows
 
 
@@ -66,3 +67,15 @@ def test_a_page_meets_once_for_its_totals(spark):
     assert sorted(tuple(r) for r in out.collect()) == [("d", 1, 1000), ("d", 3, 5000)]
     plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_a_reply_is_parsed_once(spark):
+    replies = spark.createDataFrame([("d", 1, 1, '{"shareholders": [{"name": "a", "shareCount": "7"}, {"name": 2.0, "shareCount": 1.5}]}'), ("e", 1, 1, "[]"), ("f", 1, 1, "{")], readers.MODEL_REPLY)
+    for out, want in ((readers.model_rows(replies), [("d", "0"), ("d", "a")]), (readers.unread_replies(replies), [("e", "shape"), ("f", "broken")])):
+        assert sorted((r["doc_id"], r["name" if "name" in out.columns else "state"]) for r in out.collect()) == want
+        assert out._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson") + out._jdf.queryExecution().optimizedPlan().toString().lower().count("parse_json") == 1
+
+
+def test_a_small_file_is_dealt_to_all_tasks(spark):
+    for name in ("row_rules", "reply_rows", "unread_replies"):
+        assert register.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 8
