@@ -6,10 +6,12 @@
 
 Writing: rows (doc_id, row_no, xml, merged), where xml is a whole <row> element, made by Spark from a table of cells (sheet_xml()).
 A task streams its documents' rows, sorted by document and row, into files of a folder of its own attempt; only the job's commit moves them to their place, so a
-task that fails or runs twice leaves no file, and abort removes all there is. Memory: a row, and a document's merged ranges.
+task that fails or runs twice leaves no file, and abort removes all there is. Memory: some rows, and a document's merged ranges. What all files share is made and
+compressed once a task. With the option `folders`, files stay in folders of up to FOLDER_FILES files, books-*, which the commit moves whole: then nothing on the
+driver grows with the files but by their folders, and remove() deletes them in tasks.
 
-Reading: `part` is cells (a row a cell) or layout (merged ranges, widths, heights, validations). A partition has one sheet of a large file, or small files up to
-PART_BYTES. Sheets are parsed as a stream. Only columns of the given schema are made. Filters on doc_id (the file's name), sheet, row_no and col are pushed:
+Reading: `part` is cells (a row a cell) or layout (merged ranges, widths, heights, validations). A partition has one sheet of a large file, small files up to
+PART_BYTES, or a folder that the writer made, listed by its task. Sheets beyond WHOLE_BYTES are parsed as a stream. Only columns of the given schema are made. Filters on doc_id (the file's name), sheet, row_no and col are pushed:
 files, sheets and rows that can't fit aren't opened or made (spark.sql.python.filterPushdown.enabled). Shared and inline strings, formulas with their
 values and number formats are understood; values are text as stored.
 
@@ -18,6 +20,8 @@ Paths are what pyarrow's file systems open (local, HDFS, object stores). Null do
 
 from __future__ import annotations
 
+import io
+import itertools
 import re
 import uuid
 import zipfile
@@ -32,9 +36,13 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import datasource as ds
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 PART_BYTES = 8 << 20
+WHOLE_BYTES = 1 << 20
+FOLDER_FILES = 2_000
+FOLDER = "books-"
 ROWS = "doc_id string, row_no int, xml string, merged string"
 CELLS = "doc_id string, sheet string, row_no int, col string, kind string, value string, formula string, number_format string"
 LAYOUT = "doc_id string, sheet string, kind string, ref string, value string"
@@ -54,29 +62,38 @@ BATCH = 5_000
 
 def escaped(x: Column) -> Column:
     """Text for an element: markup, characters that XML can't hold or would change, and what looks like their escapes."""
-    x = F.regexp_replace(x, "_(?=x[0-9A-Fa-f]{4}_)", "_x005F_")
     codes = [*range(0x00, 0x09), 0x0B, 0x0C, *range(0x0D, 0x20), 0xFFFE, 0xFFFF]
-    odd = x
+    plain = F.regexp_replace(x, "_(?=x[0-9A-Fa-f]{4}_)", "_x005F_")
+    odd = plain
     for c in codes:
         odd = F.replace(odd, F.lit(chr(c)), F.lit(f"_x{c:04X}_"))
-    x = F.when(x.rlike("[\\x00-\\x08\\x0B-\\x1F\\uFFFE\\uFFFF]"), odd).otherwise(x)
+    out = F.when(x.rlike("[\\x00-\\x08\\x0B-\\x1F\\uFFFE\\uFFFF]"), odd).otherwise(plain)
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
-        x = F.replace(x, F.lit(a), F.lit(b))
-    return x
+        out = F.replace(out, F.lit(a), F.lit(b))
+    # Most texts have none of these.
+    return F.when(x.rlike("[&<>_\\x00-\\x08\\x0B-\\x1F\\uFFFE\\uFFFF]"), out).otherwise(x)
 
 
 def sheet_xml(lines: DataFrame, formats: tuple[str, ...]) -> DataFrame:
     """ROWS of lines (doc_id, row_no, merged, cells: array of structs of col, text, number, formula, number_format). A cell with neither text nor number is
     left out; columns within a line are in order. formats: the workbook's number formats; others count as General."""
-    style = lambda x: F.coalesce(*[F.when(x["number_format"] == f, F.lit(i + 1)) for i, f in enumerate(formats)], F.lit(0)).cast("string")
 
-    def cell(x: Column) -> Column:
-        head = F.concat(F.lit('<c r="'), x["col"], F.col("row_no").cast("string"), F.lit('" s="'), style(x), F.lit('"'))
-        formula = F.coalesce(F.concat(F.lit("<f>"), escaped(x["formula"]), F.lit("</f>")), F.lit(""))
-        text = F.concat(head, F.lit(' t="inlineStr"><is><t xml:space="preserve">'), escaped(x["text"]), F.lit("</t></is></c>"))
-        return F.coalesce(text, F.concat(head, F.lit(">"), formula, F.lit("<v>"), x["number"], F.lit("</v></c>")), F.lit(""))
+    def style(x: Column) -> Column:
+        out = F
+        for i, f in enumerate(formats):
+            out = out.when(x["number_format"] == f, f'" s="{i + 1}"')
+        return F.lit('"') if out is F else out.otherwise('"')
 
-    number = F.col("row_no").cast("string")
+    def cell(x: Column) -> Column:
+        start = (F.lit('<c r="'), x["col"], F.col("__n"), style(x))
+        formula = F.when(x["formula"].isNotNull(), F.concat(F.lit("<f>"), escaped(x["formula"]), F.lit("</f>"))).otherwise("")
+        kept = F.when(x["text"].rlike(r"^\s|\s\z|\s\s|[\t\n]"), ' t="inlineStr"><is><t xml:space="preserve">').otherwise(' t="inlineStr"><is><t>')
+        text = F.concat(*start, kept, escaped(x["text"]), F.lit("</t></is></c>"))
+        number = F.concat(*start, F.lit(">"), formula, F.lit("<v>"), x["number"], F.lit("</v></c>"))
+        return F.when(x["text"].isNotNull(), text).when(x["number"].isNotNull(), number).otherwise("")
+
+    lines = lines.withColumn("__n", F.col("row_no").cast("string"))
+    number = F.col("__n")
     xml = F.concat(F.lit('<row r="'), number, F.lit('">'), F.array_join(F.transform("cells", cell), ""), F.lit("</row>"))
     merged = F.transform(F.split("merged", ":"), lambda c: F.concat(c, number))
     return lines.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("row_no").cast("int").alias("row_no"), xml.alias("xml"), F.array_join(merged, ":").alias("merged"))
@@ -89,9 +106,14 @@ def _root(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
 
+def _is_folder(f: fs.FileInfo) -> bool:
+    """Whether a writer's task made it for its files."""
+    return f.type == fs.FileType.Directory and f.base_name.startswith(FOLDER)
+
+
 @dataclass
 class Wrote(ds.WriterCommitMessage):
-    """A task's files: where each is, and its name."""
+    """A task's files, or its folders of files: where each is, and its name."""
 
     files: list[tuple[str, str]]
 
@@ -102,6 +124,7 @@ class WorkbookWriter(ds.DataSourceArrowWriter):
         self.sheet = options.get("sheet", "Sheet1")
         self.formats = [v for k, v in sorted(options.items()) if re.fullmatch(r"format\d+", k)]
         self.widths = [x.split("=") for x in options.get("widths", "").split(",") if x]
+        self.folders = options.get("folders", "false").lower() == "true"
 
     def _work(self, root: str) -> str:
         return f"{root}/_workbooks-{self.job}"
@@ -124,20 +147,38 @@ class WorkbookWriter(ds.DataSourceArrowWriter):
             "xl/styles.xml": self._styles(),
         }
 
+    def _shared(self) -> tuple[bytes, list[zipfile.ZipInfo]]:
+        """What every file begins with, and the archive's entries of it."""
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+            for part, text in self._parts().items():
+                book.writestr(part, text)
+            return out.getvalue(), book.filelist
+
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Wrote:
         system, root = _root(self.path)
-        own, parts, files = f"{self._work(root)}/{uuid.uuid4().hex}", self._parts(), []
+        own, files = f"{self._work(root)}/{uuid.uuid4().hex}", []
         system.create_dir(own, recursive=True)
+        (begin, entries), folder, room, left = self._shared(), own, 0, 0
         columns = "".join(f'<col min="{ord(c) - 64}" max="{ord(c) - 64}" width="{w}" customWidth="1"/>' for c, w in self.widths)
+        head = f'{_HEAD}<worksheet xmlns="{_MAIN}">{f"<cols>{columns}</cols>" if columns else ""}<sheetData>'
         now = stream = book = sheet = None
         merged: list[str] = []
+        text: list[str] = []
+
+        def flush():
+            sheet.write("".join(text).encode())
+            text.clear()
 
         def close():
+            nonlocal room, left
             if book:
                 ranges = "".join(f'<mergeCell ref="{m}"/>' for m in merged)
-                sheet.write(("</sheetData>" + (f'<mergeCells count="{len(merged)}">{ranges}</mergeCells>' if merged else "") + "</worksheet>").encode())
+                text.append("</sheetData>" + (f'<mergeCells count="{len(merged)}">{ranges}</mergeCells>' if merged else "") + "</worksheet>")
+                flush()
                 sheet.close()
                 book.close()
+                room, left = room - stream.tell(), left - 1
                 stream.close()
 
         seen: set[str] = set()
@@ -152,15 +193,23 @@ class WorkbookWriter(ds.DataSourceArrowWriter):
                         raise ValueError(f"rows of {doc!r} aren't together; sort by doc_id and row_no, as write() does")
                     seen.add(doc)
                     now, name = doc, f"{quote(doc, safe='')}.xlsx"
-                    files.append((f"{own}/{name}", name))
-                    stream = system.open_output_stream(files[-1][0])
+                    if not self.folders:
+                        files.append((f"{own}/{name}", name))
+                    elif left <= 0 or room <= 0:
+                        to = f"{FOLDER}{uuid.uuid4().hex}"
+                        folder, room, left = f"{own}/{to}", PART_BYTES, FOLDER_FILES
+                        system.create_dir(folder)
+                        files.append((folder, to))
+                    stream = system.open_output_stream(f"{folder}/{name}", buffer_size=1 << 16)
+                    stream.write(begin)
                     book = zipfile.ZipFile(stream, "w", zipfile.ZIP_DEFLATED)
-                    for part, text in parts.items():
-                        book.writestr(part, text)
+                    book.filelist += entries
                     sheet = book.open("xl/worksheets/sheet1.xml", "w", force_zip64=True)
-                    sheet.write(f'{_HEAD}<worksheet xmlns="{_MAIN}">{f"<cols>{columns}</cols>" if columns else ""}<sheetData>'.encode())
+                    text.append(head)
                     merged.clear()
-                sheet.write(xml.encode())
+                text.append(xml)
+                if len(text) >= 256:
+                    flush()
                 if merge:
                     merged.append(merge)
         close()
@@ -173,6 +222,8 @@ class WorkbookWriter(ds.DataSourceArrowWriter):
             for f in system.get_file_info(fs.FileSelector(root)):
                 if f.is_file and f.base_name.endswith(".xlsx"):
                     system.delete_file(f.path)
+                elif _is_folder(f):
+                    system.delete_dir(f.path)
         for m in messages:
             for at, name in m.files if m else ():
                 system.move(at, f"{root}/{name}")
@@ -191,42 +242,64 @@ class WorkbookWriter(ds.DataSourceArrowWriter):
 
 @dataclass
 class Part(ds.InputPartition):
-    """Files, as (doc_id, path); of one file, perhaps only the sheets named."""
+    """Files, as (doc_id, path); of one file, perhaps only the sheets named. Or the files of a folder."""
 
     files: list[tuple[str, str]]
     sheets: list[str] | None = None
+    folder: str | None = None
 
 
 def _unescaped(x: str) -> str:
     return re.sub(r"_x([0-9A-Fa-f]{4})_", lambda m: chr(int(m[1], 16)), x) if "_x" in x else x
 
 
+_T, _R, _PHONETIC, _ROW, _C, _V, _F, _IS = (f"{{{_MAIN}}}{n}" for n in ("t", "r", "rPh", "row", "c", "v", "f", "is"))
+_KINDS = {"s": "text", "str": "text", "inlineStr": "text", "n": "number", "b": "boolean", "e": "error"}
+
+
 def _text(element) -> str:
     """Of a rich or plain string, without the reading aids beside it."""
-    return "".join(_unescaped(t.text or "") for t in element.iter(f"{{{_MAIN}}}t") if t not in element.findall(f"{{{_MAIN}}}rPh/{{{_MAIN}}}t"))
+    if len(element) == 1 and element[0].tag == _T:
+        return _unescaped(element[0].text or "")
+    aids = element.findall(f"{_PHONETIC}/{_T}")
+    return "".join(_unescaped(t.text or "") for t in element.iter(_T) if t not in aids)
 
 
 class Workbook:
-    """An open file: names and places of its sheets, its number formats and shared strings (read when first asked for)."""
+    """An open file: names and places of its sheets, its number formats and shared strings (read when first asked for). known: what parts of the file read before
+    say; files that one program made mostly have the same."""
 
-    def __init__(self, file):
+    def __init__(self, file, known: dict[str, tuple] | None = None):
         self.zip = zipfile.ZipFile(file)
-        names = set(self.zip.namelist())
-        tree = ElementTree.fromstring(self.zip.read("xl/workbook.xml"))
-        targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(self.zip.read("xl/_rels/workbook.xml.rels"))}
-        place = lambda t: t.lstrip("/") if t.startswith("/") else f"xl/{t}"
-        self.sheets = {s.get("name"): place(targets[s.get(f"{{{_REL}}}id")]) for s in tree.iter(f"{{{_MAIN}}}sheet")}
-        self._has = names
+        self._has, self._known = set(self.zip.namelist()), {} if known is None else known
+        self.sheets: dict[str, str] = self._parsed(self._places, "xl/workbook.xml", "xl/_rels/workbook.xml.rels")
         self._formats = self._strings = None
 
+    def _parsed(self, parse, *names: str):
+        """parse(*parts), once for equal parts in a row."""
+        parts = tuple(self.zip.read(n) for n in names)
+        before, out = self._known.get(names[0], (None, None))
+        if parts != before:
+            out = parse(*parts)
+            self._known[names[0]] = parts, out
+        return out
+
+    @staticmethod
+    def _places(book: bytes, relations: bytes) -> dict[str, str]:
+        targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(relations)}
+        place = lambda t: t.lstrip("/") if t.startswith("/") else f"xl/{t}"
+        return {s.get("name"): place(targets[s.get(f"{{{_REL}}}id")]) for s in ElementTree.fromstring(book).iter(f"{{{_MAIN}}}sheet")}
+
+    @staticmethod
+    def _number_formats(styles: bytes) -> list[str]:
+        tree = ElementTree.fromstring(styles)
+        own = {int(f.get("numFmtId")): f.get("formatCode") for f in tree.iter(f"{{{_MAIN}}}numFmt")}
+        return [own.get(n := int(x.get("numFmtId") or 0), BUILT_IN.get(n, str(n))) for x in tree.findall(f"{{{_MAIN}}}cellXfs/{{{_MAIN}}}xf")]
+
     @property
     def formats(self) -> list[str]:
         if self._formats is None:
-            self._formats = []
-            if "xl/styles.xml" in self._has:
-                tree = ElementTree.fromstring(self.zip.read("xl/styles.xml"))
-                own = {int(f.get("numFmtId")): f.get("formatCode") for f in tree.iter(f"{{{_MAIN}}}numFmt")}
-                self._formats = [own.get(n := int(x.get("numFmtId") or 0), BUILT_IN.get(n, str(n))) for x in tree.findall(f"{{{_MAIN}}}cellXfs/{{{_MAIN}}}xf")]
+            self._formats = self._parsed(self._number_formats, "xl/styles.xml") if "xl/styles.xml" in self._has else []
         return self._formats
 
     @property
@@ -241,47 +314,51 @@ class Workbook:
                             e.clear()
         return self._strings
 
-    def _elements(self, sheet: str):
-        with self.zip.open(self.sheets[sheet]) as f:
-            yield from ElementTree.iterparse(f, ("start", "end"))
-
-    def cells(self, sheet: str, fits) -> Iterator[tuple]:
+    def _elements(self, sheet: str, tag: str | None = None):
+        """Finished elements (of a tag); a large sheet is parsed as a stream, and its rows are cleared when they were taken."""
+        part = self.sheets[sheet]
+        if self.zip.getinfo(part).file_size <= WHOLE_BYTES:
+            yield from ElementTree.fromstring(self.zip.read(part)).iter(tag)
+            return
+        with self.zip.open(part) as f:
+            for _, e in ElementTree.iterparse(f):
+                if tag is None or e.tag == tag:
+                    yield e
+                if e.tag == _ROW:
+                    e.clear()
+
+    def cells(self, sheet: str, fits=None) -> Iterator[tuple]:
         """(row_no, col, kind, value, formula, number_format) of cells with content; fits(row_no, col): whether one is wanted."""
-        row = 0
-        for event, e in self._elements(sheet):
-            tag = e.tag.rpartition("}")[2]
-            if tag == "row" and event == "start":
-                row, last = int(e.get("r") or row + 1), 0
-            elif tag == "row":
-                e.clear()
-            elif tag == "c" and event == "end":
-                col = (e.get("r") or "").rstrip("0123456789") or _column(last + 1)
-                last = _number(col)
-                if fits(row, col):
-                    kind, v, f, inline = e.get("t") or "n", e.find(f"{{{_MAIN}}}v"), e.find(f"{{{_MAIN}}}f"), e.find(f"{{{_MAIN}}}is")
-                    value = _text(inline) if inline is not None else None if v is None else self.strings[int(v.text)] if kind == "s" else _unescaped(v.text or "")
-                    if value is not None or f is not None:
-                        style = int(e.get("s") or 0)
-                        number_format = self.formats[style] if style < len(self.formats) else BUILT_IN[0]
-                        yield row, col, "text" if kind in ("s", "str", "inlineStr") else {"n": "number", "b": "boolean", "e": "error"}.get(kind, kind), value, None if f is None else _unescaped(f.text or ""), number_format
+        row, formats = 0, self.formats
+        for line in self._elements(sheet, _ROW):
+            row, col = int(line.get("r") or row + 1), ""
+            for e in line.iter(_C):
+                col = (e.get("r") or "").rstrip("0123456789") or _column(_number(col) + 1)
+                if fits and not fits(row, col):
+                    continue
+                kind, v, f, inline = e.get("t") or "n", e.find(_V), e.find(_F), e.find(_IS)
+                value = _text(inline) if inline is not None else None if v is None else self.strings[int(v.text)] if kind == "s" else _unescaped(v.text or "")
+                if value is not None or f is not None:
+                    style = int(e.get("s") or 0)
+                    yield row, col, _KINDS.get(kind, kind), value, None if f is None else _unescaped(f.text or ""), formats[style] if style < len(formats) else BUILT_IN[0]
 
     def layout(self, sheet: str) -> Iterator[tuple]:
         """(kind, ref, value): merged ranges, widths of columns, heights of rows, validations."""
-        for event, e in self._elements(sheet):
-            tag = e.tag.rpartition("}")[2]
-            if event == "start":
-                if tag == "row" and e.get("ht"):
+        names: dict[str, str] = {}
+        for e in self._elements(sheet):
+            tag = names.get(e.tag)
+            if tag is None:
+                tag = names[e.tag] = e.tag.rpartition("}")[2]
+            if tag == "row":
+                if e.get("ht"):
                     yield "height", e.get("r"), e.get("ht")
-                continue
-            if tag == "mergeCell":
+            elif tag == "mergeCell":
                 yield "merged", e.get("ref"), None
             elif tag == "col":
                 yield "width", f"{_column(int(e.get('min')))}:{_column(int(e.get('max')))}", e.get("width")
             elif tag == "dataValidation":
                 formula = e.find(f"{{{_MAIN}}}formula1")
                 yield "validation", e.get("sqref"), f"{e.get('type')}: {'' if formula is None else formula.text}"
-            if tag == "row":
-                e.clear()
 
 
 def _column(n: int) -> str:
@@ -329,13 +406,21 @@ class WorkbookReader(ds.DataSourceReader):
     def _fits(self, **values) -> bool:
         return all(_TESTS[kind](values[c], v) for c, kind, v in self.tests if c in values)
 
+    def _doc(self, f: fs.FileInfo) -> str | None:
+        """The doc_id of a file that is wanted."""
+        doc = unquote(f.base_name.removesuffix(".xlsx"))
+        return doc if f.is_file and f.base_name.endswith(".xlsx") and self._fits(doc_id=doc) else None
+
     def partitions(self):
         system, root = _root(self.path)
         found = system.get_file_info(fs.FileSelector(root)) if system.get_file_info(root).type == fs.FileType.Directory else [system.get_file_info(root)]
         out, held, size = [], [], 0
         for f in sorted(found, key=lambda f: f.path):
-            doc = unquote(f.base_name.removesuffix(".xlsx"))
-            if not (f.is_file and f.base_name.endswith(".xlsx") and self._fits(doc_id=doc)):
+            if _is_folder(f):
+                out.append(Part([], folder=f.path))
+                continue
+            doc = self._doc(f)
+            if doc is None:
                 continue
             if f.size > PART_BYTES:
                 with system.open_input_file(f.path) as file:
@@ -348,19 +433,46 @@ class WorkbookReader(ds.DataSourceReader):
             size += f.size
         return [*out, Part(held)] if held or not out else out
 
-    def read(self, partition: Part) -> Iterator[tuple]:
+    def _rows(self, partition: Part) -> Iterator[tuple]:
+        """Rows with all columns."""
         system, _ = _root(self.path)
-        all_names = [c.split()[0] for c in (CELLS if self.part == "cells" else LAYOUT).split(", ")]
-        take = [all_names.index(n) for n in self.names]
-        for doc, path in partition.files:
+        files = partition.files
+        if partition.folder:
+            found = system.get_file_info(fs.FileSelector(partition.folder))
+            files = [(doc, f.path) for f in found if (doc := self._doc(f)) is not None]
+        fits = (lambda r, c: self._fits(row_no=r, col=c)) if any(c in ("row_no", "col") for c, _, _ in self.tests) else None
+        known: dict[str, tuple] = {}
+        for doc, path in files:
             with system.open_input_file(path) as file:
-                book = Workbook(file)
+                book = Workbook(io.BytesIO(file.read()) if file.size() <= PART_BYTES else file, known)
                 for sheet in partition.sheets or book.sheets:
                     if self._fits(sheet=sheet):
-                        rows = book.cells(sheet, lambda r, c: self._fits(row_no=r, col=c)) if self.part == "cells" else book.layout(sheet)
-                        for row in rows:
-                            row = (doc, sheet, *row)
-                            yield tuple(row[i] for i in take)
+                        for row in book.cells(sheet, fits) if self.part == "cells" else book.layout(sheet):
+                            yield doc, sheet, *row
+
+    def _taken(self) -> list[int]:
+        """Places of the asked columns."""
+        all_names = [c.split()[0] for c in (CELLS if self.part == "cells" else LAYOUT).split(", ")]
+        return [all_names.index(n) for n in self.names]
+
+    def read(self, partition: Part) -> Iterator[tuple]:
+        take = self._taken()
+        for row in self._rows(partition):
+            yield tuple(row[i] for i in take)
+
+
+class WorkbookArrowReader(WorkbookReader):
+    """The same rows as Arrow batches."""
+
+    def __init__(self, options: dict[str, str], schema: StructType):
+        super().__init__(options, schema)
+        self.arrow = to_arrow_schema(schema)
+
+    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
+        take, rows = self._taken(), self._rows(partition)
+        while batch := list(itertools.islice(rows, BATCH)):
+            columns = list(zip(*batch))
+            yield pa.RecordBatch.from_arrays([pa.array(columns[i], f.type) for i, f in zip(take, self.arrow)], schema=self.arrow)
 
 
 class WorkbookSource(ds.DataSource):
@@ -371,8 +483,8 @@ class WorkbookSource(ds.DataSource):
     def schema(self) -> str:
         return CELLS if self.options.get("part", "cells") == "cells" else LAYOUT
 
-    def reader(self, schema: StructType) -> WorkbookReader:
-        return WorkbookReader(dict(self.options), schema)
+    def reader(self, schema: StructType) -> WorkbookArrowReader:
+        return WorkbookArrowReader(dict(self.options), schema)
 
     def writer(self, schema: StructType, overwrite: bool) -> WorkbookWriter:
         if missing := {"doc_id", "row_no", "xml", "merged"} - set(schema.names):
@@ -385,16 +497,32 @@ def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
-def write(rows: DataFrame, path: str, formats: tuple[str, ...] = (), widths: dict[str, float] | None = None, sheet: str = "Sheet1", mode: str = "append") -> None:
-    """Writes ROWS, one file a document. A document's rows go through one task, as a stream."""
+def write(rows: DataFrame, path: str, formats: tuple[str, ...] = (), widths: dict[str, float] | None = None, sheet: str = "Sheet1", mode: str = "append", folders: bool = False) -> None:
+    """Writes ROWS, one file a document. A document's rows go through one task, as a stream. folders: files stay in folders, for very many of them."""
     register(rows.sparkSession)
     dealt = rows.where("doc_id IS NOT NULL").repartition("doc_id").sortWithinPartitions("doc_id", "row_no")
-    out = dealt.write.format("workbook").mode(mode).option("path", path).option("sheet", sheet).option("widths", ",".join(f"{c}={w}" for c, w in (widths or {}).items()))
+    out = dealt.write.format("workbook").mode(mode).option("path", path).option("sheet", sheet).option("folders", str(folders)).option("widths", ",".join(f"{c}={w}" for c, w in (widths or {}).items()))
     for i, f in enumerate(formats):
         out = out.option(f"format{i:03d}", f)
     out.save()
 
 
+def _delete(folders: Iterator[str]) -> None:
+    for f in folders:
+        system, at = _root(f)
+        if system.get_file_info(at).type != fs.FileType.NotFound:  # of a task that runs twice
+            system.delete_dir(at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of workbooks; what the writer's folders hold is deleted by tasks."""
+    system, root = _root(path)
+    folders = [f"{path}/{f.base_name}" for f in system.get_file_info(fs.FileSelector(root)) if _is_folder(f)]
+    if folders:
+        spark.sparkContext.parallelize(folders, len(folders)).foreachPartition(_delete)
+    system.delete_dir(root)
+
+
 def _read(spark: SparkSession, path: str, part: str, columns: tuple[str, ...]) -> DataFrame:
     register(spark)
     whole = StructType.fromDDL(CELLS if part == "cells" else LAYOUT)

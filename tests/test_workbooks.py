@@ -112,3 +112,48 @@ def test_large_files_have_a_partition_a_sheet(spark, tmp_path, monkeypatch):
     assert [(len(p.files), p.sheets) for p in reader.partitions()] == [(1, ["Sheet1"])] * 3
     os.makedirs(tmp_path / "none")
     assert workbooks.cells(spark, str(tmp_path / "none")).count() == 0
+
+
+def _written(path, n, **options):
+    import pyarrow as pa
+
+    writer = workbooks.WorkbookWriter({"path": path, **options}, options.pop("overwrite", False))
+    xml = '<row r="1" ht="9"><c r="B1" t="inlineStr"><is><t>x</t></is></c></row>'
+    return writer, writer.write(iter([pa.RecordBatch.from_pydict({"doc_id": [f"d{i}" for i in range(n)], "row_no": [1] * n, "xml": [xml] * n, "merged": ["C1:D1"] * n})]))
+
+
+def test_very_many_files_stay_in_folders(spark, tmp_path, monkeypatch):
+    """What the driver holds, moves and lists are folders; tasks list and delete their files."""
+    monkeypatch.setattr(workbooks, "FOLDER_FILES", 2)
+    path = str(tmp_path / "books")
+    writer, wrote = _written(path, 5, folders="true")
+    assert len(wrote.files) == 3 and not [f for f in os.listdir(path) if f.startswith("books-")]
+    writer.commit([wrote, None])
+    assert sorted(len(os.listdir(f"{path}/{f}")) for f in os.listdir(path)) == [1, 2, 2]
+    out = workbooks.cells(spark, path, "doc_id", "value")
+    assert out.rdd.getNumPartitions() == 3 and sorted(tuple(r) for r in out.collect()) == [(f"d{i}", "x") for i in range(5)]
+    assert [tuple(r) for r in out.where("doc_id = 'd3'").collect()] == [("d3", "x")]
+    assert workbooks.layout(spark, path).count() == 10
+    writer, wrote = _written(path, 1, folders="true", overwrite=True)
+    writer.commit([wrote])
+    assert [r["doc_id"] for r in workbooks.cells(spark, path).collect()] == ["d0"]
+    workbooks.write(sheets(spark, {"e": {1: (None, [("B", "y", None, None, None)])}}), path, folders=True)
+    assert sorted(r["value"] for r in workbooks.cells(spark, path).collect()) == ["x", "y"]
+    workbooks.remove(spark, path)
+    assert not os.path.exists(path)
+
+
+def test_equal_parts_are_parsed_once_and_large_sheets_as_a_stream(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "books")
+    writer, wrote = _written(path, 20)
+    writer.commit([wrote])
+    parsed, real = [], workbooks.ElementTree.fromstring
+    monkeypatch.setattr(workbooks.ElementTree, "fromstring", lambda x: parsed.append(x) or real(x))
+    for ddl, part in ((workbooks.CELLS, "cells"), (workbooks.LAYOUT, "layout")):
+        reader = workbooks.WorkbookReader({"path": path, "part": part}, workbooks.StructType.fromDDL(ddl))
+        parsed.clear()
+        whole = [r for p in reader.partitions() for r in reader.read(p)]
+        assert len(parsed) <= 20 + 3 and len(whole) == (20 if part == "cells" else 40)
+        monkeypatch.setattr(workbooks, "WHOLE_BYTES", 10)
+        assert sorted(map(str, (r for p in reader.partitions() for r in reader.read(p)))) == sorted(map(str, whole))
+        monkeypatch.setattr(workbooks, "WHOLE_BYTES", 1 << 20)
