@@ -68,9 +68,9 @@ def round_totals(held: DataFrame, invested: DataFrame, pre_money: DataFrame, key
     return out.withColumns({"pre_value": F.col("price") * F.col("pre_total"), "post_value": F.col("price") * F.col("post_total")})
 
 
-def cap_table(requests: DataFrame) -> DataFrame:
-    """price_round() of requests (doc_id, pre_money, shareholders, investors), invalid ones left out."""
-    valid = requests.where(is_valid_request(F.col("shareholders"), F.col("pre_money"), F.get("investors", F.lit(0))["amount"]))
+def cap_table(requests: DataFrame, valid_only: bool = True) -> DataFrame:
+    """price_round() of requests (doc_id, pre_money, shareholders, investors), invalid ones left out if valid_only."""
+    valid = requests.where(is_valid_request(F.col("shareholders"), F.col("pre_money"), F.get("investors", F.lit(0))["amount"])) if valid_only else requests
     return price_round(holders(valid), investors(valid), valid.select("doc_id", F.col("pre_money").cast("decimal(20,0)").alias("pre_money")), "doc_id")
 
 
@@ -81,13 +81,13 @@ COUNT_FORMAT = "#,##0"
 WIDTHS = {"A": 5.125, "B": 3.5, "C": 38.25, "D": 15.75, "E": 14.625, "F": 17.125, "G": 4.875, "H": 15.625, "I": 4.25}
 
 
-def cells(requests: DataFrame) -> DataFrame:
+def cells(requests: DataFrame, valid_only: bool = True) -> DataFrame:
     """The sheet as a table: doc_id, row_no, section, name, share_type, shares, ownership, value, price, amount, number_format (of ownership; of the amount and the
-    count in their own lines), merged (the columns of the row that are one cell: C:D of totals, G:H of investors' lines). Column widths are WIDTHS.
+    count in their own lines), merged (the columns of the row that are one cell: C:D of totals, G:H of investors' lines). Column widths are WIDTHS. Invalid requests have no sheet if valid_only.
 
     The round is computed once: each of its rows turns into its lines, and each document into its two lines of totals.
     """
-    rows = cap_table(requests)
+    rows = cap_table(requests, valid_only)
     n = rows.groupBy("doc_id").agg(
         F.count_if(F.col("kind") == "holder").alias("n"), F.count_if(F.col("kind") == "investor").alias("m"),
         F.first("pre_total").alias("pre_total"), F.first("post_total").alias("post_total"), F.first("price").alias("price"),

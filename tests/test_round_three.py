@@ -1,6 +1,7 @@
 """Tables on which queries differed from their SQL, or steps grew too fast."""
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from capweave.llm import queries as llm
@@ -50,6 +51,21 @@ def test_workbook_layout_with_unknown_shares(spark, tmp_path):
     _same(spark, "workbook_cells", at)
 
 
+def odd_orders(tmp_path) -> str:
+    """By customer, keys and prices: none (no customer), money of 0, below 0 or unknown, keys that sum to 0 or less though one is positive, and to more though one is
+    negative or unknown, and a sheet that is read as a stream."""
+    rows = [(None, 11, 50), (None, 12, 60), (1, 13, 0), (1, 14, 0), (2, 15, -9000), (3, 16, None), (4, -5, 70), (4, 3, 80), (5, -4, 90), (5, 4, 90), (6, -3, 900), (6, 5, 900), (7, None, 10), (7, 8, 900), (8, None, 5), (9, 0, 5), (10, 21, 5000)]
+    at = ", ".join(f"({c}, {k}, {p})".replace("None", "NULL") for c, k, p in rows)
+    duckdb.sql(f"""COPY (SELECT CAST(k AS BIGINT) AS o_orderkey, CAST(c AS BIGINT) AS o_custkey, CAST(p AS DOUBLE) AS o_totalprice, 'p' || k AS o_orderpriority FROM (VALUES {at}) t(c, k, p)
+    UNION ALL SELECT 100 + i, 11, 5000.0, '5-LOW' FROM range(4000) t(i)) TO '{tmp_path}/orders.parquet'""")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name", ["workbook_layout", "sheet_cells", "sheet_layout"])
+def test_sheets_of_odd_orders(spark, tmp_path, name):
+    _same(spark, name, odd_orders(tmp_path))
+
+
 def test_names_meet_on_hashes_once(spark):
     """Rows don't go through the shuffle with each form of their names, and an equal pair isn't made by every form."""
     rows = spark.createDataFrame([("d", i, n, "", c) for i, (n, c) in enumerate([("abcdefghij", 1), ("abcdefghij", 2), ("abcdefghix", 3), ("bacdefghij", 4), ("abcdefghijk", 5), ("", 6), (None, 7)])], "doc_id string, ord int, name string, share_type string, share_count bigint")
